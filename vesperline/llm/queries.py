@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesperline.llm import media, packing, phrase_dedup, secret_scan, simhash, suffix_dedup
+from vesperline.llm import media, packing, phrase_dedup, secret_scan, simhash, suffix_dedup, toxicity
 from vesperline.llm._spark import table
 
 
@@ -29,6 +29,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
@@ -47,6 +53,7 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_simhash": op5_simhash,
+        "op6_toxicity": op6_toxicity,
         "op7_secrets": op7_secrets,
         "op8_media": op8_media,
         "op10_substring_dedup": op10_substring_dedup,
