@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterable
 
@@ -17,29 +18,47 @@ _KNOWN_WORDS = 1 << 20  # a worker forgets its words beyond this many
 _CHARS_AT_ONCE = 1 << 22
 
 
+_MARKS = string.punctuation.replace("'", "")  # an apostrophe may begin a token of its own kind: 's, 't, 're
+
+
 class WordEncoder:
     """Token ids of whole texts, with the ids of each white-space-free chunk kept for the next time.
 
-    The tokenizer drops white space and never forms a token across it, so a text's ids are its chunks' ids
-    in order. Chunks are cut at space, tab and line ends only, which every tokenizer takes as white space.
+    The tokenizer drops white space, lower-cases, and never joins letters with other marks, so a text's ids are its
+    chunks' ids in order, and the ids of letters with marks behind them are those of the letters and of the marks.
+    Chunks are cut at space, tab and line ends only, which every tokenizer takes as white space.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch
+        self._encode = Tokenizer.from_file(path).encode_batch_fast
         self._known: dict[str, bytes] = {"": b""}
 
+    def _learn(self, words: set[str]) -> None:
+        known = self._known
+        parts = {}
+        for word in words:
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha():
+                parts[word] = (stem.lower() if stem.isascii() else stem, word[len(stem) :])
+            else:
+                parts[word] = (word,)
+        new = list({p for pair in parts.values() for p in pair if p not in known})
+        for part, found in zip(new, self._encode(new, add_special_tokens=False) if new else ()):
+            known[part] = np.array(found.ids, "<u4").tobytes()
+        for word, pair in parts.items():
+            known[word] = b"".join([known[p] for p in pair])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self._known) > _KNOWN_WORDS:
             self._known = {"": b""}
         known = self._known
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for words in chunks for w in words if w not in known})
-        for word, found in zip(new, self._encode(new, add_special_tokens=False) if new else ()):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        if new := {w for words in chunks for w in words if w not in known}:
+            self._learn(new)
         return [b"".join([known[w] for w in words]) for words in chunks]
 
 
