@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesperline.llm import embeddings, media, packing, phrase_dedup, secret_scan, simhash, suffix_dedup, toxicity, wrappers
+from vesperline.llm import embeddings, media, packing, phrase_dedup, secret_scan, sentence_pieces, simhash, suffix_dedup, toxicity, wrappers
 from vesperline.llm._spark import table
 
 
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_sentence_pieces": op2_sentence_pieces,
         "op3_embeddings": op3_embeddings,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_simhash": op5_simhash,
