@@ -412,13 +412,15 @@ def repeated_spans(docs: DataFrame, config: Config, classes) -> DataFrame:
     return every.groupBy("_id").agg(F.collect_list(packed).alias("spans"))
 
 
-def with_spans(docs: DataFrame, config: Config, classes, id_col: str, text_col: str) -> DataFrame:
-    """``(_id, _text, spans)`` for every row; rows without an id take no part and have no spans."""
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+def with_spans(docs: DataFrame, config: Config, classes, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """``(_id, _text, spans, rest)`` for every row, ``rest`` holding the columns of ``carry``; rows without an id take
+    no part and have no spans."""
+    rest = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("int")
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), rest.alias("rest"))
     known = source.where("_id is not null")
-    joined = known.join(repeated_spans(known, config, classes), "_id", "left")
-    rest = source.where("_id is null").withColumn("spans", F.lit(None).cast("array<bigint>"))
-    return joined.select("_id", "_text", "spans").unionByName(rest)
+    joined = known.join(repeated_spans(known.select("_id", "_text"), config, classes), "_id", "left")
+    alone = source.where("_id is null").withColumn("spans", F.lit(None).cast("array<bigint>"))
+    return joined.select("_id", "_text", "spans", "rest").unionByName(alone)
 
 
 def runs_of(spans: pa.Scalar) -> list[tuple[int, int]]:

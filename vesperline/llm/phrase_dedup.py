@@ -69,5 +69,5 @@ def remove_passages(docs: DataFrame, length: int = 20, width: int = 7, crowd: in
             kinds = [pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["_id", "n_words", "n_removed", "kept"])
 
-    found = _repeats.with_spans(docs, Config(length, width, word_units, crowd), automaton_classes, id_col, text_col)
+    found = _repeats.with_spans(docs, Config(length, width, word_units, crowd), automaton_classes, id_col, text_col, []).drop("rest")
     return found.mapInArrow(run, "_id long, n_words long, n_removed long, kept string").withColumnRenamed("_id", id_col)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,28 +32,33 @@ def shingle_hashes(text: str | None, width: int, seed: int) -> list[int]:
     return [digest(line[s:e], seed) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist())]
 
 
-def majority_bits(hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """One 64-bit fingerprint for each run of ``sizes`` hashes: a bit is set if it is in over half of them."""
-    out = np.zeros(len(sizes), np.uint64)
-    begin = 0
-    for i, n in enumerate(sizes):
-        counts = np.zeros(BITS, np.int64)
-        for at in range(begin, begin + n, _HASHES_AT_ONCE):
-            part = hashes[at : min(at + _HASHES_AT_ONCE, begin + n)]
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        if n:
-            out[i] = np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]
-        begin += n
+def majority_bits(hashes: np.ndarray, sizes: list[int], words: int = 1) -> np.ndarray:
+    """A fingerprint of ``words`` times 64 bits for each run of ``sizes`` hashes: a bit is set if it is in over half of
+    them. Word 0 takes the hashes as they are, later words take them mixed."""
+    out = np.zeros((len(sizes), words), np.uint64)
+    for w in range(words):
+        bits = hashes if not w else (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9 + 2 * w)
+        bits = bits if not w else bits ^ bits >> np.uint64(32)
+        begin = 0
+        for i, n in enumerate(sizes):
+            counts = np.zeros(BITS, np.int64)
+            for at in range(begin, begin + n, _HASHES_AT_ONCE):
+                part = bits[at : min(at + _HASHES_AT_ONCE, begin + n)]
+                counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+            if n:
+                out[i, w] = np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]
+            begin += n
     return out
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``(id, fingerprint)`` with the fingerprint as a signed 64-bit number; null or wordless text: 0."""
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, words: int = 1) -> DataFrame:
+    """``(id, fingerprint)`` with the fingerprint as a signed 64-bit number, or with ``words`` over 1 as that many
+    times 8 bytes; null or wordless text: 0."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            prints = np.zeros(len(texts), np.uint64)
+            prints = np.zeros((len(texts), words), np.uint64)
             hashes: list[int] = []
             sizes: list[int] = []
             begin = 0
@@ -62,12 +67,13 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
                 hashes += found
                 sizes.append(len(found))
                 if len(hashes) >= _HASHES_AT_ONCE or i + 1 == len(texts):
-                    prints[begin : i + 1] = majority_bits(np.array(hashes, np.uint64), sizes)
+                    prints[begin : i + 1] = majority_bits(np.array(hashes, np.uint64), sizes, words)
                     hashes, sizes, begin = [], [], i + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["_id", "_print"])
+            column = pa.array(prints[:, 0].view(np.int64)) if words == 1 else pa.array([p.tobytes() for p in prints], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["_id", "_print"])
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return source.mapInArrow(run, "_id long, _print long").select(F.col("_id").alias(id_col), F.col("_print").alias("fingerprint"))
+    return source.mapInArrow(run, f"_id long, _print {'long' if words == 1 else 'binary'}").select(F.col("_id").alias(id_col), F.col("_print").alias("fingerprint"))
 
 
 def block_masks(n_prints: float, distance: int) -> list[int]:
@@ -84,6 +90,12 @@ def block_masks(n_prints: float, distance: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(blocks, b - distance)]
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints of one word, or of rows of words."""
+    bits = np.bitwise_count(a ^ b)
+    return bits if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 def _group_forest(prints: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[list, list]:
     """A spanning forest of the links inside one bucket: each print is held against those not reached yet."""
     src, dst = [], []
@@ -92,7 +104,7 @@ def _group_forest(prints: np.ndarray, nodes: np.ndarray, distance: int) -> tuple
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[at]) <= distance
+            near = apart(prints[left], prints[at]) <= distance
             if near.any():
                 reached = left[near]
                 src.append(np.full(len(reached), nodes[at]))
@@ -102,7 +114,7 @@ def _group_forest(prints: np.ndarray, nodes: np.ndarray, distance: int) -> tuple
     return src, dst
 
 
-def _bucket_links(distance: int, small: int = 24):
+def _bucket_links(distance: int, small: int = 24, words: int = 1):
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def links(group: np.ndarray, prints: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
@@ -116,7 +128,7 @@ def _bucket_links(distance: int, small: int = 24):
             same = np.flatnonzero(g[lag:] == g[:-lag]) if len(g) > lag else np.empty(0, int)
             if not len(same):
                 break
-            near = same[np.bitwise_count(p[same] ^ p[same + lag]) <= distance]
+            near = same[apart(p[same], p[same + lag]) <= distance]
             src.append(v[near])
             dst.append(v[near + lag])
         for i in np.flatnonzero(size > small):
@@ -131,17 +143,21 @@ def _bucket_links(distance: int, small: int = 24):
         held: list[np.ndarray] | None = None
         seen = 0
         for batch in batches:
-            kind, key, prints, nodes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(kind):
+            if not len(batch):
                 continue
+            kind, key, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            if words == 1:
+                prints = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            else:
+                prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, words)
             new = np.concatenate(([True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])))
             group = np.cumsum(new) + seen
             if held is not None:
                 if (held[3][-1], held[4][-1]) == (kind[0], key[0]):
                     group -= 1
-                held = [np.concatenate(x) for x in zip(held, (group, prints.view(np.uint64), nodes, kind, key))]
+                held = [np.concatenate(x) for x in zip(held, (group, prints, nodes, kind, key))]
             else:
-                held = [group, prints.view(np.uint64), nodes, kind, key]
+                held = [group, prints, nodes, kind, key]
             seen = int(held[0][-1])
             whole = int(np.searchsorted(held[0], seen))  # the last bucket may go on in the next batch
             if whole:
@@ -183,5 +199,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fingerprint").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
 
 
+def limit_for(similarity: float, bits: int, spare: float = 1.28) -> int:
+    """The Hamming distance that nine pairs in ten of this Jaccard similarity keep within."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = acos(cosine) / pi
+    return round(bits * share + spare * sqrt(bits * share * (1 - share)))
+
+
+def overlapping_blocks(n_prints: float, bits: int, distance: int, found: float = 0.97, seed: int = 7) -> list[list[int]]:
+    """Sets of bits of which a pair at ``distance`` agrees on one at least with probability ``found``; closer pairs do
+    more surely. The width follows the number of prints, so that unrelated ones seldom share a key."""
+    width = max(10, ceil(log2(max(n_prints, 2))) - 3)
+    both = (1 - distance / bits) ** width
+    rng = np.random.default_rng(seed)
+    return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(ceil(log(1 - found) / log(1 - both)))]
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, block_words: int = 4, seed: int = 42) -> DataFrame:
+    """``(id, component_id)`` for documents whose sets of ``shingle``-word runs have about the Jaccard ``similarity`` or
+    more, or that are joined by such documents.
+
+    A distance that stands for a similarity of 0.8 is a sixth of all bits: disjoint pigeonhole blocks would be too
+    narrow to part unrelated texts. Blocks overlap here. A bucket's prints are held against each other by their first
+    ``block_words`` words, and the links found are verified by all words. Null, empty and wordless texts are equal; an
+    empty table gives no rows; other columns are not read.
+    """
+    marked = as_table(simhash(docs, id_col, text_col, shingle, seed, words).select(F.col(id_col).alias("_id"), "fingerprint"))
+    nodes = as_table(marked.groupBy("fingerprint").agg(F.min("_id").alias("node")).where("node is not null"))
+    bits = BITS * block_words
+    limit = limit_for(similarity, bits)
+    blocks = overlapping_blocks(nodes.count(), bits, limit)
+
+    def keys(batches):
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
+            on = np.unpackbits(prints, axis=1, bitorder="little")
+            for kind, block in enumerate(blocks):
+                key = on[:, block].astype(np.int64) @ (1 << np.arange(len(block), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int64)), pa.array(key), batch.column(1), batch.column(0)], ["kind", "key", "fingerprint", "node"])
+
+    def verified(batches):
+        most = limit_for(similarity, BITS * words, 1.0)
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, words) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["src", "dst"]).filter(pa.array(apart(a, b) <= most))
+
+    first = F.substring("fingerprint", 1, 8 * block_words).alias("fingerprint")
+    keyed = nodes.select("node", first).mapInArrow(keys, "kind long, key long, fingerprint binary, node long")
+    dealt = keyed.repartition(shuffle_partitions(docs.sparkSession), "kind", "key").sortWithinPartitions("kind", "key")
+    links = dealt.mapInArrow(_bucket_links(limit, words=block_words), "src long, dst long")
+    links = links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    whole = links.join(nodes.select(F.col("node").alias("src"), F.col("fingerprint").alias("a")), "src")
+    whole = whole.join(nodes.select(F.col("node").alias("dst"), F.col("fingerprint").alias("b")), "dst")
+    parts = connected_components(whole.select("src", "dst", "a", "b").mapInArrow(verified, "src long, dst long"))
+    named = nodes.join(parts, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(named, "fingerprint", "left").select(F.col("_id").alias(id_col), F.coalesce("component_id", "_id").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: that with the smallest id. Repeated rows of an id are
+    one document; rows without an id stay."""
+    found = similar_documents(docs, id_col, text_col, **more)
+    return docs.join(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+
+
 def as_hex(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))

@@ -44,15 +44,16 @@ def suffix_classes(words: Words, config: Config) -> tuple[np.ndarray, np.ndarray
     return code, np.array(words.doc, np.int64)[owner], np.array(words.start, np.int64)[owner] + inside
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, width: int = 24, crowd: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, width: int = 24, crowd: int = 512, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept)``: each text's UTF-8 bytes without those covered by a ``length``-byte
     string that also starts earlier (in a document with a smaller id, or earlier in the same one).
 
     Strings are judged on the input; overlapping ones count; matches never cross documents. A null text is empty; an
     empty table gives no rows; other columns are not read. An id names one document: its repeated rows give repeated
     results. A row without an id takes no part and is returned whole. ``kept`` is binary, for a cut may split a
-    character.
+    character. ``carry`` names columns to return beside these.
     """
+    carry = carry or []
 
     def run(batches):
         for batch in batches:
@@ -67,7 +68,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, width: int = 24, crowd: i
                 rows.append((len(data), sum(e - s for s, e in runs), len(runs), b"".join([*parts, data[at:]])))
             columns = list(zip(*rows)) or [()] * 4
             kinds = [pa.int64()] * 3 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(arrays, ["_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
-    found = _repeats.with_spans(docs, Config(length, width, byte_units, crowd), suffix_classes, id_col, text_col)
-    return found.mapInArrow(run, "_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("_id", id_col)
+    found = _repeats.with_spans(docs, Config(length, width, byte_units, crowd), suffix_classes, id_col, text_col, carry)
+    kind = found.schema["rest"].dataType.simpleString()
+    out = found.mapInArrow(run, f"_id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {kind}")
+    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", *[F.col("rest")[c].alias(c) for c in carry])
