@@ -1,11 +1,527 @@
-"""Queries over the driver's tables and the SQL that gives the same rows."""
+"""Queries over the driver's tables, and DuckDB SQL that gives the same rows without reading any note."""
 
 from __future__ import annotations
 
+from datetime import date
+from importlib.resources import files
+import json
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vesperline.functions import recurrence as rec
+from vesperline.functions import stamps, text, windows
+from vesperline.operators import agenda as ag
+from vesperline.operators import exceptions, extract, quality, spans, workdays
+from vesperline.plans import order_notes as on
+from vesperline.sources import holidays, notes, sinks
+
+TODAY = date(1998, 6, 15)
+CALENDAR = ("1994-12-01", "2002-12-31")
+_A = f"a as ({on.attributes_sql(False)})"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.tasks(on.order_notes(spark, sf_dir))
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as series with typed columns; no text."""
+    a = on.attributes(spark, sf_dir).where("unit is not null")
+    return a.select("k", F.col("d").alias("base"), F.col("n").cast("long").alias("n"), "unit", F.col("start_time").alias("timestamp_time"))
+
+
+def _calendar(spark: SparkSession) -> DataFrame:
+    return holidays.calendar(spark, *CALENDAR)
+
+
+# --- scans -------------------------------------------------------------------------------------------------------
+
+
+def _raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return d.select(F.lit(None).cast("string").alias("root"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
+
+
+def corpus_gate(spark, sf_dir):
+    raw = _raw_documents(spark, sf_dir).where(notes.matches_glob(F.col("file"), "*.md"))
+    return notes.gated(raw).groupBy("gate").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def scan_report(spark, sf_dir):
+    return notes.scan_report(_raw_documents(spark, sf_dir))
+
+
+def documents_no_tasks(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return extract.tasks(d.select(F.lit(None).cast("string").alias("root"), F.col("doc_id").cast("string").alias("file"), "text")).select("file", "line")
+
+
+def multi_root(spark, sf_dir):
+    n = on.order_notes(spark, sf_dir)
+    path = F.concat("root", F.lit("/"), "file")
+    kept = n.where(notes.matches_glob(path, "*ING/c?*.md") | notes.matches_glob(F.col("file"), "c1*.md"))
+    return kept.groupBy("root").agg(F.count("*").alias("files"), F.min("file").alias("first_file"))
+
+
+# --- extraction --------------------------------------------------------------------------------------------------
+
+
+def note_sections(spark, sf_dir):
+    return extract.sections(on.order_notes(spark, sf_dir)).where("level = 3").select("root", "file", "line", "level", F.size("blocks").alias("blocks"))
+
+
+def heading_fields(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("file", "line", "heading", "task_type", "priority", "priority_order")
+
+
+def stamp_fields(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("file", "line", "timestamp", "timestamp_type", "timestamp_active", "timestamp_date", "base_date", "timestamp_time", "timestamp_end_time")
+
+
+def localized_weekdays(spark, sf_dir):
+    a = on.attributes(spark, sf_dir)
+    return a.select("k", stamps.english_weekdays(F.col("written")).alias("english"), (F.col("written") != F.col("stamp")).alias("changed"))
+
+
+def repeater_fields(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("file", "line", "timestamp_repeater", F.col("rep.n").alias("n"), F.col("rep.unit").alias("unit"))
+
+
+def warning_days(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("file", "line", "warning_days")
+
+
+def created_stamps(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("file", "line", "created")
+
+
+def section_body(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("file", "line", "content")
+
+
+def clock_entries(spark, sf_dir):
+    t = _tasks(spark, sf_dir).select("file", "line", F.posexplode("clocks").alias("pos", "clock"))
+    return t.select("file", "line", (F.col("pos") + 1).alias("pos"), F.col("clock.start").alias("clock_start"), F.col("clock.end").alias("clock_end"), F.col("clock.duration").alias("duration"))
+
+
+def clock_totals(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("file", "line", "clock_minutes", "total_clock_time")
+
+
+def section_properties(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("file", "line", F.explode("properties").alias("key", "value"))
+
+
+def exdate_rows(spark, sf_dir):
+    return _tasks(spark, sf_dir).select("file", "line", F.posexplode("excluded_dates").alias("pos", "excluded_date"))
+
+
+def recurrence_ids(spark, sf_dir):
+    return _tasks(spark, sf_dir).where("recurrence_id is not null or series_id is not null").select("file", "line", "series_id", "recurrence_id", "recurrence_date")
+
+
+def capped_tasks(spark, sf_dir):
+    return extract.capped(_tasks(spark, sf_dir), 500).select("root", "file", "line")
+
+
+def quality_findings(spark, sf_dir):
+    return quality.findings(_tasks(spark, sf_dir)).select("file", "line", "channel", "key", "value", "problem")
+
+
+def first_findings(spark, sf_dir):
+    return quality.first_findings(quality.findings(_tasks(spark, sf_dir))).select("channel", "position", "file", "line", "key", "value")
+
+
+def task_json(spark, sf_dir):
+    t = sinks.task_json(_tasks(spark, sf_dir))
+    back = F.from_json("json", "file string, line int, heading string, priority string, timestamp_repeater string")
+    return t.select(back.alias("b"), F.col("json").contains('"priority"').alias("has_priority")).select("b.*", "has_priority")
+
+
+# --- lists -------------------------------------------------------------------------------------------------------
+
+
+def _listed(spark, sf_dir, **which):
+    from pyspark.sql import Window
+
+    t = ag.flat_list(_tasks(spark, sf_dir), **which)
+    # the rank of a task among those of its note and state, which stays within a partition
+    order = Window.partitionBy("root", "file").orderBy("priority_order", F.col("timestamp_date").asc_nulls_last(), F.col("timestamp_time").asc_nulls_last(), "line")
+    return t.select("root", "file", "line", "heading", "task_type", "priority", "timestamp", F.row_number().over(order).alias("position"))
+
+
+def tasks_flat_list(spark, sf_dir):
+    return _listed(spark, sf_dir)
+
+
+def tasks_with_done(spark, sf_dir):
+    return _listed(spark, sf_dir, done=True)
+
+
+def tasks_with_cancelled(spark, sf_dir):
+    return _listed(spark, sf_dir, done=True, cancelled=True)
+
+
+def first_tasks(spark, sf_dir):
+    return ag.flat_list(_tasks(spark, sf_dir), limit=100).select("root", "file", "line")
+
+
+def tasks_by_state_priority(spark, sf_dir):
+    return _tasks(spark, sf_dir).rollup("task_type", "priority").agg(F.count("*").alias("tasks"), F.sum("clock_minutes").alias("minutes"))
+
+
+def clock_minutes_by_week(spark, sf_dir):
+    t = _tasks(spark, sf_dir).select(F.explode("clocks").alias("c"))
+    day = F.substring("c.start", 1, 10).try_cast("date")
+    return t.groupBy(windows.week_of(day).alias("week")).agg(F.sum(extract.minutes(F.col("c.duration"))).alias("minutes"), F.count("*").alias("entries"))
+
+
+# --- recurrence --------------------------------------------------------------------------------------------------
+
+
+def month_shift(spark, sf_dir):
+    a = on.attributes(spark, sf_dir)
+    return a.select("k", F.add_months("d", (F.col("k") % 40 - 20).cast("int")).alias("shifted"))
+
+
+def _occurrences(units, first, last):
+    def query(spark, sf_dir):
+        return rec.with_occurrences(_series(spark, sf_dir).where(F.col("unit").isin(units)), first, last).select("k", "unit", "day")
+
+    return query
+
+
+def closest_past_future(spark, sf_dir):
+    return rec.with_closest(_series(spark, sf_dir).where("unit <> 'wd'"), f"date'{TODAY}'").select("k", "past", "future")
+
+
+def _shifted(spark, sf_dir):
+    """Series on the years that have listed holidays."""
+    s = _series(spark, sf_dir).where("unit = 'wd'")
+    return s.withColumn("base", F.expr("date_add(date'2025-01-01', cast(k % 500 as int))"))
+
+
+def occurrences_workday(spark, sf_dir):
+    cal = holidays.calendar(spark, "2024-12-01", "2027-06-30")
+    return workdays.occurrences(_shifted(spark, sf_dir), cal, "2026-01-01", "2026-02-28").select("k", "day")
+
+
+def workday_bracket(spark, sf_dir):
+    cal = holidays.calendar(spark, "2024-12-01", "2027-12-31")
+    s = _shifted(spark, sf_dir).withColumn("c", F.lit("2026-06-15").cast("date"))
+    return workdays.bracket(s.where("base <= c"), cal).select("k", "n1", "n2")
+
+
+def workday_calendar(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.expr("date_add(date'2025-01-01', cast(o_orderkey % 730 as int))").alias("d"))
+    cal = holidays.calendar(spark, "2024-12-01", "2027-06-30")
+    return o.groupBy("d").agg(F.count("*").alias("orders")).join(cal, "d").select("d", "orders", "is_workday")
+
+
+def workdays_between(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr("date_add(date'2025-01-01', cast(o_orderkey % 400 as int))").alias("s"), F.expr("date_add(date'2025-01-01', cast(o_orderkey * 7 % 600 as int))").alias("e"))
+    return workdays.workdays_between(o, holidays.calendar(spark, "2024-12-01", "2027-06-30"), "s", "e").select("k", "workdays")
+
+
+def nth_workday(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr("date_add(date'2025-01-01', cast(o_orderkey % 400 as int))").alias("s"), (F.col("o_orderkey") % 30).alias("n"))
+    return workdays.nth_workday(o, holidays.calendar(spark, "2024-12-01", "2027-06-30"), "s", "n").select("k", "nth_day")
+
+
+def holidays_of_year(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.expr("date_add(date'2026-01-01', cast(o_orderkey % 365 as int))").alias("d"))
+    return o.groupBy("d").agg(F.count("*").alias("orders")).join(holidays.holidays_of_year(spark, 2026), "d").select("d", "orders")
+
+
+# --- exceptions --------------------------------------------------------------------------------------------------
+
+
+def series_replacements(spark, sf_dir):
+    t = exceptions.with_replaced(_tasks(spark, sf_dir)).where("size(missing_dates) > 0")
+    return t.select("file", "line", F.explode("missing_dates").alias("missing_date"))
+
+
+def unknown_series(spark, sf_dir):
+    return exceptions.unknown_series(_tasks(spark, sf_dir))
+
+
+def _with_missing(spark, sf_dir):
+    s = _series(spark, sf_dir).where("unit <> 'wd'")
+    cut = lambda m, days: F.expr(f"case when k % {m} = 0 then array({', '.join(f'date_add(base, {d})' for d in days)}) else cast(array() as array<date>) end")
+    return s.withColumns({"excluded_dates": cut(2, (7, 14, 2, 4)), "replaced_dates": cut(3, (7, 21, 6, 31))})
+
+
+def next_occurrence(spark, sf_dir):
+    return ag.next_occurrences(_with_missing(spark, sf_dir), TODAY, "12:00").select("k", "next_date")
+
+
+def next_after_day(spark, sf_dir):
+    return ag.next_occurrences(_with_missing(spark, sf_dir), TODAY).select("k", "next_after")
+
+
+def series_arrears(spark, sf_dir):
+    today = f"date'{TODAY}'"
+    s = _with_missing(spark, sf_dir)
+    grid = rec.candidates("base", "n", "unit", today, "size(excluded_dates) + size(replaced_dates) + 1", ahead=False)
+    return s.select("k", rec.owed(grid, F.col("excluded_dates"), F.col("replaced_dates")).alias("owed_date"))
+
+
+# --- agenda ------------------------------------------------------------------------------------------------------
+
+
+def window_edges(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).groupBy("d").agg(F.count("*").alias("orders"))
+    month = F.trunc("d", "MM")
+    return o.select("d", "orders", windows.week_of(F.col("d")).alias("week"), windows.week_of(F.col("d"), 6).alias("sunday_week"), month.alias("month"), windows.week_of(month).alias("grid_start"), F.date_add(windows.week_of(F.last_day("d")), 6).alias("grid_end"))
+
+
+def _agenda(scope: str):
+    first, last = windows.window(scope, TODAY)
+
+    def query(spark, sf_dir):
+        t = exceptions.with_replaced(_tasks(spark, sf_dir))
+        return ag.agenda(t, _calendar(spark), first, last, TODAY).select("day", "bucket", "rank", "file", "line", "date", "time", "stamp", "days_offset")
+
+    return query
+
+
+def agenda_day_counts(spark, sf_dir):
+    first, last = windows.window("month-grid", TODAY)
+    t = exceptions.with_replaced(_tasks(spark, sf_dir))
+    return ag.day_counts(ag.agenda(t, _calendar(spark), first, last, TODAY))
+
+
+def day_envelope(spark, sf_dir):
+    first, last = windows.window("week", TODAY)
+    t = exceptions.with_replaced(_tasks(spark, sf_dir))
+    out = ag.envelopes(ag.agenda(t, _calendar(spark), first, last, TODAY), first, last)
+    return out.select("day", F.size(F.coalesce("overdue", F.array_remove("upcoming", F.get("upcoming", F.lit(0))))).alias("_"), *[F.size(b).alias(b) for b in ag.BUCKETS[1:]], F.col("overdue").isNull().alias("no_overdue")).drop("_")
+
+
+# --- corpus jobs -------------------------------------------------------------------------------------------------
+
+
+def heading_spans(spark, sf_dir):
+    h = spans.heading_spans(on.order_notes(spark, sf_dir)).where("level = 3")
+    return h.select("file", "line", *[F.col(f"{p}.{x}").alias(f"{p}_{x}") for p in ("state", "mark", "title") for x in ("start", "end")])
+
+
+def stamp_spans(spark, sf_dir):
+    s = spans.stamp_spans(on.attributes(spark, sf_dir).select("k", "written"), "written")
+    return s.select("k", *[F.col(f"{p}.{x}").alias(f"{p}_{x}") for p in ("stamp", "date", "weekday") for x in ("start", "end")])
+
+
+def plain_text(spark, sf_dir):
+    a = on.attributes(spark, sf_dir)
+    marked = F.concat(F.lit("**Order** "), F.col("k").cast("string"), F.lit(" _of_ `"), F.col("o_orderstatus"), F.lit("` [see]("), F.col("file"), F.lit(") ~~old~~ &amp; *new*"))
+    return a.select("k", text.without_marks(marked, True).alias("shown"), text.without_marks(marked, False).alias("body"))
+
+
+def hidden_characters(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    clean = text.scrubbed(F.col("text"))
+    return d.select("doc_id", (F.length("text") - F.length(clean)).cast("long").alias("hidden"), F.length(text.html_escaped(F.col("text"))).cast("long").alias("escaped_length"))
+
+
+# --- SQL ---------------------------------------------------------------------------------------------------------
+
+_RANK = "row_number() over (partition by root, file order by coalesce(case when regexp_full_match(priority, '[0-9]+') then cast(priority as bigint) else ascii(priority) end, 4294967295), cast(d as varchar), start_time nulls last, line)"
+_NOTE = "(select c_custkey, c_mktsegment as root from customer) n"
+_PLAIN = "'d','w','h','m','y'"
+
+
+def _grid(units: str, lo: str, hi: str) -> str:
+    """Every grid date of the orders' series in a window, by generating and filtering."""
+    return f"""
+      select k, d, n, unit, day from (
+        select k, d, n, unit, unnest(list_transform(range(0, 3000), lambda i: cast(d + cast(i as int) * (case unit when 'd' then n when 'w' then 7 * n else 1 end) as date))) as day from a where unit in ('d','w','h') and unit in ({units})
+        union all select k, d, n, unit, unnest(list_transform(range(0, 130), lambda i: cast(d + to_months(cast(i * n as int)) as date))) from a where unit = 'm' and unit in ({units})
+        union all select k, d, n, unit, unnest(list_filter(list_transform(range(0, 60), lambda i: try_cast(concat(cast(year(d) + i * n as varchar), strftime(d, '-%m-%d')) as date)), lambda x: x is not null)) from a where unit = 'y' and unit in ({units})
+      ) g where day between DATE '{lo}' and DATE '{hi}'"""
+
+
+def _listed_days() -> dict:
+    data = json.loads(files("vesperline.sources").joinpath("holidays.json").read_text("utf-8"))
+    return {y: v for y, v in data.items() if not y.startswith("_")}
+
+
+def _calendar_sql(lo: str, hi: str) -> str:
+    off = ", ".join(f"DATE '{d}'" for v in _listed_days().values() for d in v["holidays"])
+    return f"""cal as (select d, w as is_workday, sum(cast(w as int)) over (order by d) as o from (
+        select cast(g as date) as d, isodow(g) < 6 and cast(g as date) not in ({off}) as w from generate_series(TIMESTAMP '{lo}', TIMESTAMP '{hi}', INTERVAL 1 DAY) t(g)))"""
+
+
+_MISSING = """m as (select *, case when k % 2 = 0 then [cast(d + 7 as date), cast(d + 14 as date), cast(d + 2 as date), cast(d + 4 as date)] else [] end as x,
+    case when k % 3 = 0 then [cast(d + 7 as date), cast(d + 21 as date), cast(d + 6 as date), cast(d + 31 as date)] else [] end as r from a)"""
+
+
+def _next_sql(strict: str, name: str) -> str:
+    return f"""with {_A}, {_MISSING}, g as ({_grid("'d','w','h','m','y'", '1995-01-01', '2010-12-31')})
+      select m.k, min(case when {strict} and not list_contains(x, day) and not list_contains(r, day) then day end) as {name}
+      from m join g on m.k = g.k group by m.k"""
+
+
+def _agenda_sql(scope: str) -> str:
+    """Generate every occurrence of every series, then filter into the four buckets."""
+    first, last = windows.window(scope, TODAY)
+    t = f"DATE '{TODAY}'"
+    body = f"""
+    with {_A}, {_calendar_sql(*CALENDAR)},
+    repl as (select series, list(distinct replaced) as r from a where series is not null and replaced is not null group by series),
+    t as (select a.*, root, case when k % 10 = 0 then [cast(d + 7 as date), cast(d + 14 as date)] else [] end as x, coalesce(repl.r, []) as r,
+        case when kind = 'CLOSED' or unit is null then null else unit end as u, coalesce(state, '') <> 'DONE' as live,
+        coalesce(case when regexp_full_match(priority, '[0-9]+') then cast(priority as bigint) else ascii(priority) end, 4294967295) as po
+      from a join {_NOTE} on c = c_custkey left join repl on repl.series = concat('order-', cast(k as varchar)) where kind <> 'CLOSED'),
+    works as (select d as wday, o, row_number() over (order by d) as rn from cal where is_workday),
+    g as ({_grid("'d','w','h','m','y'", '1995-01-01', '2003-12-31')}
+      union all select a.k, a.d, a.n, a.unit, w.wday from a join cal on cal.d = a.d join works w on w.wday > a.d and (w.o - cal.o) % a.n = 0 where a.unit = 'wd'
+      union all select k, d, n, unit, d from a where unit = 'wd'),
+    s as (select t.*, g.day as occ from t join g on t.k = g.k where u is not null),
+    ends as (select k, max(case when occ <= {t} and (not list_contains(x, occ) or list_contains(r, occ)) then occ end) as arrears,
+        min(case when not list_contains(x, occ) and not list_contains(r, occ) then occ end) as standing from s group by k),
+    rows as (
+      select d as day, case when start_time is null then 'scheduled_no_time' else 'scheduled_timed' end as bucket, root, file, line, d as date, start_time as time, stamp, cast(null as int) as days_offset, po
+      from t where u is null and d between DATE '{first}' and DATE '{last}'
+      union all
+      select occ, case when start_time is null then 'scheduled_no_time' else 'scheduled_timed' end, root, file, line, occ, start_time,
+        concat(kind, ': <', cast(occ as varchar), ' ', strftime(occ, '%a'), coalesce(concat(' ', start_time), ''), ' ', repeater, '>'), null, po
+      from s where occ between DATE '{first}' and DATE '{last}' and not list_contains(x, occ) and not list_contains(r, occ)
+      union all
+      select {t}, 'overdue', root, file, line, d, null, stamp, d - {t}, po from t where u is null and d < {t} and live and kind in ('SCHEDULED', 'DEADLINE') and {t} between DATE '{first}' and DATE '{last}'
+      union all
+      select {t}, 'upcoming', root, file, line, d, null, stamp, d - {t}, po from t where u is null and kind = 'DEADLINE' and d > {t} and d - {t} <= coalesce(warning, 14) and {t} between DATE '{first}' and DATE '{last}'
+      union all
+      select {t}, 'overdue', root, file, line, arrears, null, concat(kind, ': <', cast(arrears as varchar), ' ', strftime(arrears, '%a'), ' ', repeater, '>'), arrears - {t}, po
+      from t join ends on t.k = ends.k where live and kind in ('SCHEDULED', 'DEADLINE') and arrears < {t} and not list_contains(r, arrears) and (u <> 'wd' or (select is_workday from cal where d = {t}))
+        and {t} between DATE '{first}' and DATE '{last}'
+      union all
+      select {t}, 'upcoming', root, file, line, d, null, stamp, standing - {t}, po from t join ends on t.k = ends.k
+      where live and kind = 'DEADLINE' and d > {t} and standing > {t} and standing - {t} <= coalesce(warning, 14) and {t} between DATE '{first}' and DATE '{last}')"""
+    return body
+
+
+_AGENDA_COLUMNS = """select day, bucket, row_number() over (partition by day, bucket order by case when bucket = 'scheduled_no_time' then po when bucket <> 'scheduled_timed' then days_offset end nulls first,
+    time nulls first, root, file, line) as rank, file, line, date, time, stamp, days_offset from rows"""
+
+
+def _task_sql(columns: str, where: str = "true") -> str:
+    return f"with {_A} select {columns} from a where {where}"
+
+
+def _list_sql(states: str) -> str:
+    return f"""with {_A} select root, file, line, concat('Order ', cast(k as varchar), ' of ', o_orderstatus) as heading, state as task_type, priority, stamp as timestamp, {_RANK} as position
+      from a join {_NOTE} on c = c_custkey where state in ({states})"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    marker = r"(^[#*]+\s+(TODO|DONE)\s|DEADLINE:|SCHEDULED:|CREATED:|CLOSED:|CLOCK:)"
+    gate = f"case when strlen(text) > 10485760 then 'oversize' when not regexp_matches(text, '(?m){marker}') then 'no_marker' else 'parsed' end"
+    hidden = "regexp_replace(regexp_replace(text, '[\\x{200b}\\x{200e}\\x{200f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')"
+    heading = "concat('Order ', cast(k as varchar), ' of ', o_orderstatus)"
+    title = "concat('Order ', cast(k as varchar), ' *of* `', o_orderstatus, '`')"
+    lead = "4"
+    state_len = "coalesce(strlen(state) + 1, 0)"
+    mark_len = "coalesce(strlen(priority) + 4, 0)"
+    po = "coalesce(case when regexp_full_match(priority, '[0-9]+') then cast(priority as bigint) else ascii(priority) end, 4294967295)"
+    cal = _calendar_sql("2024-12-01", "2027-12-31")
+    spread = lambda m: f"cast(DATE '2025-01-01' + cast({m} as int) as date)"
+    sql = {
+        "corpus_gate": f"select gate, count(*) as files, sum(strlen(text)) as bytes from (select {gate} as gate, text from documents) group by gate",
+        "scan_report": f"select count(*) as files, count(*) filter (gate = 'parsed') as parsed, count(*) filter (gate = 'oversize') as oversize, 0::bigint as not_utf8, count(*) filter (gate = 'no_marker') as no_marker, min(case when gate = 'oversize' then source || '/' || cast(doc_id as varchar) || '.md' end) as first_failed from (select {gate} as gate, source, doc_id from documents)",
+        "documents_no_tasks": "select cast(doc_id as varchar) as file, 1 as line from documents where false",
+        "multi_root": f"with {_A}, f as (select distinct root, file from a join {_NOTE} on c = c_custkey) select root, count(*) as files, min(file) as first_file from f where root like '%ING' or file like 'c1%' group by root",
+        "note_sections": f"with {_A} select root, file, line, 3 as level, 6 as blocks from a join {_NOTE} on c = c_custkey",
+        "heading_fields": _task_sql(f"file, line, {heading} as heading, state as task_type, priority, {po} as priority_order"),
+        "stamp_fields": _task_sql("file, line, stamp as timestamp, kind as timestamp_type, kind <> 'CLOSED' as timestamp_active, cast(d as varchar) as timestamp_date, d as base_date, start_time as timestamp_time, end_time as timestamp_end_time"),
+        "localized_weekdays": _task_sql("k, stamp as english, k % 9 = 0 as changed"),
+        "repeater_fields": _task_sql("file, line, repeater as timestamp_repeater, case when repeater is not null then n end as n, case when repeater is not null then unit end as unit"),
+        "warning_days": _task_sql("file, line, warning as warning_days"),
+        "created_stamps": _task_sql("file, line, created"),
+        "section_body": f"with {_A} select file, line, concat('Ship order ', cast(k as varchar), ' to  customer ', cast(c as varchar), 'with care.', case when exists (select 1 from lineitem where l_orderkey = k) then '' else '\n\nNo clock.' end, '\n\nSecond paragraph.') as content from a",
+        "clock_entries": f"with {_A}, cl as ({on.clocks_sql(False)}) select file, line, row_number() over (partition by cl.k order by cl.pos, clock_start, duration) as pos, clock_start, clock_end, duration from a join cl on a.k = cl.k",
+        "clock_totals": f"with {_A}, cl as (select k, sum(minutes) as m from ({on.clocks_sql(False)}) group by k) select file, line, m as clock_minutes, case when m is not null then concat(cast(m // 60 as varchar), ':', lpad(cast(m % 60 as varchar), 2, '0')) end as total_clock_time from a left join cl on a.k = cl.k",
+        "section_properties": f"""with {_A} select file, line, 'ID' as key, concat('order-', cast(k as varchar)) as value from a
+            union all select file, line, 'EXDATE', exdate from a where exdate is not null union all select file, line, 'SERIES_ID', series from a where series is not null
+            union all select file, line, 'RECURRENCE_ID', recurrence from a where recurrence is not null
+            union all select file, line, 'NOTE', case when series is null then 'last' else 'none' end from a where exdate is null or series is null""",
+        "exdate_rows": f"with {_A} select file, line, i as pos, cast(d + 7 * (i + 1) as date) as excluded_date from a, (values (0), (1)) v(i) where k % 10 = 0",
+        "recurrence_ids": _task_sql("file, line, series as series_id, case when recurrence is not null then concat(cast(replaced as varchar), case when k % 30 = 3 then ' 09:05' else '' end) end as recurrence_id, replaced as recurrence_date", "series is not null"),
+        "capped_tasks": f"with {_A} select root, file, line from a join {_NOTE} on c = c_custkey order by root, file, line limit 500",
+        "quality_findings": f"""with {_A} select file, line, 'property' as channel, 'EXDATE' as key, 'later' as value, 'not a date' as problem from a where k % 20 = 0
+            union all select file, line, 'property', 'RECURRENCE_ID', 'noon', 'not a time' from a where recurrence is not null and k % 30 = 13
+            union all select file, line, 'property', 'SERIES_ID', series, 'half a pair' from a where series is not null and recurrence is null
+            union all select file, line + 18, 'property', null, 'no pair here', 'not a key and a value' from a where recurrence is null and k % 13 = 0""",
+        "tasks_flat_list": _list_sql("'TODO'"),
+        "tasks_with_done": _list_sql("'TODO', 'DONE'"),
+        "tasks_with_cancelled": _list_sql("'TODO', 'DONE', 'CANCELLED', 'CANCELED'"),
+        "first_tasks": f"with {_A} select root, file, line from a join {_NOTE} on c = c_custkey where state = 'TODO' order by {po}, cast(d as varchar), start_time nulls last, root, file, line limit 100",
+        "task_json": _task_sql(f"file, line, {heading} as heading, priority, repeater as timestamp_repeater, priority is not null as has_priority"),
+        "tasks_by_state_priority": f"with {_A}, cl as (select k, sum(minutes) as m from ({on.clocks_sql(False)}) group by k) select state as task_type, priority, count(*) as tasks, cast(sum(m) as bigint) as minutes from a left join cl on a.k = cl.k group by rollup (state, priority)",
+        "clock_minutes_by_week": f"select cast(date_trunc('week', cast(substr(clock_start, 1, 10) as date)) as date) as week, cast(sum(minutes) as bigint) as minutes, count(*) as entries from ({on.clocks_sql(False)}) group by 1",
+        "month_shift": _task_sql("k, cast(d + to_months(cast(k % 40 - 20 as int)) as date) as shifted"),
+        "occurrences_daily": f"with {_A} select k, unit, day from ({_grid(chr(39) + 'd' + chr(39), '1998-06-01', '1998-06-30')})",
+        "occurrences_weekly": f"with {_A} select k, unit, day from ({_grid(chr(39) + 'w' + chr(39), '1998-05-01', '1998-07-31')})",
+        "occurrences_hourly": f"with {_A} select k, unit, day from ({_grid(chr(39) + 'h' + chr(39), '1998-06-01', '1998-06-07')})",
+        "occurrences_monthly": f"with {_A} select k, unit, day from ({_grid(chr(39) + 'm' + chr(39), '1998-01-15', '1999-03-05')})",
+        "occurrences_yearly": f"with {_A} select k, unit, day from ({_grid(chr(39) + 'y' + chr(39), '1996-01-01', '2012-12-31')})",
+        "closest_past_future": f"with {_A}, g as ({_grid(_PLAIN, '1995-01-01', '2010-12-31')}) select k, max(case when day <= DATE '{TODAY}' then day end) as past, min(case when day >= DATE '{TODAY}' then day end) as future from g group by k",
+        "workday_calendar": f"with {cal}, o as (select {spread('o_orderkey % 730')} as d, count(*) as orders from orders group by 1) select o.d, orders, is_workday from o join cal on o.d = cal.d",
+        "workdays_between": f"with {cal}, p as (select o_orderkey as k, {spread('o_orderkey % 400')} as s, {spread('o_orderkey * 7 % 600')} as e from orders) select k, cast(case when e > s then b.o - a.o else 0 end as bigint) as workdays from p join cal a on a.d = s join cal b on b.d = e",
+        "nth_workday": f"with {cal}, p as (select o_orderkey as k, {spread('o_orderkey % 400')} as s, o_orderkey % 30 as n from orders) select k, case when n = 0 then s else w.d end as nth_day from p join cal a on a.d = s left join cal w on w.is_workday and w.o = a.o + n",
+        "holidays_of_year": f"with o as (select cast(DATE '2026-01-01' + cast(o_orderkey % 365 as int) as date) as d, count(*) as orders from orders group by 1) select d, orders from o where d in ({', '.join(f'DATE {chr(39)}{x}{chr(39)}' for x in _listed_days()['2026']['holidays'])})",
+        "occurrences_workday": f"with {_A}, {cal}, s as (select k, n, {spread('k % 500')} as b from a where unit = 'wd') select k, w.d as day from s join cal c on c.d = b join cal w on w.is_workday and w.d > b and (w.o - c.o) % n = 0 where w.d between DATE '2026-01-01' and DATE '2026-02-28' union all select k, b from s where b between DATE '2026-01-01' and DATE '2026-02-28'",
+        "workday_bracket": f"""with {_A}, {cal}, s as (select k, n, {spread('k % 500')} as b from a where unit = 'wd' and {spread('k % 500')} <= DATE '2026-06-15'),
+            g as (select k, n, b, w.d as day, w.o as wo from s join cal c on c.d = b join cal w on w.is_workday and w.d > b and (w.o - c.o) % n = 0 union all select k, n, b, b, c.o from s join cal c on c.d = b)
+            select k, max(case when day <= DATE '2026-06-15' then day end) as n1, min(case when day > DATE '2026-06-15' then day end) as n2 from g group by k""",
+        "series_replacements": f"""with {_A}, x as (select file, line, k, cast(d + 7 as date) as m from a where k % 10 = 0 union select file, line, k, cast(d + 14 as date) from a where k % 10 = 0
+            union select a.file, a.line, a.k, r.replaced from a join a r on r.series = concat('order-', cast(a.k as varchar)) where r.replaced is not null) select file, line, m as missing_date from x""",
+        "unknown_series": f"with {_A} select distinct series as series_id from a where replaced is not null and series not in (select concat('order-', cast(k as varchar)) from a)",
+        "next_occurrence": _next_sql(f"(day > DATE '{TODAY}' or day = DATE '{TODAY}' and coalesce(lpad(start_time, 5, '0') >= '12:00', true))", "next_date"),
+        "next_after_day": _next_sql(f"day > DATE '{TODAY}'", "next_after"),
+        "series_arrears": f"""with {_A}, {_MISSING}, g as ({_grid("'d','w','h','m','y'", '1995-01-01', '2010-12-31')}),
+            e as (select m.k, any_value(r) as r, max(case when day <= DATE '{TODAY}' and (not list_contains(x, day) or list_contains(r, day)) then day end) as last from m join g on m.k = g.k group by m.k)
+            select k, case when not list_contains(r, last) then last end as owed_date from e""",
+        "window_edges": """with o as (select cast(o_orderdate as date) as d, count(*) as orders from orders group by 1) select d, orders, cast(date_trunc('week', d) as date) as week, cast(date_trunc('week', d + 1) as date) - 1 as sunday_week,
+            cast(date_trunc('month', d) as date) as month, cast(date_trunc('week', date_trunc('month', d)) as date) as grid_start, cast(date_trunc('week', last_day(d)) as date) + 6 as grid_end from o""",
+        "agenda_day": _agenda_sql("day") + _AGENDA_COLUMNS,
+        "agenda_week": _agenda_sql("week") + _AGENDA_COLUMNS,
+        "agenda_month": _agenda_sql("month") + _AGENDA_COLUMNS,
+        "agenda_month_grid": _agenda_sql("month-grid") + _AGENDA_COLUMNS,
+        "agenda_day_counts": _agenda_sql("month-grid") + " select day, bucket, count(*) as entries from rows group by day, bucket",
+        "day_envelope": _agenda_sql("week") + """ select cast(g as date) as day, cast(count(*) filter (bucket = 'scheduled_timed') as int) as scheduled_timed, cast(count(*) filter (bucket = 'scheduled_no_time') as int) as scheduled_no_time,
+            cast(count(*) filter (bucket = 'upcoming') as int) as upcoming, count(*) filter (bucket = 'overdue') = 0 as no_overdue
+            from generate_series(TIMESTAMP '1998-06-15', TIMESTAMP '1998-06-21', INTERVAL 1 DAY) t(g) left join rows on rows.day = cast(g as date) group by 1""",
+        "heading_spans": _task_sql(f"""file, line, case when state is not null then {lead} end as state_start, case when state is not null then {lead} + strlen(state) end as state_end,
+            case when priority is not null then {lead} + {state_len} end as mark_start, case when priority is not null then {lead} + {state_len} + {mark_len} - 1 end as mark_end,
+            {lead} + {state_len} + {mark_len} as title_start, {lead} + {state_len} + {mark_len} + strlen({title}) as title_end"""),
+        "stamp_spans": _task_sql("""k, case kind when 'PLAIN' then 0 else strlen(kind) + 2 end as stamp_start, strlen(written) as stamp_end, case kind when 'PLAIN' then 1 else strlen(kind) + 3 end as date_start,
+            case kind when 'PLAIN' then 11 else strlen(kind) + 13 end as date_end, case kind when 'PLAIN' then 12 else strlen(kind) + 14 end as weekday_start, case kind when 'PLAIN' then 12 else strlen(kind) + 14 end + strlen(local_day) as weekday_end"""),
+        "plain_text": _task_sql("k, concat('Order ', cast(k as varchar), ' of ', o_orderstatus, ' see old & new') as shown, concat('Order ', cast(k as varchar), ' of  see old & new') as body"),
+        "hidden_characters": f"select doc_id, length(text) - length({hidden}) as hidden, length({hidden}) + 4 * (length({hidden}) - length(replace({hidden}, '&', ''))) + 3 * (length({hidden}) - length(replace(replace({hidden}, '<', ''), '>', ''))) + 5 * (length({hidden}) - length(replace({hidden}, '\"', ''))) + 4 * (length({hidden}) - length(replace({hidden}, '''', ''))) as escaped_length from documents",
+    }
+    sql["first_findings"] = f"""select channel, position, file, line, key, value from (select channel, file, line, key, value,
+        row_number() over (partition by channel order by root, file, line, key nulls first, value, problem) as position from ({sql['quality_findings']}) q
+        join (select concat('c', cast(c_custkey as varchar), '.md') as f, c_mktsegment as root from customer) n on n.f = q.file) where position <= 20"""
+    return sql
+
+
+def queries() -> dict:
+    names = [
+        corpus_gate, scan_report, documents_no_tasks, multi_root, note_sections, heading_fields, stamp_fields, localized_weekdays, repeater_fields, warning_days,
+        created_stamps, section_body, clock_entries, clock_totals, section_properties, exdate_rows, recurrence_ids, capped_tasks, quality_findings, first_findings,
+        task_json, tasks_flat_list, tasks_with_done, tasks_with_cancelled, first_tasks, tasks_by_state_priority, clock_minutes_by_week, month_shift, closest_past_future,
+        occurrences_workday, workday_bracket, workday_calendar, workdays_between, nth_workday, holidays_of_year, series_replacements, unknown_series, next_occurrence,
+        next_after_day, series_arrears, window_edges, agenda_day_counts, day_envelope, heading_spans, stamp_spans, plain_text, hidden_characters,
+    ]
+    found = {f.__name__: f for f in names}
+    found |= {
+        "occurrences_daily": _occurrences(["d"], "1998-06-01", "1998-06-30"), "occurrences_weekly": _occurrences(["w"], "1998-05-01", "1998-07-31"),
+        "occurrences_hourly": _occurrences(["h"], "1998-06-01", "1998-06-07"), "occurrences_monthly": _occurrences(["m"], "1998-01-15", "1999-03-05"),
+        "occurrences_yearly": _occurrences(["y"], "1996-01-01", "2012-12-31"),
+    }
+    return found | {f"agenda_{s.replace('-', '_')}": _agenda(s) for s in ("day", "week", "month", "month-grid")}
