@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -323,52 +325,81 @@ def induce(rows: list[tuple[str, list[tuple[int, Slot]]]]) -> list[tuple[str, li
     return [(text, [id(t) in keep for t in nodes]) for text, nodes in placed]
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            trees, rows = [], []
-            for page in batch.column(2).to_pylist():
-                tree, blocks = parse(page or "")
-                trees.append(json.dumps(to_json(tree), separators=(",", ":"), ensure_ascii=False))
-                rows.append([dict(node=n, text=t, links=k) for n, t, k in blocks])
-            kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("links", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees, pa.string()), pa.array(rows, kind)], ["_id", "url", "tree", "blocks"])
+def _layout(tree: Node) -> tuple[str, bytes]:
+    text = json.dumps(to_json(tree), separators=(",", ":"), ensure_ascii=False)
+    return text, hashlib.blake2b(text.encode(), digest_size=16).digest()
 
-    schema = "_id long, url string, tree string, blocks array<struct<node:int,text:string,links:int>>"
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    return pages.mapInArrow(run, schema).withColumn("host", host)
 
+_SUM_COLUMNS = "host string, layout binary, tree string, node int, chars long, links long, pages long, low long, high long"
 
-def _wrappers(parsed: DataFrame) -> DataFrame:
-    """(host, tree, keep): text, links and sameness of each node are summed over all pages of a host before one task
-    aligns the host's layouts."""
-    block = parsed.select("host", "tree", "_id", F.explode("blocks").alias("b"))
-    of_page = F.xxhash64("b.text")
-    sums = block.groupBy("host", "tree", F.col("b.node").alias("node")).agg(
-        F.sum(F.length("b.text")).alias("chars"), F.sum("b.links").cast("long").alias("links"), F.count("*").alias("pages"),
-        F.min(of_page).alias("low"), F.max(of_page).alias("high"),
-    )
+
+def _wrappers(pages: DataFrame) -> DataFrame:
+    """(host, layout, keep): text, links and sameness of each node are summed over all pages of a host, first within
+    each task, before one task aligns the host's layouts."""
+
+    def sums(batches):
+        found: dict[tuple[str, bytes], tuple[str, dict[int, Slot]]] = {}
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tree, blocks = parse(page or "")
+                text, layout = _layout(tree)
+                nodes = found.setdefault((host, layout), (text, {}))[1]
+                for node, block, links in blocks:
+                    same = xxhash.xxh64_intdigest(block) >> 1
+                    nodes.setdefault(node, Slot()).add(Slot(len(block), links, 1, same, same))
+        rows = [(*key, tree, n, s.chars, s.links, s.pages, s.low, s.high) for key, (tree, nodes) in found.items() for n, s in nodes.items()]
+        kinds = [pa.string(), pa.binary(), pa.string(), pa.int32(), *[pa.int64()] * 5]
+        names = ["host", "layout", "tree", "node", "chars", "links", "pages", "low", "high"]
+        for at in range(0, len(rows), 1 << 14):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + (1 << 14)]), kinds)], names)
 
     def run(table: pa.Table) -> pa.Table:
         rows: dict[str, list] = {}
+        layouts = dict(zip(table["tree"].to_pylist(), table["layout"].to_pylist()))
         names = ("tree", "node", "chars", "links", "pages", "low", "high")
         for tree, node, *slot in zip(*(table[n].to_pylist() for n in names)):
             rows.setdefault(tree, []).append((node, Slot(*slot)))
-        found = induce([(tree, sorted(nodes, key=lambda x: x[0])) for tree, nodes in rows.items()])
-        trees, keep = zip(*found)
-        return pa.table({"host": pa.array([table["host"][0].as_py()] * len(trees), pa.string()), "tree": pa.array(trees, pa.string()), "keep": pa.array(keep, pa.list_(pa.bool_()))})
+        trees, keep = zip(*induce([(tree, sorted(nodes, key=lambda x: x[0])) for tree, nodes in rows.items()]))
+        host = pa.array([table["host"][0].as_py()] * len(trees), pa.string())
+        return pa.table({"host": host, "layout": pa.array([layouts[t] for t in trees], pa.binary()), "keep": pa.array(keep, pa.list_(pa.bool_()))})
+
+    by_task = pages.select("host", "_html").mapInArrow(sums, _SUM_COLUMNS)
+    total = by_task.groupBy("host", "layout", "node").agg(
+        F.min("tree").alias("tree"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("pages").alias("pages"),
+        F.min("low").alias("low"), F.max("high").alias("high"),
+    )
+    return total.groupBy("host").applyInArrow(run, "host string, layout binary, keep array<boolean>")
 
-    return sums.groupBy("host").applyInArrow(run, "host string, tree string, keep array<boolean>")
 
+def _parsed(pages: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            layouts, rows = [], []
+            for page in batch.column(3).to_pylist():
+                tree, blocks = parse(page or "")
+                layouts.append(_layout(tree)[1])
+                rows.append([dict(node=n, text=t) for n, t, _ in blocks])
+            kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(layouts, pa.binary()), pa.array(rows, kind)], ["_id", "url", "host", "layout", "blocks"])
+
+    schema = "_id long, url string, host string, layout binary, blocks array<struct<node:int,text:string>>"
+    return pages.select("_id", "url", "host", "_html").mapInArrow(run, schema)
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = 32 << 20) -> DataFrame:
     """``(id, url, text, n_chars)`` for every page: its main blocks in page order, joined by line ends.
 
-    A null, empty or furniture-only page has an empty text; pages without a host share one wrapper; an empty table
-    gives no rows; other columns are not read.
+    Pages are read and parsed twice, for the wrappers and for the text, so that no copy of them is written. Wrappers
+    (a row for each layout of a host) go to all tasks while they have at most ``most_broadcast`` bytes, and are joined
+    by a shuffle beyond. A null, empty or furniture-only page has an empty text; pages without a host share one
+    wrapper; an empty table gives no rows; other columns are not read.
     """
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     source = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("_html"))
-    parsed = as_table(_parsed(source))
+    source = source.withColumn("host", host)
+    found = as_table(_wrappers(source))
+    size = found.agg(F.sum(F.length("host") + 48 + F.size("keep"))).first()[0] or 0
     chosen = F.expr("array_join(transform(filter(blocks, b -> keep[b.node]), b -> b.text), '\n')")
-    out = parsed.join(_wrappers(parsed), ["host", "tree"], "left").select("_id", "url", F.coalesce(chosen, F.lit("")).alias("text"))
+    out = _parsed(source).join(F.broadcast(found) if size <= most_broadcast else found, ["host", "layout"], "left")
+    out = out.select("_id", "url", F.coalesce(chosen, F.lit("")).alias("text"))
     return out.select(F.col("_id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))
