@@ -15,7 +15,7 @@ from vesperline.llm._components import connected_components
 from vesperline.llm._spark import as_table
 
 _TILE = 1024
-_SLACK = 1e-9
+_SIEVE = 1e-5
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
@@ -181,31 +181,43 @@ def _join_slab(size: int, blocks: Blocks, least: float):
         y = unit @ blocks.rotation[:, lo:hi]
         budget = blocks.budgets[block]
         radius = np.sqrt(budget) * (1 + 1e-6)
-        order = np.argsort(y[:, 0], kind="stable")
-        left = order[role[order] <= 1]
-        right = order[(role[order] == 0) | (role[order] >= 2)]
         half = np.einsum("ij,ij->i", y, y)
+        one = np.ones(len(y))
+        # one product of these gives squared distances; single precision only sieves, with room for its rounding
+        sides = [np.column_stack(c).astype(np.float32) for c in ((-2 * y, half, one), (y, one, half))]
+        order = np.argsort(y[:, 0], kind="stable")
         found_a, found_b = [], []
-        for i in range(0, len(left), _TILE):
-            a = left[i : i + _TILE]
-            first = np.searchsorted(y[right, 0], y[a[0], 0] - radius)
-            last = np.searchsorted(y[right, 0], y[a[-1], 0] + radius, side="right")
-            for j in range(first, last, _TILE):
-                b = right[j : min(j + _TILE, last)]
-                d = half[a][:, None] + half[b] - 2 * (y[a] @ y[b].T)
-                p, q = np.nonzero(d <= budget + _SLACK)
-                p, q = a[p], b[q]
-                keep = (role[q] == 2) | (node[p] < node[q])  # a slab's own pairs once
-                p, q = p[keep], q[keep]
-                for at in range(0, len(p), 1 << 18):
-                    s, t = p[at : at + (1 << 18)], q[at : at + (1 << 18)]
-                    cosine = np.einsum("ij,ij->i", x[s], x[t]) / (norm[s] * norm[t])
-                    s, t = s[cosine >= least], t[cosine >= least]
-                    if len(s):
-                        s, t = np.where(node[s] < node[t], s, t), np.where(node[s] < node[t], t, s)
-                        owner = np.argmax(blocks.distances(unit[s], unit[t]) <= blocks.budgets, axis=1)
-                        found_a.append(s[owner == block])
-                        found_b.append(t[owner == block])
+
+        def verify(p: np.ndarray, q: np.ndarray) -> None:
+            cosine = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q])
+            s, t = p[cosine >= least], q[cosine >= least]
+            if len(s):
+                s, t = np.where(node[s] < node[t], s, t), np.where(node[s] < node[t], t, s)
+                owner = np.argmax(blocks.distances(unit[s], unit[t]) <= blocks.budgets, axis=1)
+                found_a.append(s[owner == block])
+                found_b.append(t[owner == block])
+
+        def compare(left: np.ndarray, right: np.ndarray, same: bool, once: bool) -> None:
+            """``same``: both sides are one list; ``once``: another task has the pairs the other way round."""
+            for i in range(0, len(left), _TILE):
+                a = left[i : i + _TILE]
+                first = i if same else np.searchsorted(y[right, 0], y[a[0], 0] - radius)
+                last = np.searchsorted(y[right, 0], y[a[-1], 0] + radius, side="right")
+                for j in range(first, last, _TILE):
+                    b = right[j : min(j + _TILE, last)]
+                    p, q = np.nonzero(sides[0][a] @ sides[1][b].T <= np.float32(budget + _SIEVE))
+                    if same and i == j:
+                        p, q = p[p < q], q[p < q]
+                    p, q = a[p], b[q]
+                    if once:
+                        p, q = p[node[p] < node[q]], q[node[p] < node[q]]
+                    for at in range(0, len(p), 1 << 17):
+                        verify(p[at : at + (1 << 17)], q[at : at + (1 << 17)])
+
+        by_role = {r: order[role[order] == r] for r in range(4)}
+        compare(by_role[0], by_role[0], True, False)
+        compare(by_role[1], by_role[3], False, True)
+        compare(np.concatenate((by_role[0], by_role[1])), by_role[2], False, False)
         a, b = (np.concatenate(f) if f else np.empty(0, np.int64) for f in (found_a, found_b))
         names, number = np.unique(node, return_inverse=True)
         a_n, b_n = number[a], number[b]
@@ -217,7 +229,7 @@ def _join_slab(size: int, blocks: Blocks, least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_width: int = 8, rows_a_chunk: int = 16_384) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_width: int = 16, rows_a_chunk: int = 16_384) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row: vectors with a cosine of ``least`` (over 0) or more, in
     double precision, are linked.
 
