@@ -15,6 +15,7 @@ from vesperline.operators import agenda as ag
 from vesperline.operators import exceptions, extract, quality, spans, workdays
 from vesperline.plans import order_notes as on
 from vesperline.sources import holidays, notes, sinks
+from vesperline.sources.scratch import as_table
 
 TODAY = date(1998, 6, 15)
 CALENDAR = ("1994-12-01", "2002-12-31")
@@ -29,6 +30,16 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.tasks(on.order_notes(spark, sf_dir))
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks as a table, for queries that use them more than once."""
+    return as_table(_tasks(spark, sf_dir))
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks with the dates missing from their series, as a table."""
+    return as_table(exceptions.with_replaced(_written(spark, sf_dir)))
+
+
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as series with typed columns; no text."""
     a = on.attributes(spark, sf_dir).where("unit is not null")
@@ -36,7 +47,7 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _calendar(spark: SparkSession) -> DataFrame:
-    return holidays.calendar(spark, *CALENDAR)
+    return as_table(holidays.calendar(spark, *CALENDAR))
 
 
 # --- scans -------------------------------------------------------------------------------------------------------
@@ -130,11 +141,11 @@ def capped_tasks(spark, sf_dir):
 
 
 def quality_findings(spark, sf_dir):
-    return quality.findings(_tasks(spark, sf_dir)).select("file", "line", "channel", "key", "value", "problem")
+    return quality.findings(_written(spark, sf_dir)).select("file", "line", "channel", "key", "value", "problem")
 
 
 def first_findings(spark, sf_dir):
-    return quality.first_findings(quality.findings(_tasks(spark, sf_dir))).select("channel", "position", "file", "line", "key", "value")
+    return quality.first_findings(quality.findings(_written(spark, sf_dir))).select("channel", "position", "file", "line", "key", "value")
 
 
 def task_json(spark, sf_dir):
@@ -242,12 +253,12 @@ def holidays_of_year(spark, sf_dir):
 
 
 def series_replacements(spark, sf_dir):
-    t = exceptions.with_replaced(_tasks(spark, sf_dir)).where("size(missing_dates) > 0")
+    t = _planned(spark, sf_dir).where("size(missing_dates) > 0")
     return t.select("file", "line", F.explode("missing_dates").alias("missing_date"))
 
 
 def unknown_series(spark, sf_dir):
-    return exceptions.unknown_series(_tasks(spark, sf_dir))
+    return exceptions.unknown_series(_written(spark, sf_dir))
 
 
 def _with_missing(spark, sf_dir):
@@ -284,7 +295,7 @@ def _agenda(scope: str):
     first, last = windows.window(scope, TODAY)
 
     def query(spark, sf_dir):
-        t = exceptions.with_replaced(_tasks(spark, sf_dir))
+        t = _planned(spark, sf_dir)
         return ag.agenda(t, _calendar(spark), first, last, TODAY).select("day", "bucket", "rank", "file", "line", "date", "time", "stamp", "days_offset")
 
     return query
@@ -292,15 +303,15 @@ def _agenda(scope: str):
 
 def agenda_day_counts(spark, sf_dir):
     first, last = windows.window("month-grid", TODAY)
-    t = exceptions.with_replaced(_tasks(spark, sf_dir))
+    t = _planned(spark, sf_dir)
     return ag.day_counts(ag.agenda(t, _calendar(spark), first, last, TODAY))
 
 
 def day_envelope(spark, sf_dir):
     first, last = windows.window("week", TODAY)
-    t = exceptions.with_replaced(_tasks(spark, sf_dir))
+    t = _planned(spark, sf_dir)
     out = ag.envelopes(ag.agenda(t, _calendar(spark), first, last, TODAY), first, last)
-    return out.select("day", F.size(F.coalesce("overdue", F.array_remove("upcoming", F.get("upcoming", F.lit(0))))).alias("_"), *[F.size(b).alias(b) for b in ag.BUCKETS[1:]], F.col("overdue").isNull().alias("no_overdue")).drop("_")
+    return out.select("day", *[F.size(b).alias(b) for b in ag.BUCKETS[1:]], F.col("overdue").isNull().alias("no_overdue"))
 
 
 # --- corpus jobs -------------------------------------------------------------------------------------------------
@@ -389,7 +400,7 @@ def _agenda_sql(scope: str) -> str:
       from t where u is null and d between DATE '{first}' and DATE '{last}'
       union all
       select occ, case when start_time is null then 'scheduled_no_time' else 'scheduled_timed' end, root, file, line, occ, start_time,
-        concat(kind, ': <', cast(occ as varchar), ' ', strftime(occ, '%a'), coalesce(concat(' ', start_time), ''), ' ', repeater, '>'), null, po
+        concat(kind, ': <', cast(occ as varchar), ' ', strftime(occ, '%a'), case when start_time is null then '' else concat(' ', start_time) end, ' ', repeater, '>'), null, po
       from s where occ between DATE '{first}' and DATE '{last}' and not list_contains(x, occ) and not list_contains(r, occ)
       union all
       select {t}, 'overdue', root, file, line, d, null, stamp, d - {t}, po from t where u is null and d < {t} and live and kind in ('SCHEDULED', 'DEADLINE') and {t} between DATE '{first}' and DATE '{last}'
