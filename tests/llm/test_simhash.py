@@ -48,6 +48,13 @@ def test_matches_brute_force(spark):
     assert _run(spark, rows) == _brute(rows)
 
 
+def test_rows_without_an_id_are_kept(spark):
+    rows = [(None, "alone in the table"), (None, "same words here"), (4, "same words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.component_id or -1) for r in simhash.near_duplicates(df).collect()) == [(False, 4), (True, -1), (True, 4)]
+    assert simhash.drop_similar(df).count() == 3
+
+
 def test_empty_table_and_many_copies(spark):
     assert _run(spark, []) == {}
     rows = [(i, "same text over and over again") for i in range(500)]

@@ -190,13 +190,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fewer are linked; ``component_id`` is the smallest id reachable by links, itself included.
 
     Equal fingerprints are one node, so copies are never expanded into pairs. Null, empty and wordless texts
-    have fingerprint 0 and link like any other; an empty table gives no rows; other columns are not read.
+    have fingerprint 0 and link like any other; a row without an id links nothing and takes the component of its
+    fingerprint, if another row has it; an empty table gives no rows; other columns are not read.
     """
     marked = as_table(simhash(docs, id_col, text_col, shingle, seed).select(F.col(id_col).alias("_id"), "fingerprint"))
-    nodes = as_table(marked.groupBy("fingerprint").agg(F.min("_id").alias("node")))
+    nodes = as_table(marked.groupBy("fingerprint").agg(F.min("_id").alias("node")).where("node is not null"))
     parts = connected_components(hamming_links(nodes, distance))
     named = nodes.join(parts, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fingerprint").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
+    return marked.join(named, "fingerprint", "left").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
 
 
 def limit_for(similarity: float, bits: int, spare: float = 1.28) -> int:
