@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -107,3 +108,27 @@ def test_wide_blocks_find_pairs_at_the_limit():
     rng = random.Random(2)
     hit = sum(any(not flips & set(b) for b in blocks) for flips in (set(rng.sample(range(256), limit)) for _ in range(2000)))
     assert hit >= 0.9 * 2000
+
+
+def families(rng, n, tail):
+    """Texts at about 0.65 to each other in pairs whose last ``tail`` words differ."""
+    say = lambda k: [f"w{rng.randrange(90000)}" for _ in range(k)]
+    base, rows = say(300), {}
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(0, 260, 6), 12):
+            words[at] = say(1)[0]
+        rows[2 * i], rows[2 * i + 1] = " ".join(words), " ".join([*words[: 300 - tail], *say(tail)])
+    return rows
+
+
+def test_partners_in_a_crowded_bucket_stay_linked(spark):
+    rows = families(random.Random(3), 300, 27)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    parts = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    prints = {r.doc_id: np.frombuffer(r.fingerprint, np.uint64)[None] for r in simhash.simhash(df, shingle=5, words=8).collect()}
+    blocks = simhash.overlapping_blocks(600, 256, simhash.limit_for(0.8, 256))
+    on = {i: np.unpackbits(p.view(np.uint8), bitorder="little") for i, p in prints.items()}
+    meet = lambda i: any((on[i][b] == on[i + 1][b]).all() for b in blocks)
+    sure = [i for i in range(0, 600, 2) if jaccard(rows[i], rows[i + 1]) >= 0.8 and simhash.apart(prints[i], prints[i + 1])[0] <= 68 and meet(i)]
+    assert len(sure) > 50 and [i for i in sure if parts[i] != parts[i + 1]] == []

@@ -221,8 +221,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     more, or that are joined by such documents.
 
     A distance that stands for a similarity of 0.8 is a sixth of all bits: disjoint pigeonhole blocks would be too
-    narrow to part unrelated texts. Blocks overlap here. A bucket's prints are held against each other by their first
-    ``block_words`` words, and the links found are verified by all words. Null, empty and wordless texts are equal; an
+    narrow to part unrelated texts. Blocks overlap here, over the first ``block_words`` words. A bucket's prints are held
+    against each other by all words, so that its forest spans verified links only. Null, empty and wordless texts are equal; an
     empty table gives no rows; other columns are not read.
     """
     marked = as_table(simhash(docs, id_col, text_col, shingle, seed, words).select(F.col(id_col).alias("_id"), "fingerprint"))
@@ -239,20 +239,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 key = on[:, block].astype(np.int64) @ (1 << np.arange(len(block), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int64)), pa.array(key), batch.column(1), batch.column(0)], ["kind", "key", "fingerprint", "node"])
 
-    def verified(batches):
-        most = limit_for(similarity, BITS * words, 1.0)
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, words) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["src", "dst"]).filter(pa.array(apart(a, b) <= most))
-
-    first = F.substring("fingerprint", 1, 8 * block_words).alias("fingerprint")
-    keyed = nodes.select("node", first).mapInArrow(keys, "kind long, key long, fingerprint binary, node long")
+    keyed = nodes.select("node", "fingerprint").mapInArrow(keys, "kind long, key long, fingerprint binary, node long")
     dealt = keyed.repartition(shuffle_partitions(docs.sparkSession), "kind", "key").sortWithinPartitions("kind", "key")
-    links = dealt.mapInArrow(_bucket_links(limit, words=block_words), "src long, dst long")
-    links = links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
-    whole = links.join(nodes.select(F.col("node").alias("src"), F.col("fingerprint").alias("a")), "src")
-    whole = whole.join(nodes.select(F.col("node").alias("dst"), F.col("fingerprint").alias("b")), "dst")
-    parts = connected_components(whole.select("src", "dst", "a", "b").mapInArrow(verified, "src long, dst long"))
+    links = dealt.mapInArrow(_bucket_links(limit_for(similarity, BITS * words, 1.0), words=words), "src long, dst long")
+    parts = connected_components(links)
     named = nodes.join(parts, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fingerprint", "left").select(F.col("_id").alias(id_col), F.coalesce("component_id", "_id").alias("component_id"))
 
