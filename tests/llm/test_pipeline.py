@@ -132,3 +132,17 @@ def test_partners_in_a_crowded_bucket_stay_linked(spark):
     meet = lambda i: any((on[i][b] == on[i + 1][b]).all() for b in blocks)
     sure = [i for i in range(0, 600, 2) if jaccard(rows[i], rows[i + 1]) >= 0.8 and simhash.apart(prints[i], prints[i + 1])[0] <= 68 and meet(i)]
     assert len(sure) > 50 and [i for i in sure if parts[i] != parts[i + 1]] == []
+
+
+def test_links_are_exact_at_the_limit_both_ways(spark):
+    rng = random.Random(8)
+    rows = families(rng, 120, 27)
+    say = lambda k: [f"w{rng.randrange(90000)}" for _ in range(k)]
+    for i in range(1000, 1600, 2):  # isolated pairs of small and larger sets from 0.7 to 0.9
+        words = say(rng.choice((8, 14, 40, 68, 90, 200)))
+        rows[i], rows[i + 1] = " ".join(words), " ".join(words[: -max(1, round(len(words) * rng.uniform(0.05, 0.17)))] + say(rng.randrange(3)))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    parts = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    want = {i: i - i % 2 if jaccard(rows[i - i % 2], rows[i - i % 2 + 1]) >= 0.8 else i for i in rows}
+    assert 100 < sum(i != c for i, c in want.items()) < 400
+    assert parts == want

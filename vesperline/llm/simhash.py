@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 from math import acos, ceil, log, log2, pi, sqrt
 
@@ -114,30 +115,8 @@ def _group_forest(prints: np.ndarray, nodes: np.ndarray, distance: int) -> tuple
     return src, dst
 
 
-def _bucket_links(distance: int, small: int = 24, words: int = 1):
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-
-    def links(group: np.ndarray, prints: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        size = np.diff(np.concatenate((cut, [len(group)])))
-        src, dst = [], []
-        rows_size = np.repeat(size, size)
-        keep = np.flatnonzero((rows_size > 1) & (rows_size <= small))
-        g, p, v = group[keep], prints[keep], nodes[keep]
-        for lag in range(1, small):
-            same = np.flatnonzero(g[lag:] == g[:-lag]) if len(g) > lag else np.empty(0, int)
-            if not len(same):
-                break
-            near = same[apart(p[same], p[same + lag]) <= distance]
-            src.append(v[near])
-            dst.append(v[near + lag])
-        for i in np.flatnonzero(size > small):
-            part = slice(cut[i], cut[i] + size[i])
-            a, b = _group_forest(prints[part], nodes[part], distance)
-            src += a
-            dst += b
-        flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (src, dst)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], schema=schema)
+def _by_bucket(read, links):
+    """``links(group, prints, nodes)`` over runs of whole buckets of sorted rows (kind, key, print, node)."""
 
     def run(batches):
         held: list[np.ndarray] | None = None
@@ -146,10 +125,7 @@ def _bucket_links(distance: int, small: int = 24, words: int = 1):
             if not len(batch):
                 continue
             kind, key, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            if words == 1:
-                prints = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            else:
-                prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, words)
+            prints = read(batch.column(2))
             new = np.concatenate(([True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])))
             group = np.cumsum(new) + seen
             if held is not None:
@@ -169,6 +145,34 @@ def _bucket_links(distance: int, small: int = 24, words: int = 1):
     return run
 
 
+def _bucket_links(distance: int, small: int = 24):
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def links(group: np.ndarray, prints: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.concatenate((cut, [len(group)])))
+        src, dst = [], []
+        rows_size = np.repeat(size, size)
+        keep = np.flatnonzero((rows_size > 1) & (rows_size <= small))
+        g, p, v = group[keep], prints[keep], nodes[keep]
+        for lag in range(1, small):
+            same = np.flatnonzero(g[lag:] == g[:-lag]) if len(g) > lag else np.empty(0, int)
+            if not len(same):
+                break
+            near = same[apart(p[same], p[same + lag]) <= distance]
+            src.append(v[near])
+            dst.append(v[near + lag])
+        for i in np.flatnonzero(size > small):
+            part = slice(cut[i], cut[i] + size[i])
+            a, b = _group_forest(prints[part], nodes[part], distance)
+            src += a
+            dst += b
+        flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (src, dst)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], schema=schema)
+
+    return _by_bucket(lambda column: column.to_numpy(zero_copy_only=False).view(np.uint64), links)
+
+
 def hamming_links(prints: DataFrame, distance: int = 4) -> DataFrame:
     """``prints(node, fingerprint)``, distinct fingerprints -> ``(src, dst)``: a spanning forest for each
     bucket of the links at ``distance`` bits or fewer, which has the components of all links."""
@@ -201,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def limit_for(similarity: float, bits: int, spare: float = 1.28) -> int:
-    """The Hamming distance that nine pairs in ten of this Jaccard similarity keep within."""
+    """The Hamming distance that pairs of this Jaccard similarity keep within, but for those beyond ``spare`` deviations."""
     cosine = 2 * similarity / (1 + similarity)
     share = acos(cosine) / pi
     return round(bits * share + spare * sqrt(bits * share * (1 - share)))
@@ -216,35 +220,206 @@ def overlapping_blocks(n_prints: float, bits: int, distance: int, found: float =
     return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(ceil(log(1 - found) / log(1 - both)))]
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, block_words: int = 4, seed: int = 42) -> DataFrame:
-    """``(id, component_id)`` for documents whose sets of ``shingle``-word runs have about the Jaccard ``similarity`` or
-    more, or that are joined by such documents.
+#: Sets of up to so many shingles meet by the least of them: a majority of few votes does not follow the angle.
+_FEW = 64
+_SPARE = 3.3
+
+
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """``(_id, set)``: the distinct shingles' hashes in order; repeated rows of an id are told apart by their sets."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, shingle, seed), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_id", "set"])
+
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, "_id long, set array<long>")
+
+
+def _set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, seed: int, words: int) -> DataFrame:
+    """``(_id, digest, n, fingerprint, least)``: digest, size and print of each shingle set. ``least`` has those hashes
+    of a small set of which two sets of this similarity share one."""
+
+    def run(batches):
+        for batch in batches:
+            rows, hashes, sizes = [], [], []
+            prints = []
+            texts = batch.column(1).to_pylist()
+            for i, text in enumerate(texts):
+                found = np.unique(np.array(shingle_hashes(text, shingle, seed), np.uint64))
+                few = found[: len(found) - ceil(similarity * len(found) - 1e-9) + 1] if len(found) <= _FEW / similarity else found[:0]
+                rows.append((hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), few.tobytes()))
+                hashes.append(found)
+                sizes.append(len(found))
+                if sum(sizes) >= _HASHES_AT_ONCE or i + 1 == len(texts):
+                    prints += [p.tobytes() for p in majority_bits(np.concatenate(hashes), sizes, words)]
+                    hashes, sizes = [], []
+            digests, counts, least = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(least, pa.binary())], ["_id", "digest", "n", "fingerprint", "least"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return source.mapInArrow(run, "_id long, digest binary, n long, fingerprint binary, least binary")
 
-    A distance that stands for a similarity of 0.8 is a sixth of all bits: disjoint pigeonhole blocks would be too
-    narrow to part unrelated texts. Blocks overlap here, over the first ``block_words`` words. A bucket's prints are held
-    against each other by all words, so that its forest spans verified links only. Null, empty and wordless texts are equal; an
-    empty table gives no rows; other columns are not read.
+
+def _bucket_candidates(blocks: list[list[int]], similarity: float, words: int, later: bool, small: int = 24):
+    """Candidate pairs of each bucket; prints come as ``words`` words, the set's size and a component.
+
+    At first: all pairs of a small bucket; of a crowded one a forest, some pairs more, and a loop for each member.
+    ``later``: all pairs of a crowded bucket whose components differ. Except in forests, a pair is sent by the first
+    block on which it agrees only.
     """
-    marked = as_table(simhash(docs, id_col, text_col, shingle, seed, words).select(F.col(id_col).alias("_id"), "fingerprint"))
-    nodes = as_table(marked.groupBy("fingerprint").agg(F.min("_id").alias("node")).where("node is not null"))
-    bits = BITS * block_words
-    limit = limit_for(similarity, bits)
-    blocks = overlapping_blocks(nodes.count(), bits, limit)
+    bits = BITS * words
+    most = limit_for(similarity, bits, _SPARE)
+    most_few = round(0.19 * bits + _SPARE * sqrt(0.19 * 0.81 * bits))  # from four shingles on, 3 in 16 bits differ at most
+    masks = np.array([np.packbits(np.isin(np.arange(bits), b), bitorder="little").view(np.uint64) for b in blocks]).reshape(-1, words)
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(a[:, words], b[:, words]), np.maximum(a[:, words], b[:, words])
+        return (low >= similarity * high - 1e-6) & (apart(a[:, :words], b[:, :words]) <= np.where(low <= _FEW, most_few, most))
+
+    def first(rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether the pair's bucket is its first; buckets by least shingles take all of theirs."""
+        mine = rows[p, words + 2].view(np.int64)
+        out = np.ones(len(p), bool)
+        for lo in range(0, len(p), 1 << 14):
+            cut = slice(lo, lo + (1 << 14))
+            differ = rows[p[cut], :words] ^ rows[q[cut], :words]
+            owner = np.full(len(differ), -1)
+            for k in range(len(masks) - 1, -1, -1):
+                owner[~((differ & masks[k]).any(axis=1))] = k
+            out[cut] = (mine[cut] < 0) | (owner == mine[cut])
+        return out
+
+    def links(group: np.ndarray, rows: np.ndarray, nodes: np.ndarray):
+        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.concatenate((cut, [len(group)])))
+        src, dst = [], []
+
+        def send(p, q):
+            ok = near(rows[p], rows[q])
+            p, q = p[ok], q[ok]
+            ok = first(rows, p, q)
+            src.append(nodes[p[ok]])
+            dst.append(nodes[q[ok]])
+
+        if not later:
+            keep = np.flatnonzero((np.repeat(size, size) > 1) & (np.repeat(size, size) <= small))
+            g = group[keep]
+            for lag in range(1, small):
+                same = np.flatnonzero(g[lag:] == g[:-lag]) if len(g) > lag else np.empty(0, int)
+                if not len(same):
+                    break
+                send(keep[same], keep[same + lag])
+        for i in np.flatnonzero(size > small):
+            at = np.arange(cut[i], cut[i] + size[i])
+            at = at[np.argsort(nodes[at], kind="stable")]  # buckets with the same members have the same forest
+            if later:
+                for k in range(len(at) - 1):
+                    others = at[k + 1 :]
+                    others = others[rows[others, words + 1] != rows[at[k], words + 1]]
+                    send(np.full(len(others), at[k]), others)
+                    if sum(map(len, src)) > 1 << 20:
+                        yield batch_of(src, dst)
+                        src, dst = [], []
+                continue
+            src.append(nodes[at])
+            dst.append(nodes[at])
+            for lag in range(1, 5):
+                send(at[:-lag], at[lag:])
+            left = at
+            while len(left) > 1:
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    one = queue.pop(0)
+                    ok = near(rows[left], rows[one][None])
+                    src.append(np.full(ok.sum(), nodes[one]))
+                    dst.append(nodes[left[ok]])
+                    queue += left[ok].tolist()
+                    left = left[~ok]
+        yield batch_of(src, dst)
+
+    def batch_of(src, dst) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (src, dst))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
+
+    def read(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words + 3)
+
+    def run(batches):
+        for found in _by_bucket(read, links)(batches):
+            yield from found
+
+    return run
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, block_words: int = 4, seed: int = 42) -> DataFrame:
+    """``(id, component_id)`` for documents whose sets of ``shingle``-word runs have a Jaccard ``similarity`` or more, or
+    that are joined by such documents.
+
+    Prints only find candidates; every link is verified on the whole sets (of 64-bit hashes). A distance that stands for
+    a similarity of 0.8 is a sixth of all bits: disjoint pigeonhole blocks would be too narrow to part unrelated texts.
+    Blocks overlap here, over the first ``block_words`` words, and are enough for about 999 in 1000 pairs at the limit and
+    more of closer ones. Small sets meet by their least shingles instead, which misses none. Null, empty and wordless
+    texts are equal; an empty table gives no rows; other columns are not read.
+    """
+    spark = docs.sparkSession
+    marked = as_table(_set_prints(docs, id_col, text_col, shingle, similarity, seed, words))
+    nodes = as_table(marked.groupBy("digest", "n", "fingerprint", "least").agg(F.min("_id").alias("node")).where("node is not null"))
+    blocks = overlapping_blocks(nodes.count(), BITS * block_words, limit_for(similarity, BITS * block_words, 2.0), 0.995)
 
     def keys(batches):
         for batch in batches:
-            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
-            on = np.unpackbits(prints, axis=1, bitorder="little")
-            for kind, block in enumerate(blocks):
-                key = on[:, block].astype(np.int64) @ (1 << np.arange(len(block), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int64)), pa.array(key), batch.column(1), batch.column(0)], ["kind", "key", "fingerprint", "node"])
+            whole = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)[:, : 8 * block_words]
+            node, n, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 4))
+            least = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
 
-    keyed = nodes.select("node", "fingerprint").mapInArrow(keys, "kind long, key long, fingerprint binary, node long")
-    dealt = keyed.repartition(shuffle_partitions(docs.sparkSession), "kind", "key").sortWithinPartitions("kind", "key")
-    links = dealt.mapInArrow(_bucket_links(limit_for(similarity, BITS * words, 1.0), words=words), "src long, dst long")
-    parts = connected_components(links)
-    named = nodes.join(parts, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, "fingerprint", "left").select(F.col("_id").alias(id_col), F.coalesce("component_id", "_id").alias("component_id"))
+            def rows(kind: int, key: np.ndarray, at: np.ndarray):
+                tail = np.column_stack((n[at], part[at], np.full(len(at), kind, np.int64))).astype(np.int64)
+                packed = np.concatenate((whole[at], np.ascontiguousarray(tail).view(np.uint8).reshape(len(at), -1)), axis=1)
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int64)), pa.array(key), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(node[at])], ["kind", "key", "fingerprint", "node"])
+
+            at = np.flatnonzero(n > _FEW)
+            on = np.unpackbits(whole[at], axis=1, bitorder="little")
+            for kind, block in enumerate(blocks):
+                yield rows(kind, on[:, block].astype(np.int64) @ (1 << np.arange(len(block), dtype=np.int64)), at)
+            if any(map(len, least)):
+                yield rows(-1, np.concatenate(least), np.repeat(np.arange(len(least)), [len(x) for x in least]))
+
+    def candidates(some: DataFrame, later: bool) -> DataFrame:
+        keyed = some.select("node", "fingerprint", "n", "least", "part").mapInArrow(keys, "kind long, key long, fingerprint binary, node long")
+        dealt = keyed.repartition(shuffle_partitions(spark), "kind", "key").sortWithinPartitions("kind", "key")
+        return as_table(dealt.mapInArrow(_bucket_candidates(blocks, similarity, block_words, later), "src long, dst long").distinct())
+
+    def sieved(batches):
+        bits = BITS * words
+        most, most_few = limit_for(similarity, bits, _SPARE), round(0.19 * bits + _SPARE * sqrt(0.19 * 0.81 * bits))
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, words) for i in (2, 3))
+            few = batch.column(4).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["src", "dst"]).filter(pa.array(apart(a, b) <= np.where(few, most_few, most)))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        whole = pairs.where("src <> dst").join(nodes.select(F.col("node").alias("src"), F.col("fingerprint").alias("a"), F.col("n").alias("m")), "src")
+        whole = whole.join(nodes.select(F.col("node").alias("dst"), F.col("fingerprint").alias("b"), "n"), "dst")
+        pairs = as_table(whole.select("src", "dst", "a", "b", (F.least("m", "n") <= _FEW).alias("few")).mapInArrow(sieved, "src long, dst long").distinct())
+        ids = as_table(pairs.select(F.col("src").alias(id_col)).union(pairs.select("dst")).distinct())
+        sets = _shingle_sets(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), id_col, text_col, shingle, seed)
+        sets = as_table(sets.dropDuplicates())
+        both = pairs.join(sets.select(F.col("_id").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("_id").alias("dst"), F.col("set").alias("b")), "dst")
+        shared = F.size(F.array_intersect("a", "b"))
+        return as_table(both.where(shared >= (F.size("a") + F.size("b") - shared) * F.lit(similarity)).select("src", "dst"))
+
+    found = candidates(nodes.withColumn("part", F.col("node")), False)
+    links = verified(found)
+    crowded = found.where("src = dst").select(F.col("src").alias("node"))
+    parts = as_table(connected_components(links))
+    if not crowded.isEmpty():
+        named = nodes.join(crowded, "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+        more = verified(candidates(named, True))
+        if not more.isEmpty():
+            parts = connected_components(links.unionByName(more))
+    named = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return marked.select("_id", "digest").join(named, "digest", "left").select(F.col("_id").alias(id_col), F.coalesce("component_id", "_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
