@@ -102,3 +102,13 @@ def test_odd_markup_does_not_break_the_parser():
         tree, blocks = wrappers.parse("".join(rng.choice(bits) for _ in range(rng.randrange(25))))
         nodes = wrappers.number(tree)
         assert all(0 <= n < len(nodes) and t == t.strip() != "" and 0 <= k <= len(t) for n, t, k in blocks)
+
+
+def test_minor_layouts_of_a_host_keep_their_text(spark):
+    page = '<body><nav>Home</nav><article class="post category-{c}" id="{slug}"><p>{t}</p></article></body>'
+    rows = [(i, "http://big.example.net/", page.format(c="news", slug="a", t=f"Text {i} {LONG * 9}")) for i in range(12)]
+    rows += [(20, "http://big.example.net/", page.format(c="misc", slug="b-rare-slug", t="A short one of another category"))]
+    rows += [(21, "http://big.example.net/", f"<body><nav>Home</nav><div class=old><p>An unmarked page {LONG}</p></div></body>")]
+    found = run(spark, rows)
+    assert found[20][0] == "A short one of another category" and found[21][0] == f"An unmarked page {LONG}".strip()
+    assert all(found[i][0] == f"Text {i} {LONG * 9}".strip() for i in range(12))

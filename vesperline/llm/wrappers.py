@@ -259,19 +259,26 @@ class Slot:
         return self.pages >= 3 and self.low == self.high
 
 
-def content_nodes(template: Node, slots: dict[int, Slot]) -> set[int]:
-    """Template nodes (by identity) whose text is main text.
+def _kind(label: str) -> str:
+    """The label without names that say nothing of furniture or content, as of categories, slugs and post numbers."""
+    tag, *names = _words(label)
+    return ".".join((tag, *(n for n in names if n in _FURNITURE_NAMES or n in _CONTENT_NAMES)))
+
 
-    Furniture is out by its tag or names. Among marked content nodes those with a fair share of the running text stay.
-    A host without marked ones: from the root down to the child that has most of the varying text outside links, as
-    long as there is one; in it, constant nodes are template."""
+def content_nodes(page: Node, own: dict[int, Slot], slots: dict[int, Slot]) -> set[int]:
+    """Nodes of one layout (by identity) whose text is main text; ``own`` has the slots of its own pages, ``slots`` those
+    of all pages of the host.
 
-    def weight(node: Node) -> float:
+    Furniture is out by its tag or names. Among the layout's marked content nodes those of kinds with a fair share of its
+    own running text stay, whatever the host's other pages hold. A layout without marked ones: from the root down to the
+    child that has most of the text outside links, as long as there is one; in it, constant nodes are template."""
+
+    def weight(node: Node, slots: dict[int, Slot] = slots) -> float:
         if is_furniture(node.label):
             return 0
         slot = slots.get(id(node), Slot())
-        own = 0 if slot.links > 0.5 * slot.chars else slot.chars - slot.links
-        return own + sum(map(weight, node.kids))
+        here = 0 if slot.links > 0.5 * slot.chars else slot.chars - slot.links
+        return here + sum(weight(k, slots) for k in node.kids)
 
     def below(node: Node, constants: bool) -> set[int]:
         out = set()
@@ -284,19 +291,22 @@ def content_nodes(template: Node, slots: dict[int, Slot]) -> set[int]:
             out |= below(kid, constants)
         return out
 
-    marked, work = [], [template]
+    marked, work = [], [page]
     while work:
         node = work.pop()
         if is_furniture(node.label):
             continue
-        if is_content(node.label) and weight(node):
+        if is_content(node.label) and weight(node, own):
             marked.append(node)
         else:
             work += node.kids
     if marked:
-        most = max(map(weight, marked))
-        return set().union(*(below(n, False) for n in marked if weight(n) >= 0.1 * most))
-    node = template
+        share: dict[str, float] = {}
+        for n in marked:
+            share[_kind(n.label)] = share.get(_kind(n.label), 0) + weight(n, own)
+        most = max(share.values())
+        return set().union(*(below(n, False) for n in marked if share[_kind(n.label)] >= 0.1 * most))
+    node = page
     while True:
         total = weight(node)
         heavy = max(node.kids, key=weight, default=None)
@@ -318,11 +328,15 @@ def induce(rows: list[tuple[str, list[tuple[int, Slot]]]]) -> list[tuple[str, li
         page = from_json(json.loads(text))
         nodes = number(page)
         to_template = {p.number: t for p, t in align(template, page)}
-        placed.append((text, [to_template[n.number] for n in nodes]))
+        placed.append((text, nodes, [id(to_template[n.number]) for n in nodes], dict(found)))
         for at, slot in found:
             slots.setdefault(id(to_template[at]), Slot()).add(slot)
-    keep = content_nodes(template, slots)
-    return [(text, [id(t) in keep for t in nodes]) for text, nodes in placed]
+    out = []
+    for text, nodes, partners, found in placed:
+        own = {id(nodes[at]): slot for at, slot in found.items()}
+        keep = content_nodes(nodes[0], own, {id(n): slots[t] for n, t in zip(nodes, partners) if id(n) in own})
+        out.append((text, [id(n) in keep for n in nodes]))
+    return out
 
 
 def _layout(tree: Node) -> tuple[str, bytes]:
