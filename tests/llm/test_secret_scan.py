@@ -68,3 +68,26 @@ def test_rows(spark):
     assert ss.scan_secrets(df.where("false")).count() == 0
     masked = {r.doc_id: r.text for r in ss.redact_secrets(df).collect()}
     assert masked == {0: None, 1: "", 2: "[secret] é [secret] [secret]", 3: "[secret]"}
+
+
+SECRET = 'note: password = "hunter2hunter2" and more of the text that goes on'
+B64 = base64.b64encode(SECRET.encode()).decode()
+NOISE = "".join(random.Random(5).choice("abcdefghij ") for _ in range(300))
+ZIP = gzip.compress((NOISE + SECRET + NOISE).encode())
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        base64.encodebytes((NOISE[:70] + SECRET).encode()).decode(), "\r\n".join(re.findall(".{1,32}", B64)), base64.encodebytes(ZIP).decode(),
+        *(f"https://a.example/{'p' * k}/{B64}" for k in range(4)), f"id_{B64}", f"key-{base64.b64encode(ZIP).decode()}",
+        base64.b64encode(b"\x00\x01" + SECRET.encode() + b"\xff").decode(), "".join(f"%{b:02x}" for b in SECRET.encode() + b"\xff"),
+        urllib.parse.quote(ZIP), urllib.parse.quote(zlib.compress(SECRET.encode())), repr(ZIP), "".join(f"\\x{b:02x}" for b in ZIP),
+        base64.b64encode(ZIP[:-8]).decode(), base64.b64encode(b"head" + ZIP + b"tail").decode(), "\\ud800" + WAYS["unicode"](SECRET),
+    ],
+)
+def test_broken_and_wrapped_layers_are_found(wrapped):
+    text = f"before {wrapped} after"
+    found = [s for s in ss.scan_text(text)[1] if s.codecs and s.kind == 0]
+    assert found and all(7 <= s.start < s.end <= 7 + len(wrapped.rstrip()) for s in found)
+    assert "before" in ss.redacted_text(text, "#") and "after" in ss.redacted_text(text, "#")

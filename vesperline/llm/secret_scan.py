@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
-import gzip
 import hashlib
 import re
 import zlib
@@ -26,7 +24,15 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: Base64 over line ends, indented alike; the last line may be short.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}[\x20\t]*\r?\n(?P<indent>[\x20\t]*+)(?:[A-Za-z0-9+/_-]{12,}[\x20\t]*\r?\n(?P=indent))*[A-Za-z0-9+/_-]++={0,2}")
+_ZIPPED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Bytes written as escapes among plain characters, where they may hold a compressed stream.
+_URL_BYTES = (re.compile(r"%1[Ff]%8[Bb]|(?:x|%78)%(?:01|5[Ee]|9[Cc]|[Dd][Aa])"), re.compile(r"(?:%[0-9A-Fa-f]{2}|[!$&-;=?-Z_a-z~])+"), re.compile(r"%([0-9A-Fa-f]{2})|."), "url")
+_X_BYTES = (re.compile(r"\\x1[Ff]\\x8[Bb]|(?:x|\\x78)(?:\\x01|\^|\\x5[Ee]|\\x9[Cc]|\\x[Dd][Aa])"), re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\[abfnrtv0\\'"]|[\x20-\x5b\x5d-\x7e])+"""), re.compile(r"\\x([0-9A-Fa-f]{2})|\\?."), "unicode")
+_ESCAPED = dict(zip("abfnrtv0", "\a\b\f\n\r\t\v\0"))
+#: Without any of these a text holds neither a finding nor a layer.
+_MAY_HOLD = re.compile(r"[A-Za-z0-9+/_-]{12}|[:=]|%[0-9A-Fa-f]{2}|\\[ux]|&#")
 
 
 class Span(NamedTuple):
@@ -64,49 +70,76 @@ class _Layer(NamedTuple):
         return begin, last[1] + end - last[0] if last[3] else last[2]
 
 
-def _url_text(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except ValueError:
-        return None
+def _url_text(run: str) -> str:
+    return bytes.fromhex(run.replace("%", "")).decode(errors="replace")
 
 
-def _unicode_text(run: str) -> str | None:
-    try:
-        text = "".join(chr(int(next(g for g in (m[1], m[2], m[3], m[5]) if g), 16) if not m[4] else int(m[4])) for m in _UNICODE_ONE.finditer(run))
-        return text.encode("utf-16", "surrogatepass").decode("utf-16")
-    except (ValueError, OverflowError):
-        return None
+def _unicode_text(run: str) -> str:
+    codes = [int(next(g for g in (m[1], m[2], m[3], m[5]) if g), 16) if not m[4] else int(m[4]) for m in _UNICODE_ONE.finditer(run)]
+    return "".join(chr(c) if c < 0x110000 else "\ufffd" for c in codes).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _inflate(data: bytes) -> bytes | None:
+def _inflated(data: bytes) -> tuple[bytes, int]:
+    """What the gzip or zlib stream at the start of ``data`` gives, up to where it breaks off, and the bytes read."""
+    out, at, stream = [], 0, zlib.decompressobj(47)
     try:
-        if data[:2] == b"\x1f\x8b":
-            return gzip.decompress(data)
-        if data[:1] == b"\x78" and len(data) > 6 and not int.from_bytes(data[:2]) % 31:
-            return zlib.decompress(data)
-    except (OSError, EOFError, zlib.error):
+        whole = stream.decompress(data)
+        return whole, len(data) - len(stream.unused_data)
+    except zlib.error:
+        stream = zlib.decompressobj(47)
+    try:
+        for at in range(len(data)):  # noqa: B007
+            out.append(stream.decompress(data[at : at + 1]))
+    except zlib.error:
         pass
-    return None
+    return b"".join(out), at
 
 
-def _base64_text(run: str) -> tuple[str, str] | None:
-    """The text in a base64 run, unpacked where it is compressed, and the codecs passed."""
-    bare = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(bare) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True)
-    except binascii.Error:
-        return None
-    codec = "base64"
-    while (inner := _inflate(data)) is not None:
-        data, codec = inner, codec + "+zip"
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if _CONTROL.search(text) else (text, codec)
+def _streams(data: bytes):
+    """(start, end, bytes) of compressed streams anywhere in ``data``, also those that end early."""
+    at = 0
+    while m := _ZIPPED.search(data, at):
+        inner, size = _inflated(data[m.start() :])
+        at = m.start() + max(size, 1) if inner else m.start() + 1
+        if inner:
+            yield m.start(), at, inner
+
+
+def _texts(data: bytes, codec: str):
+    """(text, codec) of decoded bytes, and of what is compressed in them at any depth. Undecodable bytes part the text."""
+    work = [(data, codec)]
+    while work:
+        data, codec = work.pop()
+        yield data.decode(errors="replace"), codec
+        work += [(inner, codec + "+zip") for _, _, inner in _streams(data)]
+
+
+def _base64_bytes(run: str):
+    """The bytes of a base64 run at its four alignments: it may follow other characters of the alphabet."""
+    bare = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    for at in range(4):
+        part = bare[at:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        if len(part) >= 8:
+            yield base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def _zipped_in(layer: _Layer, magic: re.Pattern, run: re.Pattern, one: re.Pattern, codec: str):
+    """Layers of compressed streams whose bytes are written as escapes."""
+    if not magic.search(layer.text):
+        return
+    for m in run.finditer(layer.text):
+        if not magic.search(m[0]):
+            continue
+        data, starts = bytearray(), []
+        for x in one.finditer(m[0]):
+            starts.append(m.start() + x.start())
+            data.append(int(x[1], 16) if x[1] else ord(_ESCAPED.get(x[0][-1], x[0][-1]) if len(x[0]) == 2 else x[0]))
+        starts.append(m.end())
+        for start, end, inner in _streams(bytes(data)):
+            place = layer.place(starts[start], starts[end])
+            for text, codecs in _texts(inner, codec + "+zip"):
+                yield _Layer(text, [(0, *place, False)], (*layer.codecs, codecs))
 
 
 def _replaced(layer: _Layer, pattern: re.Pattern, decode, codec: str) -> _Layer | None:
@@ -143,9 +176,14 @@ def _unwrapped(layer: _Layer):
         yield found
     if ("\\" in layer.text or "&#" in layer.text) and (found := _replaced(layer, _UNICODE, _unicode_text, "unicode")):
         yield found
-    for m in _BASE64.finditer(layer.text):
-        if decoded := _base64_text(m[0]):
-            yield _Layer(decoded[0], [(0, *layer.place(m.start(), m.end()), False)], (*layer.codecs, decoded[1]))
+    for escapes in (_URL_BYTES, _X_BYTES):
+        yield from _zipped_in(layer, *escapes)
+    runs = {m.span(): m[0] for pattern in (_BASE64, _WRAPPED) for m in pattern.finditer(layer.text)}
+    for (start, end), run in runs.items():
+        for data in _base64_bytes(run):
+            for text, codec in _texts(data, "base64"):
+                if _MAY_HOLD.search(text):
+                    yield _Layer(text, [(0, *layer.place(start, end), False)], (*layer.codecs, codec))
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[Span]]:
@@ -153,7 +191,8 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[Span]]:
 
     Layers wait on a worklist until none is new. A layer that was met before at the same place ends its branch,
     so that nested or self-reproducing encodings cannot loop. A finding inside a decoded run gets the span of the
-    encoded run in the original text.
+    encoded run in the original text. Base64 is read over line ends and at its four alignments, compressed streams are
+    looked for in the bytes of every codec, and undecodable bytes only part a text.
     """
     base = base_matches(text)
     spans = {x: Span(*x, "") for x in base}
