@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vesperline.llm import packing
@@ -20,7 +21,7 @@ def plain(text):
 TEXTS = [
     None, "", " \n", "Hello, World!!! it's they'll 'tis O'Neil's", "a,b;c...d ###x### 'S don't.", "ÉCOLE école naïve é Ⅷ ²",
     "<|startoftext|> x<|endoftext|>y", "ΟΔΟΣ, ΟΔΟΣ ΣΑΣ! İstanbul ǅ", "tab\tand\x1cfile\x85next　wide", "日本語、テスト。 русский текст", "1234 5,6 7.8% a1b2",
-    "word " * 5000, "​zero", "😀 smile's", "x" * 3000,
+    "İ. Aİ! İstanbulİ, \u05e9\u05c1. \ufb2a. \ufb2a, x\vy\fz \u00a0. \u3000! e\u0301. e\u0301\u0323, \u1e9b\u0323! \u0345. \u2126; \u212b.", "word " * 5000, "​zero", "😀 smile's", "x" * 3000,
 ]
 
 
@@ -37,9 +38,36 @@ def test_ids_equal_the_tokenizers(spark):
 
 def test_words_kept_from_before_change_nothing():
     coder = packing.WordEncoder(PATH)
-    texts = [t or "" for t in TEXTS]
-    first = coder.encode(texts)
-    assert first == coder.encode(texts) == [b"".join(packing.WordEncoder(PATH).encode([t])) for t in texts]
+    texts = pa.array(TEXTS)
+    first = [x.tolist() for x in coder.encode(texts)]
+    assert first == [x.tolist() for x in coder.encode(texts)] == [packing.WordEncoder(PATH).encode(pa.array([t], pa.string()))[0].tolist() for t in TEXTS]
+    assert first[1:3] == [x.tolist() for x in coder.encode(texts.slice(1, 2))] and coder.encode(texts.slice(0, 0)) == []
+
+
+def test_ids_of_any_letters_and_marks_equal_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    alphabet = "aAzZ\u00c9\u0130\u0131\u00df\u01c5\u03a3\u03c2\u0416\u0587\u05d0\ufb2a\u0301\u0307\u0323\u093e\u0e33\u1e9e\u4e2d\U0001f600\U00010400.,!?;:'#-_ \t\n\v\f\x1c\x85\u00a0\u200b0\u0661\u2160\u00b2"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    coder = packing.WordEncoder(PATH)
+    got = [x.tolist() for k in range(0, len(texts), 1000) for x in coder.encode(pa.array(texts[k : k + 1000]))]
+    assert got == want
+
+
+def test_a_bound_on_open_bins_closes_the_fullest():
+    assert packing.best_fit([60, 70, 80, 20, 30, 40], 100, 2) == ([0, 1, 2, 1, 0, 3], [0, 0, 0, 70, 60, 0])
+    assert packing.best_fit([60, 70, 80, 20, 30, 40], 100, 3) == ([0, 1, 2, 2, 1, 0], [0, 0, 0, 80, 70, 60])
+
+
+def test_short_pieces_of_a_window_fill_what_its_long_ones_open(spark):
+    rng = random.Random(9)
+    rows = [(i, 0, min(4096, int(rng.lognormvariate(6.3, 1.1)) + 1)) for i in range(20_000)]
+    out = packing.pack(spark.createDataFrame(rows + [(None, 0, 5), (7, None, None)], "doc_id long, piece int, length long"))
+    got = out.groupBy("sequence_id").sum("length").collect()
+    assert len(got) <= 1.001 * sum(r[2] for r in rows) / 4096 + 1
+    assert packing.pack(out.drop("sequence_id", "offset").where("false")).count() == 0
 
 
 @pytest.mark.parametrize("open_bins", [1, 3, 50, 5000])
