@@ -15,6 +15,11 @@ def test_the_rest_works_without_the_training_operators(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}).returncode == 0
 
 
+def test_a_missing_library_takes_only_the_training_operators_away(tmp_path):
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q"
+    assert subprocess.run([sys.executable, "-c", code], cwd=REPO).returncode == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", ["tasks_flat_list", "occurrences_monthly", "workday_bracket"])
 def test_queries_equal_their_sql(spark, name):

@@ -7,7 +7,7 @@ from vesperline.sources import notes
 
 NOTE = """# Notes
 
-### TODO Pin me
+### TODO Water the ferns
 `SCHEDULED: <2026-05-21 Thu>`
 `CLOCK: [2026-05-21 Thu 10:00]--[2026-05-21 Thu 11:30] => 1:30`
 
@@ -26,7 +26,7 @@ Second para.
 
 text
 
-## [#15] Mid range
+## [#15] Two evenings
 `<2024-12-05 Thu 10:00>-<2024-12-06 Fri 14:00>`
 
 ## [#65] Above
@@ -36,7 +36,7 @@ Setext TODO
 -----------
 `<2024-12-05 Чт>`
 
-## Без приоритета и [#A] внутри
+## Позже, с меткой [#A] в середине
 `SCHEDULED: [2024-12-05 Thu]`
 `<2024-13-45>`
 
@@ -68,18 +68,18 @@ def rows(spark):
 
 def test_golden_sections(rows):
     by = rows[0]
-    assert set(by) == {"Pin me", "Monthly", "Created only", "Mid range", "[#65] Above", "Setext TODO", "Без приоритета и [#A] внутри", "Props"}
-    pin = by["Pin me"]
+    assert set(by) == {"Water the ferns", "Monthly", "Created only", "Two evenings", "[#65] Above", "Setext TODO", "Позже, с меткой [#A] в середине", "Props"}
+    pin = by["Water the ferns"]
     assert (pin.line, pin.task_type, pin.timestamp, pin.timestamp_type, pin.timestamp_active) == (3, "TODO", "SCHEDULED: <2026-05-21 Thu>", "SCHEDULED", True)
     assert pin.content == "First paragoes on  here.\n\nSecond para." and pin.total_clock_time == "1:30" and pin.clock_minutes == 90
     assert by["Monthly"].timestamp == "DEADLINE: <2026-05-21 Thu +1m -3d>" and by["Monthly"].timestamp_repeater == "+1m" and by["Monthly"].warning_days == 3
     assert by["Created only"].created == "CREATED: [2026-01-12 Mon]" and by["Created only"].task_type is None
-    mid = by["Mid range"]
+    mid = by["Two evenings"]
     assert (mid.priority, mid.priority_order, mid.timestamp) == ("15", 15, "<2024-12-05 Thu 10:00>--<2024-12-06 Fri 14:00>")
     assert (mid.timestamp_date, mid.timestamp_time, mid.timestamp_end_time) == ("2024-12-05", "10:00", "14:00")
     assert by["[#65] Above"].priority is None and by["[#65] Above"].timestamp_active is False
     assert by["Setext TODO"].timestamp == "<2024-12-05 Thu>" and by["Setext TODO"].task_type is None
-    odd = by["Без приоритета и [#A] внутри"]
+    odd = by["Позже, с меткой [#A] в середине"]
     assert (odd.priority, odd.timestamp, odd.base_date) == ("A", "<2024-13-45>", None)
     props = by["Props"]
     assert props.task_type == "CANCELED" and props.properties["ID"] == "b" and props.properties["EMPTY"] == ""
@@ -124,14 +124,14 @@ def test_recurrence_ids_durations_and_repeaters(spark):
 
 
 def test_heading_spans_slice_the_line(spark):
-    lines = ["## TODO [#A] Write the report", "# TODO leftover [#B] Title", "# CANCELED Old plan", "### DONE Überschrift [#C] é"]
+    lines = ["## TODO [#A] Fold the map", "# TODO spare [#B] Title", "# CANCELED Dropped trip", "### DONE Größe [#C] é"]
     df = spark.createDataFrame([("r", "f", "\n".join(lines))], "root string, file string, text string")
     for r in spans.heading_spans(df).collect():
         raw = lines[r.line - 1].encode()
         for part in (r.state, r.mark, r.title):
             if part:
                 assert raw[part.start : part.end].decode() == part.text
-        assert r.title.text in ("Write the report", "leftover [#B] Title", "Old plan", "Überschrift [#C] é")
+        assert r.title.text in ("Fold the map", "spare [#B] Title", "Dropped trip", "Größe [#C] é")
 
 
 def test_files_gates_and_arrivals(spark, tmp_path):
