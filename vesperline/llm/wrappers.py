@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
-import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -45,17 +44,49 @@ _CONTENT_TAGS = {"article", "main"}
 _CONTENT_NAMES = {"articlebody", "article", "main", "content", "post", "entry", "story"}
 
 
-@dataclass
-class Node:
-    """A block-level element. ``label``: its tag and its class, id and role words; ``kids``: neighbours that share a
-    label are one node."""
+_PARAGRAPHS = {"p", "pre", "blockquote", "ul", "ol", "dl", "li", "dt", "dd", "table", "tr", "td", "th", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"}
+_DEEPEST = 512  # as in browsers: elements below are taken as their parent's siblings
+_WIDEST = 256  # beyond, kids of one label are one node wherever they stand
+
+
+class Tree:
+    """Block-level elements in page order, by number. ``labels``: tag and class, id and role words; ``kids``: numbers."""
+
+    def __init__(self) -> None:
+        self.labels: list[str] = []
+        self.kids: list[list[int]] = []
+        self.support: list[int] = []  # layouts that have the node
+
+    def add(self, label: str, support: int = 1) -> int:
+        self.labels.append(label)
+        self.kids.append([])
+        self.support.append(support)
+        return len(self.labels) - 1
+
+    def walk(self) -> list[tuple[int, int]]:
+        """(node, depth) in page order."""
+        out, work = [], [(0, 0)]
+        while work:
+            node, depth = work.pop()
+            out.append((node, depth))
+            work += [(k, depth + 1) for k in reversed(self.kids[node])]
+        return out
 
-    label: str
-    kids: list[Node] = field(default_factory=list)
-    number: int = -1
+    def text(self) -> str:
+        return " ".join(f"{depth}:{self.support[node]}:{self.labels[node]}" for node, depth in self.walk())
 
-    def key(self) -> str:
-        return self.label + ("(" + " ".join(k.key() for k in self.kids) + ")" if self.kids else "")
+    @staticmethod
+    def of(text: str) -> Tree:
+        """From its text, numbered in page order."""
+        tree, path = Tree(), []
+        for part in text.split(" "):
+            depth, support, label = part.split(":", 2)
+            node = tree.add(label, int(support))
+            del path[int(depth) :]
+            if path:
+                tree.kids[path[-1]].append(node)
+            path.append(node)
+        return tree
 
 
 def _label(tag: str, attrs: str) -> str:
@@ -63,12 +94,15 @@ def _label(tag: str, attrs: str) -> str:
     return ".".join((tag, *names))
 
 
-def parse(page: str) -> tuple[Node, list[tuple[int, str, int]]]:
+def parse(page: str) -> tuple[Tree, list[tuple[int, str, int]]]:
     """The page's tree, and its blocks in page order as (node number, text, characters inside links)."""
-    root = Node("html")
-    node_of = {"": root}
-    stack: list[tuple[str, Node, str]] = [("", root, "")]  # tag, block node, path of labels
-    blocks: list[tuple[Node, str, int]] = []
+    tree = Tree()
+    labels, kids = tree.labels, tree.kids
+    tree.add("html")
+    by_label: dict[int, dict[str, int]] = {}  # of nodes with very many kids
+    stack: list[tuple[str, int]] = [("", 0)]  # tag, block node
+    opened: dict[str, int] = {}
+    blocks: list[tuple[int, str, int]] = []
     parts: list[str] = []
     links = in_link = 0
 
@@ -88,13 +122,18 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, int]]]:
             if in_link:
                 links += len(text.strip())
 
+    def push(tag: str, node: int) -> None:
+        stack.append((tag, node))
+        opened[tag] = opened.get(tag, 0) + 1
+
     def pop() -> None:
         nonlocal in_link
-        tag, _, _ = stack[-1]
+        tag = stack[-1][0]
         if tag not in _INLINE:
             close_block()
         elif tag == "a":
             in_link = max(0, in_link - 1)
+        opened[tag] -= 1
         stack.pop()
 
     at, size = 0, len(page)
@@ -110,7 +149,7 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, int]]]:
             continue
         tag, end, attrs = tag.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
         if end:
-            if any(t == tag for t, _, _ in stack[1:]):
+            if opened.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -126,8 +165,13 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, int]]]:
             if tag == "hr":
                 close_block()
             continue
+        if len(stack) > _DEEPEST:
+            while stack[-1][0] in _INLINE:
+                pop()
+            if len(stack) > 1:
+                pop()
         if tag in _INLINE:
-            stack.append((tag, stack[-1][1], stack[-1][2]))
+            push(tag, stack[-1][1])
             in_link += tag == "a"
             continue
         ends = _ENDS_OPEN.get(tag, ())
@@ -139,89 +183,111 @@ def parse(page: str) -> tuple[Node, list[tuple[int, str, int]]]:
             elif open_tag in _BORDERS:
                 break
         close_block()
-        parent, path = stack[-1][1], stack[-1][2]
+        parent = stack[-1][1]
         if tag in ("html", "body"):
-            stack.append((tag, parent, path))
+            push(tag, parent)
             continue
-        label = _label(tag, attrs)
-        if parent.kids and parent.kids[-1].label == label:
-            node = parent.kids[-1]
+        label, near = _label(tag, attrs), kids[parent]
+        if near and labels[near[-1]] == label:
+            node = near[-1]
+        elif len(near) < _WIDEST or label not in by_label.setdefault(parent, {labels[k]: k for k in near}):
+            node = tree.add(label)
+            near.append(node)
+            if parent in by_label:
+                by_label[parent][label] = node
         else:
-            node = Node(label)
-            parent.kids.append(node)
-        stack.append((tag, node, path))
+            node = by_label[parent][label]
+        push(tag, node)
     while len(stack) > 1:
         pop()
     close_block()
-    number(root)
-    return root, [(node.number, text, link) for node, text, link in blocks]
+    order = {node: number for number, (node, _) in enumerate(tree.walk())}
+    return tree, [(order[node], text, link) for node, text, link in blocks]
 
 
-def number(root: Node) -> list[Node]:
-    """Nodes in page order, each with its number."""
-    out, work = [], [root]
+def matched(a: Tree, b: Tree, x: int = 0, y: int = 0, known: dict | None = None) -> int:
+    """Simple tree matching: the most nodes that two subtrees with equal roots share in order."""
+    known = {} if known is None else known
+    if a.labels[x] != b.labels[y]:
+        return 0
+    work = [(x, y)]
     while work:
-        node = work.pop()
-        node.number = len(out)
-        out.append(node)
-        work += reversed(node.kids)
-    return out
-
-
-def to_json(node: Node) -> list:
-    return [node.label, [to_json(k) for k in node.kids]]
-
+        pair = work[-1]
+        if pair in known:
+            work.pop()
+            continue
+        left, right = a.kids[pair[0]], b.kids[pair[1]]
+        asked = [(i, j) for i in left for j in right if a.labels[i] == b.labels[j] and (i, j) not in known]
+        if asked:
+            work += asked
+            continue
+        known[pair] = _shared(a, b, left, right, known)[-1][-1] + 1
+        work.pop()
+    return known[x, y]
+
+
+def _shared(a: Tree, b: Tree, left: list[int], right: list[int], known: dict) -> list[list[int]]:
+    """Nodes shared by each pair of beginnings of two lists of kids, whose pairs of equal labels are known."""
+    rows = [[0] * (len(right) + 1)]
+    for i in left:
+        before, row = rows[-1], [0]
+        for j, y in enumerate(right):
+            pair = known[i, y] if a.labels[i] == b.labels[y] else 0
+            row.append(max(row[j], before[j + 1], before[j] + pair))
+        rows.append(row)
+    return rows
+
+
+def align(template: Tree, page: Tree, grow: bool = True) -> dict[int, int]:
+    """Partners {page node: template node}. Where the template may grow, page nodes without a partner are put into it
+    beside their neighbours; else they have none."""
+    known: dict = {}
+    matched(template, page, 0, 0, known)
+    pairs, work = {0: 0}, [(0, 0, False)]
+    while work:
+        x, y, fresh = work.pop()
+        template.support[x] += grow and page.support[y]
+        left, right = template.kids[x], page.kids[y]
+        partner: dict[int, int] = {}
+        if not fresh and left and right:
+            best = _shared(template, page, left, right, known)
+            i, j = len(left), len(right)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    partner[right[j]] = left[i]
+        kids, place = list(left), 0
+        at = {k: n for n, k in enumerate(left)}
+        grown = 0
+        for k in right:
+            if k in partner:
+                pairs[k] = partner[k]
+                place = at[partner[k]] + grown + 1
+                work.append((partner[k], k, False))
+            elif grow:
+                node = template.add(page.labels[k], 0)
+                kids.insert(place, node)
+                place, grown = place + 1, grown + 1
+                pairs[k] = node
+                work.append((node, k, True))
+        template.kids[x] = kids
+    return pairs
 
-def from_json(data: list) -> Node:
-    return Node(data[0], [from_json(k) for k in data[1]])
 
-
-def matched(a: Node, b: Node, known: dict) -> int:
-    """Simple tree matching: the most nodes that two trees with equal roots share in order."""
-    if a.label != b.label:
-        return 0
-    if (found := known.get((id(a), id(b)))) is not None:
-        return found
-    row = [0] * (len(b.kids) + 1)
-    for x in a.kids:
-        before, row = row, [0]
-        for j, y in enumerate(b.kids):
-            row.append(max(row[j], before[j + 1], before[j] + matched(x, y, known)))
-    known[id(a), id(b)] = row[-1] + 1
-    return row[-1] + 1
-
-
-def align(template: Node, page: Node, known: dict | None = None) -> list[tuple[Node, Node]]:
-    """Pairs (page node, template node); page nodes without a partner are put into the template beside their neighbours."""
-    known = {} if known is None else known
-    pairs = [(page, template)]
-    a, b = template.kids, page.kids
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matched(x, y, known))
-    i, j, partner = len(a), len(b), {}
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            partner[j] = a[i]
-    kids, place = list(a), 0
-    for j, y in enumerate(b):
-        if j in partner:
-            x = partner[j]
-            place = next(k for k, z in enumerate(kids) if z is x) + 1
-            pairs += align(x, y, known)
-        else:
-            x = Node(y.label)
-            kids.insert(place, x)
-            place += 1
-            pairs += align(x, y, {})
-    template.kids = kids
-    return pairs
+def merged(trees: list[str], most_rare: int = 64) -> str:
+    """One template of some layouts or templates. A node that fewer than one in ``most_rare`` of the layouts have is
+    left out with all below it: it tells nothing of the others, and the template does not grow with odd names."""
+    template = Tree.of(trees[0])
+    for text in trees[1:]:
+        align(template, Tree.of(text))
+    least = template.support[0] / most_rare
+    for node, _ in template.walk():
+        template.kids[node] = [k for k in template.kids[node] if template.support[k] >= least]
+    return template.text()
 
 
 def _words(label: str) -> list[str]:
@@ -238,25 +304,27 @@ def is_content(label: str) -> bool:
     return tag in _CONTENT_TAGS or tag in ("div", "section", "td") and not _CONTENT_NAMES.isdisjoint(names)
 
 
+_LEAST = 32  # smallest hashes of a slot's blocks, from which their number of different ones is reckoned
+_FEW_BLOCKS = 3  # with fewer, nothing tells a template from a slot
+
+
 @dataclass
 class Slot:
-    """What all pages of a host put into a template node."""
+    """What pages put into a node: characters, those in links, blocks, and the smallest hashes of their texts."""
 
     chars: int = 0
     links: int = 0
-    pages: int = 0
-    low: int | None = None
-    high: int | None = None
+    blocks: int = 0
+    least: tuple[int, ...] = ()
 
-    def add(self, other: Slot) -> None:
-        self.chars += other.chars
-        self.links += other.links
-        self.pages += other.pages
-        self.low = min(x for x in (self.low, other.low) if x is not None) if (self.low, other.low) != (None, None) else None
-        self.high = max(x for x in (self.high, other.high) if x is not None) if (self.high, other.high) != (None, None) else None
+    def variety(self) -> float:
+        """The share of its blocks that differ."""
+        n = len(self.least)
+        return min(1.0, (n if n < _LEAST else (_LEAST - 1) * 2.0**63 / (self.least[-1] + 1)) / self.blocks)
 
-    def constant(self) -> bool:
-        return self.pages >= 3 and self.low == self.high
+    def running(self) -> int:
+        """Characters outside links, none where most are inside."""
+        return 0 if self.links > 0.5 * self.chars else self.chars - self.links
 
 
 def _kind(label: str) -> str:
@@ -265,124 +333,175 @@ def _kind(label: str) -> str:
     return ".".join((tag, *(n for n in names if n in _FURNITURE_NAMES or n in _CONTENT_NAMES)))
 
 
-def content_nodes(page: Node, own: dict[int, Slot], slots: dict[int, Slot]) -> set[int]:
-    """Nodes of one layout (by identity) whose text is main text; ``own`` has the slots of its own pages, ``slots`` those
-    of all pages of the host.
-
-    Furniture is out by its tag or names. Among the layout's marked content nodes those of kinds with a fair share of its
-    own running text stay, whatever the host's other pages hold. A layout without marked ones: from the root down to the
-    child that has most of the text outside links, as long as there is one; in it, constant nodes are template."""
-
-    def weight(node: Node, slots: dict[int, Slot] = slots) -> float:
-        if is_furniture(node.label):
-            return 0
-        slot = slots.get(id(node), Slot())
-        here = 0 if slot.links > 0.5 * slot.chars else slot.chars - slot.links
-        return here + sum(weight(k, slots) for k in node.kids)
-
-    def below(node: Node, constants: bool) -> set[int]:
-        out = set()
-        if is_furniture(node.label):
-            return out
-        slot = slots.get(id(node), Slot())
-        if slot.chars and not (constants and slot.constant()):
-            out.add(id(node))
-        for kid in node.kids:
-            out |= below(kid, constants)
-        return out
-
-    marked, work = [], [page]
-    while work:
-        node = work.pop()
-        if is_furniture(node.label):
-            continue
-        if is_content(node.label) and weight(node, own):
-            marked.append(node)
-        else:
-            work += node.kids
-    if marked:
-        share: dict[str, float] = {}
-        for n in marked:
-            share[_kind(n.label)] = share.get(_kind(n.label), 0) + weight(n, own)
-        most = max(share.values())
-        return set().union(*(below(n, False) for n in marked if share[_kind(n.label)] >= 0.1 * most))
-    node = page
-    while True:
-        total = weight(node)
-        heavy = max(node.kids, key=weight, default=None)
-        if heavy is None or heavy.label.split(".")[0] in ("p", "h1", "h2", "h3", "pre", "blockquote", "li") or weight(heavy) < 0.75 * total:
+def content_nodes(tree: Tree, own: dict[int, Slot], shared: dict[int, Slot]) -> set[int]:
+    """Nodes of one layout whose text is main text. ``own`` has what its own pages put into its nodes, ``shared`` what
+    all pages of the host put into the template's nodes that these align with.
+
+    A node whose blocks differ far less than those of the host's text is template; the others are slots. From the root
+    down, the region is the node that has most of the text in slots, as long as it has no headings or paragraphs of its
+    own. Where several nodes share that text, marked content breaks the tie. Within the region furniture is out by tag
+    or name, and what is template or links, unless the region is marked as content."""
+    evidence = {n: shared.get(n, slot) for n, slot in own.items()}
+    running = {n: slot.running() for n, slot in own.items()}
+    rich = sum(running.values()) / 10
+    known = [n for n in own if evidence[n].blocks >= _FEW_BLOCKS]
+    usual = max((evidence[n].variety() for n in known if running[n] >= rich), default=0.0)
+    template = {n for n in known if evidence[n].variety() < 0.5 * usual}
+
+    order = [n for n, _ in tree.walk()]
+    parent = {k: n for n in order for k in tree.kids[n]}
+    furniture: set[int] = set()
+    for n in order:
+        if n and (parent[n] in furniture or is_furniture(tree.labels[n])):
+            furniture.add(n)
+    weight = {n: 0 if n in template or n in furniture else running.get(n, 0) for n in order}
+    for n in reversed(order[1:]):
+        weight[parent[n]] += weight[n]
+
+    tag = lambda n: tree.labels[n].split(".")[0]
+    region = 0
+    while heavy := max(tree.kids[region], key=weight.__getitem__, default=0):
+        if any(tag(k) in _PARAGRAPHS and weight[k] for k in tree.kids[region]) or weight[heavy] < 0.75 * weight[region] or not weight[heavy]:
             break
-        node = heavy
-    varies = any(not s.constant() for s in slots.values() if s.chars)
-    found = below(node, varies)
-    return {n for n in found if slots[n].links <= 0.5 * slots[n].chars}
-
-
-def induce(rows: list[tuple[str, list[tuple[int, Slot]]]]) -> list[tuple[str, list[bool]]]:
-    """``(tree, slots by node)`` of a host's page layouts -> ``(tree, whether each node is main text)``."""
-    template = Node("html")
-    slots: dict[int, Slot] = {}
-    placed = []
-    order = sorted(rows, key=lambda r: (-max((s.pages for _, s in r[1]), default=0), r[0]))
-    for text, found in order:
-        page = from_json(json.loads(text))
-        nodes = number(page)
-        to_template = {p.number: t for p, t in align(template, page)}
-        placed.append((text, nodes, [id(to_template[n.number]) for n in nodes], dict(found)))
-        for at, slot in found:
-            slots.setdefault(id(to_template[at]), Slot()).add(slot)
-    out = []
-    for text, nodes, partners, found in placed:
-        own = {id(nodes[at]): slot for at, slot in found.items()}
-        keep = content_nodes(nodes[0], own, {id(n): slots[t] for n, t in zip(nodes, partners) if id(n) in own})
-        out.append((text, [id(n) in keep for n in nodes]))
-    return out
-
-
-def _layout(tree: Node) -> tuple[str, bytes]:
-    text = json.dumps(to_json(tree), separators=(",", ":"), ensure_ascii=False)
-    return text, hashlib.blake2b(text.encode(), digest_size=16).digest()
+        region = heavy
+    above = [region]
+    while above[-1]:
+        above.append(parent[above[-1]])
+    regions, marked = [region], any(is_content(tree.labels[n]) for n in above)
+    if not marked:
+        found, work = [], [region]
+        while work:
+            n = work.pop()
+            if n in furniture or not weight[n]:
+                continue
+            if is_content(tree.labels[n]):
+                found.append(n)
+            else:
+                work += tree.kids[n]
+        if found:
+            share: dict[str, int] = {}
+            for n in found:
+                share[_kind(tree.labels[n])] = share.get(_kind(tree.labels[n]), 0) + weight[n]
+            regions, marked = [n for n in found if share[_kind(tree.labels[n])] >= 0.1 * max(share.values())], True
+    inside, work = set(), list(regions)
+    while work:
+        n = work.pop()
+        if n not in furniture:
+            work += tree.kids[n]
+            if n in own and (marked or n not in template and own[n].links <= 0.5 * own[n].chars):
+                inside.add(n)
+    return inside
 
 
-_SUM_COLUMNS = "host string, layout binary, tree string, node int, chars long, links long, pages long, low long, high long"
+_SLOT = "chars long, links long, blocks long, least array<long>"
+_SUM_COLUMNS = f"host string, layout binary, tree string, node int, {_SLOT}"
+_ROWS_AT_ONCE = 1 << 14
 
 
-def _wrappers(pages: DataFrame) -> DataFrame:
-    """(host, layout, keep): text, links and sameness of each node are summed over all pages of a host, first within
-    each task, before one task aligns the host's layouts."""
+def _slots(values: list[dict]) -> dict[int, Slot]:
+    return {v["node"]: Slot(v["chars"], v["links"], v["blocks"], tuple(v["least"])) for v in values}
 
-    def sums(batches):
-        found: dict[tuple[str, bytes], tuple[str, dict[int, Slot]]] = {}
-        for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tree, blocks = parse(page or "")
-                text, layout = _layout(tree)
-                nodes = found.setdefault((host, layout), (text, {}))[1]
-                for node, block, links in blocks:
-                    same = xxhash.xxh64_intdigest(block) >> 1
-                    nodes.setdefault(node, Slot()).add(Slot(len(block), links, 1, same, same))
-        rows = [(*key, tree, n, s.chars, s.links, s.pages, s.low, s.high) for key, (tree, nodes) in found.items() for n, s in nodes.items()]
-        kinds = [pa.string(), pa.binary(), pa.string(), pa.int32(), *[pa.int64()] * 5]
-        names = ["host", "layout", "tree", "node", "chars", "links", "pages", "low", "high"]
-        for at in range(0, len(rows), 1 << 14):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + (1 << 14)]), kinds)], names)
+
+def _layout(tree: Tree) -> tuple[str, bytes]:
+    text = tree.text()
+    return text, hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
+def _sums(batches):
+    """Each layout's tree (node -1) and what the pages of a task put into its nodes."""
+    kinds = [pa.string(), pa.binary(), pa.string(), pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int64())]
+    names = ["host", "layout", "tree", "node", "chars", "links", "blocks", "least"]
+    found: dict[tuple[str, bytes], tuple[str, dict[int, list]]] = {}
+    held = 0
+
+    def rows():
+        for (host, layout), (tree, nodes) in found.items():
+            yield host, layout, tree, -1, 0, 0, 0, []
+            for node, (chars, links, blocks, least) in nodes.items():
+                yield host, layout, None, node, chars, links, blocks, sorted(least)[:_LEAST]
+
+    def flush():
+        out = list(rows())
+        for at in range(0, len(out), _ROWS_AT_ONCE):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + _ROWS_AT_ONCE]), kinds)], names)
+
+    for batch in batches:
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tree, blocks = parse(page or "")
+            text, layout = _layout(tree)
+            nodes = found.setdefault((host, layout), (text, {}))[1]
+            before = len(nodes)
+            for node, block, links in blocks:
+                slot = nodes.setdefault(node, [0, 0, 0, set()])
+                slot[0] += len(block)
+                slot[1] += links
+                slot[2] += 1
+                slot[3].add(xxhash.xxh64_intdigest(block) >> 1)
+                if len(slot[3]) > 64 * _LEAST:
+                    slot[3] = set(sorted(slot[3])[:_LEAST])
+            held += len(nodes) - before
+            if held > 4 * _ROWS_AT_ONCE:
+                yield from flush()
+                found, held = {}, 0
+    yield from flush()
+
+
+def _templates(layouts: DataFrame, at_once: int = 256) -> DataFrame:
+    """(host, template): a host's layouts are merged ``at_once`` in a task, then the templates of the tasks."""
+    most = layouts.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    groups = -(-most // at_once)
+    now = layouts.select("host", F.pmod(F.xxhash64("layout"), F.lit(groups)).alias("part"), "tree")
 
     def run(table: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {}
-        layouts = dict(zip(table["tree"].to_pylist(), table["layout"].to_pylist()))
-        names = ("tree", "node", "chars", "links", "pages", "low", "high")
-        for tree, node, *slot in zip(*(table[n].to_pylist() for n in names)):
-            rows.setdefault(tree, []).append((node, Slot(*slot)))
-        trees, keep = zip(*induce([(tree, sorted(nodes, key=lambda x: x[0])) for tree, nodes in rows.items()]))
-        host = pa.array([table["host"][0].as_py()] * len(trees), pa.string())
-        return pa.table({"host": host, "layout": pa.array([layouts[t] for t in trees], pa.binary()), "keep": pa.array(keep, pa.list_(pa.bool_()))})
-
-    by_task = pages.select("host", "_html").mapInArrow(sums, _SUM_COLUMNS)
-    total = by_task.groupBy("host", "layout", "node").agg(
-        F.min("tree").alias("tree"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("pages").alias("pages"),
-        F.min("low").alias("low"), F.max("high").alias("high"),
-    )
-    return total.groupBy("host").applyInArrow(run, "host string, layout binary, keep array<boolean>")
+        tree = merged(sorted(table["tree"].to_pylist(), key=lambda t: (-int(t.split(":", 2)[1]), t)))
+        return pa.table({"host": pa.array([table["host"][0].as_py()], pa.string()), "part": pa.array([table["part"][0].as_py()], pa.int64()), "tree": [tree]})
+
+    while True:
+        now = as_table(now.groupBy("host", "part").applyInArrow(run, "host string, part long, tree string"))
+        if groups == 1:
+            return now.select("host", F.col("tree").alias("template"))
+        groups = -(-groups // 16)
+        now = now.withColumn("part", F.pmod("part", F.lit(groups)))
+
+
+def _placed(batches):
+    """The template node of each node of a layout; -1 for none."""
+    for batch in batches:
+        places = []
+        for tree, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            page = Tree.of(tree)
+            pairs = align(Tree.of(template), page, grow=False)
+            places.append([pairs.get(n, -1) for n in range(len(page.labels))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(places, pa.list_(pa.int32()))], ["host", "layout", "tree", "places"])
+
+
+def _decided(batches):
+    """Whether each node of a layout is main text."""
+    for batch in batches:
+        keep = []
+        for tree, places, own, host in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            page, slots = Tree.of(tree), _slots(host or [])
+            shared = {n: slots[p] for n, p in enumerate(places) if p in slots}
+            inside = content_nodes(page, _slots(own or []), shared)
+            keep.append([n in inside for n in range(len(page.labels))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.list_(pa.bool_()))], ["host", "layout", "keep"])
+
+
+def _wrappers(pages: DataFrame) -> DataFrame:
+    """(host, layout, keep). Pages meet only as sums over each task, so a host of any size costs a row for each task,
+    layout and node; its layouts are aligned with a template that is merged from them in rounds."""
+    slot = [F.sum(c).alias(c) for c in ("chars", "links", "blocks")]
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("least")))), 1, _LEAST).alias("least")
+    total = as_table(pages.select("host", "_html").mapInArrow(_sums, _SUM_COLUMNS).groupBy("host", "layout", "node").agg(F.min("tree").alias("tree"), *slot, least))
+    layouts = total.where("node = -1").select("host", "layout", "tree")
+    found = total.where("node >= 0").drop("tree")
+    placed = as_table(layouts.join(_templates(layouts), "host").select("host", "layout", "tree", "template").mapInArrow(_placed, "host string, layout binary, tree string, places array<int>"))
+    every = F.collect_list(F.struct("node", "chars", "links", "blocks", "least"))
+    host = found.join(placed.drop("tree"), ["host", "layout"]).withColumn("node", F.get("places", F.col("node"))).where("node >= 0")
+    host = host.groupBy("host", "node").agg(*slot, least).groupBy("host").agg(every.alias("shared"))
+    own = found.groupBy("host", "layout").agg(every.alias("own"))
+    asked = placed.join(own, ["host", "layout"], "left").join(host, "host", "left").select("host", "layout", "tree", "places", "own", "shared")
+    return asked.mapInArrow(_decided, "host string, layout binary, keep array<boolean>")
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
