@@ -12,7 +12,7 @@ WEEKDAYS = [
     ("Понедельник", "Monday"), ("Вторник", "Tuesday"), ("Среда", "Wednesday"), ("Четверг", "Thursday"), ("Пятница", "Friday"), ("Суббота", "Saturday"),
     ("Воскресенье", "Sunday"), ("Пн", "Mon"), ("Вт", "Tue"), ("Ср", "Wed"), ("Чт", "Thu"), ("Пт", "Fri"), ("Сб", "Sat"), ("Вс", "Sun"),
 ]
-#: Fixed value: code points that a stamp's brackets may hold after the date.
+#: Forms of dates and bracketed stamps, and the code points that brackets may hold after the date.
 BODY = 256
 _DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _ANGLE = rf"<({_DATE}[^>]{{0,{BODY}}})>"
@@ -21,31 +21,36 @@ _DAYS = {"h": 1 / 24, "d": 1.0, "w": 7.0, "m": 30.4, "y": 365.25}
 
 
 def _group(text: Column, pattern: str, n: int) -> Column:
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, n))
+    """A group that is never empty where the pattern meets, else null."""
+    return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
 def english_weekdays(text: Column) -> Column:
-    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), WEEKDAYS, text)
+    named = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), WEEKDAYS, text)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(named)  # names are not ASCII
 
 
-def planning_stamp(text: Column) -> Column:
-    """The canonical stamp that the text begins with: a keyword form, then a range, then a single one."""
-    keyword = rf"(?U)^\s*((?:SCHEDULED|DEADLINE):\s*){_ANGLE}"
-    closed = rf"(?U)^\s*(CLOSED:\s*){_SQUARE}"
-    ranges = [(rf"(?U)^\s*{b}--?-?{b}", ends) for b, ends in ((_ANGLE, "<>"), (_SQUARE, "[]"))]
-    singles = [(rf"(?U)^\s*{b}", ends) for b, ends in ((_ANGLE, "<>"), (_SQUARE, "[]"))]
-    forms = [(keyword, F.concat(F.regexp_extract(text, keyword, 1), F.lit("<"), F.regexp_extract(text, keyword, 2), F.lit(">")))]
-    forms.append((closed, F.concat(F.regexp_extract(text, closed, 1), F.lit("["), F.regexp_extract(text, closed, 2), F.lit("]"))))
-    for p, (a, b) in ranges:
-        forms.append((p, F.concat(F.lit(a), F.regexp_extract(text, p, 1), F.lit(b + "--" + a), F.regexp_extract(text, p, 2), F.lit(b))))
-    for p, (a, b) in singles:
-        forms.append((p, F.concat(F.lit(a), F.regexp_extract(text, p, 1), F.lit(b))))
-    return F.coalesce(*[F.when(text.rlike(p), value) for p, value in forms])
+#: One pattern for all forms: a keyword with a single stamp, a range, a single stamp.
+_PLANNING = rf"(?U)^\s*(?:(?:(?:SCHEDULED|DEADLINE):\s*)?{_ANGLE}(?:--?-?{_ANGLE})?|(?:CLOSED:\s*)?{_SQUARE}(?:--?-?{_SQUARE})?)"
+_CREATED = rf"(?U)^\s*CREATED:\s*{_SQUARE}"
 
 
-def created_stamp(text: Column) -> Column:
-    p = rf"(?U)^\s*CREATED:\s*{_SQUARE}"
-    return F.when(text.rlike(p), F.concat(F.lit("CREATED: ["), F.regexp_extract(text, p, 1), F.lit("]")))
+def planning_stamps(texts: Column) -> Column:
+    """For each text the canonical stamp it begins with, or null: a keyword takes one stamp, without it a range has two."""
+    found = F.transform(F.transform(texts, lambda t: F.regexp_substr(t, F.lit(_PLANNING))), lambda m: F.regexp_replace(m, r"(?U)^\s+", ""))
+
+    def canonical(m: Column) -> Column:
+        single = lambda end: F.concat(F.substring_index(m, end, 1), F.lit(end))
+        angles, squares = F.regexp_replace(m, ">--?-?<", ">--<"), F.regexp_replace(m, r"\]--?-?\[", "]--[")
+        return F.when(m.startswith("<"), angles).when(m.startswith("["), squares).when(m.startswith("C"), single("]")).otherwise(single(">"))
+
+    return F.transform(found, canonical)
+
+
+def created_stamps(texts: Column) -> Column:
+    """For each text the creation stamp it begins with, or null."""
+    found = F.transform(texts, lambda t: F.when(t.contains("CREATED:"), F.regexp_extract(t, _CREATED, 1)))
+    return F.transform(found, lambda m: F.when(m != "", F.concat(F.lit("CREATED: ["), m, F.lit("]"))))
 
 
 def stamp_type(stamp: Column) -> Column:
@@ -58,6 +63,7 @@ def is_active(stamp: Column) -> Column:
     return F.when((angle > 0) | (square > 0), (angle > 0) & ((square == 0) | (angle < square)))
 
 
+#: Ranges, pairs of times, single times.
 _RANGE = r"[<\[]([^>\]]*)[>\]]--?-?[<\[]([^>\]]*)[>\]]"
 _PAIR, _ONE = r"\b([0-9]{1,2}:[0-9]{2})-([0-9]{1,2}:[0-9]{2})\b", r"\b([0-9]{1,2}:[0-9]{2})\b"
 
@@ -87,6 +93,7 @@ def _bracket_body(stamp: Column) -> Column:
 
 def repeater(stamp: Column) -> Column:
     """``struct(kind, n, unit)`` or null; a stamp whose date does not exist has none."""
+    # fixed values: the forms of a repeater and of a warning
     token = F.regexp_extract(_bracket_body(stamp), r"([.+]+[0-9]+(?:wd|[dwmyh]))", 1)
     # a leading plus too many is read as the number's own sign
     parts = r"^(\+\+|\.\+|\+)\+?([0-9]+)(wd|[dwmyh])$"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Characters that do not show but change what does.
 INVISIBLE = "[\u200b\u200e\u200f\u202a-\u202e\u2066-\u2069]"
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
+_MARKED = r"[`\[*_~\\&\n]"  # a text without any of these has no marks
 _CODE = r"(?s)(`+)(.+?)\1"
 
 
@@ -26,11 +27,13 @@ def without_marks(text: Column, keep_code: bool) -> Column:
         (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&amp;", "&"), (r"[ \t]*\n[ \t]*", ""),
     ):
         out = F.regexp_replace(out, pattern, to)
-    return out
+    return F.when(text.rlike(_MARKED), out).otherwise(text)
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at its ends; ASCII texts need no pattern for that."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.btrim(text, F.lit(" \t\n\x0b\f\r"))).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def scrubbed(text: Column) -> Column:

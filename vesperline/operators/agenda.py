@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vesperline.functions import recurrence as rec
 from vesperline.operators import workdays
+from vesperline.operators.ranking import ranked
+from vesperline.sources.scratch import as_table
 
 #: Days of warning before a deadline, and what has no priority.
 WARNING_DAYS, NO_PRIORITY = 14, 4294967295
@@ -16,11 +18,12 @@ BUCKETS = ("overdue", "scheduled_timed", "scheduled_no_time", "upcoming")
 
 
 def flat_list(tasks: DataFrame, done: bool = False, cancelled: bool = False, limit: int | None = None) -> DataFrame:
-    """Open tasks in list order with their ``position``; done and cancelled ones are asked for apart."""
+    """Open tasks with their ``position`` in list order; done and cancelled ones are asked for apart. With a limit, the
+    first ones in that order."""
     states = ["TODO"] + ["DONE"] * done + ["CANCELLED", "CANCELED"] * cancelled
     order = [F.col("priority_order"), F.col("timestamp_date").asc_nulls_last(), F.col("timestamp_time").asc_nulls_last(), F.col("root"), F.col("file"), F.col("line")]
-    kept = tasks.where(F.col("task_type").isin(states)).orderBy(*order)
-    return kept if limit is None else kept.limit(limit)
+    kept = tasks.where(F.col("task_type").isin(states))
+    return ranked(kept, [], order, "position") if limit is None else kept.orderBy(*order).limit(limit)
 
 
 def _lasting() -> Column:
@@ -44,91 +47,97 @@ def _missing() -> Column:
     return F.size("excluded_dates") + F.size("replaced_dates") + 1
 
 
-def with_grid_ends(series: DataFrame, calendar: DataFrame, current: date) -> DataFrame:
-    """``owed_date`` (arrears at the current date) and ``first_standing`` (from the base on) of each series.
+def _plain_ends(series: DataFrame, current: date) -> DataFrame:
+    """``owed_date`` (arrears at the current date) and ``first_standing`` (from the base on) of series on plain grids.
 
     Both look at as many grid dates as may be missing, one more, and no others.
     """
     today = f"date'{current.isoformat()}'"
-    plain = series.where("unit <> 'wd'")
-    back = rec.candidates("base", "n", "unit", today, "size(excluded_dates) + size(replaced_dates) + 1", ahead=False)
-    ahead = rec.candidates("base", "n", "unit", "base", "size(excluded_dates) + size(replaced_dates) + 1", ahead=True)
-    plain = plain.withColumns({
+    missing = "size(excluded_dates) + size(replaced_dates) + 1"
+    back = rec.candidates("base", "n", "unit", today, missing, ahead=False)
+    ahead = rec.candidates("base", "n", "unit", "base", missing, ahead=True)
+    return series.withColumns({
         "owed_date": rec.owed(back, F.col("excluded_dates"), F.col("replaced_dates")), "first_standing": rec.next_standing(ahead, F.col("excluded_dates"), F.col("replaced_dates")),
     })
-    work = series.where("unit = 'wd'")
+
+
+def _workday_ends(series: DataFrame, calendar: DataFrame, current: date, today_ord: int | None) -> DataFrame:
+    """The same of series on working days: the steps that may be needed, each joined to its day, gathered once by task.
+    ``today_ord`` is the current date's count of workdays; None where the calendar does not have it."""
     listed = calendar.where("is_workday").select("d", "wd_ord")
-    base = work.join(calendar.select(F.col("d").alias("base"), F.col("wd_ord").alias("_base")), "base")
-    at = calendar.where(F.col("d") == F.expr(today)).select(F.col("wd_ord").alias("_today"))  # one row
-    base = base.join(F.broadcast(at)).withColumn("_k", F.floor((F.col("_today") - F.col("_base")) / F.col("n")).cast("bigint"))
-
-    def reached(name: str, ks: Column, choose) -> DataFrame:
-        """Ordinals of some steps, joined to their days and gathered again for each task."""
-        steps = base.select("root", "file", "line", "base", "_base", "n", F.explode(ks).alias("_step"))
-        steps = steps.withColumn("wd_ord", F.col("_base") + F.col("_step") * F.col("n")).join(listed, "wd_ord", "left")
-        day = F.when(F.col("_step") == 0, F.col("base")).otherwise(F.col("d"))
-        return steps.groupBy("root", "file", "line").agg(F.array_sort(F.collect_set(day)).alias(name))
-
-    before = F.when(F.expr(today) >= F.col("base"), F.sequence(F.greatest(F.lit(0), F.col("_k") - _missing()), F.greatest(F.lit(0), F.col("_k"))))
-    grids = reached("_back", F.coalesce(before, F.array().cast("array<bigint>")), None)
-    coming = reached("_ahead", F.sequence(F.lit(0).cast("bigint"), _missing().cast("bigint")), None)
-    same = lambda a, b: (F.col(f"{a}.root").eqNullSafe(F.col(f"{b}.root"))) & (F.col(f"{a}.file") == F.col(f"{b}.file")) & (F.col(f"{a}.line") == F.col(f"{b}.line"))
-    none = F.array().cast("array<date>")
-    joined = work.alias("w").join(grids.alias("g"), same("w", "g"), "left").join(coming.alias("h"), same("w", "h"), "left").select("w.*", "g._back", "h._ahead")
-    joined = joined.withColumns({
-        "owed_date": rec.owed(F.coalesce("_back", none), F.col("excluded_dates"), F.col("replaced_dates")),
-        "first_standing": rec.next_standing(F.coalesce("_ahead", none), F.col("excluded_dates"), F.col("replaced_dates")),
+    key = ["root", "file", "line"]
+    steps = series.join(calendar.select(F.col("d").alias("base"), F.col("wd_ord").alias("_base")), "base")
+    k = F.greatest(F.lit(0), F.floor((F.lit(today_ord) - F.col("_base")) / F.col("n")).cast("bigint"))
+    none = F.array().cast("array<bigint>")
+    back = F.coalesce(F.when(F.lit(current.isoformat()).cast("date") >= F.col("base"), F.sequence(F.greatest(F.lit(0), k - _missing()), k)), none)
+    ahead = F.sequence(F.lit(0).cast("bigint"), _missing().cast("bigint"))
+    steps = steps.select(*key, "base", "_base", "n", F.explode(F.array_union(back, ahead)).alias("_step"), back.alias("_back"), ahead.alias("_ahead"))
+    steps = steps.withColumn("wd_ord", F.col("_base") + F.col("_step") * F.col("n")).join(listed, "wd_ord", "left")
+    day = F.when(F.col("_step") == 0, F.col("base")).otherwise(F.col("d"))
+    days = [F.collect_set(F.when(F.array_contains(side, F.col("_step")), day)).alias(side) for side in ("_back", "_ahead")]
+    grids = steps.groupBy(*key).agg(*days)
+    same = F.col("w.root").eqNullSafe(F.col("g.root")) & (F.col("w.file") == F.col("g.file")) & (F.col("w.line") == F.col("g.line"))
+    joined = series.alias("w").join(grids.alias("g"), same, "left").select("w.*", "g._back", "g._ahead")
+    empty = F.array().cast("array<date>")
+    return joined.withColumns({
+        "owed_date": rec.owed(F.coalesce("_back", empty), F.col("excluded_dates"), F.col("replaced_dates")),
+        "first_standing": rec.next_standing(F.coalesce("_ahead", empty), F.col("excluded_dates"), F.col("replaced_dates")),
     }).drop("_back", "_ahead")
-    return plain.unionByName(joined)
 
 
 def agenda(tasks: DataFrame, calendar: DataFrame, first: date, last: date, current: date) -> DataFrame:
     """``(day, bucket, rank, days_offset, ...)`` for the days from ``first`` to ``last``.
 
-    ``tasks`` have ``excluded_dates`` and ``replaced_dates`` (see ``exceptions.with_replaced``). Occurrences are
-    generated inside the window; overdue and upcoming entries stand on the current date alone.
+    ``tasks`` have ``excluded_dates`` and ``replaced_dates`` (see ``exceptions.with_replaced``). A task's entries are made
+    in one pass over it: occurrences inside the window; overdue and upcoming entries on the current date alone. They are
+    written once, for the ranges of their order are chosen by a look at them.
     """
     rows = series_of(tasks)
-    single = rows.where("rep is null")
-    series = rows.where("rep is not null")
+    single, plain, work = rows.where("rep is null"), rows.where("unit <> 'wd'"), rows.where("unit = 'wd'")
     lo, hi, today = (F.lit(x.isoformat()).cast("date") for x in (first, last, current))
     in_view = first <= current <= last
     timed = F.when(F.col("timestamp_time").isNotNull(), "scheduled_timed").otherwise("scheduled_no_time")
-    stamp = F.col("timestamp")
-
-    def cell(df: DataFrame, day: Column, bucket: Column, offset: Column, text: Column, shown: Column, keep_time: bool) -> DataFrame:
-        time = F.col("timestamp_time") if keep_time else F.lit(None).cast("string")
-        return df.select(
-            day.alias("day"), bucket.alias("bucket"), "root", "file", "line", "heading", "task_type", "priority", "priority_order", "timestamp_type",
-            shown.cast("date").alias("date"), time.alias("time"), text.alias("stamp"), offset.cast("int").alias("days_offset"),
-        )
-
-    none = F.lit(None).cast("int")
-    out = cell(single.where(F.col("base").between(lo, hi)), F.col("base"), timed, none, stamp, F.col("base"), True)
-    within = lambda df: df.where(~F.array_contains("excluded_dates", F.col("day")) & ~F.array_contains("replaced_dates", F.col("day")))
-    plain = series.where("unit <> 'wd'").withColumn("day", F.explode(rec.occurrences("base", "n", "unit", f"date'{first}'", f"date'{last}'")))
-    work = workdays.occurrences(series.where("unit = 'wd'"), calendar, first.isoformat(), last.isoformat())
-    drawn = within(plain.select(*series.columns, "day").unionByName(work.select(*series.columns, "day")))
-    text = F.when(F.col("timestamp_type").isNotNull(), cell_stamp(F.col("timestamp_type"), F.col("day"), F.col("timestamp_time"), F.col("timestamp_repeater")))
-    out = out.unionByName(cell(drawn, F.col("day"), timed, none, text, F.col("day"), True))
+    deadline = F.coalesce(F.col("timestamp_type") == "DEADLINE", F.lit(False))
+    kept = ["root", "file", "line", "heading", "task_type", "priority", "priority_order", "timestamp_type"]
+
+    def entry(day: Column, bucket, shown: Column, stamp: Column, offset: Column | None = None) -> Column:
+        time = F.col("timestamp_time") if offset is None else F.lit(None).cast("string")
+        days = F.lit(None).cast("int") if offset is None else offset.cast("int")
+        return F.struct(day.alias("day"), (F.lit(bucket) if isinstance(bucket, str) else bucket).alias("bucket"), shown.cast("date").alias("date"), time.alias("time"), stamp.alias("stamp"), days.alias("days_offset"))
+
+    def entries(df: DataFrame, *found: Column) -> DataFrame:
+        """One row for each entry that is not null."""
+        return df.select(*kept, F.inline(F.filter(F.array(*found), lambda e: e.isNotNull())))
+
+    def cell(day: Column) -> Column:
+        return F.when(F.col("timestamp_type").isNotNull(), cell_stamp(F.col("timestamp_type"), day, F.col("timestamp_time"), F.col("timestamp_repeater")))
+
+    ahead = F.datediff("base", today)
+    warned = F.coalesce("warning_days", F.lit(WARNING_DAYS))
+    once = [F.when(F.col("base").between(lo, hi), entry(F.col("base"), timed, F.col("base"), F.col("timestamp")))]
+    stands = lambda d: ~F.array_contains("excluded_dates", d) & ~F.array_contains("replaced_dates", d)
+    drawn = F.transform(F.filter(rec.occurrences("base", "n", "unit", f"date'{first}'", f"date'{last}'"), stands), lambda d: entry(d, timed, d, cell(d)))
+    if in_view:
+        once.append(F.when((F.col("base") < today) & _lasting(), entry(today, "overdue", F.col("base"), F.col("timestamp"), ahead)))
+        once.append(F.when(deadline & (ahead > 0) & (ahead <= warned), entry(today, "upcoming", F.col("base"), F.col("timestamp"), ahead)))
+    left = F.datediff("first_standing", today)
+    text = cell_stamp(F.col("timestamp_type"), F.col("owed_date"), F.lit(None).cast("string"), F.col("timestamp_repeater"))
+    ends = [
+        F.when(_lasting() & (F.col("owed_date") < today), entry(today, "overdue", F.col("owed_date"), text, F.datediff("owed_date", today))),
+        F.when(_lasting() & deadline & (today < F.col("base")) & (left > 0) & (left <= warned), entry(today, "upcoming", F.col("base"), F.col("timestamp"), left)),
+    ]
+    out = entries(single, *once)
+    both = F.concat(drawn, F.filter(F.array(*ends), lambda e: e.isNotNull())) if in_view else drawn
+    out = out.unionByName((_plain_ends(plain, current) if in_view else plain).select(*kept, F.inline(both)))
+    work_days = workdays.occurrences(work, calendar, first.isoformat(), last.isoformat()).where(stands(F.col("day")))
+    out = out.unionByName(work_days.select(*kept, F.inline(F.array(entry(F.col("day"), timed, F.col("day"), cell(F.col("day")))))))
     if in_view:
-        ahead = F.datediff("base", today)
-        window = F.coalesce("warning_days", F.lit(WARNING_DAYS))
-        late = single.where((F.col("base") < today) & _lasting())
-        out = out.unionByName(cell(late, today, F.lit("overdue"), ahead, stamp, F.col("base"), False))
-        soon = single.where((F.col("timestamp_type") == "DEADLINE") & (ahead > 0) & (ahead <= window))
-        out = out.unionByName(cell(soon, today, F.lit("upcoming"), ahead, stamp, F.col("base"), False))
-        works = calendar.where(F.col("d") == today).select(F.col("is_workday").alias("_works"))  # one row
-        ends = with_grid_ends(series.where(_lasting()), calendar, current).join(F.broadcast(works))
-        behind = ends.where((F.col("owed_date") < today) & ((F.col("unit") != "wd") | F.col("_works")))
-        text = cell_stamp(F.col("timestamp_type"), F.col("owed_date"), F.lit(None).cast("string"), F.col("timestamp_repeater"))
-        out = out.unionByName(cell(behind, today, F.lit("overdue"), F.datediff("owed_date", today), text, F.col("owed_date"), False))
-        left = F.datediff("first_standing", today)
-        coming = ends.where((F.col("timestamp_type") == "DEADLINE") & (today < F.col("base")) & (left > 0) & (left <= window))
-        out = out.unionByName(cell(coming, today, F.lit("upcoming"), left, stamp, F.col("base"), False))
+        here = calendar.where(F.col("d") == today).first()  # a scalar: the plan needs no join for it
+        behind = F.when(F.lit(bool(here and here.is_workday)), ends[0])
+        out = out.unionByName(entries(_workday_ends(work.where(_lasting()), calendar, current, here and here.wd_ord), behind, ends[1]))
     by = F.when(F.col("bucket") == "scheduled_no_time", F.col("priority_order")).when(F.col("bucket") != "scheduled_timed", F.col("days_offset").cast("bigint"))
-    order = Window.partitionBy("day", "bucket").orderBy(by.asc_nulls_first(), F.col("time").asc_nulls_first(), "root", "file", "line")
-    return out.withColumn("rank", F.row_number().over(order)).drop("priority_order")
+    order = [by.asc_nulls_first(), F.col("time").asc_nulls_first(), F.col("root"), F.col("file"), F.col("line")]
+    return ranked(as_table(out), ["day", "bucket"], order).drop("priority_order")
 
 
 def day_counts(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vesperline.functions.text import trimmed
+from vesperline.sources.scratch import as_table
 
 _CLOCK = r"^(?:[01]?[0-9]|2[0-3]):[0-5]?[0-9](?::[0-5]?[0-9])?$"
 _DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
@@ -60,11 +61,23 @@ def replacements(tasks: DataFrame) -> DataFrame:
     return both.groupBy("series_id").agg(F.array_sort(F.collect_set("recurrence_date")).alias("replaced_dates"))
 
 
+_BROADCAST = 8 << 20
+
+
 def with_replaced(tasks: DataFrame) -> DataFrame:
-    """Tasks with ``series_key`` (their own ID) and ``replaced_dates``; every row with an ID gets its series' set."""
+    """Tasks with ``series_key`` (their own ID) and ``replaced_dates``; every row with an ID gets its series' set.
+
+    ``tasks`` is read twice and should be a written table. The sets are written, and sent to all tasks only where they
+    are a few megabytes; beyond, rows with an ID are shuffled to them, and rows without one stay where they are.
+    """
     keyed = tasks.withColumn("series_key", F.try_element_at("properties", F.lit("ID")))
-    found = replacements(tasks).withColumnRenamed("series_id", "series_key")
-    joined = keyed.join(found, "series_key", "left")
+    found = as_table(replacements(tasks).withColumnRenamed("series_id", "series_key"))
+    size = found.agg(F.sum(64 + F.length("series_key") + 4 * F.size("replaced_dates"))).first()[0] or 0
+    if size <= _BROADCAST:
+        joined = keyed.join(F.broadcast(found), "series_key", "left")
+    else:
+        alone = keyed.where("series_key is null").withColumn("replaced_dates", F.lit(None).cast("array<date>"))
+        joined = keyed.where("series_key is not null").join(found, "series_key", "left").unionByName(alone)
     empty = F.array().cast("array<date>")
     return joined.withColumns({"replaced_dates": F.coalesce("replaced_dates", empty), "excluded_dates": F.coalesce("excluded_dates", empty)}).withColumn(
         "missing_dates", F.array_union("excluded_dates", "replaced_dates")

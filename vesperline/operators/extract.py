@@ -1,7 +1,6 @@
-"""Notes to tasks: blocks, sections, headings, stamps, clocks and properties as one corpus job.
+"""Notes to tasks: headings, stamps, clocks and properties of sections as column expressions.
 
-Lines are windowed within their note, so the one shuffle deals notes out by their name; everything after it stays in
-that partitioning.
+Sections come from ``operators.blocks`` where each note lies, so a corpus is never shuffled by its lines.
 """
 
 from __future__ import annotations
@@ -11,84 +10,30 @@ from pyspark.sql import functions as F
 
 from vesperline.functions import stamps
 from vesperline.functions.text import code_spans, trimmed, without_marks
+from vesperline.operators.blocks import sections
+from vesperline.sources.scratch import as_table
 
 #: Clock bodies, hours of a clock, tasks of a run.
 CLOCK_BODY, MAX_HOURS, MAX_TASKS = 128, 10_000, 10_000
 KEY = ["root", "file"]
 
-_HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
-_FENCE = r"^ {0,3}(`{3,}|~{3,})"
-_CONTAINER = r"^ {0,3}(?:>|[-+*][ \t]|[0-9]{1,9}[.)][ \t])"
-_RULE = r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$"
-
-
-def lines(notes: DataFrame) -> DataFrame:
-    """``(root, file, line, text)``, lines numbered from 1."""
-    return notes.select(*KEY, F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "text")).select(*KEY, (F.col("pos") + 1).alias("line"), "text")
-
-
-def classified(notes: DataFrame) -> DataFrame:
-    """Lines with ``kind`` (heading, fence, code, blank, rule, container, text), ``section`` (the line of the heading
-    above) and ``block`` (a running number)."""
-    rows = lines(notes)
-    order = Window.partitionBy(*KEY).orderBy("line")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.col("text").rlike(_FENCE)
-    marked = rows.withColumn("fence", fence).withColumn("inside", F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)) % 2 == 1)
-    blank = F.col("text").rlike(r"^[ \t]*$")
-    kind = (
-        F.when(F.col("fence"), "fence").when(F.col("inside"), "code").when(blank, "blank").when(F.col("text").rlike(_HEADING), "heading")
-        .when(F.col("text").rlike(_RULE), "rule").when(F.col("text").rlike("^(?: {4}|\t)"), "indented").when(F.col("text").rlike(_CONTAINER), "container").otherwise("text")
-    )
-    marked = marked.withColumn("kind", kind).withColumn("next", F.lead("text").over(order)).withColumn("last", F.lag("kind").over(order))
-    # a text line over a row of = or - is a heading too
-    underlined = (F.col("kind") == "text") & F.col("next").rlike(r"^ {0,3}(?:=+|-+)[ \t]*$") & ~F.col("next").rlike(_CONTAINER)
-    marked = marked.withColumn("kind", F.when(underlined & F.coalesce(F.col("last") != "text", F.lit(True)), "setext").otherwise(F.col("kind")))
-    marked = marked.withColumn("last", F.lag("kind").over(order))
-    marked = marked.withColumn("kind", F.when((F.col("last") == "setext") & F.col("kind").isin("rule", "text"), "underline").otherwise(F.col("kind")))
-    # an indented line goes on with a paragraph or a container; elsewhere it is code
-    lead = F.last(F.when(~F.col("kind").isin("indented", "blank"), F.col("kind")), ignorenulls=True).over(before)
-    marked = marked.withColumn("last", F.lag("kind").over(order)).withColumn("lead", lead)
-    run_on = (F.col("kind") == "indented") & (F.col("last") == "text")
-    held = (F.col("kind") == "indented") & (F.col("lead") == "container")
-    lazy = (F.col("kind") == "text") & (F.col("last") == "container")
-    marked = marked.withColumn("kind", F.when(run_on, "text").when(held | lazy, "container").otherwise(F.col("kind")))
-    heading = F.col("kind").isin("heading", "setext")
-    section = F.last(F.when(heading, F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    group = F.when(F.col("kind").isin("code", "fence"), "fenced").otherwise(F.col("kind"))
-    marked = marked.withColumn("section", section).withColumn("group", group).withColumn("last", F.lag(group).over(order))
-    opens = F.col("kind").isin("heading", "setext", "rule") | (F.col("group") != F.coalesce("last", F.lit(""))) | ((F.col("kind") == "fence") & ~F.col("inside"))
-    return marked.withColumn("block", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def sections(notes: DataFrame) -> DataFrame:
-    """``(root, file, line, level, title, blocks)``: what belongs to each heading; text before the first is dropped."""
-    rows = classified(notes).where(F.col("section").isNotNull())
-    rows = rows.where(F.col("kind").isin("heading", "setext", "text", "indented", "fence", "code"))
-    block = rows.groupBy(*KEY, "section", "block").agg(
-        F.min("line").alias("at"), F.min_by("kind", "line").alias("kind"), F.min_by("text", "line").alias("head"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "fence", F.struct("line", "text")))), lambda x: x["text"]), "\n").alias("body"),
-    )
-    is_heading = F.col("kind").isin("heading", "setext")
-    item = F.struct("at", "kind", "body", F.when(F.col("kind") == "fence", F.trim(F.regexp_replace("head", _FENCE, ""))).alias("info"))
-    title = F.when(F.col("kind") == "heading", F.regexp_extract("head", _HEADING, 2)).otherwise(F.trim("head"))
-    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("head", _HEADING, 1)))
-    out = block.groupBy(*KEY, F.col("section").alias("line")).agg(
-        F.max(F.when(is_heading, title)).alias("title"), F.max(F.when(is_heading, level)).alias("level"),
-        F.array_sort(F.collect_list(F.when(~is_heading, item))).alias("blocks"),
-    )
-    return out.select(*KEY, "line", "level", "title", "blocks")
+#: States that open a heading, and its priority mark.
+STATE = r"(?U)^(TODO|DONE|CANCELLED|CANCELED)\s+"
+MARK = r"\[#([A-Z]|6[0-4]|[1-5][0-9]|[0-9])\]"
 
 
-def heading_fields(title: Column) -> tuple[Column, Column, Column]:
-    """(state, priority, display text). The mark goes from the text only where it opens it."""
-    shown = without_marks(title, keep_code=True)
-    state = r"(?U)^(TODO|DONE|CANCELLED|CANCELED)\s+"
-    mark = r"\[#([A-Z]|6[0-4]|[1-5][0-9]|[0-9])\] ?"
-    keyword = F.regexp_extract(shown, state, 1)
-    rest = F.regexp_replace(shown, state, "")
-    priority = F.regexp_extract(rest, mark, 1)
-    return F.nullif(keyword, F.lit("")), F.nullif(priority, F.lit("")), F.regexp_replace(rest, "^" + mark, "")
+def _computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, here: later filters and uses read their values."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def heading_fields(shown: Column) -> tuple[Column, Column, Column]:
+    """(state, priority, display text) of a title without markup. The mark goes from the text only where it opens it."""
+    keyword = F.regexp_extract(shown, STATE, 1)
+    rest = F.when(keyword != "", F.regexp_replace(shown, STATE, "")).otherwise(shown)
+    marked = shown.contains("[#")
+    priority = F.when(marked, F.nullif(F.regexp_extract(rest, MARK, 1), F.lit("")))
+    return F.nullif(keyword, F.lit("")), priority, F.when(marked, F.regexp_replace(rest, "^" + MARK + " ?", "")).otherwise(rest)
 
 
 def clock_entries(text: Column) -> Column:
@@ -99,11 +44,9 @@ def clock_entries(text: Column) -> Column:
     second = rf"^CLOCK:\s*[\[<]{body}[\]>]--[\[<]({body})[\]>]"
     spent = r"=>\s*([0-9]{1,5}:[0-9]{1,2})$"
 
-    def fields(e: Column) -> Column:
-        part = lambda p: F.nullif(F.regexp_extract(e, p, 1), F.lit(""))
-        return F.struct(part(first).alias("start"), part(second).alias("end"), part(spent).alias("duration"))
-
-    return F.transform(F.regexp_extract_all(text, F.lit(entry), F.lit(0)), fields)
+    part = lambda e, p: F.regexp_extract(e, p, 1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(entry), F.lit(0)), lambda e: F.struct(part(e, first).alias("start"), part(e, second).alias("end"), part(e, spent).alias("duration")))
+    return F.transform(found, lambda c: F.struct(*[F.nullif(c[n], F.lit("")).alias(n) for n in ("start", "end", "duration")]))
 
 
 def minutes(duration: Column) -> Column:
@@ -124,43 +67,60 @@ def clock_total(clocks: Column) -> Column:
     return F.when((F.size(found) > 0) & (total <= 4294967295), total)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def property_map(block_texts: Column) -> Column:
     """Key to value over all property blocks: split at the first colon, trimmed; the last of equal keys wins."""
-    pairs = F.flatten(F.transform(block_texts, lambda t: F.split(t, "\n")))
-    pairs = F.filter(F.transform(pairs, lambda x: F.struct(trimmed(F.substring_index(x, ":", 1)).alias("key"), F.when(x.contains(":"), trimmed(F.regexp_replace(x, "^[^:]*:", ""))).alias("value"))), lambda p: p["value"].isNotNull() & (p["key"] != ""))
-    keys = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["key"])))
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]
-    return F.when(F.size(keys) > 0, F.map_from_arrays(keys, F.transform(keys, last)))
+
+    def mapped(pairs: Column) -> Column:
+        keys = F.sort_array(F.array_distinct(F.transform(pairs, lambda p: p["key"])))
+        last = lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]
+        return F.when(F.size(pairs) > 0, _bound(keys, lambda ks: F.map_from_arrays(ks, F.transform(ks, last))))
+
+    # one step after the other: what a step makes is computed once
+    lines = F.filter(F.flatten(F.transform(block_texts, lambda t: F.split(t, "\n"))), lambda x: x.contains(":"))
+    cut = F.transform(lines, lambda x: F.struct(x.alias("line"), F.substring_index(x, ":", 1).alias("key")))
+    cut = F.transform(cut, lambda p: F.struct(p["key"].alias("key"), p["line"].substr(F.length(p["key"]) + 2, F.length(p["line"])).alias("value")))
+    pairs = F.transform(cut, lambda p: F.struct(trimmed(p["key"]).alias("key"), trimmed(p["value"]).alias("value")))
+    return _bound(F.filter(pairs, lambda p: p["key"] != ""), mapped)
 
 
 def parsed_sections(notes: DataFrame) -> DataFrame:
     """Sections with the fields of their headings and blocks; not every one is a task."""
     out = sections(notes)
-    state, priority, heading = heading_fields(F.col("title"))
 
     def texts(b: Column) -> Column:
-        stripped = F.regexp_replace(trimmed(F.when(b["kind"] == "indented", F.regexp_replace(b["body"], r"(?m)^(?: {4}|\t)", "")).otherwise(b["body"])), r"(?s)^(`+)(.+?)\1$", "$2")
-        spans = F.when(b["kind"] == "text", code_spans(b["body"])).otherwise(F.array(stripped))
+        bare = F.when(b["kind"] == "indented", F.regexp_replace(b["body"], r"(?m)^(?: {4}|\t)", "")).otherwise(b["body"])
+        literal = F.transform(F.transform(F.array(bare), trimmed), lambda t: F.when(t.startswith("`"), F.regexp_replace(t, r"(?s)^(`+)(.+?)\1$", "$2")).otherwise(t))
+        spans = F.when(b["kind"] != "text", literal).when(b["body"].contains("`"), code_spans(b["body"])).otherwise(F.array().cast("array<string>"))
         return F.transform(spans, stamps.english_weekdays)
 
     def first(values: Column) -> Column:
         return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
-    is_properties = lambda b: F.coalesce((b["kind"] == "fence") & (b["info"] == "org-properties"), F.lit(False))
-    plain = F.filter("blocks", lambda b: ~is_properties(b))
-    per_block = F.transform(plain, texts)
-    stamps_found = F.filter(F.transform(per_block, lambda t: first(F.transform(t, stamps.planning_stamp))), lambda s: s.isNotNull())
-    created_found = F.filter(F.transform(per_block, lambda t: first(F.transform(t, stamps.created_stamp))), lambda s: s.isNotNull())
-    paragraphs = F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: trimmed(without_marks(b["body"], keep_code=False)))
-    clocks = F.flatten(F.transform(F.flatten(per_block), clock_entries))
-    out = out.select(
-        *KEY, "line", "level", heading.alias("heading"), F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n").alias("content"),
-        state.alias("task_type"), priority.alias("priority"),
-        F.try_element_at(created_found, F.lit(-1)).alias("created"), F.try_element_at(stamps_found, F.lit(-1)).alias("timestamp"),
-        F.when(F.size(clocks) > 0, clocks).alias("clocks"),
-        property_map(F.transform(F.filter("blocks", is_properties), lambda b: b["body"])).alias("properties"),
-        F.transform(F.filter("blocks", is_properties), lambda b: F.struct(b["at"].alias("at"), b["body"].alias("body"))).alias("property_blocks"),
+    def last(values: Column) -> Column:
+        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+
+    is_properties = lambda b: F.coalesce(b["info"] == "org-properties", F.lit(False))
+    out = _computed(
+        out, [*KEY, "line", "level"],
+        shown=without_marks(F.col("title"), keep_code=True),
+        texts=F.transform(F.filter("blocks", lambda b: ~is_properties(b)), texts),
+        paragraphs=F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: without_marks(b["body"], keep_code=False)),
+        property_blocks=F.transform(F.filter("blocks", is_properties), lambda b: F.struct(b["at"].alias("at"), b["body"].alias("body"))),
+    )
+    state, priority, heading = heading_fields(F.col("shown"))
+    clocks = F.flatten(F.transform(F.filter(F.flatten("texts"), lambda t: t.contains("CLOCK:")), clock_entries))
+    out = _computed(
+        out, [*KEY, "line", "level", "property_blocks"],
+        heading=heading, content=F.array_join(F.filter(F.transform("paragraphs", trimmed), lambda p: p != ""), "\n\n"), task_type=state, priority=priority,
+        created=last(F.transform("texts", lambda t: first(stamps.created_stamps(t)))), timestamp=last(F.transform("texts", lambda t: first(stamps.planning_stamps(t)))),
+        found_clocks=clocks, properties=property_map(F.transform("property_blocks", lambda b: b["body"])),
     )
+    out = out.withColumn("clocks", F.when(F.size("found_clocks") > 0, F.col("found_clocks"))).drop("found_clocks")
     start, end = stamps.stamp_times(F.col("timestamp"))
     return out.select(
         "*", stamps.priority_order(F.col("priority")).alias("priority_order"), stamps.stamp_type(F.col("timestamp")).alias("timestamp_type"),
@@ -182,8 +142,8 @@ def tasks(notes: DataFrame) -> DataFrame:
 
 
 def capped(found: DataFrame, cap: int = MAX_TASKS) -> DataFrame:
-    """The first ``cap`` tasks of a run; no note sends more than that to the final order."""
+    """The first ``cap`` tasks of a run. Each task sends on its own first ones, and they are written before the cut."""
     if not 1 <= cap <= 10_000_000:
         raise ValueError("the cap is between 1 and 10,000,000")
     within = F.row_number().over(Window.partitionBy(*KEY).orderBy("line"))
-    return found.withColumn("_n", within).where(F.col("_n") <= cap).drop("_n").orderBy("root", "file", "line").limit(cap)
+    return as_table(found).withColumn("_n", within).where(F.col("_n") <= cap).drop("_n").orderBy("root", "file", "line").limit(cap)

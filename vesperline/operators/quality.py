@@ -43,9 +43,15 @@ def findings(sections: DataFrame) -> DataFrame:
     return out.select(_COLUMNS)
 
 
+CHANNELS = ("timestamp", "property")
+
+
 def first_findings(found: DataFrame, n: int = SHOWN) -> DataFrame:
-    """The first ``n`` findings of each channel; each note keeps at most that many before the last order."""
+    """The first ``n`` findings of each channel, by tasks and then among what each task sends on; only those few get
+    their position."""
     order = ["root", "file", "line", "key", "value", "problem"]
-    near = F.row_number().over(Window.partitionBy("channel", "root", "file").orderBy(*order))
-    few = found.withColumn("_n", near).where(F.col("_n") <= n).drop("_n")
-    return few.withColumn("position", F.row_number().over(Window.partitionBy("channel").orderBy(*order))).where(F.col("position") <= n)
+    few = None
+    for channel in CHANNELS:
+        first = found.where(F.col("channel") == channel).orderBy(*order).limit(n)
+        few = first if few is None else few.unionByName(first)
+    return few.withColumn("position", F.row_number().over(Window.partitionBy("channel").orderBy(*order)))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesperline.operators.extract import classified
+from vesperline.operators.blocks import sections
+from vesperline.operators.extract import MARK, STATE
 
 _LINE = r"^ {0,3}(#{1,6})[ \t]+"
-_STATE = r"(?U)^(TODO|DONE|CANCELLED|CANCELED)\s+"
-_MARK = r"\[#(?:[A-Z]|6[0-4]|[1-5][0-9]|[0-9])\]"
 
 
 def _bytes_before(text: Column, chars: Column) -> Column:
@@ -24,17 +23,17 @@ def _span(text: Column, begin: Column, token: Column) -> Column:
 
 def heading_spans(notes: DataFrame) -> DataFrame:
     """``(root, file, line, level, state, mark, title)`` of every heading line; the parts are spans with their text."""
-    rows = classified(notes).where("kind = 'heading'").where(F.col("text").rlike(_LINE))
-    t = F.col("text")
+    rows = sections(notes).where(F.col("written").rlike(_LINE))
+    t = F.col("written")
     lead = F.length(F.regexp_substr(t, F.lit(_LINE)))
     rest = F.substring(t, lead + 1, F.length(t))
-    gap = F.coalesce(F.length(F.regexp_substr(rest, F.lit(_STATE))), F.lit(0))
-    state = F.regexp_extract(rest, _STATE, 1)
+    gap = F.coalesce(F.length(F.regexp_substr(rest, F.lit(STATE))), F.lit(0))
+    state = F.regexp_extract(rest, STATE, 1)
     after = F.substring(rest, gap + 1, F.length(rest))
-    mark = F.coalesce(F.regexp_substr(after, F.lit(_MARK)), F.lit(""))
+    mark = F.coalesce(F.regexp_substr(after, F.lit(MARK)), F.lit(""))
     place = F.instr(after, mark) - 1
     opens = (mark != "") & (place == 0)
-    skip = F.when(opens, F.length(F.regexp_substr(after, F.lit(_MARK + " ?")))).otherwise(0)
+    skip = F.when(opens, F.length(F.regexp_substr(after, F.lit(MARK + " ?")))).otherwise(0)
     title = F.regexp_replace(F.substring(after, skip + 1, F.length(after)), r"[ \t]+$", "")
     return rows.select(
         "root", "file", "line", F.length(F.regexp_extract(t, _LINE, 1)).alias("level"), _span(t, lead, state).alias("state"),

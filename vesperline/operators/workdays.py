@@ -45,12 +45,12 @@ def bracket(series: DataFrame, calendar: DataFrame, day: str = "c") -> DataFrame
 def occurrences(series: DataFrame, calendar: DataFrame, first: str, last: str) -> DataFrame:
     """One row (``day``) for each working-day occurrence in the window: ordinals are generated, then joined to days."""
     edge = calendar.agg(
-        F.coalesce(F.max(F.when(F.col("d") < F.lit(first).cast("date"), F.col("wd_ord"))), F.lit(0)).alias("_lo"),
-        F.max(F.when(F.col("d") <= F.lit(last).cast("date"), F.col("wd_ord"))).alias("_hi"),
-    )  # one row
-    rows = series.join(_at(calendar, "base"), "base").join(F.broadcast(edge))
-    lo = F.greatest(F.lit(1), F.ceil((F.col("_lo") + 1 - F.col("base_ord")) / F.col("n")).cast("bigint"))
-    hi = F.floor((F.col("_hi") - F.col("base_ord")) / F.col("n")).cast("bigint")
+        F.coalesce(F.max(F.when(F.col("d") < F.lit(first).cast("date"), F.col("wd_ord"))), F.lit(0)).alias("lo"),
+        F.max(F.when(F.col("d") <= F.lit(last).cast("date"), F.col("wd_ord"))).alias("hi"),
+    ).first()  # two scalars of the calendar, known before the series are read
+    rows = series.join(_at(calendar, "base"), "base")
+    lo = F.greatest(F.lit(1), F.ceil((F.lit(edge.lo + 1) - F.col("base_ord")) / F.col("n")).cast("bigint"))
+    hi = F.floor((F.lit(edge.hi) - F.col("base_ord")) / F.col("n")).cast("bigint")
     ks = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
     later = rows.withColumn("_o", F.explode(F.transform(ks, lambda k: F.col("base_ord") + k * F.col("n"))))
     later = later.join(_of(calendar, "_o", "day"), "_o").select(*series.columns, "day")

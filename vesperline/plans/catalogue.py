@@ -36,8 +36,8 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks with the dates missing from their series, as a table."""
-    return as_table(exceptions.with_replaced(_written(spark, sf_dir)))
+    """Tasks with the dates missing from their series."""
+    return exceptions.with_replaced(_written(spark, sf_dir))
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,12 +158,7 @@ def task_json(spark, sf_dir):
 
 
 def _listed(spark, sf_dir, **which):
-    from pyspark.sql import Window
-
-    t = ag.flat_list(_tasks(spark, sf_dir), **which)
-    # the rank of a task among those of its note and state, which stays within a partition
-    order = Window.partitionBy("root", "file").orderBy("priority_order", F.col("timestamp_date").asc_nulls_last(), F.col("timestamp_time").asc_nulls_last(), "line")
-    return t.select("root", "file", "line", "heading", "task_type", "priority", "timestamp", F.row_number().over(order).alias("position"))
+    return ag.flat_list(_written(spark, sf_dir), **which).select("root", "file", "line", "heading", "task_type", "priority", "timestamp", "position")
 
 
 def tasks_flat_list(spark, sf_dir):
@@ -341,7 +336,7 @@ def hidden_characters(spark, sf_dir):
 
 # --- SQL ---------------------------------------------------------------------------------------------------------
 
-_RANK = "row_number() over (partition by root, file order by coalesce(case when regexp_full_match(priority, '[0-9]+') then cast(priority as bigint) else ascii(priority) end, 4294967295), cast(d as varchar), start_time nulls last, line)"
+_RANK = "row_number() over (order by coalesce(case when regexp_full_match(priority, '[0-9]+') then cast(priority as bigint) else ascii(priority) end, 4294967295), cast(d as varchar), start_time nulls last, root, file, line)"
 _NOTE = "(select c_custkey, c_mktsegment as root from customer) n"
 _PLAIN = "'d','w','h','m','y'"
 

@@ -81,7 +81,7 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"""
     with a as ({attributes_sql(True)}),
     spent as (
-      select k, array_join(transform(array_sort(collect_list(struct(pos, concat('CLOCK: [', clock_start, ']', coalesce(concat('--[', clock_end, '] => ', duration), '')) as t))), x -> x.t), ' ') as clocks
+      select k, array_join(sort_array(collect_list(struct(pos, concat('CLOCK: [', clock_start, ']', coalesce(concat('--[', clock_end, '] => ', duration), '')) as t))).t, ' ') as clocks
       from ({clocks_sql(True)}) group by k),
     parts as (
       select a.file, a.c, a.k, concat_ws('\\n',
@@ -93,5 +93,5 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         '```org-properties', concat('ID: order-', a.k), coalesce(concat('EXDATE: ', exdate), 'NOTE: none'), coalesce(concat('SERIES_ID: ', series), 'NOTE:  last '),
         coalesce(concat('RECURRENCE_ID: ', recurrence), case when a.k % 13 = 0 then 'no pair here' else '' end), '```', '', 'Second paragraph.') as section
       from a left join spent on a.k = spent.k)
-    select max(c_mktsegment) as root, file, concat('# Notes of customer\\n\\n', array_join(transform(array_sort(collect_list(struct(k, section))), x -> x.section), '\\n')) as text
+    select max(c_mktsegment) as root, file, concat('# Notes of customer\\n\\n', array_join(sort_array(collect_list(struct(k, section))).section, '\\n')) as text
     from parts join customer on c = c_custkey group by file""")

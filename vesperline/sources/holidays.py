@@ -41,8 +41,7 @@ def calendar(spark: SparkSession, first: str, last: str, json_text: str | None =
     days = days.join(F.broadcast(listed), "d", "left").select("d", is_workday.alias("is_workday"), F.year("d").alias("y"))
     within = F.sum(F.col("is_workday").cast("long")).over(Window.partitionBy("y").orderBy("d"))
     totals = days.groupBy("y").agg(F.sum(F.col("is_workday").cast("long")).alias("n"))
-    earlier = totals.alias("a").join(F.broadcast(totals.alias("b")), F.col("b.y") < F.col("a.y"), "left")
-    earlier = earlier.groupBy("a.y").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    earlier = totals.select("y", F.coalesce(F.sum("n").over(Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return days.withColumn("within", within).join(F.broadcast(earlier), "y").select("d", "is_workday", (F.col("before") + F.col("within")).alias("wd_ord"))
 
 
