@@ -114,3 +114,14 @@ def test_ids_at_the_ends_of_the_range(spark):
     rows = [(-(2**63), text), (2**63 - 1, text), (-5, text)]
     found = dict(run_bytes(spark, rows, 100, 24))
     assert [found[i][1] for i in (-(2**63), -5, 2**63 - 1)] == [0, len(text), len(text)]
+
+
+def test_cuts_widen_to_whole_characters(spark):
+    genuine, body = "keep \ufffd here ", "".join(chr(0x110 + i) for i in range(60))
+    # U+0101 and U+0141 end in the same byte, U+1D01 and U+1D05 begin with the same two: cuts fall inside them
+    rows = [(1, "\u0101" + body + "\u1d01"), (2, genuine + "\u0141" + body + "\u1d05\ufffd end"), (3, "clean \ufffd text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(df).collect()}
+    whole = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.remove_repeats(df, whole_characters=True).collect()}
+    assert plain[2] == genuine.encode() + b"\xc5" + b"\x85" + "\ufffd end".encode()
+    assert whole == {1: rows[0][1], 2: genuine + "\ufffd end", 3: "clean \ufffd text"}

@@ -35,7 +35,7 @@ def test_fit_raises_the_likelihood_of_the_labels():
     for _ in range(300):
         label = rng.random() < 0.5
         x = np.array([(1.0, 4.0 if label and rng.random() < 0.4 else 0.0, 0.0, 0.0) for _ in range(rng.randrange(1, 9))])
-        sentences.append((label, x))
+        sentences.append((label, x, 1.0))
     weights, moves = tox.fit_field(sentences, tox.Model({}))
     assert tox.marginals(np.array([[1, 4.0, 0, 0], [1, 0, 0, 0]]) @ weights, moves)[0] > 0.9
     assert tox.marginals(np.array([[1, 0.0, 0, 0]] * 2) @ weights, moves).max() < 0.1

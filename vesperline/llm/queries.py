@@ -75,5 +75,36 @@ def queries() -> dict:
     }
 
 
+_EMBEDDINGS = """
+with recursive v as (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+ok as (select * from v where len(e) > 0 and list_count(e) = len(e) and list_bool_and(list_transform(e, lambda x: isfinite(x))) and list_sum(list_transform(e, lambda x: x * x)) > 0),
+links as (select a.r as a, b.r as b from ok a join ok b on a.r <> b.r and case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) >= 0.9 else false end),
+reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+n as (select a, count(*) as n_links from links group by a),
+least as (select reach.a, min(o.vec_id) as low from reach join v o on o.r = reach.b group by reach.a)
+select v.vec_id, coalesce(n.n_links, 0) as n_links, least(v.vec_id, coalesce(least.low, v.vec_id)) as component_id, v.vec_id = least(v.vec_id, coalesce(least.low, v.vec_id)) as kept
+from v left join n on n.a = v.r left join least on least.a = v.r"""
+
+_BYTES = """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+p as (select doc_id, unnest(range(1, octet_length(b) + 1)) as i from d),
+s as (select p.doc_id, p.i, case when p.i + 99 <= octet_length(d.b) then md5(array_slice(d.b, p.i, p.i + 99)) end as h, hex(array_slice(d.b, p.i, p.i)) as byte from p join d on d.doc_id = p.doc_id),
+r as (select *, h is not null and row_number() over (partition by h order by doc_id, i) > 1 as again from s),
+c as (select *, coalesce(max(case when again then i end) over (partition by doc_id order by i rows between 99 preceding and current row), 0) > 0 as gone from r),
+e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from c),
+t as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, sha256(unhex(coalesce(string_agg(byte, '' order by i) filter (not gone), ''))) as kept from e group by doc_id)
+select d.doc_id, octet_length(d.b) as n_bytes, coalesce(t.n_removed, 0) as n_removed, coalesce(t.n_spans, 0) as n_spans, coalesce(t.kept, sha256('')) as kept_sha256 from d left join t on t.doc_id = d.doc_id"""
+
+_PASSAGES = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+p as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d),
+s as (select *, case when count(*) over f = 20 then md5(string_agg(word, ' ') over f) end as h from p window f as (partition by doc_id order by i rows between current row and 19 following)),
+r as (select *, h is not null and row_number() over (partition by h order by doc_id, i) > 1 as again from s),
+c as (select *, coalesce(max(case when again then i end) over (partition by doc_id order by i rows between 19 preceding and current row), 0) > 0 as gone from r),
+t as (select doc_id, count(*) filter (gone) as n_removed, sha256(coalesce(string_agg(word, ' ' order by i) filter (not gone), '')) as kept from c group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(t.n_removed, 0) as n_removed, coalesce(t.kept, sha256('')) as kept_sha256 from d left join t on t.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """All pairs, all byte strings, all word windows; the other operators are tested against brute force."""
+    return {"op3_embeddings": _EMBEDDINGS, "op4_suffix_dedup": _BYTES, "op10_substring_dedup": _PASSAGES}

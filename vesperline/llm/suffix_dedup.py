@@ -44,14 +44,29 @@ def suffix_classes(words: Words, config: Config) -> tuple[np.ndarray, np.ndarray
     return code, np.array(words.doc, np.int64)[owner], np.array(words.start, np.int64)[owner] + inside
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, width: int = 24, crowd: int = 512, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def _widened(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of bytes moved out to the borders of UTF-8 characters; those that then meet are one."""
+    out: list[tuple[int, int]] = []
+    for start, end in runs:
+        while data[start] & 0xC0 == 0x80:
+            start -= 1
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        if out and start <= out[-1][1]:
+            start = out.pop()[0]
+        out.append((start, end))
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, width: int = 24, crowd: int = 512, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept)``: each text's UTF-8 bytes without those covered by a ``length``-byte
     string that also starts earlier (in a document with a smaller id, or earlier in the same one).
 
     Strings are judged on the input; overlapping ones count; matches never cross documents. A null text is empty; an
     empty table gives no rows; other columns are not read. An id names one document: its repeated rows give repeated
     results. A row without an id takes no part and is returned whole. ``kept`` is binary, for a cut may split a
-    character. ``carry`` names columns to return beside these.
+    character; with ``whole_characters`` each cut is widened to the borders of the characters it splits. ``carry`` names
+    columns to return beside these.
     """
     carry = carry or []
 
@@ -61,6 +76,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, width: int = 24, crowd: i
             for text, spans in zip(batch.column(1), batch.column(2)):
                 data = (text.as_py() or "").encode()
                 runs = _repeats.runs_of(spans)
+                if whole_characters:
+                    runs = _widened(data, runs)
                 at, parts = 0, []
                 for start, end in runs:
                     parts.append(data[at:start])

@@ -186,46 +186,53 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, least_documents
     return {r.part: r.odds for r in found.collect()}
 
 
-def _training_sentences(sample: DataFrame, model: Model, longest: int = 60, share: int = 40) -> list[tuple[bool, np.ndarray]]:
-    """Sentences as token features with labels: tokens that the lexicon knows are toxic in toxic documents and clean
-    in clean ones; of sentences without such a token, one in ``share`` stands for the rest."""
+def _training_sentences(sample: DataFrame, model: Model, most: int, longest: int = 60) -> list[tuple[bool, np.ndarray, float]]:
+    """Sentences as token features, each with its label and how often it occurs: tokens that the lexicon knows are toxic
+    in toxic documents and clean in clean ones. Sentences without such a token are all of them counted by their length;
+    one of over ``longest`` tokens is read in parts. Of the different sentences about ``most`` are used, by a hash."""
 
     def run(batches):
+        found: Counter = Counter()
         for batch in batches:
-            labels, rows = [], []
             for label, text in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
                 sentence: list[tuple] = []
-                some = False
                 for word in [*_TOKENS.findall(text.lower()), "."]:
                     if word not in _ENDS:
-                        x = model.features(word)
-                        some |= x is not None
-                        sentence.append(x or (1.0, 0.0, 0.0, 0.0))
-                        continue
-                    if sentence and len(sentence) <= longest and (some or (len(rows) + len(text)) % share == 0):
-                        labels.append(bool(label))
-                        rows.append([v for x in sentence for v in x])
-                    sentence, some = [], False
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.bool_()), pa.array(rows, pa.list_(pa.float32()))], ["label", "x"])
-
-    rows = sample.select("toxic", "_text").mapInArrow(run, "label boolean, x array<float>")
-    return [(r.label, np.array(r.x, np.float64).reshape(-1, N_FEATURES)) for r in rows.orderBy(F.xxhash64("x"), "label").limit(20_000).collect()]
-
-
-def fit_field(sentences: list[tuple[bool, np.ndarray]], start: Model, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and moves by gradient ascent on the conditional log-likelihood, all sentences at once."""
+                        sentence.append(model.features(word) or _UNKNOWN)
+                        if len(sentence) < longest:
+                            continue
+                    if sentence:
+                        found[bool(label), np.array(sentence, np.float32).tobytes()] += 1
+                    sentence = []
+        columns = list(zip(*((label, x, n) for (label, x), n in found.items()))) or [()] * 3
+        kinds = (pa.bool_(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["label", "x", "n"])
+
+    rows = sample.select("toxic", "_text").mapInArrow(run, "label boolean, x binary, n long").groupBy("label", "x").agg(F.sum("n").alias("n"))
+    rows = rows.orderBy(F.xxhash64("x"), "label").limit(most).collect()
+    return [(r.label, np.frombuffer(r.x, np.float32).astype(np.float64).reshape(-1, N_FEATURES), float(r.n)) for r in rows]
+
+
+_UNKNOWN = (1.0, 0.0, 0.0, 0.0)  # features of a word without a part in the lexicon
+
+
+def fit_field(sentences: list[tuple[bool, np.ndarray, float]], start: Model, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves by gradient ascent on the conditional log-likelihood, all sentences ``(label, features, how
+    often)`` at once."""
     weights, moves = start.weights.copy(), start.moves.copy()
     if not sentences:
         return weights, moves
-    size = np.array([len(x) for _, x in sentences])
+    size = np.array([len(x) for _, x, _ in sentences])
+    often = np.array([n for _, _, n in sentences])
+    often = often / often.sum()
     X = np.zeros((len(size), size.max(), N_FEATURES))
-    for i, (_, x) in enumerate(sentences):
+    for i, (_, x, _) in enumerate(sentences):
         X[i, : len(x)] = x
     on = np.arange(size.max()) < size[:, None]
-    Y = np.array([label for label, _ in sentences])[:, None] & (X[:, :, 1] > 0) & on
+    Y = np.array([label for label, _, _ in sentences])[:, None] & (X[:, :, 1] > 0) & on
     y = Y.astype(int)
     pair_on = on[:, 1:]
-    seen_pairs = np.array([[np.sum(pair_on & (y[:, :-1] == a) & (y[:, 1:] == b)) for b in (0, 1)] for a in (0, 1)], float)
+    seen_pairs = np.array([[often @ np.sum(pair_on & (y[:, :-1] == a) & (y[:, 1:] == b), axis=1) for b in (0, 1)] for a in (0, 1)], float)
     momentum, square = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
     for step in range(1, steps + 1):
         score = np.zeros((*on.shape, 2))
@@ -242,10 +249,10 @@ def fit_field(sentences: list[tuple[bool, np.ndarray]], start: Model, steps: int
             beta[:, t] = np.where(on[:, t + 1, None], back, 0.0)
         whole = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         p = np.where(on, np.exp(alpha[:, :, 1] + beta[:, :, 1] - whole[:, None]), 0.0)
-        grad_w = np.einsum("nt,ntf->f", Y - p, X)
+        grad_w = np.einsum("nt,ntf->f", (Y - p) * often[:, None], X)
         joint = alpha[:, :-1, :, None] + moves + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - whole[:, None, None, None]
-        grad_m = seen_pairs - np.exp(np.where(pair_on[:, :, None, None], joint, -np.inf)).sum((0, 1))
-        grad = np.concatenate((grad_w, grad_m.ravel())) / len(size) - decay * np.concatenate((weights, moves.ravel()))
+        grad_m = seen_pairs - np.einsum("n,ntab->ab", often, np.exp(np.where(pair_on[:, :, None, None], joint, -np.inf)))
+        grad = np.concatenate((grad_w, grad_m.ravel())) - decay * np.concatenate((weights, moves.ravel()))
         momentum = 0.9 * momentum + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
         move = rate * (momentum / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -266,9 +273,9 @@ def fit_calibration(x: np.ndarray, y: np.ndarray, decay: float = 1.0, steps: int
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_sentences: int = 20_000) -> Model:
     """A model from labelled rows that are not held out. About ``most_rows`` of them are used, chosen by a hash of the
-    id: this bounds what the driver gets. Null labels and ids are left out; without both labels the model scores 0."""
+    id, and of their different sentences (as token features) about ``most_sentences``: this bounds what the driver gets. Null labels and ids are left out; without both labels the model scores 0."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     share = min(1.0, most_rows / max(1, rows.count()))
@@ -279,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(n) < 2:
         return Model({})
     model = Model(learn_lexicon(sample, n[1], n[0]))
-    weights, moves = fit_field(_training_sentences(sample, model), model)
+    weights, moves = fit_field(_training_sentences(sample, model, most_sentences), model)
     model = Model(model.lexicon, weights, moves)
 
     def run(batches):
