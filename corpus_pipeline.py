@@ -35,17 +35,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without bytes of 100-byte strings that start earlier; a character that a cut splits goes whole. A text
     that repeats in full stays as an empty one, so that no id is lost."""
-    out = suffix_dedup.remove_repeats(docs, carry=["text", "lang", "source", "n_chars"])
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, _valid_utf8("kept")).otherwise(F.col("text"))
+    out = suffix_dedup.remove_repeats(docs, carry=["text", "lang", "source", "n_chars"], whole_characters=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
     return _counted(out.withColumn("text", text), docs)
 
 
-def _valid_utf8(column: str):
-    # invalid parts become U+FFFD, which is then taken out of this text
-    return F.replace(F.make_valid_utf8(F.col(column).cast("string")), F.lit("\ufffd"), F.lit(""))
-
-
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every secret masked, also those under nested encodings."""
     return _counted(secret_scan.redact_secrets(docs.select(COLUMNS)), docs)
