@@ -71,3 +71,16 @@ def test_odd_vectors_and_empty_table(spark):
 def test_many_equal_vectors_are_one_class(spark):
     rows = [(i, [0.5, 0.25, -1.0, 2.0]) for i in range(400)] + [(1000 + i, [0.5, 0.25, -1.0, 2.0 + i / 1000]) for i in range(1, 60)]
     assert run(spark, rows, rows_a_chunk=16) == brute(rows, 0.9)
+
+
+def test_repeated_ids_and_extreme_components(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1e200, 1e200]), (4, [1e-300, 1.1e-300]), (5, [-1e200, 1e200]), (None, [0.0, -1.0])], "vec_id long, embedding array<double>")
+    rows = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embeddings.near_duplicates(df).collect())
+    assert rows == [(0, 0, 0), (1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
+def test_a_thin_slab_below_a_dense_one(spark):
+    rng = np.random.default_rng(7)
+    hub = rng.normal(size=16)
+    rows = [(i, [float(np.float32(x)) for x in hub + rng.normal(size=16) * (0.05 if i % 3 else 0.9)]) for i in range(300)]
+    assert run(spark, rows, rows_a_chunk=16, block_width=8) == brute(rows, 0.9)

@@ -19,7 +19,8 @@ _SIEVE = 1e-5
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
-    """(_id, key, size, vec): vectors as bytes of doubles with a digest of them; key is null where there is no direction."""
+    """(_id, key, size, vec): vectors, scaled to a greatest component from 0.5 to 1, as bytes of doubles with a digest of
+    them; key is null where there is no direction."""
 
     def run(batches):
         for batch in batches:
@@ -30,11 +31,12 @@ def _vectors(rows: DataFrame) -> DataFrame:
             keys, vecs = [], []
             for start, end in zip((ends - sizes).tolist(), ends.tolist()):
                 v = flat[start:end]
-                norm = np.sqrt(v @ v) if end > start and np.isfinite(v).all() else 0.0
-                if not (norm > 0 and np.isfinite(norm)):
+                top = np.abs(v).max() if end > start and np.isfinite(v).all() else 0.0
+                if not top:
                     keys.append(None)
                     vecs.append(None)
                     continue
+                v = np.ldexp(v, -np.frexp(top)[1])  # by a power of two: no cosine changes, and no square overflows
                 vecs.append(v.tobytes())
                 keys.append(hashlib.blake2b(vecs[-1], digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(vecs, pa.binary())], ["_id", "key", "size", "vec"])
@@ -97,39 +99,61 @@ def plan_blocks(moments: np.ndarray, squared: float, width: int) -> Blocks:
     return Blocks(np.ascontiguousarray(axes[:, order]), starts, squared * spread / spread.sum() + 1e-12)
 
 
-def _dealt(classes: DataFrame, size: int, blocks: Blocks, chunks: dict | None, rows_a_chunk: int) -> DataFrame:
-    """Each vector to the slabs of each block: its own and, as a visitor, the one below. Slabs are as wide as the
-    block's radius, so a pair within it is in one slab or in neighbours. Large slabs are cut into chunks, and each
-    pair of chunks is a task of its own."""
+def _slabs(batch: pa.RecordBatch, size: int, blocks: Blocks, radius: np.ndarray) -> np.ndarray:
+    """Each vector's slab in each block, by the block's first axis; slabs are as wide as the block's radius."""
+    return np.floor(_unit(_matrix(batch.column(1), size)) @ blocks.rotation[:, blocks.starts] / radius).astype(np.int64)
+
+
+def _dealt(classes: DataFrame, size: int, blocks: Blocks, rows_a_chunk: int) -> DataFrame:
+    """Each vector to the slabs of each block: its own and, as a visitor, the one below, so that a pair within the
+    radius meets in one slab or in neighbours. Slabs are cut into chunks of ``rows_a_chunk``, own rows and visitors
+    alike; each pair of chunks is a task of its own and is compared once."""
     radius = np.sqrt(blocks.budgets) * (1 + 1e-6)
 
+    def count(batches):
+        found: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            slab = _slabs(batch, size, blocks, radius)
+            for b in range(len(radius)):
+                for s, n in zip(*(x.tolist() for x in np.unique(slab[:, b], return_counts=True))):
+                    found[b, s] = found.get((b, s), 0) + n
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([found[k] for k in keys], pa.int64())], ["block", "slab", "n"])
+
+    # a unit vector's coordinate is in [-1, 1], so slabs are few whatever the input
+    sums = classes.select("node", "vec").mapInArrow(count, "block long, slab long, n long").groupBy("block", "slab").agg(F.sum("n").alias("n"))
+    chunks = {(r.block, r.slab): -(-r.n // rows_a_chunk) for r in sums.collect()}
+
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column(1), size)
-            lead = _unit(x) @ blocks.rotation[:, blocks.starts]
-            slab = np.floor(lead / radius).astype(np.int64)
+            slab = _slabs(batch, size, blocks, radius)
             node = batch.column(0).to_numpy()
+            mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             rows = {k: [] for k in ("block", "slab", "i", "j", "role", "at")}
 
-            def send(block, slabs, i, j, role, at):
-                for k, v in zip(rows, (block, slabs, i, j, role, at)):
-                    rows[k].append(np.broadcast_to(np.asarray(v, np.int64), at.shape))
+            def send(*values):
+                for k, v in zip(rows, values):
+                    rows[k].append(np.broadcast_to(np.asarray(v, np.int64), values[-1].shape))
 
-            everyone = np.arange(len(node))
             for b in range(len(radius)):
-                for shift, own in ((0, True), (-1, False)):
-                    target = slab[:, b] + shift
-                    for s in np.unique(target).tolist():
-                        at = everyone[target == s]
-                        n = chunks.get((b, s), 1)
-                        mine = (node[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
-                        if n == 1:
-                            send(b, s, 0, 0, 0 if own else 2, at)
-                            continue
-                        for other in range(n):
-                            if own:
-                                send(b, s, mine, other, 1, at)  # left side of a pair of chunks
-                            send(b, s, other, mine, 3 if own else 2, at)
+                for s in np.unique(slab[:, b]).tolist():
+                    at = np.flatnonzero(slab[:, b] == s)
+                    n, above, below = (chunks.get((b, s + d), 0) for d in (0, 1, -1))
+                    mine = mixed[at] % n
+                    for i in np.unique(mine).tolist():
+                        some = at[mine == i]
+                        send(b, s, i, i, 0, some)
+                        for j in range(n):
+                            if j != i:  # a pair of own chunks, under the lesser number
+                                send(b, s, min(i, j), max(i, j), 1 if i < j else 3, some)
+                        for j in range(above):
+                            if j != i:
+                                send(b, s, i, n + j, 1, some)
+                        for j in range(below):
+                            if j == i:
+                                send(b, s - 1, i, i, 2, some)
+                            else:
+                                send(b, s - 1, j, below + i, 3, some)
             flat = {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in rows.items()}
             at = flat.pop("at")
             for lo in range(0, len(at), 1 << 15):
@@ -137,19 +161,6 @@ def _dealt(classes: DataFrame, size: int, blocks: Blocks, chunks: dict | None, r
                 columns = [pa.array(v[cut]) for v in flat.values()] + [c.take(pa.array(at[cut])) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays(columns, [*flat, "node", "vec", "copies"])
 
-    def count(batches):
-        found: dict[tuple[int, int], int] = {}
-        for batch in batches:
-            slab = np.floor(_unit(_matrix(batch.column(1), size)) @ blocks.rotation[:, blocks.starts] / radius).astype(np.int64)
-            for b in range(len(radius)):
-                for s, n in zip(*(x.tolist() for x in np.unique(slab[:, b], return_counts=True))):
-                    found[b, s] = found.get((b, s), 0) + n
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([found[k] for k in keys], pa.int64())], ["block", "slab", "n"])
-
-    if chunks is None:  # a unit vector's coordinate is in [-1, 1], so slabs are few whatever the input
-        sums = classes.select("node", "vec").mapInArrow(count, "block long, slab long, n long").groupBy("block", "slab").agg(F.sum("n").alias("n"))
-        chunks = {(r.block, r.slab): -(-r.n // rows_a_chunk) for r in sums.where(F.col("n") > rows_a_chunk).collect()}
     return classes.select("node", "vec", "copies").mapInArrow(run, "block long, slab long, i long, j long, role long, node long, vec binary, copies long")
 
 
@@ -197,8 +208,8 @@ def _join_slab(size: int, blocks: Blocks, least: float):
                 found_a.append(s[owner == block])
                 found_b.append(t[owner == block])
 
-        def compare(left: np.ndarray, right: np.ndarray, same: bool, once: bool) -> None:
-            """``same``: both sides are one list; ``once``: another task has the pairs the other way round."""
+        def compare(left: np.ndarray, right: np.ndarray, same: bool) -> None:
+            """``same``: both sides are one list."""
             for i in range(0, len(left), _TILE):
                 a = left[i : i + _TILE]
                 first = i if same else np.searchsorted(y[right, 0], y[a[0], 0] - radius)
@@ -209,15 +220,13 @@ def _join_slab(size: int, blocks: Blocks, least: float):
                     if same and i == j:
                         p, q = p[p < q], q[p < q]
                     p, q = a[p], b[q]
-                    if once:
-                        p, q = p[node[p] < node[q]], q[node[p] < node[q]]
                     for at in range(0, len(p), 1 << 17):
                         verify(p[at : at + (1 << 17)], q[at : at + (1 << 17)])
 
         by_role = {r: order[role[order] == r] for r in range(4)}
-        compare(by_role[0], by_role[0], True, False)
-        compare(by_role[1], by_role[3], False, True)
-        compare(np.concatenate((by_role[0], by_role[1])), by_role[2], False, False)
+        compare(by_role[0], by_role[0], True)
+        compare(by_role[1], by_role[3], False)
+        compare(by_role[0], by_role[2], False)
         a, b = (np.concatenate(f) if f else np.empty(0, np.int64) for f in (found_a, found_b))
         names, number = np.unique(node, return_inverse=True)
         a_n, b_n = number[a], number[b]
@@ -229,7 +238,7 @@ def _join_slab(size: int, blocks: Blocks, least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_width: int = 16, rows_a_chunk: int = 16_384) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_width: int = 16, rows_a_chunk: int = 32_768) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row: vectors with a cosine of ``least`` (over 0) or more, in
     double precision, are linked.
 
@@ -240,13 +249,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     if not 0 < least <= 1:
         raise ValueError("least is a cosine over 0")
     rows = as_table(_vectors(vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_vec"))))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("_id").alias("node"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("vec").alias("vec"))
-    classes = as_table(classes.where("node is not null"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("_id").alias("least"), F.count("*").alias("copies"), F.min("size").alias("size"), F.first("vec").alias("vec"))
+    # a class has a number of its own: rows that repeat an id may hold different vectors
+    classes = as_table(classes.where("least is not null").withColumn("node", F.monotonically_increasing_id()))
     found = None
     for size in sorted(r.size for r in classes.select("size").distinct().collect()):
         some = classes.where(F.col("size") == size)
         blocks = plan_blocks(_second_moments(some, size), 2 - 2 * least, block_width)
-        dealt = _dealt(some, size, blocks, None, rows_a_chunk)
+        dealt = _dealt(some, size, blocks, rows_a_chunk)
         part = dealt.groupBy("block", "slab", "i", "j").applyInArrow(_join_slab(size, blocks, least), "node long, links long, root long")
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -254,9 +264,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     found = as_table(found)
     parts = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.select("key", "node", "copies").join(links, "node", "left").join(parts, "node", "left")
-    named = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("_id", "key").join(named, "key", "left")
+    parts = parts.join(classes.select("node", "least"), "node")
+    parts = parts.join(parts.groupBy("component").agg(F.min("least").alias("low")), "component").select("node", "low")
+    named = classes.select("key", "node", "least", "copies").join(links, "node", "left").join(parts, "node", "left")
+    named = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "least").alias("component_id"))
+    alone = rows.where("key is null").select("_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = rows.where("key is not null").select("_id", "key").join(named, "key", "left").select(*alone.columns).unionByName(alone)
     return out.select(
         F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "_id").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
