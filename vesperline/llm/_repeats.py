@@ -292,6 +292,38 @@ def _unpacked_texts(data: bytes, config: Config, into: Words) -> None:
         at += 20 + size
 
 
+class Windows(NamedTuple):
+    """All windows of some words of the dictionary, in order: their word, their place in it, their rolling hash."""
+
+    owner: np.ndarray
+    inside: np.ndarray
+    hash: np.ndarray
+
+    @staticmethod
+    def of(words: Words, length: int) -> Windows:
+        sizes = np.array([len(u.values) for u in words.units])
+        count = sizes - length + 1
+        owner = np.repeat(np.arange(len(sizes)), count)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        rolled = rolling(np.concatenate([u.values for u in words.units]), length)
+        return Windows(owner, inside, rolled[(np.cumsum(sizes) - sizes)[owner] + inside])
+
+    def recurring(self) -> np.ndarray:
+        """Whether another of these windows has the hash. Equal windows always do; what follows compares their units."""
+        _, group, count = np.unique(self.hash, return_inverse=True, return_counts=True)
+        return count[group] > 1
+
+
+def recurring_words(words: Words, config: Config) -> tuple[Words, Windows, np.ndarray]:
+    """The words that hold a recurring window, their windows, and which of those recur."""
+    windows = Windows.of(words, config.length)
+    again = windows.recurring()
+    kept = np.unique(windows.owner[again])
+    some = Words(*([part[i] for i in kept.tolist()] for part in words))
+    inside = np.isin(windows.owner, kept)
+    return some, Windows(np.searchsorted(kept, windows.owner[inside]), windows.inside[inside], windows.hash[inside]), again[inside]
+
+
 def first_windows(code: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of windows with class numbers: indices of each class's first, and of those that repeat one at another place."""
     order = np.lexsort((start, doc, code))
@@ -346,22 +378,21 @@ def bucket_count(df: DataFrame) -> int:
     return max(256, min(size >> 24, 1 << 20))
 
 
-def _map_words(config: Config, buckets: int, classes):
+def _map_words(config: Config, buckets: int):
     """Texts of words to the bucket of their trigger; for those of a crowded trigger, windows to the bucket of their hash."""
     digest = xxhash.xxh3_128_intdigest
 
     def windows(words: Words) -> list[tuple[int, bytes]]:
-        code, doc, start = classes(words, config)
-        keep, again = first_windows(code, doc, start)
-        local = merged(doc[again], start[again], start[again] + config.length)
-        owner = np.repeat(np.arange(len(words.doc)), [len(u.values) - config.length + 1 for u in words.units])
-        at = start - np.array(words.start)[owner]
-        texts = [digest(words.units[o].cut(i, i + config.length)) for o, i in zip(owner[keep].tolist(), at[keep].tolist())]
+        every = Windows.of(words, config.length)
+        doc, start = np.array(words.doc, np.int64)[every.owner], np.array(words.start, np.int64)[every.owner] + every.inside
+        texts = [digest(words.units[o].cut(i, i + config.length)) for o, i in zip(every.owner.tolist(), every.inside.tolist())]
         low = np.array([c & 0xFFFFFFFFFFFFFFFF for c in texts], np.uint64)
         high = np.array([c >> 96 for c in texts], np.uint64).astype(np.uint32)
         # the gram column holds more of the hash here; no two windows with equal hashes are then left to compare
-        p = Phrases(high, low, doc[keep], start[keep].astype(np.uint32), np.ones(len(keep), np.uint32))
-        return _dealt(p, buckets, mixed(low), local)
+        p = Phrases(high, low, doc, start.astype(np.uint32), np.ones(len(doc), np.uint32))
+        keep, again = firsts(p)
+        local = merged(doc[again], start[again], start[again] + config.length)
+        return _dealt(p.take(keep), buckets, mixed(low[keep]), local)
 
     def flush(texts: dict[int, list[bytes]], words: Words) -> pa.RecordBatch:
         blobs = [(b, _TEXTS + b"".join(t)) for b, t in texts.items()]
@@ -400,12 +431,13 @@ def repeated_spans(docs: DataFrame, config: Config, classes) -> DataFrame:
     """``docs(_id, _text)``, ids not null -> ``(_id, spans)``: for each document with any, packed spans
     ``start << 32 | end`` of units covered by a window that also starts earlier. They may overlap.
 
-    ``classes(words, config)`` gives class number, document and start of every window of the words given, in order.
+    ``classes(words, config)`` gives class number, document and start of every window of the words given that equals
+    another of them.
     """
     buckets = bucket_count(docs)
     found = as_table(_resolved(docs.mapInArrow(_map_phrases(config, buckets), _BLOB_COLUMNS), config, classes))
     words = found.where(F.col("kind") != REPEATED).groupBy("_id").agg(F.collect_list(F.struct("kind", "start", "end", "gram")).alias("asked"))
-    texts = docs.join(words, "_id").select("_id", "_text", "asked").mapInArrow(_map_words(config, buckets, classes), _BLOB_COLUMNS)
+    texts = docs.join(words, "_id").select("_id", "_text", "asked").mapInArrow(_map_words(config, buckets), _BLOB_COLUMNS)
     edges = _resolved(texts, config, classes).where(F.col("kind") == REPEATED)
     every = found.where(F.col("kind") == REPEATED).unionByName(edges)
     packed = (F.shiftleft("start", 32) + F.col("end")).alias("span")

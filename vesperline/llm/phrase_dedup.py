@@ -23,17 +23,21 @@ def word_units(text: str | bytes | None) -> Units:
 
 
 def automaton_classes(words: Words, config: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of a shard's passages, located by an automaton.
+    """Recurring passages of a shard, located by an automaton.
 
-    Every distinct window of a passage that recurs (its trigger is in another passage of the shard) is a pattern over
-    word numbers; all passages of the shard then stream through the automaton, which reports each occurrence.
+    Passages that recur are confirmed first: windows whose rolling hash another window of the shard shares. They alone
+    are the patterns, over word numbers, so the automaton is as large as what repeats. Then every text of the shard that
+    can hold one streams through it, which reports each occurrence, word by word equal.
     """
-    numbers: dict[bytes, int] = {}
-    streams = [tuple(numbers.setdefault(w, len(numbers)) for w in u.data.split(b" ")) for u in words.units]
+    words, windows, again = _repeats.recurring_words(words, config)
+    if not len(again):
+        return (np.empty(0, np.int64),) * 3
     length = config.length
+    numbers: dict[bytes, int] = {}
+    streams = [tuple([numbers.setdefault(w, len(numbers)) for w in u.data.split(b" ")]) for u in words.units]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    patterns = {s[i : i + length] for s in streams for i in range(len(s) - length + 1)}
-    for number, pattern in enumerate(patterns):
+    confirmed = {streams[o][i : i + length] for o, i in zip(windows.owner[again].tolist(), windows.inside[again].tolist())}
+    for number, pattern in enumerate(confirmed):
         automaton.add_word(pattern, number)
     automaton.make_automaton()
     code, doc, start = [], [], []

@@ -34,14 +34,14 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def suffix_classes(words: Words, config: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the words by the suffix order of the words' concatenation."""
+    """Windows that recur by the suffix order of the concatenation of the dictionary's words that hold one."""
+    words, windows, again = _repeats.recurring_words(words, config)
+    if not len(again):
+        return (np.empty(0, np.int64),) * 3
     sizes = np.array([len(u.data) for u in words.units])
     ranks = prefix_ranks(np.frombuffer(b"".join(u.data for u in words.units), np.uint8), config.length)
-    count = sizes - config.length + 1
-    owner = np.repeat(np.arange(len(sizes)), count)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    code = ranks[(np.cumsum(sizes) - sizes)[owner] + inside]
-    return code, np.array(words.doc, np.int64)[owner], np.array(words.start, np.int64)[owner] + inside
+    owner, inside = windows.owner[again], windows.inside[again]
+    return ranks[(np.cumsum(sizes) - sizes)[owner] + inside], np.array(words.doc, np.int64)[owner], np.array(words.start, np.int64)[owner] + inside
 
 
 def _widened(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
