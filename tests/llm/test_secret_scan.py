@@ -91,3 +91,67 @@ def test_broken_and_wrapped_layers_are_found(wrapped):
     found = [s for s in ss.scan_text(text)[1] if s.codecs and s.kind == 0]
     assert found and all(7 <= s.start < s.end <= 7 + len(wrapped.rstrip()) for s in found)
     assert "before" in ss.redacted_text(text, "#") and "after" in ss.redacted_text(text, "#")
+
+
+ONE = re.compile(r"%[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+
+
+def fixpoint(text):
+    """Every escape of a text of ASCII escapes replaced until none is left."""
+
+    def char(m):
+        t = m[0]
+        if t[0] == "%":
+            return chr(int(t[1:], 16))
+        if t[0] == "&":
+            return chr(int(t[3:-1], 16) if t[2] in "xX" else int(t[2:-1]))
+        return chr(int(t.strip("\\uxX{}") or "0", 16) if "{" in t else int(t[2:], 16))
+
+    while (after := ONE.sub(char, text)) != text:
+        text = after
+    return text
+
+
+def test_nested_escapes_reach_their_fixpoint_anywhere():
+    rng = random.Random(8)
+    ways = [lambda c: f"%{ord(c):02x}", lambda c: f"\\u{ord(c):04x}", lambda c: f"\\u{{{ord(c):x}}}", lambda c: f"\\x{ord(c):02x}", lambda c: f"&#{ord(c)};", lambda c: f"&#x{ord(c):x};"]
+    for _ in range(1500):
+        text = "".join(rng.choice('ab =:"secret') for _ in range(rng.randrange(8)))
+        secret = 'token: "abcdefgh"'
+        wrapped = secret
+        for _ in range(rng.randrange(1, 5)):
+            wrapped = "".join(rng.choice(ways)(c) if rng.random() < 0.4 else c for c in wrapped)
+        layers = list(ss._unescaped(ss._Layer(text + wrapped + text, [(0, 0, len(text + wrapped + text), True)], ())))
+        if not layers:
+            assert not ONE.search(text + wrapped + text)
+            continue
+        layer = layers[0]
+        assert layer.text == fixpoint(text + wrapped + text)
+        at = layer.text.index(secret)
+        begin, end = layer.place(at, at + len(secret))
+        assert begin == len(text) and end == len(text) + len(wrapped)
+        spans = ss.scan_text(text + wrapped + text)[1]
+        assert any(s.kind == 0 and s.start <= begin + 1 and s.end <= end for s in spans)
+
+
+def test_deep_escapes_and_bombs_take_little():
+    import time
+    import tracemalloc
+
+    deep = 'x="%' + "25" * 100_000 + '70assword: hunter2hunter2"'
+    crossed = "%5Cu0025" + "5Cu0025" * 20_000 + "70assword: hunter2hunter2"
+    bomb = base64.b64encode(gzip.compress(b"\0" * (200 << 20) + b" password: hunter2hunter2")).decode()
+    began = time.process_time()
+    tracemalloc.start()
+    for text in (deep, crossed):
+        assert any(s.kind == 0 and s.codecs for s in ss.scan_text(text)[1])
+    assert any(s.kind == 0 and s.codecs == "base64+zip" for s in ss.scan_text(bomb)[1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - began < 120 and peak < 300 << 20
+
+
+def test_twice_escaped_compressed_bytes_are_found():
+    data = zlib.compress(b"note: password = hunter2hunter2")
+    twice = urllib.parse.quote(urllib.parse.quote(data))
+    assert any(s.codecs for s in ss.scan_text(f"a {twice} b")[1])

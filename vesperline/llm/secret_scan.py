@@ -20,9 +20,10 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
-_UNICODE_ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
+_ESCAPE = re.compile(r"%(?P<url>[0-9A-Fa-f]{2})|\\u\{(?P<braced>[0-9A-Fa-f]{1,6})\}|\\u(?P<u>[0-9A-Fa-f]{4})|\\x(?P<x>[0-9A-Fa-f]{2})|&#(?P<dec>[0-9]{1,7});|&#[xX](?P<hex>[0-9A-Fa-f]{1,6});")
+_REACH = 9  # the longest escape has ten characters
+_RAW_BYTES = re.compile("[\x00-\x7f\udc80-\udcff]+")
+_RAW_ZIPPED = re.compile("\x1f\udc8b\x08|x[\x01\x5e\udc9c\udcda]")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
 #: Base64 over line ends, indented alike; the last line may be short.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}[\x20\t]*\r?\n(?P<indent>[\x20\t]*+)(?:[A-Za-z0-9+/_-]{12,}[\x20\t]*\r?\n(?P=indent))*[A-Za-z0-9+/_-]++={0,2}")
@@ -70,39 +71,157 @@ class _Layer(NamedTuple):
         return begin, last[1] + end - last[0] if last[3] else last[2]
 
 
-def _url_text(run: str) -> str:
-    return bytes.fromhex(run.replace("%", "")).decode(errors="replace")
+def _escape_char(m: re.Match) -> str:
+    """What one escape stands for; a byte that is not ASCII becomes a low surrogate until its neighbours are known."""
+    code = int(m[m.lastgroup], 10 if m.lastgroup == "dec" else 16)
+    if m.lastgroup == "url":
+        return chr(code if code < 0x80 else 0xDC00 + code)
+    return "\ufffd" if code >= 0x110000 or 0xDC80 <= code <= 0xDCFF else chr(code)
+
+
+def _reduced(text: str) -> tuple[list[tuple[str, int, int, bool]], set[str]]:
+    """The text's pieces (string, start, end, as_written) with URL and Unicode escapes unwrapped until none is left, and
+    the codecs met. What an escape stands for may begin, continue or end another escape with its neighbours; only these
+    few characters are looked at again, so the work is in proportion to the text however deep the escapes are."""
+    pieces: list[tuple[str, int, int, bool]] = []
+    codecs, at = set(), 0
+    while m := _ESCAPE.search(text, at):
+        if at < m.start():
+            pieces.append((text[at : m.start()], at, m.start(), True))
+        start, at = m.start(), m.end()
+        while m:
+            codecs.add("url" if m.lastgroup == "url" else "unicode")
+            char = _escape_char(m)
+            left, k = "", len(pieces)
+            while k and len(left) < _REACH:
+                k -= 1
+                left = pieces[k][0][-_REACH:] + left
+            left = left[-_REACH:]
+            near = left + char + text[at : at + _REACH]
+            for begin in range(len(left) + 1):
+                if near[begin] in "%\\&" and (m := _ESCAPE.match(near, begin)) and m.end() > len(left):
+                    break
+            else:
+                m = None
+            if m:
+                at += m.end() - len(left) - 1
+                taken = len(left) - m.start()
+                while taken:  # characters before it that now belong to an escape
+                    string, first, last, written = pieces.pop()
+                    if len(string) > taken:
+                        keep = len(string) - taken
+                        pieces.append((string[:keep], first, first + keep if written else last, written))
+                        start = first + keep if written else first
+                        taken = 0
+                    else:
+                        taken -= len(string)
+                        start = first
+        if "\ud800" <= char <= "\udbff" or not ("\udc00" <= char <= "\udc7f" or "\udd00" <= char <= "\udfff"):
+            pieces.append((char, start, at, False))
+        elif pieces and not pieces[-1][3] and "\ud800" <= pieces[-1][0] <= "\udbff":
+            high, first, _, _ = pieces.pop()
+            pieces.append(((high + char).encode("utf-16", "surrogatepass").decode("utf-16"), first, at, False))
+        else:
+            pieces.append(("\ufffd", start, at, False))
+    if at < len(text):
+        pieces.append((text[at:], at, len(text), True))
+    return pieces, codecs
+
+
+def _unescaped(layer: _Layer):
+    """The layer without escapes, and what is compressed in the bytes they stood for."""
+    if "%" not in layer.text and "\\" not in layer.text and "&#" not in layer.text:
+        return
+    pieces, codecs = _reduced(layer.text)
+    if not codecs:
+        return
+    name = "+".join(sorted(codecs, reverse=True))
+    raw, runs, size, k = "".join(p[0] for p in pieces), [], 0, 0
+    out: list[str] = []
+    while k < len(pieces):
+        string, start, end, written = pieces[k]
+        k += 1
+        if not written and "\udc80" <= string <= "\udcff":  # bytes of one or more characters
+            data = [string]
+            while k < len(pieces) and not pieces[k][3] and "\udc80" <= pieces[k][0] <= "\udcff":
+                data.append(pieces[k][0])
+                end = pieces[k][2]
+                k += 1
+            string = "".join(data).encode("ascii", "surrogateescape").decode(errors="replace")
+        elif not written and "\ud800" <= string <= "\udbff":
+            string = "\ufffd"
+        if written:  # where the layer's own runs change, so do these
+            first = bisect_right(layer.runs, (start, 1 << 60)) - 1
+            while start < end:
+                stop = min(end, layer.runs[first + 1][0]) if first + 1 < len(layer.runs) else end
+                place = layer.place(start, stop)
+                runs.append((size, *place, layer.runs[first][3]))
+                size += stop - start
+                start, first = stop, first + 1
+        else:
+            runs.append((size, *layer.place(start, end), False))
+            size += len(string)
+        out.append(string)
+    yield _Layer("".join(out), runs, (*layer.codecs, name))
+    if not _RAW_ZIPPED.search(raw):
+        return
+    begins = [0]
+    for p in pieces:
+        begins.append(begins[-1] + len(p[0]))
 
+    def origin(at: int, last: bool) -> int:
+        string, start, end, written = pieces[bisect_right(begins, at) - 1]
+        return start + at - begins[bisect_right(begins, at) - 1] + last if written else (end if last else start)
 
-def _unicode_text(run: str) -> str:
-    codes = [int(next(g for g in (m[1], m[2], m[3], m[5]) if g), 16) if not m[4] else int(m[4]) for m in _UNICODE_ONE.finditer(run)]
-    return "".join(chr(c) if c < 0x110000 else "\ufffd" for c in codes).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    for m in _RAW_BYTES.finditer(raw):
+        if _RAW_ZIPPED.search(m[0]):
+            for start, end, inner in _streams(m[0].encode("ascii", "surrogateescape")):
+                place = layer.place(origin(m.start() + start, False), origin(m.start() + end - 1, True))
+                for text, codec in _texts(inner, name + "+zip"):
+                    yield _Layer(text, [(0, *place, False)], (*layer.codecs, codec))
 
 
-def _inflated(data: bytes) -> tuple[bytes, int]:
-    """What the gzip or zlib stream at the start of ``data`` gives, up to where it breaks off, and the bytes read."""
-    out, at, stream = [], 0, zlib.decompressobj(47)
+_PART = 1 << 24  # of what a stream inflates to at once
+_OVERLAP = 1 << 16
+
+
+def _inflated(data: bytes):
+    """(bytes, bytes read) of the gzip or zlib stream at the start of ``data``, up to where it breaks off. A stream that
+    inflates to more than a part gives overlapping parts, so that no more than one is ever held."""
+    stream, left, tail = zlib.decompressobj(47), data, b""
     try:
-        whole = stream.decompress(data)
-        return whole, len(data) - len(stream.unused_data)
+        while True:
+            out = tail + stream.decompress(left, _PART)
+            left = stream.unconsumed_tail
+            yield out, len(data) - len(left) - len(stream.unused_data)
+            if not left or stream.eof:
+                return
+            tail = out[-_OVERLAP:]
     except zlib.error:
-        stream = zlib.decompressobj(47)
+        if tail:
+            return
+    stream, some, size, at = zlib.decompressobj(47), [], 0, 0
     try:
         for at in range(len(data)):  # noqa: B007
-            out.append(stream.decompress(data[at : at + 1]))
+            some.append(stream.decompress(data[at : at + 1]))
+            size += len(some[-1])
+            if size > _PART:
+                yield b"".join(some), at
+                some, size = [b"".join(some)[-_OVERLAP:]], 0
     except zlib.error:
         pass
-    return b"".join(out), at
+    yield b"".join(some), at
 
 
 def _streams(data: bytes):
     """(start, end, bytes) of compressed streams anywhere in ``data``, also those that end early."""
     at = 0
     while m := _ZIPPED.search(data, at):
-        inner, size = _inflated(data[m.start() :])
-        at = m.start() + max(size, 1) if inner else m.start() + 1
-        if inner:
-            yield m.start(), at, inner
+        at = m.start() + 1
+        for inner, size in _inflated(data[m.start() :]):
+            if inner:
+                at = m.start() + max(size, 1)
+                yield m.start(), at, inner
 
 
 def _texts(data: bytes, codec: str):
@@ -142,40 +261,8 @@ def _zipped_in(layer: _Layer, magic: re.Pattern, run: re.Pattern, one: re.Patter
                 yield _Layer(text, [(0, *place, False)], (*layer.codecs, codecs))
 
 
-def _replaced(layer: _Layer, pattern: re.Pattern, decode, codec: str) -> _Layer | None:
-    """The layer with every run of ``pattern`` decoded in place; None if there is none."""
-    out, runs, at, size = [], [], 0, 0
-
-    def keep(start: int, end: int) -> None:
-        nonlocal size
-        for run, after in zip(layer.runs, [*layer.runs[1:], (len(layer.text), 0, 0, True)]):
-            lo, hi = max(start, run[0]), min(end, after[0])
-            if lo < hi:
-                runs.append((size, run[1] + lo - run[0], run[2], True) if run[3] else (size, run[1], run[2], False))
-                out.append(layer.text[lo:hi])
-                size += hi - lo
-
-    changed = False
-    for m in pattern.finditer(layer.text):
-        text = decode(m[0])
-        if not text or text == m[0]:
-            continue
-        keep(at, m.start())
-        runs.append((size, *layer.place(m.start(), m.end()), False))
-        out.append(text)
-        size += len(text)
-        at, changed = m.end(), True
-    if not changed:
-        return None
-    keep(at, len(layer.text))
-    return _Layer("".join(out), runs, (*layer.codecs, codec))
-
-
 def _unwrapped(layer: _Layer):
-    if "%" in layer.text and (found := _replaced(layer, _URL, _url_text, "url")):
-        yield found
-    if ("\\" in layer.text or "&#" in layer.text) and (found := _replaced(layer, _UNICODE, _unicode_text, "unicode")):
-        yield found
+    yield from _unescaped(layer)
     for escapes in (_URL_BYTES, _X_BYTES):
         yield from _zipped_in(layer, *escapes)
     runs = {m.span(): m[0] for pattern in (_BASE64, _WRAPPED) for m in pattern.finditer(layer.text)}
@@ -186,21 +273,26 @@ def _unwrapped(layer: _Layer):
                     yield _Layer(text, [(0, *layer.place(start, end), False)], (*layer.codecs, codec))
 
 
+def _mark(text: str, start: int, end: int) -> tuple[bytes, int, int]:
+    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest(), start, end
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[Span]]:
     """The base matches, and all spans: base ones and those found under any nesting of layers.
 
     Layers wait on a worklist until none is new. A layer that was met before at the same place ends its branch,
     so that nested or self-reproducing encodings cannot loop. A finding inside a decoded run gets the span of the
     encoded run in the original text. Base64 is read over line ends and at its four alignments, compressed streams are
-    looked for in the bytes of every codec, and undecodable bytes only part a text.
+    looked for in the bytes of every codec, and undecodable bytes only part a text. URL and Unicode escapes are unwrapped
+    to their own fixpoint at once. What inflates to over 16 MiB is read in overlapping parts.
     """
     base = base_matches(text)
     spans = {x: Span(*x, "") for x in base}
-    seen = {(text, 0, len(text))}
+    seen = {_mark(text, 0, len(text))}
     work = [_Layer(text, [(0, 0, len(text), True)], ())] if text else []
     while work:
         for layer in _unwrapped(work.pop()):
-            key = (layer.text, layer.runs[0][1], layer.runs[-1][2])
+            key = _mark(layer.text, layer.runs[0][1], layer.runs[-1][2])
             if key in seen:
                 continue
             seen.add(key)
