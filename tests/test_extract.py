@@ -153,3 +153,58 @@ def test_files_gates_and_arrivals(spark, tmp_path):
     query = extract_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)
     assert [r.heading for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["streamed"]
+
+
+def test_fences_close_by_style_and_length_and_underlines_make_headings():
+    from vesperline.operators.blocks import sections_of
+
+    text = (
+        "lead\n# A\npara\nmore\n    runs on\n- item\nlazy\n    held\n\n~~~ org-properties\n```\n# no\n~~~~\n````x\n```\nstill\n`````\nTwo\nlines\n---\nlast\n***\n    code\n# B #\n"
+        "``` a`b\n===\n~~~\n# open to the end"
+    )
+    found = sections_of(text)
+    assert [(s.line, s.level, s.title) for s in found] == [(2, 1, "A"), (18, 2, "Two\nlines"), (24, 1, "B"), (25, 1, "``` a`b")]
+    assert [(b[0], b[1], b[2], b[3]) for b in found[0].blocks] == [(3, "text", ["para", "more", "    runs on"], None), (10, "fence", ["```", "# no"], "org-properties"), (14, "fence", ["```", "still"], "x")]
+    assert [b[1] for b in found[1].blocks] == ["text", "indented"] and found[3].blocks == [[27, "fence", ["# open to the end"], ""]]
+    assert sections_of("") == [] and sections_of("no heading\r\n\r# yes\r\n")[0].line == 3
+
+
+def test_globs():
+    import re
+
+    from vesperline.sources.notes import glob_to_regex
+
+    met = lambda pattern, path: bool(re.match(glob_to_regex(pattern), path))
+    assert met("*.{md,markdown}", "a.markdown") and not met("*.{md,markdown}", "a.txt") and met("n[0-9]/[!a-c]*.md", "n4/d.md") and not met("n[0-9]/[!a-c]*.md", "n4/b.md")
+    assert met("**/x[]-].md", "a/b/x].md") and met("{a,b{c,d}}.md", "bd.md") and not met("[!a]b", "/b")
+    for bad in ("", "*.", "[a", "{a,b", "a}", "[]"):
+        with pytest.raises(ValueError):
+            glob_to_regex(bad)
+
+
+def test_days_in_zones_and_escapes(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from vesperline.functions import text, windows
+
+    day, now = windows.now_in("Pacific/Kiritimati")
+    assert isinstance(day, dt.date) and re_time(now) and windows.now_in("UTC", "2025-02-01") == (dt.date(2025, 2, 1), "00:00")
+    with pytest.raises(ValueError):
+        windows.now_in("Mars/Base")
+    row = spark.range(1).select(text.markdown_escaped(F.lit("a*b_\u202e[x]|<y>\\\\`#")).alias("e"), windows.day_in(F.lit("2025-03-01 23:30:00").cast("timestamp"), "Asia/Tokyo").alias("d")).first()
+    assert row.e == "a\\*b\\_\\[x\\]\\|\\<y\\>\\\\\\\\\\`\\#" and row.d == dt.date(2025, 3, 2)
+
+
+def re_time(text):
+    return len(text) == 5 and text[2] == ":"
+
+
+def test_run_report(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"# TODO one\n")
+    (tmp_path / "b.md").write_bytes(b"# TODO \xff\n")
+    raw = notes.read_raw(spark, [str(tmp_path)])
+    found = extract.tasks(notes.notes(raw))
+    r = notes.run_report(raw, found.count(), quality.findings(found), cap=1).first()
+    assert (r.files, r.parsed, r.not_utf8, r.failed_paths, r.warnings, r.cap_reached) == (2, 1, 1, ["b.md"], 0, True)

@@ -46,3 +46,8 @@ def html_escaped(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
+
+
+def markdown_escaped(text: Column) -> Column:
+    """For headings and labels: characters that mark up are escaped, invisible formatting goes."""
+    return F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r"([\\`*_#\[\]<>|])", r"\\$1")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from calendar import monthrange
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,3 +60,17 @@ def window(scope: str, current: date, day: str | None = None, first: str | None
         return a, a + timedelta(6)
     a, b = at.replace(day=1), at.replace(day=monthrange(at.year, at.month)[1])
     return (back(a), back(b) + timedelta(6)) if scope == "month-grid" else (a, b)
+
+
+def now_in(zone: str, pinned: str | None = None) -> tuple[date, str]:
+    """(current date, time of day) in a zone; a pinned date is at its midnight. An unknown zone is refused."""
+    try:
+        here = datetime.now(ZoneInfo(zone))
+    except (KeyError, ValueError, OSError) as e:
+        raise ValueError(f"not a time zone: {zone!r}") from e
+    return (parse_day(pinned), "00:00") if pinned else (here.date(), here.strftime("%H:%M"))
+
+
+def day_in(moment: Column, zone: str) -> Column:
+    """The date of a moment in UTC as a zone's calendars show it."""
+    return F.from_utc_timestamp(moment, zone).cast("date")

@@ -154,13 +154,31 @@ def envelopes(found: DataFrame, first: date, last: date) -> DataFrame:
     return out.select("day", F.when(F.size("overdue") > 0, F.col("overdue")).alias("overdue"), *[empty(b).alias(b) for b in BUCKETS[1:]])
 
 
-def next_occurrences(series: DataFrame, current: date, now: str = "00:00") -> DataFrame:
-    """``series(base, n, unit, timestamp_time, excluded_dates, replaced_dates)`` (no working days) with ``next_date``
-    from now (today counts until its time has passed) and ``next_after`` the current day."""
+def next_occurrences(series: DataFrame, current: date, now: str = "00:00", calendar: DataFrame | None = None) -> DataFrame:
+    """``series(base, n, unit, timestamp_time, excluded_dates, replaced_dates)`` with ``next_date`` from now (today counts
+    until its time has passed) and ``next_after`` the current day. Series on working days need the calendar."""
     today = f"date'{current.isoformat()}'"
-    grid = lambda c: rec.candidates("base", "n", "unit", c, "size(excluded_dates) + size(replaced_dates) + 1", ahead=True)
     slot = F.when(F.col("timestamp_time").rlike("^([01]?[0-9]|2[0-3]):[0-5][0-9]$"), F.lpad("timestamp_time", 5, "0"))
-    standing = lambda c: rec.next_standing(grid(c), F.col("excluded_dates"), F.col("replaced_dates"))
-    out = rec.with_closest(series, today).withColumns({"_here": standing(today), "next_after": standing(f"date_add({today}, 1)")})
-    passed = F.coalesce((F.col("future") == F.expr(today)) & (slot < now), F.lit(False))
-    return out.withColumn("next_date", F.when(passed, F.col("next_after")).otherwise(F.col("_here"))).drop("_here", "past", "future")
+
+    def chosen(df: DataFrame, here: Column, after: Column) -> DataFrame:
+        df = df.withColumns({"_here": here, "next_after": after})
+        passed = F.coalesce((F.col("_here") == F.expr(today)) & (slot < now), F.lit(False))
+        return df.withColumn("next_date", F.when(passed, F.col("next_after")).otherwise(F.col("_here"))).drop("_here")
+
+    grid = lambda c: rec.candidates("base", "n", "unit", c, "size(excluded_dates) + size(replaced_dates) + 1", ahead=True)
+    standing = lambda g: rec.next_standing(g, F.col("excluded_dates"), F.col("replaced_dates"))
+    plain = chosen(series.where("unit <> 'wd'"), standing(grid(today)), standing(grid(f"date_add({today}, 1)")))
+    if calendar is None:
+        return plain
+    work = workdays.with_grid(series.where("unit = 'wd'"), calendar, current, _missing() + 1)
+    from_today = F.filter("_grid", lambda d: d >= F.expr(today))
+    after_today = F.filter("_grid", lambda d: d > F.expr(today))
+    return plain.unionByName(chosen(work, standing(from_today), standing(after_today)).drop("_grid"))
+
+
+def arrears(series: DataFrame, current: date, calendar: DataFrame) -> DataFrame:
+    """``series(base, n, unit, excluded_dates, replaced_dates)`` with ``owed_date`` at the current date."""
+    plain = _plain_ends(series.where("unit <> 'wd'"), current).drop("first_standing")
+    work = workdays.with_grid(series.where("unit = 'wd'"), calendar, current, _missing())
+    back = F.filter("_grid", lambda d: d <= F.lit(current.isoformat()).cast("date"))
+    return plain.unionByName(work.withColumn("owed_date", rec.owed(back, F.col("excluded_dates"), F.col("replaced_dates"))).drop("_grid"))

@@ -22,7 +22,7 @@ STATE = r"(?U)^(TODO|DONE|CANCELLED|CANCELED)\s+"
 MARK = r"\[#([A-Z]|6[0-4]|[1-5][0-9]|[0-9])\]"
 
 
-def _computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once, here: later filters and uses read their values."""
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
@@ -105,7 +105,7 @@ def parsed_sections(notes: DataFrame) -> DataFrame:
         return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
 
     is_properties = lambda b: F.coalesce(b["info"] == "org-properties", F.lit(False))
-    out = _computed(
+    out = computed(
         out, [*KEY, "line", "level"],
         shown=without_marks(F.col("title"), keep_code=True),
         texts=F.transform(F.filter("blocks", lambda b: ~is_properties(b)), texts),
@@ -114,7 +114,7 @@ def parsed_sections(notes: DataFrame) -> DataFrame:
     )
     state, priority, heading = heading_fields(F.col("shown"))
     clocks = F.flatten(F.transform(F.filter(F.flatten("texts"), lambda t: t.contains("CLOCK:")), clock_entries))
-    out = _computed(
+    out = computed(
         out, [*KEY, "line", "level", "property_blocks"],
         heading=heading, content=F.array_join(F.filter(F.transform("paragraphs", trimmed), lambda p: p != ""), "\n\n"), task_type=state, priority=priority,
         created=last(F.transform("texts", lambda t: first(stamps.created_stamps(t)))), timestamp=last(F.transform("texts", lambda t: first(stamps.planning_stamps(t)))),

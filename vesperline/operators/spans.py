@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vesperline.functions import stamps
 from vesperline.operators.blocks import sections
-from vesperline.operators.extract import MARK, STATE
+from vesperline.operators.extract import MARK, STATE, computed
 
 _LINE = r"^ {0,3}(#{1,6})[ \t]+"
 
@@ -42,10 +43,14 @@ def heading_spans(notes: DataFrame) -> DataFrame:
 
 
 def stamp_spans(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``texts`` with spans of the first stamp: whole, date and weekday as written."""
+    """``texts`` with spans of the first stamp: whole, date and weekday as written; its repeater and whether it is active.
+    A stamp whose date does not exist is none."""
     t = F.col(text_col)
     whole = F.coalesce(F.regexp_substr(t, F.lit(r"<[0-9]{4}-[0-9]{2}-[0-9]{2}[^<>]{0,256}>|\[[0-9]{4}-[0-9]{2}-[0-9]{2}[^\[\]]{0,256}\]")), F.lit(""))
-    at = F.instr(t, whole) - 1
-    date = F.regexp_extract(whole, r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
-    day = F.regexp_extract(whole, r"^.[0-9-]{10} (\p{L}+)", 1)
-    return texts.select("*", _span(t, at, whole).alias("stamp"), _span(t, at + 1, date).alias("date"), _span(t, at + 12, day).alias("weekday")).where("stamp is not null")
+    found = computed(texts, texts.columns, _whole=whole).where("_whole <> ''")
+    whole, at = F.col("_whole"), F.instr(t, F.col("_whole")) - 1
+    found = computed(found, found.columns, _at=at, _date=F.substring(whole, 2, 10), _day=F.regexp_extract(whole, r"^.[0-9-]{10} (\p{L}+)", 1), _rep=stamps.repeater(whole))
+    return found.where(stamps.real_date(F.col("_date")).isNotNull()).select(
+        *texts.columns, _span(t, F.col("_at"), whole).alias("stamp"), _span(t, F.col("_at") + 1, F.col("_date")).alias("date"), _span(t, F.col("_at") + 12, F.col("_day")).alias("weekday"),
+        stamps.repeater_text(F.col("_rep")).alias("repeater"), whole.startswith("<").alias("active"),
+    )

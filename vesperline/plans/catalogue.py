@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 from importlib.resources import files
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from vesperline.operators import agenda as ag
 from vesperline.operators import exceptions, extract, quality, spans, workdays
 from vesperline.plans import order_notes as on
 from vesperline.sources import holidays, notes, sinks
-from vesperline.sources.scratch import as_table
+from vesperline.sources.scratch import as_table, scratch_dir
 
 TODAY = date(1998, 6, 15)
 CALENDAR = ("1994-12-01", "2002-12-31")
@@ -83,7 +84,7 @@ def multi_root(spark, sf_dir):
 
 
 def note_sections(spark, sf_dir):
-    return extract.sections(on.order_notes(spark, sf_dir)).where("level = 3").select("root", "file", "line", "level", F.size("blocks").alias("blocks"))
+    return extract.sections(on.order_notes(spark, sf_dir)).select("root", "file", "line", "level", F.size("blocks").alias("blocks"))
 
 
 def heading_fields(spark, sf_dir):
@@ -203,7 +204,13 @@ def _occurrences(units, first, last):
 
 
 def closest_past_future(spark, sf_dir):
-    return rec.with_closest(_series(spark, sf_dir).where("unit <> 'wd'"), f"date'{TODAY}'").select("k", "past", "future")
+    s = _series(spark, sf_dir)
+    plain = rec.with_closest(s.where("unit <> 'wd'"), f"date'{TODAY}'").select("k", "past", "future")
+    work = workdays.bracket(s.where("unit = 'wd'").withColumn("c", F.lit(TODAY.isoformat()).cast("date")), _calendar(spark))
+    # off its days a series' past is the step before; before its base there is none
+    past = F.when(F.col("c") < F.col("base"), None).otherwise(F.col("n1"))
+    future = F.when(F.col("c") <= F.col("base"), F.col("base")).when(F.col("n1") == F.col("c"), F.col("c")).otherwise(F.col("n2"))
+    return plain.unionByName(work.select("k", past.alias("past"), future.alias("future")))
 
 
 def _shifted(spark, sf_dir):
@@ -257,24 +264,21 @@ def unknown_series(spark, sf_dir):
 
 
 def _with_missing(spark, sf_dir):
-    s = _series(spark, sf_dir).where("unit <> 'wd'")
+    s = _series(spark, sf_dir)
     cut = lambda m, days: F.expr(f"case when k % {m} = 0 then array({', '.join(f'date_add(base, {d})' for d in days)}) else cast(array() as array<date>) end")
     return s.withColumns({"excluded_dates": cut(2, (7, 14, 2, 4)), "replaced_dates": cut(3, (7, 21, 6, 31))})
 
 
 def next_occurrence(spark, sf_dir):
-    return ag.next_occurrences(_with_missing(spark, sf_dir), TODAY, "12:00").select("k", "next_date")
+    return ag.next_occurrences(_with_missing(spark, sf_dir), TODAY, "12:00", _calendar(spark)).select("k", "next_date")
 
 
 def next_after_day(spark, sf_dir):
-    return ag.next_occurrences(_with_missing(spark, sf_dir), TODAY).select("k", "next_after")
+    return ag.next_occurrences(_with_missing(spark, sf_dir), TODAY, calendar=_calendar(spark)).select("k", "next_after")
 
 
 def series_arrears(spark, sf_dir):
-    today = f"date'{TODAY}'"
-    s = _with_missing(spark, sf_dir)
-    grid = rec.candidates("base", "n", "unit", today, "size(excluded_dates) + size(replaced_dates) + 1", ahead=False)
-    return s.select("k", rec.owed(grid, F.col("excluded_dates"), F.col("replaced_dates")).alias("owed_date"))
+    return ag.arrears(_with_missing(spark, sf_dir), TODAY, _calendar(spark)).select("k", "owed_date")
 
 
 # --- agenda ------------------------------------------------------------------------------------------------------
@@ -313,13 +317,13 @@ def day_envelope(spark, sf_dir):
 
 
 def heading_spans(spark, sf_dir):
-    h = spans.heading_spans(on.order_notes(spark, sf_dir)).where("level = 3")
+    h = spans.heading_spans(on.order_notes(spark, sf_dir))
     return h.select("file", "line", *[F.col(f"{p}.{x}").alias(f"{p}_{x}") for p in ("state", "mark", "title") for x in ("start", "end")])
 
 
 def stamp_spans(spark, sf_dir):
     s = spans.stamp_spans(on.attributes(spark, sf_dir).select("k", "written"), "written")
-    return s.select("k", *[F.col(f"{p}.{x}").alias(f"{p}_{x}") for p in ("stamp", "date", "weekday") for x in ("start", "end")])
+    return s.select("k", "repeater", "active", *[F.col(f"{p}.{x}").alias(f"{p}_{x}") for p in ("stamp", "date", "weekday") for x in ("start", "end")])
 
 
 def plain_text(spark, sf_dir):
@@ -334,6 +338,34 @@ def hidden_characters(spark, sf_dir):
     return d.select("doc_id", (F.length("text") - F.length(clean)).cast("long").alias("hidden"), F.length(text.html_escaped(F.col("text"))).cast("long").alias("escaped_length"))
 
 
+def markdown_escapes(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.length(text.markdown_escaped(F.col("text"))).cast("long").alias("escaped_length"))
+
+
+def local_days(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.groupBy(windows.day_in(F.col("ts"), "Asia/Tokyo").alias("day"), windows.day_in(F.col("ts"), "America/New_York").alias("west_day")).agg(F.count("*").alias("events"))
+
+
+def glob_classes(spark, sf_dir):
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    d = _table(spark, sf_dir, "documents").select(path.alias("file"))
+    return d.where(notes.matches_glob(F.col("file"), "src[1-3]{,5}/*[!0-4].md") | notes.matches_glob(F.col("file"), "{1,2[0-5]}*7.md"))
+
+
+def scan_files(spark, sf_dir):
+    """Documents as note files under two kinds of roots, written, listed, gated and extracted again."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"))
+    bad = (F.col("doc_id") % 50 == 0) | F.col("source").isNull()
+    line = F.concat(F.lit("# TODO Document "), F.col("doc_id").cast("string"), F.when(bad, F.unhex(F.lit("FF")).cast("string")).otherwise(""))
+    base = f"{scratch_dir(spark)}/notes-{uuid.uuid4().hex}"
+    d.select(line.alias("value"), "lang", F.concat("source", F.when(bad, "-bad").otherwise("-good")).alias("note")).write.partitionBy("lang", "note").text(base)
+    raw = notes.read_raw(spark, [f"{base}/lang={r.lang}{end}" for r in d.select("lang").distinct().collect() for end in ("", "/")])
+    found = extract.tasks(notes.notes(raw))
+    return found.select(F.regexp_extract("root", "([^/=]*)/*$", 1).alias("lang"), F.regexp_extract("file", "^note=([^/]*)/", 1).alias("note"), "heading")
+
+
 # --- SQL ---------------------------------------------------------------------------------------------------------
 
 _RANK = "row_number() over (order by coalesce(case when regexp_full_match(priority, '[0-9]+') then cast(priority as bigint) else ascii(priority) end, 4294967295), cast(d as varchar), start_time nulls last, root, file, line)"
@@ -366,8 +398,13 @@ _MISSING = """m as (select *, case when k % 2 = 0 then [cast(d + 7 as date), cas
     case when k % 3 = 0 then [cast(d + 7 as date), cast(d + 21 as date), cast(d + 6 as date), cast(d + 31 as date)] else [] end as r from a)"""
 
 
+_WORK_GRID = """
+      union all select a.k, a.d, a.n, a.unit, w.d from a join cal on cal.d = a.d join cal w on w.is_workday and w.d > a.d and (w.o - cal.o) % a.n = 0 where a.unit = 'wd'
+      union all select k, d, n, unit, d from a where unit = 'wd'"""
+
+
 def _next_sql(strict: str, name: str) -> str:
-    return f"""with {_A}, {_MISSING}, g as ({_grid("'d','w','h','m','y'", '1995-01-01', '2010-12-31')})
+    return f"""with {_A}, {_calendar_sql(*CALENDAR)}, {_MISSING}, g as ({_grid("'d','w','h','m','y'", '1995-01-01', '2010-12-31')}{_WORK_GRID})
       select m.k, min(case when {strict} and not list_contains(x, day) and not list_contains(r, day) then day end) as {name}
       from m join g on m.k = g.k group by m.k"""
 
@@ -441,7 +478,7 @@ def oracle_sql() -> dict[str, str]:
         "scan_report": f"select count(*) as files, count(*) filter (gate = 'parsed') as parsed, count(*) filter (gate = 'oversize') as oversize, 0::bigint as not_utf8, count(*) filter (gate = 'no_marker') as no_marker, min(case when gate = 'oversize' then source || '/' || cast(doc_id as varchar) || '.md' end) as first_failed from (select {gate} as gate, source, doc_id from documents)",
         "documents_no_tasks": "select cast(doc_id as varchar) as file, 1 as line from documents where false",
         "multi_root": f"with {_A}, f as (select distinct root, file from a join {_NOTE} on c = c_custkey) select root, count(*) as files, min(file) as first_file from f where root like '%ING' or file like 'c1%' group by root",
-        "note_sections": f"with {_A} select root, file, line, 3 as level, 6 as blocks from a join {_NOTE} on c = c_custkey",
+        "note_sections": f"with {_A} select root, file, line, 3 as level, 6 as blocks from a join {_NOTE} on c = c_custkey union all select distinct root, file, 1, 1, 0 from a join {_NOTE} on c = c_custkey",
         "heading_fields": _task_sql(f"file, line, {heading} as heading, state as task_type, priority, {po} as priority_order"),
         "stamp_fields": _task_sql("file, line, stamp as timestamp, kind as timestamp_type, kind <> 'CLOSED' as timestamp_active, cast(d as varchar) as timestamp_date, d as base_date, start_time as timestamp_time, end_time as timestamp_end_time"),
         "localized_weekdays": _task_sql("k, stamp as english, k % 9 = 0 as changed"),
@@ -475,7 +512,7 @@ def oracle_sql() -> dict[str, str]:
         "occurrences_hourly": f"with {_A} select k, unit, day from ({_grid(chr(39) + 'h' + chr(39), '1998-06-01', '1998-06-07')})",
         "occurrences_monthly": f"with {_A} select k, unit, day from ({_grid(chr(39) + 'm' + chr(39), '1998-01-15', '1999-03-05')})",
         "occurrences_yearly": f"with {_A} select k, unit, day from ({_grid(chr(39) + 'y' + chr(39), '1996-01-01', '2012-12-31')})",
-        "closest_past_future": f"with {_A}, g as ({_grid(_PLAIN, '1995-01-01', '2010-12-31')}) select k, max(case when day <= DATE '{TODAY}' then day end) as past, min(case when day >= DATE '{TODAY}' then day end) as future from g group by k",
+        "closest_past_future": f"with {_A}, {_calendar_sql(*CALENDAR)}, g as ({_grid(_PLAIN, '1995-01-01', '2010-12-31')}{_WORK_GRID}) select k, max(case when day <= DATE '{TODAY}' then day end) as past, min(case when day >= DATE '{TODAY}' then day end) as future from g group by k",
         "workday_calendar": f"with {cal}, o as (select {spread('o_orderkey % 730')} as d, count(*) as orders from orders group by 1) select o.d, orders, is_workday from o join cal on o.d = cal.d",
         "workdays_between": f"with {cal}, p as (select o_orderkey as k, {spread('o_orderkey % 400')} as s, {spread('o_orderkey * 7 % 600')} as e from orders) select k, cast(case when e > s then b.o - a.o else 0 end as bigint) as workdays from p join cal a on a.d = s join cal b on b.d = e",
         "nth_workday": f"with {cal}, p as (select o_orderkey as k, {spread('o_orderkey % 400')} as s, o_orderkey % 30 as n from orders) select k, case when n = 0 then s else w.d end as nth_day from p join cal a on a.d = s left join cal w on w.is_workday and w.o = a.o + n",
@@ -489,7 +526,7 @@ def oracle_sql() -> dict[str, str]:
         "unknown_series": f"with {_A} select distinct series as series_id from a where replaced is not null and series not in (select concat('order-', cast(k as varchar)) from a)",
         "next_occurrence": _next_sql(f"(day > DATE '{TODAY}' or day = DATE '{TODAY}' and coalesce(lpad(start_time, 5, '0') >= '12:00', true))", "next_date"),
         "next_after_day": _next_sql(f"day > DATE '{TODAY}'", "next_after"),
-        "series_arrears": f"""with {_A}, {_MISSING}, g as ({_grid("'d','w','h','m','y'", '1995-01-01', '2010-12-31')}),
+        "series_arrears": f"""with {_A}, {_calendar_sql(*CALENDAR)}, {_MISSING}, g as ({_grid("'d','w','h','m','y'", '1995-01-01', '2010-12-31')}{_WORK_GRID}),
             e as (select m.k, any_value(r) as r, max(case when day <= DATE '{TODAY}' and (not list_contains(x, day) or list_contains(r, day)) then day end) as last from m join g on m.k = g.k group by m.k)
             select k, case when not list_contains(r, last) then last end as owed_date from e""",
         "window_edges": """with o as (select cast(o_orderdate as date) as d, count(*) as orders from orders group by 1) select d, orders, cast(date_trunc('week', d) as date) as week, cast(date_trunc('week', d + 1) as date) - 1 as sunday_week,
@@ -504,12 +541,18 @@ def oracle_sql() -> dict[str, str]:
             from generate_series(TIMESTAMP '1998-06-15', TIMESTAMP '1998-06-21', INTERVAL 1 DAY) t(g) left join rows on rows.day = cast(g as date) group by 1""",
         "heading_spans": _task_sql(f"""file, line, case when state is not null then {lead} end as state_start, case when state is not null then {lead} + strlen(state) end as state_end,
             case when priority is not null then {lead} + {state_len} end as mark_start, case when priority is not null then {lead} + {state_len} + {mark_len} - 1 end as mark_end,
-            {lead} + {state_len} + {mark_len} as title_start, {lead} + {state_len} + {mark_len} + strlen({title}) as title_end"""),
-        "stamp_spans": _task_sql("""k, case kind when 'PLAIN' then 0 else strlen(kind) + 2 end as stamp_start, strlen(written) as stamp_end, case kind when 'PLAIN' then 1 else strlen(kind) + 3 end as date_start,
+            {lead} + {state_len} + {mark_len} as title_start, {lead} + {state_len} + {mark_len} + strlen({title}) as title_end""") + " union all select distinct file, 1, null, null, null, null, 2, 2 + strlen(concat('Notes of customer')) from a",
+        "stamp_spans": _task_sql("""k, repeater, kind <> 'CLOSED' as active, case kind when 'PLAIN' then 0 else strlen(kind) + 2 end as stamp_start, strlen(written) as stamp_end, case kind when 'PLAIN' then 1 else strlen(kind) + 3 end as date_start,
             case kind when 'PLAIN' then 11 else strlen(kind) + 13 end as date_end, case kind when 'PLAIN' then 12 else strlen(kind) + 14 end as weekday_start, case kind when 'PLAIN' then 12 else strlen(kind) + 14 end + strlen(local_day) as weekday_end"""),
         "plain_text": _task_sql("k, concat('Order ', cast(k as varchar), ' of ', o_orderstatus, ' see old & new') as shown, concat('Order ', cast(k as varchar), ' of  see old & new') as body"),
         "hidden_characters": f"select doc_id, length(text) - length({hidden}) as hidden, length({hidden}) + 4 * (length({hidden}) - length(replace({hidden}, '&', ''))) + 3 * (length({hidden}) - length(replace(replace({hidden}, '<', ''), '>', ''))) + 5 * (length({hidden}) - length(replace({hidden}, '\"', ''))) + 4 * (length({hidden}) - length(replace({hidden}, '''', ''))) as escaped_length from documents",
     }
+    sql |= {
+        "markdown_escapes": "select doc_id, length(clean) + length(regexp_replace(clean, '[^\\\\`*_#\\[\\]<>|]', '', 'g')) as escaped_length from (select doc_id, regexp_replace(text, '[\\x{200b}\\x{200e}\\x{200f}\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '', 'g') as clean from documents)",
+        "local_days": "select cast((cast(ts as timestamp) at time zone 'UTC') at time zone 'Asia/Tokyo' as date) as day, cast((cast(ts as timestamp) at time zone 'UTC') at time zone 'America/New_York' as date) as west_day, count(*) as events from events group by 1, 2",
+        "glob_classes": "select file from (select concat(source, '/', cast(doc_id as varchar), '.md') as file, cast(doc_id as varchar) as k, source from documents) where (source in ('src1', 'src2', 'src3', 'src15', 'src25', 'src35') and regexp_full_match(k, '.*[^0-4]')) or regexp_full_match(k, '(1|2[0-5]).*7')",
+        "scan_files": "select coalesce(lang, 'none') as lang, concat(coalesce(source, 'none'), '-good') as note, concat('Document ', cast(doc_id as varchar)) as heading from documents where doc_id % 50 <> 0 and source is not null",
+    }
     sql["first_findings"] = f"""select channel, position, file, line, key, value from (select channel, file, line, key, value,
         row_number() over (partition by channel order by root, file, line, key nulls first, value, problem) as position from ({sql['quality_findings']}) q
         join (select concat('c', cast(c_custkey as varchar), '.md') as f, c_mktsegment as root from customer) n on n.f = q.file) where position <= 20"""
@@ -523,6 +566,7 @@ def queries() -> dict:
         task_json, tasks_flat_list, tasks_with_done, tasks_with_cancelled, first_tasks, tasks_by_state_priority, clock_minutes_by_week, month_shift, closest_past_future,
         occurrences_workday, workday_bracket, workday_calendar, workdays_between, nth_workday, holidays_of_year, series_replacements, unknown_series, next_occurrence,
         next_after_day, series_arrears, window_edges, agenda_day_counts, day_envelope, heading_spans, stamp_spans, plain_text, hidden_characters,
+        markdown_escapes, local_days, glob_classes, scan_files,
     ]
     found = {f.__name__: f for f in names}
     found |= {

@@ -16,10 +16,11 @@ def without_bom(text: Column) -> Column:
 
 
 def glob_to_regex(pattern: str) -> str:
-    """A glob as a regular expression for ``rlike``; an empty pattern or a bare ``*.`` is refused."""
+    """A glob as a regular expression for ``rlike``: ``*``, ``?``, ``**``, classes and alternatives. An empty pattern, a
+    bare ``*.`` and one with an open or stray bracket are refused."""
     if not pattern or pattern == "*.":
         raise ValueError(f"not a usable glob: {pattern!r}")
-    out, i = "", 0
+    out, i, depth = "", 0, 0
     while i < len(pattern):
         c = pattern[i]
         if pattern.startswith("**/", i):
@@ -28,8 +29,28 @@ def glob_to_regex(pattern: str) -> str:
         if pattern.startswith("**", i):
             out, i = out + ".*", i + 2
             continue
-        out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r".^$+(){}|[]\\" else c
+        if c == "[":
+            negated = pattern[i + 1 : i + 2] in ("!", "^")
+            begin = i + 1 + negated
+            end = pattern.find("]", begin + 1)  # a bracket that comes first is one of the class
+            if end < 0:
+                raise ValueError(f"an open class in {pattern!r}")
+            inside = "".join("\\" + x if x in "\\[]^&" else x for x in pattern[begin:end])
+            out, i = out + ("[^/" if negated else "[") + inside + "]", end + 1
+            continue
+        if c == "{":
+            out, depth = out + "(?:", depth + 1
+        elif c == "}":
+            if not depth:
+                raise ValueError(f"a stray bracket in {pattern!r}")
+            out, depth = out + ")", depth - 1
+        elif c == "," and depth:
+            out += "|"
+        else:
+            out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r".^$+(){}|[]\\" else c
         i += 1
+    if depth:
+        raise ValueError(f"an open alternative in {pattern!r}")
     return f"^{out}$"
 
 
@@ -83,6 +104,15 @@ def scan_report(raw: DataFrame) -> DataFrame:
     )
 
 
+def run_report(raw: DataFrame, tasks_found: int, findings: DataFrame, cap: int) -> DataFrame:
+    """``scan_report`` with the first unusable paths, the number of findings of the run and whether its cap was reached."""
+    paths = failed_paths(raw).agg(F.sort_array(F.collect_list("file")).alias("failed_paths"))  # 20 rows at most
+    warned = findings.agg(F.count("*").alias("warnings"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    out = one(scan_report(raw)).join(one(paths), "_one").join(one(warned), "_one").drop("_one")
+    return out.withColumn("cap_reached", F.lit(tasks_found >= cap))
+
+
 def failed_paths(raw: DataFrame, n: int = SHOWN_PATHS) -> DataFrame:
     """The first unusable paths, ``n`` at most."""
     return gated(raw).where(F.col("gate").isin("oversize", "not_utf8")).select("file", "gate").orderBy("file").limit(n)
