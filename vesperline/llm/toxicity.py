@@ -235,23 +235,22 @@ def fit_field(sentences: list[tuple[bool, np.ndarray, float]], start: Model, ste
     seen_pairs = np.array([[often @ np.sum(pair_on & (y[:, :-1] == a) & (y[:, 1:] == b), axis=1) for b in (0, 1)] for a in (0, 1)], float)
     momentum, square = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
     for step in range(1, steps + 1):
-        score = np.zeros((*on.shape, 2))
-        score[:, :, 1] = X @ weights
-        alpha = np.empty_like(score)
-        beta = np.zeros_like(score)
-        alpha[:, 0] = score[:, 0]
+        # odds of the toxic state: forward with a token's own score, backward without it
+        up, m = np.exp(np.clip(X @ weights, -50, 50)), np.exp(moves)
+        ahead, back = np.empty_like(up), np.ones_like(up)
+        ahead[:, 0] = up[:, 0]
         for t in range(1, on.shape[1]):
-            into = np.logaddexp(alpha[:, t - 1, 0, None] + moves[0], alpha[:, t - 1, 1, None] + moves[1])
-            alpha[:, t] = np.where(on[:, t, None], into + score[:, t], alpha[:, t - 1])
+            ahead[:, t] = up[:, t] * (m[0, 1] + m[1, 1] * ahead[:, t - 1]) / (m[0, 0] + m[1, 0] * ahead[:, t - 1])
         for t in range(on.shape[1] - 2, -1, -1):
-            after = score[:, t + 1] + beta[:, t + 1]
-            back = np.logaddexp(after[:, 0, None] + moves[:, 0], after[:, 1, None] + moves[:, 1])
-            beta[:, t] = np.where(on[:, t + 1, None], back, 0.0)
-        whole = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.where(on, np.exp(alpha[:, :, 1] + beta[:, :, 1] - whole[:, None]), 0.0)
+            x = up[:, t + 1] * back[:, t + 1]
+            back[:, t] = np.where(on[:, t + 1], (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x), 1.0)
+        odds = ahead * back
+        p = np.where(on, odds / (1 + odds), 0.0)
         grad_w = np.einsum("nt,ntf->f", (Y - p) * often[:, None], X)
-        joint = alpha[:, :-1, :, None] + moves + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - whole[:, None, None, None]
-        grad_m = seen_pairs - np.einsum("n,ntab->ab", often, np.exp(np.where(pair_on[:, :, None, None], joint, -np.inf)))
+        before, after = ahead[:, :-1], up[:, 1:] * back[:, 1:]
+        joint = [[m[0, 0], m[0, 1] * after], [m[1, 0] * before, m[1, 1] * before * after]]
+        each = np.where(pair_on, often[:, None], 0.0) / (joint[0][0] + joint[0][1] + joint[1][0] + joint[1][1])
+        grad_m = seen_pairs - np.array([[np.sum(each * joint[i][j]) for j in (0, 1)] for i in (0, 1)])
         grad = np.concatenate((grad_w, grad_m.ravel())) - decay * np.concatenate((weights, moves.ravel()))
         momentum = 0.9 * momentum + 0.1 * grad
         square = 0.99 * square + 0.01 * grad**2
