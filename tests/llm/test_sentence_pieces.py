@@ -51,3 +51,17 @@ def test_a_space_mark_in_the_text_does_not_come_back(spark):
     df = spark.createDataFrame([(1, "a▁b")], "doc_id long, text string")
     row = sp.encode_documents(df, PATH, keep_ids=True).first()
     assert row.ids == library("a▁b") and not row.round_trip
+
+
+def test_long_segments_equal_the_librarys_and_take_little():
+    import time
+
+    rng = random.Random(4)
+    alphabet = ["the", "tion", "é", "ing", "x", ";", "12", "Über", "中", "文", "e", "a", "th", "st", "😀", "an"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (100, 300, 300, 2000)]
+    texts.append("".join(rng.choice("ABCDEFabcdefghijklmnop0123456789+/") for _ in range(60_000)))
+    coder = sp.Codec(PATH)
+    began = time.process_time()
+    got = coder.encode([f"{t} and {t}" for t in texts])
+    assert time.process_time() - began < 60
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library(f"{t} and {t}") for t in texts]

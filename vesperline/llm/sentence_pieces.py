@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_left
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +107,54 @@ def edges(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np
     return place[by], length[by], piece[by]
 
 
+def relax_long(segments: list[str], pieces: Pieces) -> list[bytes]:
+    """:func:`relax` of long segments: open edges wait in a heap by score and place, so each join costs a logarithm, and
+    edges are looked up in their sorted list."""
+    text = "\n".join(segments)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    place, length, piece = edges(codes, pieces)
+    width, n = pieces.longest + 1, len(codes)
+    keys, found = array("q", (place * width + length).tobytes()), piece.tolist()
+    rank = pieces.rank.tolist()
+
+    def edge(start: int, end: int) -> int:
+        if end - start >= width:
+            return _NONE
+        key = start * width + end - start
+        at = bisect_left(keys, key)
+        return found[at] if at < len(keys) and keys[at] == key else _NONE
+
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the symbol that starts here; 0: none starts here
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(start: int) -> None:
+        if start >= 0 and end[start] < n and (joined := edge(start, end[end[start]])) >= 0:
+            heappush(heap, (rank[joined], start, end[end[start]]))
+
+    for start in range(n - 1):
+        offer(start)
+    while heap:
+        _, start, stop = heappop(heap)
+        middle = end[start]
+        if not middle or middle == stop or middle >= n or end[middle] != stop:
+            continue  # one of its symbols has joined another since
+        end[start], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = start
+        offer(start)
+        offer(before[start])
+    out: list[list[int]] = [[]]
+    at = 0
+    while at < n:
+        if text[at] == "\n":
+            out.append([])
+        else:
+            whole = edge(at, end[at])
+            out[-1] += [int(pieces.ids[whole])] if whole >= 0 else pieces.fallback(text[at])
+        at = end[at]
+    return [np.array(ids, "<u4").tobytes() for ids in out]
+
+
 def relax(segments: list[str], pieces: Pieces) -> list[bytes]:
     """Ids (little-endian unsigned 32 bits) of each segment.
 
@@ -161,6 +212,7 @@ def relax(segments: list[str], pieces: Pieces) -> list[bytes]:
     return out
 
 
+_LONG = 256  # characters, from which a segment is relaxed by itself
 _SEGMENT = re.compile(f"{_MARK}*[^{_MARK}\n]+|\n|{_MARK}+")
 
 
@@ -179,15 +231,19 @@ class Codec:
         if "\n" not in known:
             known["\n"] = np.array(self.pieces.fallback("\n"), "<u4").tobytes()
         split = [_SEGMENT.findall(_MARK + t.replace(" ", _MARK)) if t else [] for t in texts]
-        new, chars = [], 0
+        short, long = [], []
         for segment in {s for words in split for s in words if s not in known}:
-            new.append(segment)
-            chars += len(segment)
-            if chars >= _CHARS_AT_ONCE:
-                known.update(zip(new, relax(new, self.pieces)))
-                new, chars = [], 0
-        if new:
-            known.update(zip(new, relax(new, self.pieces)))
+            (long if len(segment) > _LONG else short).append(segment)
+        for some, way in ((short, relax), (long, relax_long)):
+            new, chars = [], 0
+            for segment in some:
+                new.append(segment)
+                chars += len(segment)
+                if chars >= _CHARS_AT_ONCE:
+                    known.update(zip(new, way(new, self.pieces)))
+                    new, chars = [], 0
+            if new:
+                known.update(zip(new, way(new, self.pieces)))
         return [b"".join([known[s] for s in words]) for words in split]
 
     def decode(self, ids: bytes) -> str:
