@@ -233,7 +233,7 @@ def _dealt(p: Phrases, buckets: int, salt: np.ndarray, local: tuple) -> list[tup
     bucket = (salt % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    blobs = [(b, _PHRASES + p.take(order[cuts[b] : cuts[b + 1]]).pack()) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    blobs = [(b, _PHRASES + p.take(order[cuts[b] : cuts[b + 1]]).pack()) for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()]
     for at in range(0, len(local[0]), 1 << 12):
         data = b"".join(x[at : at + (1 << 12)].astype(np.int64).tobytes() for x in local)
         blobs.append((xxhash.xxh32_intdigest(data) % buckets, _FINISHED + data))
@@ -373,8 +373,11 @@ def _reduce(config: Config, classes):
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets by the size of the input as Spark's planner knows it: about 16 MB of input each, 256 at least."""
+    """Buckets by the size of the input as Spark's planner knows it: about 16 MB of input each, 256 at least. Where the
+    planner does not know it (it then answers with the largest number there is), the texts are measured."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     return max(256, min(size >> 24, 1 << 20))
 
 

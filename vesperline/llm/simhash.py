@@ -119,28 +119,26 @@ def _by_bucket(read, links):
     """``links(group, prints, nodes)`` over runs of whole buckets of sorted rows (kind, key, print, node)."""
 
     def run(batches):
-        held: list[np.ndarray] | None = None
-        seen = 0
+        held: list[tuple[np.ndarray, ...]] = []  # parts of the last bucket, which may go on in the next batch
+        seen, last = 0, None
         for batch in batches:
             if not len(batch):
                 continue
             kind, key, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            prints = read(batch.column(2))
-            new = np.concatenate(([True], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])))
+            new = np.concatenate(([last != (kind[0], key[0])], (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])))
             group = np.cumsum(new) + seen
-            if held is not None:
-                if (held[3][-1], held[4][-1]) == (kind[0], key[0]):
-                    group -= 1
-                held = [np.concatenate(x) for x in zip(held, (group, prints, nodes, kind, key))]
-            else:
-                held = [group, prints, nodes, kind, key]
-            seen = int(held[0][-1])
-            whole = int(np.searchsorted(held[0], seen))  # the last bucket may go on in the next batch
-            if whole:
-                yield links(held[0][:whole], held[1][:whole], held[2][:whole])
-                held = [x[whole:] for x in held]
-        if held is not None:
-            yield links(*held[:3])
+            rows = (group, read(batch.column(2)), nodes)
+            seen, last = int(group[-1]), (kind[-1], key[-1])
+            starts = np.flatnonzero(new)
+            if not len(starts):
+                held.append(rows)
+                continue
+            closed = [*held, tuple(x[: starts[-1]] for x in rows)]
+            held = [tuple(x[starts[-1] :] for x in rows)]
+            if sum(len(part[0]) for part in closed):
+                yield links(*(np.concatenate(x) for x in zip(*closed)))
+        if held:
+            yield links(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -375,7 +373,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
             def rows(kind: int, key: np.ndarray, at: np.ndarray):
                 tail = np.column_stack((n[at], part[at], np.full(len(at), kind, np.int64))).astype(np.int64)
-                packed = np.concatenate((whole[at], np.ascontiguousarray(tail).view(np.uint8).reshape(len(at), -1)), axis=1)
+                packed = np.concatenate((whole[at], np.ascontiguousarray(tail).view(np.uint8).reshape(len(at), 24)), axis=1)
                 return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int64)), pa.array(key), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(node[at])], ["kind", "key", "fingerprint", "node"])
 
             at = np.flatnonzero(n > _FEW)
