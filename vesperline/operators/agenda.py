@@ -170,7 +170,7 @@ def next_occurrences(series: DataFrame, current: date, now: str = "00:00", calen
     plain = chosen(series.where("unit <> 'wd'"), standing(grid(today)), standing(grid(f"date_add({today}, 1)")))
     if calendar is None:
         return plain
-    work = workdays.with_grid(series.where("unit = 'wd'"), calendar, current, _missing() + 1)
+    work = workdays.with_grid(series.where("unit = 'wd'"), calendar, F.expr(today), _missing() + 1)
     from_today = F.filter("_grid", lambda d: d >= F.expr(today))
     after_today = F.filter("_grid", lambda d: d > F.expr(today))
     return plain.unionByName(chosen(work, standing(from_today), standing(after_today)).drop("_grid"))
@@ -179,6 +179,25 @@ def next_occurrences(series: DataFrame, current: date, now: str = "00:00", calen
 def arrears(series: DataFrame, current: date, calendar: DataFrame) -> DataFrame:
     """``series(base, n, unit, excluded_dates, replaced_dates)`` with ``owed_date`` at the current date."""
     plain = _plain_ends(series.where("unit <> 'wd'"), current).drop("first_standing")
-    work = workdays.with_grid(series.where("unit = 'wd'"), calendar, current, _missing())
+    work = workdays.with_grid(series.where("unit = 'wd'"), calendar, F.lit(current.isoformat()).cast("date"), _missing())
     back = F.filter("_grid", lambda d: d <= F.lit(current.isoformat()).cast("date"))
     return plain.unionByName(work.withColumn("owed_date", rec.owed(back, F.col("excluded_dates"), F.col("replaced_dates"))).drop("_grid"))
+
+
+def with_next(found: DataFrame, tasks: DataFrame, calendar: DataFrame, current: date, now: str = "00:00") -> DataFrame:
+    """The drawn cells of series in ``found`` (an agenda's rows) with ``timestamp_next``, the next occurrence from now, and
+    ``timestamp_next_after``, the one after the cell's day. Overdue and upcoming entries and single stamps have neither
+    and are left out."""
+    key = ["root", "file", "line"]
+    series = series_of(tasks).where("rep is not null").select(*key, "base", "n", "unit", "timestamp_time", "excluded_dates", "replaced_dates")
+    series = next_occurrences(series, current, now, calendar)
+    cells = found.where(F.col("bucket").startswith("scheduled")).alias("f")
+    same = F.col("f.root").eqNullSafe(F.col("s.root")) & (F.col("f.file") == F.col("s.file")) & (F.col("f.line") == F.col("s.line"))
+    cells = cells.join(series.alias("s"), same).select("f.*", "s.base", "s.n", "s.unit", "s.excluded_dates", "s.replaced_dates", F.col("s.next_date").alias("timestamp_next"))
+    standing = lambda g: rec.next_standing(g, F.col("excluded_dates"), F.col("replaced_dates"))
+    plain = cells.where("unit <> 'wd'").withColumn(
+        "timestamp_next_after", standing(rec.candidates("base", "n", "unit", "date_add(day, 1)", "size(excluded_dates) + size(replaced_dates) + 1", ahead=True))
+    )
+    work = workdays.with_grid(cells.where("unit = 'wd'"), calendar, F.col("day"), _missing() + 1)
+    work = work.withColumn("timestamp_next_after", standing(F.filter("_grid", lambda d: d > F.col("day")))).drop("_grid")
+    return plain.unionByName(work).drop("base", "n", "unit", "excluded_dates", "replaced_dates")

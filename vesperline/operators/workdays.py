@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,17 +60,17 @@ def occurrences(series: DataFrame, calendar: DataFrame, first: str, last: str) -
     return later.unionByName(here)
 
 
-def with_grid(series: DataFrame, calendar: DataFrame, current: date, many: Column) -> DataFrame:
-    """``series`` with ``_grid``: the occurrences around a day, ``many`` to either side and one more, in order.
+def with_grid(series: DataFrame, calendar: DataFrame, around: Column, many: Column) -> DataFrame:
+    """``series`` with ``_grid``: the occurrences around a day of each row, ``many`` to either side and one more, in order.
 
-    The calendar's workdays of one ordinal's neighbourhood are reached by their ordinals: each step is a row only while it
-    joins its day, and the rows of a series are gathered by a number that is given to it for this."""
-    numbered = as_table(series.withColumn("_row", F.monotonically_increasing_id()))
-    here = calendar.where(F.col("d") == F.lit(current.isoformat()).cast("date")).first()
-    base = numbered.join(_at(calendar, "base"), "base")
-    k = F.greatest(F.lit(0), F.floor((F.lit(here and here.wd_ord) - F.col("base_ord")) / F.col("n")).cast("bigint"))
+    Each step is a row only while it joins its day; the rows of a series are gathered by a number given to it for this.
+    A row whose base or day the calendar lacks has no grid."""
+    numbered = as_table(series.withColumn("_row", F.monotonically_increasing_id()).withColumn("_around", around))
+    base = numbered.join(_at(calendar, "base"), "base").join(_at(calendar, "_around"), "_around")
+    k = F.greatest(F.lit(0), F.floor((F.col("_around_ord") - F.col("base_ord")) / F.col("n")).cast("bigint"))
     steps = base.select("_row", "base", "base_ord", "n", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), k - many), k + many + 1)).alias("_step"))
     steps = steps.withColumn("_o", F.col("base_ord") + F.col("_step") * F.col("n")).join(_of(calendar, "_o", "_day"), "_o", "left")
     day = F.when(F.col("_step") == 0, F.col("base")).otherwise(F.col("_day"))
     grids = steps.groupBy("_row").agg(F.sort_array(F.collect_set(day)).alias("_grid"))
-    return numbered.join(grids, "_row", "left").drop("_row")
+    empty = F.array().cast("array<date>")
+    return numbered.join(grids, "_row", "left").withColumn("_grid", F.coalesce("_grid", empty)).drop("_row", "_around")

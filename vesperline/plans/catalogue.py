@@ -300,6 +300,13 @@ def _agenda(scope: str):
     return query
 
 
+def agenda_next(spark, sf_dir):
+    first, last = windows.window("week", TODAY)
+    t, cal = _planned(spark, sf_dir), _calendar(spark)
+    found = ag.with_next(ag.agenda(t, cal, first, last, TODAY), t, cal, TODAY, "12:00")
+    return found.select("day", "file", "line", "timestamp_next", "timestamp_next_after")
+
+
 def agenda_day_counts(spark, sf_dir):
     first, last = windows.window("month-grid", TODAY)
     t = _planned(spark, sf_dir)
@@ -535,6 +542,12 @@ def oracle_sql() -> dict[str, str]:
         "agenda_week": _agenda_sql("week") + _AGENDA_COLUMNS,
         "agenda_month": _agenda_sql("month") + _AGENDA_COLUMNS,
         "agenda_month_grid": _agenda_sql("month-grid") + _AGENDA_COLUMNS,
+        "agenda_next": _agenda_sql("week") + f""", open as (select k, file, line, occ, start_time, x, r from s where not list_contains(x, occ) and not list_contains(r, occ)),
+            cells as (select * from open where occ between DATE '{windows.window("week", TODAY)[0]}' and DATE '{windows.window("week", TODAY)[1]}')
+            select c.occ as day, c.file, c.line,
+              min(case when o.occ > DATE '{TODAY}' or o.occ = DATE '{TODAY}' and coalesce(lpad(o.start_time, 5, '0') >= '12:00', true) then o.occ end) as timestamp_next,
+              min(case when o.occ > c.occ then o.occ end) as timestamp_next_after
+            from cells c join open o on o.k = c.k group by c.k, c.occ, c.file, c.line""",
         "agenda_day_counts": _agenda_sql("month-grid") + " select day, bucket, count(*) as entries from rows group by day, bucket",
         "day_envelope": _agenda_sql("week") + """ select cast(g as date) as day, cast(count(*) filter (bucket = 'scheduled_timed') as int) as scheduled_timed, cast(count(*) filter (bucket = 'scheduled_no_time') as int) as scheduled_no_time,
             cast(count(*) filter (bucket = 'upcoming') as int) as upcoming, count(*) filter (bucket = 'overdue') = 0 as no_overdue
@@ -565,7 +578,7 @@ def queries() -> dict:
         created_stamps, section_body, clock_entries, clock_totals, section_properties, exdate_rows, recurrence_ids, capped_tasks, quality_findings, first_findings,
         task_json, tasks_flat_list, tasks_with_done, tasks_with_cancelled, first_tasks, tasks_by_state_priority, clock_minutes_by_week, month_shift, closest_past_future,
         occurrences_workday, workday_bracket, workday_calendar, workdays_between, nth_workday, holidays_of_year, series_replacements, unknown_series, next_occurrence,
-        next_after_day, series_arrears, window_edges, agenda_day_counts, day_envelope, heading_spans, stamp_spans, plain_text, hidden_characters,
+        next_after_day, series_arrears, window_edges, agenda_next, agenda_day_counts, day_envelope, heading_spans, stamp_spans, plain_text, hidden_characters,
         markdown_escapes, local_days, glob_classes, scan_files,
     ]
     found = {f.__name__: f for f in names}
