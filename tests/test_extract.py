@@ -9,7 +9,7 @@ NOTE = """# Notes
 
 ### TODO Water the ferns
 `SCHEDULED: <2026-05-21 Thu>`
-`CLOCK: [2026-05-21 Thu 10:00]--[2026-05-21 Thu 11:30] => 1:30`
+`CLOCK: [2025-03-04 Tue 06:15]--[2025-03-04 Tue 08:00] => 1:45`
 
 First *para*
 goes on `gone` here.
@@ -27,7 +27,7 @@ Second para.
 text
 
 ## [#15] Two evenings
-`<2024-12-05 Thu 10:00>-<2024-12-06 Fri 14:00>`
+`<2025-03-04 Tue 19:30>-<2025-03-05 Wed 21:15>`
 
 ## [#65] Above
 `CLOSED: [2024-12-05 Thu]`
@@ -71,12 +71,12 @@ def test_golden_sections(rows):
     assert set(by) == {"Water the ferns", "Monthly", "Created only", "Two evenings", "[#65] Above", "Setext TODO", "Позже, с меткой [#A] в середине", "Props"}
     pin = by["Water the ferns"]
     assert (pin.line, pin.task_type, pin.timestamp, pin.timestamp_type, pin.timestamp_active) == (3, "TODO", "SCHEDULED: <2026-05-21 Thu>", "SCHEDULED", True)
-    assert pin.content == "First paragoes on  here.\n\nSecond para." and pin.total_clock_time == "1:30" and pin.clock_minutes == 90
+    assert pin.content == "First paragoes on  here.\n\nSecond para." and pin.total_clock_time == "1:45" and pin.clock_minutes == 105
     assert by["Monthly"].timestamp == "DEADLINE: <2026-05-21 Thu +1m -3d>" and by["Monthly"].timestamp_repeater == "+1m" and by["Monthly"].warning_days == 3
     assert by["Created only"].created == "CREATED: [2026-01-12 Mon]" and by["Created only"].task_type is None
     mid = by["Two evenings"]
-    assert (mid.priority, mid.priority_order, mid.timestamp) == ("15", 15, "<2024-12-05 Thu 10:00>--<2024-12-06 Fri 14:00>")
-    assert (mid.timestamp_date, mid.timestamp_time, mid.timestamp_end_time) == ("2024-12-05", "10:00", "14:00")
+    assert (mid.priority, mid.priority_order, mid.timestamp) == ("15", 15, "<2025-03-04 Tue 19:30>--<2025-03-05 Wed 21:15>")
+    assert (mid.timestamp_date, mid.timestamp_time, mid.timestamp_end_time) == ("2025-03-04", "19:30", "21:15")
     assert by["[#65] Above"].priority is None and by["[#65] Above"].timestamp_active is False
     assert by["Setext TODO"].timestamp == "<2024-12-05 Thu>" and by["Setext TODO"].task_type is None
     odd = by["Позже, с меткой [#A] в середине"]
@@ -94,8 +94,8 @@ def test_findings(rows):
 
 
 @pytest.mark.parametrize("raw,dates,bad", [
-    ("2026-08-20, 2026-08-27 2026-09-03", 3, []), ("2026-08-20, next thursday", 1, ["next", "thursday"]), ("15:00, 2026-08-20 15:00 16:00", 1, ["15:00", "16:00"]),
-    ("2026-8-20,\t2026-08-20", 1, []), (" , ", 0, []), ("2025-02-29", 0, ["2025-02-29"]),
+    ("2025-03-04, 2025-03-11 2025-03-18", 3, []), ("2025-03-04, some monday", 1, ["some", "monday"]), ("9:10, 2025-03-04 9:10 11:20", 1, ["9:10", "11:20"]),
+    ("2025-3-4,\t2025-03-04", 1, []), (" , ", 0, []), ("2025-02-29", 0, ["2025-02-29"]),
 ])
 def test_excluded_dates(spark, raw, dates, bad):
     from pyspark.sql import functions as F
@@ -109,9 +109,9 @@ def test_recurrence_ids_durations_and_repeaters(spark):
 
     from vesperline.functions import stamps
 
-    ids = ["2026-08-20 15:00:00", "2026-08-20 afternoon", "thursday 15:00", "2026-08-20"]
+    ids = ["2025-03-04 17:45:00", "2025-03-04 at night", "monday 17:45", "2025-03-04"]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, x string").orderBy("i").select(exceptions.recurrence(F.col("x")).alias("r")).collect()
-    assert [r.r and (r.r.value, r.r.dropped) for r in rows] == [("2026-08-20 15:00", None), ("2026-08-20", "afternoon"), None, ("2026-08-20", None)]
+    assert [r.r and (r.r.value, r.r.dropped) for r in rows] == [("2025-03-04 17:45", None), ("2025-03-04", "at night"), None, ("2025-03-04", None)]
     spent = ["2:05", "1:60", "99999:00", "1:2:3", "", "0:00"]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(spent)], "i int, x string").orderBy("i").select(extract.minutes(F.col("x")).alias("m")).collect()
     assert [r.m for r in rows] == [125, None, None, None, None, 0]
@@ -208,3 +208,53 @@ def test_run_report(spark, tmp_path):
     found = extract.tasks(notes.notes(raw))
     r = notes.run_report(raw, found.count(), quality.findings(found), cap=1).first()
     assert (r.files, r.parsed, r.not_utf8, r.failed_paths, r.warnings, r.cap_reached) == (2, 1, 1, ["b.md"], 0, True)
+
+
+def test_a_run_counts_on_its_one_pass(spark, tmp_path):
+    """Every kind of file, and roots that are one folder by other names."""
+    import os
+
+    from vesperline.sources import note_files
+
+    base = tmp_path / "notes"
+    (base / "sub" / ".git").mkdir(parents=True)
+    files = {"a.md": b"# TODO a\n# DONE b\n", "_b.md": b"# TODO c\n```org-properties\nnone\n```\n", ".c.md": b"# TODO d\n", "sub/.git/e.md": b"# TODO e\n", "sub/f.md": b"# TODO \xff\n", "g.md": b"\xff plain\n",
+             "sub/h.md": b"\xef\xbb\xbf# TODO h\n`DEADLINE: <2020-13-01>`\n", "i.txt": b"# TODO i\n", "j.md": b"# TODO j\n" + b"x" * (11 << 20)}
+    for name, content in files.items():
+        (base / name).write_bytes(content)
+    os.symlink(base / "a.md", base / "link.md")
+    os.symlink(base, tmp_path / "other")
+    (base / os.fsdecode(b"k\xff.md")).write_bytes(b"# TODO k\n")
+    raw = note_files.read_files(spark, [str(base), f"{base}/sub/..", f"file://{tmp_path}/other/"], "*.md")
+    run = notes.Run(raw)
+    r = run.report.first()
+    assert (r.files, r.parsed, r.failed, r.oversize, r.not_utf8, r.no_marker, r.odd_paths) == (7, 4, 0, 1, 1, 1, 1)
+    assert (r.tasks, r.timestamp_findings, r.property_findings, r.cap_reached, r.has_warnings, r.failed_paths) == (5, 1, 1, False, True, ["j.md", "sub/f.md"])
+    assert sorted((t.file, t.heading) for t in run.tasks.collect()) == [("_b.md", "c"), ("a.md", "a"), ("a.md", "b"), ("k\ufffd.md", "k"), ("sub/h.md", "h")]
+    assert notes.Run(raw, cap=2).report.first().cap_reached and [t.heading for t in notes.Run(raw, cap=2).tasks.collect()] == ["c", "a"]
+    two = note_files.read_files(spark, [str(base / "sub"), str(base)], "**/*.md", absolute_paths=True).where("root is not null")
+    assert two.select("root").distinct().count() == 2 and two.where("file like '%/f.md'").count() == 2
+    with pytest.raises(ValueError):
+        note_files.read_files(spark, [str(tmp_path / "none")])
+
+
+def test_files_that_cannot_be_read_are_rows(tmp_path):
+    from vesperline.sources.note_files import _Reader
+
+    (tmp_path / "a.md").write_bytes(b"12345")
+    (tmp_path / "b.md").write_bytes(b"x")
+    reader = _Reader({"roots": str(tmp_path), "cap": "10"})
+    parts = reader.partitions()
+    (tmp_path / "b.md").unlink()
+    (tmp_path / "a.md").write_bytes(b"123456789012345")  # it has grown since it was listed
+    rows = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert [(r["file"], r["length"], r["content"], r["error"] is None) for r in rows] == [("a.md", 11, None, True), ("b.md", 1, None, False)]
+
+
+def test_globs_reach_the_listing(spark, tmp_path):
+    for name in ("a.md", "b.txt", "sub/c.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"# TODO x\n")
+    raw = notes.read_raw(spark, [str(tmp_path)], glob="*.md")
+    assert sorted(r.file for r in raw.select("file").collect()) == ["a.md", "sub/c.md"] and len(raw.inputFiles()) == 2
+    assert [r.file for r in notes.read_raw(spark, [str(tmp_path)], glob="sub/*").select("file").collect()] == ["sub/c.md"]

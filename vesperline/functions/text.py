@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vesperline.functions.inline import shown
+
 #: Characters that do not show but change what does.
 INVISIBLE = "[\u200b\u200e\u200f\u202a-\u202e\u2066-\u2069]"
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
-_MARKED = r"[`\[*_~\\&\n]"  # a text without any of these has no marks
-_CODE = r"(?s)(`+)(.+?)\1"
+_MARKED = r"[`\[\]*_~\\&<\n]"  # a text without any of these has no marks
 
 
-def code_spans(text: Column) -> Column:
-    """The contents of inline code, in order."""
-    bare = F.transform(F.regexp_extract_all(text, F.lit(_CODE), F.lit(2)), lambda c: F.replace(c, F.lit("\n"), F.lit(" ")))
-    return F.transform(bare, lambda c: F.when(c.rlike("^ .*[^ ].* $"), c.substr(F.lit(2), F.length(c) - 2)).otherwise(c))
+def without_marks(text: Column, keep_code: bool) -> Column:
+    """Text without emphasis, links, strike marks, images and inline HTML; inline code is kept as its content or dropped;
+    entities and escapes are what they stand for; line ends go. See ``inline.shown``."""
 
+    @F.pandas_udf("string")
+    def marked(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else shown(t)[0 if keep_code else 1])
 
-def without_marks(text: Column, keep_code: bool) -> Column:
-    """Text without emphasis, links and strike marks; inline code is kept as its content or dropped; line ends go."""
-    out = F.regexp_replace(text, _CODE, "$2" if keep_code else "")
-    for pattern, to in (
-        (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"\*(?=\S)([^*]+?)(?<=\S)\*", "$1"),
-        (r"(?<![\p{L}0-9])_(?=\S)([^_]+?)(?<=\S)_(?![\p{L}0-9])", "$1"), (r"~~(?=\S)(.+?)(?<=\S)~~", "$1"), (r"\\([!-/:-@\[-`{-~])", "$1"),
-        (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&amp;", "&"), (r"[ \t]*\n[ \t]*", ""),
-    ):
-        out = F.regexp_replace(out, pattern, to)
-    return F.when(text.rlike(_MARKED), out).otherwise(text)
+    return F.when(text.rlike(_MARKED), marked(F.when(text.rlike(_MARKED), text))).otherwise(text)
 
 
 def trimmed(text: Column) -> Column:

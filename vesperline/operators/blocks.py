@@ -1,9 +1,10 @@
 """Lines of a note to sections of blocks: the one step that has to read a note from its top to its end.
 
 A fence is closed by one of its own character and at least its own length, a paragraph can be a heading by the row
-below it, and what a line is depends on the lines before. That is a state over the lines of one note, which windows
-can follow only by shuffling and sorting every line of the corpus. Here each note is read once where it lies, in Arrow
-batches; all that is made of the blocks afterwards is column expressions.
+below it, and whether a line is still in a list depends on the lines before. That is a state over the lines of one note,
+which windows can follow only by shuffling and sorting every line of the corpus. Here each note is read once where it
+lies, in Arrow batches; the marks inside its headings and paragraphs are resolved in the same pass (see ``inline``). All
+that is made of the blocks afterwards is column expressions.
 """
 
 from __future__ import annotations
@@ -14,17 +15,165 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vesperline.functions.inline import CLOSE_TAG, OPEN_TAG, definitions, shown
+
 _LINE = re.compile(
     r"(?P<blank>[ \t]*$)|(?P<fence> {0,3}(?:`{3,}[^`]*$|~{3,}))|(?P<heading> {0,3}#{1,6}(?:[ \t]|$))"
-    r"|(?P<rule> {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$)|(?P<indented> {4}|\t)|(?P<container> {0,3}(?:>|[-+*][ \t]|[0-9]{1,9}[.)][ \t]))"
+    r"|(?P<rule> {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$)|(?P<indented> {4}| {0,3}\t)|(?P<html> {0,3}<[A-Za-z/!?])|(?P<container> {0,3}(?:>|(?:[-+*]|[0-9]{1,9}[.)])(?:[ \t]|$)))"
 )
 _HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 _OPENS = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*(.*?)[ \t]*$")
 _LINE_END = re.compile(r"\r\n|\n|\r")
+_ITEM = re.compile(r"( {0,3}(?:[-+*]|([0-9]{1,9})[.)]))( +|$)(.*)")
+_QUOTE = re.compile(r" {0,3}> ?")
+#: Names of elements that open a block of HTML.
+_ELEMENTS = (
+    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame "
+    "frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table "
+    "tbody td tfoot th thead title tr track ul"
+).replace(" ", "|")
+#: How a block of HTML opens and what ends it: a mark on one of its lines, or a blank line.
+_HTML = [(re.compile(opens, re.I), closes and re.compile(closes, re.I)) for opens, closes in (
+    (r"<(?:script|pre|style|textarea)(?:\s|>|$)", r"</(?:script|pre|style|textarea)>"), (r"<!--", r"-->"), (r"<\?", r"\?>"), (r"<!\[CDATA\[", r"\]\]>"), (r"<![a-z]", r">"),
+    (rf"</?(?:{_ELEMENTS})(?:\s|/?>|$)", None),
+)]
+_TAG_ALONE = re.compile(rf"(?:{OPEN_TAG}|{CLOSE_TAG})[ \t]*$")
+_BLANK = re.compile(r"[ \t]*$")
+
+
+def _closer(opened: re.Match) -> re.Pattern:
+    return re.compile(rf" {{0,3}}{opened[1][0]}{{{len(opened[1])},}}[ \t]*$")
+
+
+def _html_end(line: str, in_paragraph: bool) -> re.Pattern | None:
+    """What ends the block of HTML that a line opens; None where it opens none. A lone tag of any name opens one too,
+    but not within a paragraph."""
+    text = line.lstrip(" ")
+    for opens, closes in _HTML:
+        if opens.match(text):
+            return closes or _BLANK
+    return _BLANK if not in_paragraph and _TAG_ALONE.match(text) else None
+
+
+def _item(line: str, in_paragraph: bool) -> re.Match | None:
+    """A list item's marker; within a paragraph one that holds something and, with a number, begins at 1."""
+    m = _ITEM.match(line)
+    return None if m and in_paragraph and (not m[4].strip() or m[2] and int(m[2]) != 1) else m
+
+
+class _Containers:
+    """What is open of quotes, list items and HTML at the top of a note, one within the other; only how far it reaches
+    matters. ``labels`` gathers the link definitions inside."""
+
+    def __init__(self, labels: set[str]):
+        self.labels = labels
+        self.stack: list[list] = []  # [width or None for a quote, whether nothing stands in it yet]
+        self.paragraph: list[str] | None = None
+        self.fence = self.html = None
+
+    @property
+    def open(self) -> bool:
+        return bool(self.stack) or self.html is not None
+
+    def begin(self, line: str) -> None:
+        self._content(line.expandtabs(4) if "\t" in line else line)
+
+    def takes(self, line: str) -> bool:
+        """Whether a line still stands in what is open; it closes what the line does not reach."""
+        rest = line.expandtabs(4) if "\t" in line else line
+        depth = 0
+        for width, empty in self.stack:
+            if width is None:
+                m = _QUOTE.match(rest)
+                if not m:
+                    break
+                rest = rest[m.end() :]
+            elif rest[:width].strip(" ") or len(rest) < width:
+                if rest.strip(" ") or empty:
+                    break
+                rest = ""
+            else:
+                rest = rest[width:]
+            depth += 1
+        if depth < len(self.stack):
+            if self.paragraph is not None and rest.strip() and self._goes_on(rest):
+                self.paragraph.append(rest)  # lazily
+                return True
+            self._close_paragraph()
+            del self.stack[depth:]
+            self.fence = self.html = None
+            if not depth:
+                return False
+        self._content(rest)
+        return True
+
+    def _goes_on(self, rest: str) -> bool:
+        """Whether a line outside of what holds the paragraph is text of it, and nothing of its own."""
+        m = _LINE.match(rest)
+        kind = m.lastgroup if m else "text"
+        return kind in ("text", "indented") or kind == "html" and not _html_end(rest, False)
+
+    def close(self) -> None:
+        self._close_paragraph()
+
+    def _close_paragraph(self) -> None:
+        if self.paragraph is not None and self.paragraph[0].lstrip(" ").startswith("["):
+            self.labels.update(definitions("\n".join(self.paragraph))[0])
+        self.paragraph = None
+
+    def _content(self, rest: str) -> None:
+        if self.fence:
+            self.fence = None if self.fence.match(rest) else self.fence
+            return
+        if self.html:
+            self.html = None if self._ends_html(rest) else self.html
+            return
+        while True:
+            m = _LINE.match(rest)
+            kind = m.lastgroup if m else "text"
+            inside = self.paragraph is not None
+            if kind == "blank":
+                return self._close_paragraph()
+            item = _item(rest, inside) if kind == "container" else None
+            if kind == "container" and (m := _QUOTE.match(rest)):
+                self._close_paragraph()
+                self._filled()
+                self.stack.append([None, False])
+                rest = rest[m.end() :]
+                continue
+            if item:
+                self._close_paragraph()
+                self._filled()
+                spaces = len(item[3])
+                whole = 1 <= spaces <= 4 and item[4].strip()
+                self.stack.append([len(item[1]) + (spaces if whole else 1), not item[4].strip()])
+                rest = item[4] if whole or not item[4].strip() else " " * (spaces - 1) + item[4]
+                continue
+            self._filled()
+            if kind == "html":
+                self.html = _html_end(rest, inside)
+                if self.html:
+                    self._close_paragraph()
+                    self.html = None if self._ends_html(rest) else self.html
+                    return
+            if kind == "fence":
+                self._close_paragraph()
+                self.fence = _closer(_OPENS.match(rest))
+            elif kind in ("heading", "rule") or inside and _UNDERLINE.match(rest):
+                self._close_paragraph()
+            elif inside:
+                self.paragraph.append(rest)
+            elif kind != "indented":
+                self.paragraph = [rest]
+            return
+
+    def _ends_html(self, rest: str) -> bool:
+        return bool(self.html.match(rest) if self.html is _BLANK else self.html.search(rest))
 
-_BLOCK = pa.struct([("at", pa.int32()), ("kind", pa.string()), ("body", pa.string()), ("info", pa.string())])
-SECTIONS = "root string, file string, line int, level int, title string, written string, blocks array<struct<at:int,kind:string,body:string,info:string>>"
+    def _filled(self) -> None:
+        if self.stack:
+            self.stack[-1][1] = False
 
 
 class _Section:
@@ -35,12 +184,22 @@ class _Section:
         self.blocks: list[list] = []  # [at, kind, lines, info]
 
 
-def sections_of(text: str) -> list[_Section]:
-    """A note's sections. Text before the first heading is dropped; of the blocks, paragraphs and code stay."""
+#: What opens the title of a task by its state.
+_STATE = re.compile(r"\s*[*_~\[]*(?:TODO|DONE|CANCELLED|CANCELED)\s")
+
+
+def sections_of(text: str, labels: set[str] | None = None, cap: int = 0) -> list[_Section]:
+    """A note's sections. Text before the first heading is dropped; of the blocks, paragraphs and code stay. Lists,
+    quotes and HTML hold neither headings nor blocks of a section. ``labels`` gathers the link definitions; a note is
+    read no further than to its ``cap``-th section that opens with a state, for those are tasks whatever stands in them.
+    """
     found: list[_Section] = []
+    labels = set() if labels is None else labels
     blocks: list[list] = []  # of the section that is open
     closes = None  # of an open fence
-    last = lead = ""  # kinds of the line before, and of the last one that is neither blank nor indented
+    last = lead = ""  # kinds of the line before, and of the last one that is not blank
+    blanks = states = 0
+    nest = _Containers(labels)
     match = _LINE.match
     for at, line in enumerate(_LINE_END.split(text), 1):
         if closes:
@@ -49,74 +208,125 @@ def sections_of(text: str) -> list[_Section]:
             else:
                 blocks[-1][2].append(line)
             continue
+        if nest.open:
+            if nest.takes(line):
+                last = lead = "nested"
+                continue
+            last = "blank"
         m = match(line)
         kind = m.lastgroup if m else "text"
-        if last == "text" and kind in ("text", "rule", "indented"):
-            if kind != "indented" and (row := _UNDERLINE.match(line)):
-                paragraph = blocks.pop()
-                found.append(_Section(paragraph[0], 1 if row[1][0] == "=" else 2, "\n".join(paragraph[2]).strip(), None))
-                blocks, last, lead = found[-1].blocks, "underline", "text"
+        if last == "text":
+            held = blocks[-1][2]
+            if kind not in ("blank", "fence", "heading") and (row := _UNDERLINE.match(line)) and (rest := _undefined(held, labels)):
+                found.append(_Section(blocks.pop()[0], 1 if row[1][0] == "=" else 2, rest.strip(), None))
+                states += bool(cap and _STATE.match(found[-1].title))
+                blocks, last, lead = found[-1].blocks, "underline", "underline"
+                if cap and states > cap:
+                    break
                 continue
-            if kind != "rule":  # an indented line goes on with a paragraph
-                blocks[-1][2].append(line)
+            # an indented line goes on with a paragraph, and so do marks that cannot interrupt it
+            goes_on = kind in ("text", "indented") or kind == "html" and not _html_end(line, True)
+            if goes_on or kind == "container" and not _QUOTE.match(line) and not _item(line.expandtabs(4), True):
+                held.append(line)
                 continue
-        elif kind == "indented" and lead == "container" or kind == "text" and last == "container":
-            last = lead = "container"
-            continue
         elif kind == "indented":
-            if last == "indented":
-                blocks[-1][2].append(line)
+            if lead == "indented":
+                blocks[-1][2] += [""] * blanks + [line]
             else:
                 blocks.append([at, "indented", [line], None])
-            last = kind
+            last, lead, blanks = kind, kind, 0
+            continue
+        if kind == "html" and not _html_end(line, False):
+            kind = "text"
+        if kind == "blank":
+            blanks, last = blanks + 1, kind
             continue
+        blanks = 0
         if kind == "fence":
             opened = _OPENS.match(line)
             blocks.append([at, "fence", [], opened[2]])
-            closes = re.compile(rf" {{0,3}}{opened[1][0]}{{{len(opened[1])},}}[ \t]*$")
+            closes = _closer(opened)
         elif kind == "heading":
             h = _HEADING.match(line)
             found.append(_Section(at, len(h[1]), h[2] or "", line))
+            states += bool(cap and _STATE.match(found[-1].title))
+            if cap and states > cap:
+                break
             blocks = found[-1].blocks
         elif kind == "text":
             blocks.append([at, "text", [line], None])
-        last = kind
-        lead = lead if kind == "blank" else kind
+        elif kind in ("html", "container"):
+            nest.begin(line)
+        last = lead = kind
+    nest.close()
+    if cap and states > cap:
+        found.pop()
     return found
 
 
-def _batch(rows: list[tuple[str | None, str | None, _Section]]) -> pa.RecordBatch:
-    blocks = [b for _, _, s in rows for b in s.blocks]
-    flat = pa.StructArray.from_arrays(
-        [pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.string()), pa.array(["\n".join(b[2]) for b in blocks], pa.string()), pa.array([b[3] for b in blocks], pa.string())],
-        fields=list(_BLOCK),
-    )
+def _undefined(lines: list[str], labels: set[str]) -> str:
+    """A paragraph without the link definitions that it begins with."""
+    text = "\n".join(lines)
+    if not lines[0].lstrip(" ").startswith("["):
+        return text
+    names, rest = definitions(text)
+    labels.update(names)
+    return rest
+
+
+def _resolved(sections: list[_Section], labels: set[str]) -> list[tuple]:
+    """(section, shown title, blocks as they leave: at, kind, body, info, code spans). Definitions may stand anywhere in
+    a note, so marks wait for its end."""
+    texts = [[b[1] == "text" and _undefined(b[2], labels) for b in s.blocks] for s in sections]
+    out = []
+    for s, own in zip(sections, texts):
+        blocks = []
+        for (at, kind, lines, info), text in zip(s.blocks, own):
+            if kind != "text":
+                blocks.append((at, kind, "\n".join(lines), info, None))
+            elif text.strip():
+                _, body, codes = shown(text.strip(" \t\n"), labels)
+                blocks.append((at, kind, body, None, codes))
+        out.append((s, shown(s.title, labels)[0], blocks))
+    return out
+
+
+_BLOCK = pa.struct([("at", pa.int32()), ("kind", pa.string()), ("body", pa.string()), ("info", pa.string()), ("codes", pa.list_(pa.string()))])
+SECTIONS = "root string, file string, line int, level int, title string, written string, blocks array<struct<at:int,kind:string,body:string,info:string,codes:array<string>>>"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (root, file, section, shown title, blocks)."""
+    blocks = [b for *_, own in rows for b in own]
+    columns = list(zip(*blocks)) or [()] * 5
+    flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK)], fields=list(_BLOCK))
     offsets = [0]
-    for _, _, s in rows:
-        offsets.append(offsets[-1] + len(s.blocks))
-    columns = [pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)]
-    columns += [pa.array([getattr(s, name) for _, _, s in rows], kind) for name, kind in (("line", pa.int32()), ("level", pa.int32()), ("title", pa.string()), ("written", pa.string()))]
-    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat))
-    return pa.RecordBatch.from_arrays(columns, ["root", "file", "line", "level", "title", "written", "blocks"])
-
-
-def _sections(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, size = [], 0
-    for batch in batches:
-        for root, file, text in zip(batch.column(0), batch.column(1), batch.column(2)):
-            text = text.as_py() or ""
-            rows += [(root.as_py(), file.as_py(), s) for s in sections_of(text)]
-            size += len(text)
-            if rows and (len(rows) >= 10_000 or size >= 1 << 24):
-                yield _batch(rows)
-                rows, size = [], 0
-    if rows:
-        yield _batch(rows)
-
-
-def sections(notes: DataFrame) -> DataFrame:
+    for *_, own in rows:
+        offsets.append(offsets[-1] + len(own))
+    out = [pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)]
+    out += [pa.array([getattr(r[2], name) for r in rows], pa.int32()) for name in ("line", "level")]
+    out += [pa.array([r[3] for r in rows], pa.string()), pa.array([r[2].written for r in rows], pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
+    return pa.RecordBatch.from_arrays(out, ["root", "file", "line", "level", "title", "written", "blocks"])
+
+
+def sections(notes: DataFrame, cap: int = 0) -> DataFrame:
     """``notes(root, file, text)`` -> ``(root, file, line, level, title, written, blocks)``, one row a heading.
 
-    ``written`` is the heading's line, null for an underlined one. A null text has no sections.
+    ``title`` and the ``body`` of a paragraph are without marks; ``codes`` are a paragraph's code spans. ``written`` is
+    the heading's line, null for an underlined one. A null text has no sections. See ``sections_of`` for the cap.
     """
-    return notes.select("root", "file", "text").mapInArrow(_sections, SECTIONS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for root, file, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+                text, labels = text.as_py() or "", set()
+                rows += [(root.as_py(), file.as_py(), *r) for r in _resolved(sections_of(text, labels, cap), labels)]
+                size += len(text)
+                if rows and (len(rows) >= 10_000 or size >= 1 << 24):
+                    yield _batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows)
+
+    return notes.select("root", "file", "text").mapInArrow(run, SECTIONS)

@@ -5,13 +5,13 @@ Sections come from ``operators.blocks`` where each note lies, so a corpus is nev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vesperline.functions import stamps
-from vesperline.functions.text import code_spans, trimmed, without_marks
+from vesperline.functions.text import trimmed
 from vesperline.operators.blocks import sections
-from vesperline.sources.scratch import as_table
+from vesperline.operators.ranking import ranked
 
 #: Clock bodies, hours of a clock, tasks of a run.
 CLOCK_BODY, MAX_HOURS, MAX_TASKS = 128, 10_000, 10_000
@@ -88,15 +88,14 @@ def property_map(block_texts: Column) -> Column:
     return _bound(F.filter(pairs, lambda p: p["key"] != ""), mapped)
 
 
-def parsed_sections(notes: DataFrame) -> DataFrame:
+def parsed_sections(notes: DataFrame, cap: int = 0) -> DataFrame:
     """Sections with the fields of their headings and blocks; not every one is a task."""
-    out = sections(notes)
+    out = sections(notes, cap)
 
     def texts(b: Column) -> Column:
-        bare = F.when(b["kind"] == "indented", F.regexp_replace(b["body"], r"(?m)^(?: {4}|\t)", "")).otherwise(b["body"])
+        bare = F.when(b["kind"] == "indented", F.regexp_replace(b["body"], r"(?m)^(?: {4}| {0,3}\t)", "")).otherwise(b["body"])
         literal = F.transform(F.transform(F.array(bare), trimmed), lambda t: F.when(t.startswith("`"), F.regexp_replace(t, r"(?s)^(`+)(.+?)\1$", "$2")).otherwise(t))
-        spans = F.when(b["kind"] != "text", literal).when(b["body"].contains("`"), code_spans(b["body"])).otherwise(F.array().cast("array<string>"))
-        return F.transform(spans, stamps.english_weekdays)
+        return F.when(b["kind"] == "text", b["codes"]).otherwise(literal)
 
     def first(values: Column) -> Column:
         return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
@@ -106,17 +105,17 @@ def parsed_sections(notes: DataFrame) -> DataFrame:
 
     is_properties = lambda b: F.coalesce(b["info"] == "org-properties", F.lit(False))
     out = computed(
-        out, [*KEY, "line", "level"],
-        shown=without_marks(F.col("title"), keep_code=True),
-        texts=F.transform(F.filter("blocks", lambda b: ~is_properties(b)), texts),
-        paragraphs=F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: without_marks(b["body"], keep_code=False)),
+        out, [*KEY, "line", "level", F.col("title").alias("shown")],
+        written=F.transform(F.filter("blocks", lambda b: ~is_properties(b)), texts),
+        paragraphs=F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: trimmed(b["body"])),
         property_blocks=F.transform(F.filter("blocks", is_properties), lambda b: F.struct(b["at"].alias("at"), b["body"].alias("body"))),
     )
+    out = out.withColumn("texts", F.transform("written", lambda ts: F.transform(ts, stamps.english_weekdays)))
     state, priority, heading = heading_fields(F.col("shown"))
-    clocks = F.flatten(F.transform(F.filter(F.flatten("texts"), lambda t: t.contains("CLOCK:")), clock_entries))
+    clocks = F.flatten(F.transform(F.filter(F.flatten("written"), lambda t: t.contains("CLOCK:")), clock_entries))
     out = computed(
         out, [*KEY, "line", "level", "property_blocks"],
-        heading=heading, content=F.array_join(F.filter(F.transform("paragraphs", trimmed), lambda p: p != ""), "\n\n"), task_type=state, priority=priority,
+        heading=trimmed(heading), content=F.array_join(F.filter("paragraphs", lambda p: p != ""), "\n\n"), task_type=state, priority=priority,
         created=last(F.transform("texts", lambda t: first(stamps.created_stamps(t)))), timestamp=last(F.transform("texts", lambda t: first(stamps.planning_stamps(t)))),
         found_clocks=clocks, properties=property_map(F.transform("property_blocks", lambda b: b["body"])),
     )
@@ -133,17 +132,17 @@ def parsed_sections(notes: DataFrame) -> DataFrame:
     })
 
 
-def tasks(notes: DataFrame) -> DataFrame:
-    """Sections with a state, a creation stamp or a planning stamp, and their exception fields."""
+def tasks(notes: DataFrame, cap: int = 0) -> DataFrame:
+    """Sections with a state, a creation stamp or a planning stamp, and their exception fields. With a cap no note is
+    read past its first ``cap`` sections that have a state."""
     from vesperline.operators.exceptions import with_exceptions
 
-    kept = parsed_sections(notes).where("task_type is not null or created is not null or timestamp is not null")
+    kept = parsed_sections(notes, cap).where("task_type is not null or created is not null or timestamp is not null")
     return with_exceptions(kept)
 
 
 def capped(found: DataFrame, cap: int = MAX_TASKS) -> DataFrame:
-    """The first ``cap`` tasks of a run. Each task sends on its own first ones, and they are written before the cut."""
+    """The first ``cap`` tasks of a run, by root, file and line: counted in ranges, so no task gathers them."""
     if not 1 <= cap <= 10_000_000:
         raise ValueError("the cap is between 1 and 10,000,000")
-    within = F.row_number().over(Window.partitionBy(*KEY).orderBy("line"))
-    return as_table(found).withColumn("_n", within).where(F.col("_n") <= cap).drop("_n").orderBy("root", "file", "line").limit(cap)
+    return ranked(found, [], [F.col("root"), F.col("file"), F.col("line")], "_n").where(F.col("_n") <= cap).drop("_n")

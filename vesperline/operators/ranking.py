@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from vesperline.sources.scratch import as_table
 
+#: What a run takes at most, and what every task may get.
+_RUN_BYTES, _BROADCAST = 256, 8 << 20
+
 
 def ranked(rows: DataFrame, groups: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """``rows`` with their rank (from 1) by ``order`` within each group; ``groups`` may be empty.
@@ -25,6 +28,8 @@ def ranked(rows: DataFrame, groups: list[str], order: list[Column], name: str =
     same = F.shiftright("_at", 33) == F.col("r._part")
     for g in groups:
         same = same & F.col(f"t.{g}").eqNullSafe(F.col(f"r.{g}"))
-    out = table.alias("t").join(F.broadcast(runs.alias("r")), same)
+    runs = as_table(runs)
+    few = runs.count() * _RUN_BYTES <= _BROADCAST
+    out = table.alias("t").join(F.broadcast(runs.alias("r")) if few else runs.alias("r"), same)
     rank = (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name)
     return out.select(*[F.col(f"t.{c}") for c in rows.columns], rank)

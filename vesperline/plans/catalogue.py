@@ -5,6 +5,8 @@ from __future__ import annotations
 from datetime import date
 from importlib.resources import files
 import json
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,9 @@ from vesperline.functions import recurrence as rec
 from vesperline.functions import stamps, text, windows
 from vesperline.operators import agenda as ag
 from vesperline.operators import exceptions, extract, quality, spans, workdays
+from vesperline.plans import nested_notes as nn
 from vesperline.plans import order_notes as on
-from vesperline.sources import holidays, notes, sinks
+from vesperline.sources import holidays, note_files, notes, sinks
 from vesperline.sources.scratch import as_table, scratch_dir
 
 TODAY = date(1998, 6, 15)
@@ -65,7 +68,7 @@ def corpus_gate(spark, sf_dir):
 
 
 def scan_report(spark, sf_dir):
-    return notes.scan_report(_raw_documents(spark, sf_dir))
+    return notes.scan_report(_raw_documents(spark, sf_dir)).drop("failed", "odd_paths")
 
 
 def documents_no_tasks(spark, sf_dir):
@@ -87,6 +90,17 @@ def note_sections(spark, sf_dir):
     return extract.sections(on.order_notes(spark, sf_dir)).select("root", "file", "line", "level", F.size("blocks").alias("blocks"))
 
 
+def nested_markdown(spark, sf_dir):
+    """Tasks of notes whose lists, quotes and HTML hold headings, stamps and properties that are not theirs."""
+    t = extract.tasks(nn.container_notes(spark, sf_dir))
+    return t.select("file", "line", "heading", "timestamp", F.try_element_at("properties", F.lit("ID")).alias("id"), "content")
+
+
+def inline_marks(spark, sf_dir):
+    """Headings and bodies with nested marks, links of all kinds, HTML, escapes and entities."""
+    return extract.tasks(nn.mark_notes(spark, sf_dir)).select("file", "heading", "content")
+
+
 def heading_fields(spark, sf_dir):
     return _tasks(spark, sf_dir).select("file", "line", "heading", "task_type", "priority", "priority_order")
 
@@ -138,7 +152,7 @@ def recurrence_ids(spark, sf_dir):
 
 
 def capped_tasks(spark, sf_dir):
-    return extract.capped(_tasks(spark, sf_dir), 500).select("root", "file", "line")
+    return extract.capped(extract.tasks(on.order_notes(spark, sf_dir), 500), 500).select("root", "file", "line")
 
 
 def quality_findings(spark, sf_dir):
@@ -373,6 +387,53 @@ def scan_files(spark, sf_dir):
     return found.select(F.regexp_extract("root", "([^/=]*)/*$", 1).alias("lang"), F.regexp_extract("file", "^note=([^/]*)/", 1).alias("note"), "heading")
 
 
+def _file_of(k: int) -> tuple[str, bytes | None]:
+    """(name, content) of a document's note file; no content: a link to another note."""
+    kinds = {2: "_", 3: ".", 6: "gone-"}
+    name = f"d{k % 7}/{kinds.get(k % 20, '')}{k}.{'txt' if k % 20 == 5 else 'md'}"
+    content = {0: b"# TODO \xff %d\n", 1: b"plain %d\n", 8: b"\xff plain %d\n"}.get(k % 20, b"# TODO Document %d\n") % k
+    return name, None if k % 20 == 4 else content + b"x" * (11 << 20) * (k % 500 == 7)
+
+
+def bad_files(spark, sf_dir):
+    """Documents as note files, some of them hidden, linked, too large, not UTF-8 or gone before they are read."""
+    base = f"{scratch_dir(spark).removeprefix('file://')}/notes-{uuid.uuid4().hex}"
+
+    def write(batches):
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                name, content = _file_of(k)
+                os.makedirs(os.path.dirname(f"{base}/{name}"), exist_ok=True)
+                if content is not None:
+                    with open(f"{base}/{name}", "wb") as f:
+                        f.write(content)
+                elif not os.path.islink(f"{base}/{name}"):
+                    os.symlink(f"{base}/{name}.target", f"{base}/{name}")
+            yield batch
+
+    _table(spark, sf_dir, "documents").select("doc_id").mapInArrow(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    raw = note_files.read_files(spark, [base, f"{base}/d1/.."], "*.md")
+    gates = notes.gated(raw).select("file", "gate")
+    gates.rdd.getNumPartitions()  # the files are listed; now some of them go
+    for folder, _, names in os.walk(base):
+        for name in names:
+            if name.startswith("gone-"):
+                os.remove(f"{folder}/{name}")
+    try:
+        return as_table(gates).groupBy("gate").agg(F.count("*").alias("files"))
+    finally:
+        shutil.rmtree(base, ignore_errors=True)
+
+
+def run_report(spark, sf_dir):
+    """A run over the orders' notes, some of them not UTF-8 and some too large."""
+    c = F.regexp_extract("file", "[0-9]+", 0).cast("int")
+    n = on.order_notes(spark, sf_dir)
+    content = F.when(c % 17 == 0, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("text", "UTF-8"))
+    raw = n.select("root", "file", F.when(c % 19 == 0, 11 << 20).otherwise(F.octet_length("text")).cast("long").alias("length"), content.alias("content"))
+    return notes.Run(raw, cap=1_000_000).report.withColumn("failed_paths", F.array_join("failed_paths", " "))
+
+
 # --- SQL ---------------------------------------------------------------------------------------------------------
 
 _RANK = "row_number() over (order by coalesce(case when regexp_full_match(priority, '[0-9]+') then cast(priority as bigint) else ascii(priority) end, 4294967295), cast(d as varchar), start_time nulls last, root, file, line)"
@@ -566,6 +627,14 @@ def oracle_sql() -> dict[str, str]:
         "glob_classes": "select file from (select concat(source, '/', cast(doc_id as varchar), '.md') as file, cast(doc_id as varchar) as k, source from documents) where (source in ('src1', 'src2', 'src3', 'src15', 'src25', 'src35') and regexp_full_match(k, '.*[^0-4]')) or regexp_full_match(k, '(1|2[0-5]).*7')",
         "scan_files": "select coalesce(lang, 'none') as lang, concat(coalesce(source, 'none'), '-good') as note, concat('Document ', cast(doc_id as varchar)) as heading from documents where doc_id % 50 <> 0 and source is not null",
     }
+    sql |= {"nested_markdown": nn.containers_sql(on.attributes_sql(False)), "inline_marks": nn.marks_sql(on.attributes_sql(False))}
+    sql["bad_files"] = """select gate, count(*) as files from (select case when doc_id % 20 in (3, 4, 5) then null when doc_id % 20 = 6 then 'failed' when doc_id % 500 = 7 then 'oversize'
+        when doc_id % 20 in (1, 8) then 'no_marker' when doc_id % 20 = 0 then 'not_utf8' else 'parsed' end as gate from documents) where gate is not null group by gate"""
+    sql["run_report"] = f"""with {_A}, f as (select distinct file, c, c % 19 = 0 as large, c % 19 <> 0 and c % 17 = 0 as odd from a), ok as (select file from f where not large and not odd),
+        bad as (select file, row_number() over (order by file) as i from f where large or odd)
+      select count(*) as files, count(*) filter (not large and not odd) as parsed, 0::bigint as failed, count(*) filter (large) as oversize, count(*) filter (odd) as not_utf8, 0::bigint as no_marker, 0::bigint as odd_paths,
+        (select count(*) from a join ok on a.file = ok.file) as tasks, 0::bigint as timestamp_findings, (select count(*) from ({sql['quality_findings']}) q join ok on q.file = ok.file) as property_findings,
+        1000000::bigint as task_limit, false as cap_reached, true as has_warnings, (select string_agg(file, ' ' order by file) from bad where i <= 20) as failed_paths from f"""
     sql["first_findings"] = f"""select channel, position, file, line, key, value from (select channel, file, line, key, value,
         row_number() over (partition by channel order by root, file, line, key nulls first, value, problem) as position from ({sql['quality_findings']}) q
         join (select concat('c', cast(c_custkey as varchar), '.md') as f, c_mktsegment as root from customer) n on n.f = q.file) where position <= 20"""
@@ -579,7 +648,7 @@ def queries() -> dict:
         task_json, tasks_flat_list, tasks_with_done, tasks_with_cancelled, first_tasks, tasks_by_state_priority, clock_minutes_by_week, month_shift, closest_past_future,
         occurrences_workday, workday_bracket, workday_calendar, workdays_between, nth_workday, holidays_of_year, series_replacements, unknown_series, next_occurrence,
         next_after_day, series_arrears, window_edges, agenda_next, agenda_day_counts, day_envelope, heading_spans, stamp_spans, plain_text, hidden_characters,
-        markdown_escapes, local_days, glob_classes, scan_files,
+        markdown_escapes, local_days, glob_classes, scan_files, nested_markdown, inline_marks, bad_files, run_report,
     ]
     found = {f.__name__: f for f in names}
     found |= {

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import posixpath
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from vesperline.sources.scratch import as_table
+
 #: The largest note read, and what a note must hold to be parsed.
 MAX_FILE_SIZE = 10 * 1024 * 1024
 MARKERS = r"(?m)(^[#*]+\s+(TODO|DONE)\s|DEADLINE:|SCHEDULED:|CREATED:|CLOSED:|CLOCK:)"
@@ -60,15 +64,25 @@ def matches_glob(path: Column, pattern: str) -> Column:
     return path.rlike(regex) | F.regexp_extract(path, r"([^/]*)$", 1).rlike(regex)
 
 
-def read_raw(spark: SparkSession, roots: list[str], absolute_paths: bool = False) -> DataFrame:
-    """``(root, file, length, content)`` of all files below the roots; each root once, a missing one fails."""
-    unique = list(dict.fromkeys(r.rstrip("/") for r in roots))
+def read_raw(spark: SparkSession, roots: list[str], absolute_paths: bool = False, glob: str | None = None) -> DataFrame:
+    """``(root, file, length, content)`` of all files below the roots that the glob meets; each root once, a missing one
+    fails. Spark lists and opens the files, so any store it knows will do; see ``note_files`` for what it leaves out.
+
+    A glob by name alone reaches the listing; one with folders is tested on the path before a file is opened.
+    """
+    unique = list(dict.fromkeys(posixpath.normpath(r) if "://" not in r else r.rstrip("/") for r in roots))
     out = None
     for root in unique:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        by_name = glob is not None and "/" not in glob and "**" not in glob
+        if glob is not None:
+            glob_to_regex(glob)  # refuses what is not one
+        files = (reader.option("pathGlobFilter", glob) if by_name else reader).load(root)
         path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
         relative = F.expr("substring(path_, length(root) + 2)")
         files = files.select(F.lit(root).alias("root"), path.alias("path_"), "length", "content")
+        if glob is not None and not by_name:
+            files = files.where(matches_glob(relative, glob))
         files = files.withColumn("file", F.col("path_") if absolute_paths else relative).drop("path_")
         out = files if out is None else out.unionByName(files)
     if out is None:
@@ -78,11 +92,16 @@ def read_raw(spark: SparkSession, roots: list[str], absolute_paths: bool = False
 
 
 def gated(raw: DataFrame) -> DataFrame:
-    """``raw`` with its ``gate``: 'oversize', 'not_utf8', 'no_marker' or 'parsed', and the text of what is parsed."""
+    """``raw`` with its ``gate`` and the text of what is parsed.
+
+    Gates in their order: 'failed' (it could not be read), 'oversize', 'no_marker', 'not_utf8' and 'parsed'. A note
+    without a marker has nothing to lose, so its bytes are not looked at further.
+    """
     text = without_bom(F.col("content").cast("string"))
+    failed = F.col("error").isNotNull() if "error" in raw.columns else F.lit(False)
     gate = (
-        F.when(F.col("length") > MAX_FILE_SIZE, "oversize").when(~F.is_valid_utf8(F.col("content").cast("string")), "not_utf8")
-        .when(~text.rlike(MARKERS), "no_marker").otherwise("parsed")
+        F.when(failed, "failed").when(F.col("length") > MAX_FILE_SIZE, "oversize").when(~F.coalesce(text.rlike(MARKERS), F.lit(False)), "no_marker")
+        .when(~F.is_valid_utf8(F.col("content").cast("string")), "not_utf8").otherwise("parsed")
     )
     return raw.withColumn("gate", gate).withColumn("text", F.when(gate == "parsed", text))
 
@@ -93,26 +112,61 @@ def notes(raw: DataFrame) -> DataFrame:
     return small.select("root", "file", without_bom(F.col("content").cast("string")).alias("text")).where(F.col("text").rlike(MARKERS))
 
 
-def scan_report(raw: DataFrame) -> DataFrame:
-    """One row: how many files each gate took, and the first paths that could not be used."""
-    g = gated(raw)
-    failed = F.when(F.col("gate").isin("oversize", "not_utf8"), F.col("file"))
-    return g.agg(
-        F.count("*").alias("files"), F.count_if(F.col("gate") == "parsed").alias("parsed"), F.count_if(F.col("gate") == "oversize").alias("oversize"),
-        F.count_if(F.col("gate") == "not_utf8").alias("not_utf8"), F.count_if(F.col("gate") == "no_marker").alias("no_marker"),
-        F.min(failed).alias("first_failed"),
-    )
+UNUSABLE = ("failed", "oversize", "not_utf8")
 
 
-def run_report(raw: DataFrame, tasks_found: int, findings: DataFrame, cap: int) -> DataFrame:
-    """``scan_report`` with the first unusable paths, the number of findings of the run and whether its cap was reached."""
-    paths = failed_paths(raw).agg(F.sort_array(F.collect_list("file")).alias("failed_paths"))  # 20 rows at most
-    warned = findings.agg(F.count("*").alias("warnings"))
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    out = one(scan_report(raw)).join(one(paths), "_one").join(one(warned), "_one").drop("_one")
-    return out.withColumn("cap_reached", F.lit(tasks_found >= cap))
+def _counters(odd_path: Column) -> list[Column]:
+    gate = F.col("gate")
+    failed = F.when(gate.isin(*UNUSABLE), F.col("file"))
+    counted = [F.count_if(gate == g).alias(g) for g in ("parsed", "failed", "oversize", "not_utf8", "no_marker")]
+    return [F.count("*").alias("files"), *counted, F.count_if(odd_path).alias("odd_paths"), F.min(failed).alias("first_failed")]
+
+
+def scan_report(raw: DataFrame) -> DataFrame:
+    """One row: how many files each gate took, and the first path that could not be used."""
+    odd = F.col("odd_path") if "odd_path" in raw.columns else F.lit(False)
+    return gated(raw).agg(*_counters(odd)).select("files", "parsed", "oversize", "not_utf8", "no_marker", "first_failed", "failed", "odd_paths")
 
 
 def failed_paths(raw: DataFrame, n: int = SHOWN_PATHS) -> DataFrame:
     """The first unusable paths, ``n`` at most."""
-    return gated(raw).where(F.col("gate").isin("oversize", "not_utf8")).select("file", "gate").orderBy("file").limit(n)
+    found = raw if "gate" in raw.columns else gated(raw)
+    return found.where(F.col("gate").isin(*UNUSABLE)).select("file", "gate").orderBy("file", "gate").limit(n)
+
+
+def run_report(raw: DataFrame, tasks_found: int, findings: DataFrame, cap: int) -> DataFrame:
+    """``scan_report`` with the first unusable paths, the number of findings of a run made elsewhere, and whether its cap
+    was reached. ``Run`` makes the run and its report in one pass."""
+    shown = [r.file for r in failed_paths(raw).collect()]  # 20 at most
+    warned = findings.count()
+    return scan_report(raw).withColumns({
+        "failed_paths": F.array(*map(F.lit, shown)).cast("array<string>"), "warnings": F.lit(warned).cast("bigint"), "cap_reached": F.lit(tasks_found >= cap),
+    })
+
+
+class Run:
+    """One run over note files: each is opened once, and what the run reports is counted on the way.
+
+    ``tasks`` is the run's table of tasks, cut off at the cap in the order of root, file and line. ``report`` is one row:
+    the files of each gate, the first unusable paths, tasks, findings of either kind, and whether the cap was reached.
+    """
+
+    def __init__(self, raw: DataFrame, cap: int | None = None):
+        from vesperline.operators import extract, quality
+
+        spark, cap = raw.sparkSession, cap or extract.MAX_TASKS
+        files, found, faults = (Observation() for _ in range(3))
+        odd = F.col("odd_path") if "odd_path" in raw.columns else F.lit(False)
+        # the counters ride on the one pass that reads the files
+        counted = gated(raw).observe(files, *_counters(odd)).select("root", "file", "gate", "text")
+        self.files = as_table(counted)
+        self.tasks = as_table(extract.capped(extract.tasks(self.files.where("gate = 'parsed'"), cap), cap).observe(found, F.count("*").alias("tasks")))
+        kinds = [F.count_if(F.col("channel") == c).alias(f"{c}_findings") for c in quality.CHANNELS]
+        self.findings = as_table(quality.findings(self.tasks).observe(faults, *kinds))
+        shown = [r.file for r in failed_paths(self.files).collect()]  # 20 at most
+        counts = {**files.get, **found.get, **faults.get}
+        values = {**{k: counts[k] for k in ("files", "parsed", "failed", "oversize", "not_utf8", "no_marker", "odd_paths", "tasks", *(f"{c}_findings" for c in quality.CHANNELS))}}
+        values |= {"task_limit": cap, "cap_reached": values["tasks"] >= cap}
+        values["has_warnings"] = bool(values["failed"] or values["oversize"] or values["not_utf8"] or values["odd_paths"] or values["cap_reached"])
+        row = [F.lit(v).cast("boolean" if isinstance(v, bool) else "bigint").alias(k) for k, v in values.items()]
+        self.report = spark.range(1).select(*row, F.array(*map(F.lit, shown)).cast("array<string>").alias("failed_paths"))
