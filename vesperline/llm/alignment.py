@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from vesperline.llm._spark import as_table
 
 _MARK = "▁"  # fixed value: the piece alphabet's space
-_KNOWN_LINKS = 1 << 22  # a worker forgets its parts beyond this many links
+_KNOWN_LINKS = 3 << 18  # a worker forgets its parts beyond this many links
 _BYTES_AT_ONCE = 1 << 16
 _CHARS_AT_ONCE = 1 << 20
 _NO_TOKENS = -1
@@ -266,7 +266,7 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0), kind))
 
 
-def aligned_documents(docs: DataFrame, byte_bpe: str, piece_bpe: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 24) -> DataFrame:
+def aligned_documents(docs: DataFrame, byte_bpe: str, piece_bpe: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 23) -> DataFrame:
     """Each document's sums, digest and linked id pairs, in batches of about ``batch_chars`` characters.
 
     A batch numbers its different pairs: ``codes`` and ``times`` of a document are their numbers and how often each is
@@ -324,7 +324,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.select("pair", "n", (F.col("n") == top).alias("best"))
 
 
-def align_documents(docs: DataFrame, byte_bpe: str, piece_bpe: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 24) -> DataFrame:
+def align_documents(docs: DataFrame, byte_bpe: str, piece_bpe: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 23) -> DataFrame:
     """``(id, n_a, n_b, n_groups, n_links, n_group_links, groups_sha256, n_best, count_sum)`` for every document.
 
     Counts go back to documents by batch: a pair comes to a batch once, however many of its documents hold it, so one
