@@ -9,6 +9,7 @@ import zlib
 from bisect import bisect_right
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,11 +184,39 @@ def _unescaped(layer: _Layer):
 
 _PART = 1 << 24  # of what a stream inflates to at once
 _OVERLAP = 1 << 16
+#: Whether a byte may stand within a run that is decoded or matched as one: base64 over lines, escapes, values.
+_IN_RUN = np.zeros(256, bool)
+_IN_RUN[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-.%\\&#;{}!$'(),:<>?@[]^`|~*\"\t\n\r\x20", np.uint8)] = True
+_BREAKS = 4  # runs, with what parts a name from its value, that a finding may be made of
+
+
+def _unfinished(out: bytes) -> int:
+    """Where the end of a part that may go on in the next one begins: its last runs, and a stream that has not ended."""
+    begin, wanted = len(out), _BREAKS
+    while begin and wanted > 0:
+        stop, begin = begin, max(0, begin - _OVERLAP)
+        breaks = np.flatnonzero(~_IN_RUN[np.frombuffer(out, np.uint8, stop - begin, begin)])
+        if len(breaks) >= wanted:
+            begin += int(breaks[-wanted])
+        wanted -= len(breaks)
+    begin = min(begin, max(0, len(out) - _OVERLAP))
+    for m in _ZIPPED.finditer(out, 0, begin):
+        stream, left = zlib.decompressobj(47), out[m.start() :]
+        try:
+            while left and not stream.eof:
+                stream.decompress(left, _PART)
+                left = stream.unconsumed_tail
+        except zlib.error:
+            continue
+        if not stream.eof:
+            return m.start()
+    return begin
 
 
 def _inflated(data: bytes):
     """(bytes, bytes read) of the gzip or zlib stream at the start of ``data``, up to where it breaks off. A stream that
-    inflates to more than a part gives overlapping parts, so that no more than one is ever held."""
+    inflates to more than a part gives overlapping parts: a part begins with what its predecessor left unfinished, so
+    whatever crosses a border is whole in the next part. No more than a part and one run or inner stream is held."""
     stream, left, tail = zlib.decompressobj(47), data, b""
     try:
         while True:
@@ -196,7 +225,7 @@ def _inflated(data: bytes):
             yield out, len(data) - len(left) - len(stream.unused_data)
             if not left or stream.eof:
                 return
-            tail = out[-_OVERLAP:]
+            tail = out[_unfinished(out) :]
     except zlib.error:
         if tail:
             return
@@ -206,8 +235,9 @@ def _inflated(data: bytes):
             some.append(stream.decompress(data[at : at + 1]))
             size += len(some[-1])
             if size > _PART:
-                yield b"".join(some), at
-                some, size = [b"".join(some)[-_OVERLAP:]], 0
+                out = b"".join(some)
+                yield out, at
+                some, size = [out[_unfinished(out) :]], 0
     except zlib.error:
         pass
     yield b"".join(some), at
@@ -284,7 +314,8 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[Span]]:
     so that nested or self-reproducing encodings cannot loop. A finding inside a decoded run gets the span of the
     encoded run in the original text. Base64 is read over line ends and at its four alignments, compressed streams are
     looked for in the bytes of every codec, and undecodable bytes only part a text. URL and Unicode escapes are unwrapped
-    to their own fixpoint at once. What inflates to over 16 MiB is read in overlapping parts.
+    to their own fixpoint at once. What inflates to over 16 MiB is read in parts that carry on what the part before left
+    unfinished.
     """
     base = base_matches(text)
     spans = {x: Span(*x, "") for x in base}
