@@ -139,7 +139,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(id, n_bytes, media)``: each text's UTF-8 bytes as 8-bit mu-law codes in a WAV file.
 
     Bytes 255 fill up to a positive multiple of ``unit``; a null text is empty. The codes are the bytes themselves,
-    so nothing is lost.
+    so nothing is lost. An empty table gives no rows; other columns are not read.
     """
 
     def run(batches):
@@ -157,17 +157,19 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", to_rate: int = 16000) -> DataFrame:
-    """``(id, rate, pcm)``: telephony WAV files as resampled 16-bit PCM WAV files; null media give null."""
+    """``(id, rate, pcm)``: telephony WAV files as resampled 16-bit PCM WAV files. Media that are null, broken or of
+    another kind give a null; an empty table gives no rows; other columns are not read."""
+
+    def decoded(blob: bytes | None) -> bytes | None:
+        try:
+            tag, rate, block, data = from_wav(blob or b"")
+            return to_wav(resample(to_pcm(tag, block, data), rate, to_rate).astype("<i2").tobytes(), PCM, to_rate, 2, 16)
+        except (ValueError, struct.error, ZeroDivisionError):
+            return None
 
     def run(batches):
         for batch in batches:
-            out = []
-            for blob in batch.column(1).to_pylist():
-                if blob is None:
-                    out.append(None)
-                    continue
-                tag, rate, block, data = from_wav(blob)
-                out.append(to_wav(resample(to_pcm(tag, block, data), rate, to_rate).astype("<i2").tobytes(), PCM, to_rate, 2, 16))
+            out = [decoded(blob) for blob in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_rate] * len(out), pa.int32()), pa.array(out, pa.binary())], ["_id", "rate", "pcm"])
 
     source = media.select(F.col(id_col).cast("long").alias("_id"), F.col(media_col).alias("_media"))

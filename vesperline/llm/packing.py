@@ -201,11 +201,14 @@ def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 256, arrivals
     size; each group is a stream that is packed on its own, so no task's work grows with the input and only a fraction
     of a sequence per group is lost. A stream comes in by key, ``arrivals`` pieces at a time, the longest of them first:
     their short pieces fill what the long ones opened, so ``open_bins`` bins suffice. A null id or length counts as 0;
-    an empty table gives no rows; other columns are kept. ``pieces`` is read twice and should be a written table.
+    an empty table gives no rows; other columns are kept, but for a ``sequence_id`` and an ``offset`` of before.
+    ``pieces`` is read twice and should be a written table.
     """
     total = pieces.agg(F.sum(F.coalesce("length", F.lit(0)) + capacity // 16)).first()[0] or 0  # short pieces are rows too
     groups = max(1, round(total / tokens_per_group))
-    names = pieces.columns
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = pieces.select(names)
+    key_name = "_group" + "_" * max(map(len, names))  # no column has this name
 
     def run(key: tuple, data: pa.Table) -> pa.Table:
         group = key[0].as_py()
@@ -219,9 +222,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, open_bins: int = 256, arrivals
         return data.select(names).append_column("sequence_id", ids).append_column("offset", pa.array(offsets, pa.int64()))
 
     dealt_by = [id_col] + [c for c in ("piece", "start", "length", "ids_crc32") if c in names]  # more than the id: it may be null
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64(*dealt_by), F.lit(groups)))
+    keyed = pieces.withColumn(key_name, F.pmod(F.xxhash64(*dealt_by), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return keyed.groupBy("_group").applyInArrow(run, schema)
+    return keyed.groupBy(key_name).applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

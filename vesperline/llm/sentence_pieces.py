@@ -289,12 +289,15 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
 
 def decode_documents(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(id, text)`` from arrays of ids; a null array gives a null text."""
+    """``(id, text)`` from arrays of ids. A null array, one that holds a null and one with an id that the vocabulary lacks
+    give a null text, an empty one an empty text; an empty table gives no rows; other columns are not read."""
 
     def run(batches):
         both = codec(model)
+        size = len(both.pieces.bytes_of)
         for batch in batches:
-            texts = [None if x is None else both.decode(np.array(x, "<u4").tobytes()) for x in batch.column(1).to_pylist()]
+            known = [x is not None and all(i is not None and 0 <= i < size for i in x) for x in batch.column(1).to_pylist()]
+            texts = [both.decode(np.array(x, "<u4").tobytes()) if ok else None for x, ok in zip(batch.column(1).to_pylist(), known)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_id", "text"])
 
     source = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(ids_col).cast("array<int>").alias("_ids"))
