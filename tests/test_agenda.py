@@ -82,3 +82,31 @@ def test_next_occurrences(spark):
     assert all(str(r.next_date) == r.want for r in ag.next_occurrences(df, D("2026-07-24"), "22:03").collect())
     early = ag.next_occurrences(df, D("2026-07-24"), "09:00").where("timestamp_time is not null").first()
     assert str(early.next_date) == "2026-07-24" and str(early.next_after) == "2026-07-31"
+
+
+def test_series_before_the_calendar_and_end_times(spark):
+    text = note(("TODO old", "SCHEDULED: <1950-01-02 Mon +1wd>"), ("TODO span", "SCHEDULED: <2025-12-05 Fri 09:10-10:20>"), ("TODO late", "SCHEDULED: <2025-12-01 Mon 09:10-10:20>"), ("TODO again", "SCHEDULED: <2025-12-01 Mon 09:10-10:20 +1d>"))
+    found = entries(spark, text, "2025-12-05")
+    day = "2025-12-05"
+    assert (day, "scheduled_no_time", "old") in found
+    assert found[day, "scheduled_timed", "span"].end_time == "10:20" and found[day, "overdue", "late"].end_time is None and found[day, "scheduled_timed", "again"].end_time is None
+
+
+@pytest.mark.parametrize("size", [1, 2, 100])
+def test_envelopes_in_parts_are_the_envelopes(spark, tmp_path, size):
+    import json
+
+    text = note(*[(f"TODO t{i}", f"SCHEDULED: <2025-12-0{3 + i % 3} Fri{' 09:30' * (i % 2)}>") for i in range(11)], ("TODO ahead", "DEADLINE: <2025-12-09 Tue>"))
+    cal = holidays.calendar(spark, "2025-01-01", "2025-12-31")
+    first, last = D("2025-12-02"), D("2025-12-05")
+    found = ag.agenda(planned(spark, text), cal, first, last, D("2025-12-04")).persist()
+    sinks.write_day_parts(ag.envelope_parts(found, first, last, size), str(tmp_path / "parts"))
+    whole = "".join(f.read_text() for f in sorted((tmp_path / "parts").glob("part-*")))
+    reader, days = json.JSONDecoder(), []
+    while whole := whole.lstrip():
+        day, at = reader.raw_decode(whole)
+        days.append(day)
+        whole = whole[at:]
+    want = [json.loads(r) for r in ag.envelopes(found, first, last).orderBy("day").toJSON().collect()]
+    assert days == want and [d["day"] for d in days] == ["2025-12-02", "2025-12-03", "2025-12-04", "2025-12-05"]
+    assert ("overdue" in days[0], "overdue" in days[2]) == (False, True)

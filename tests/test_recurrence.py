@@ -119,3 +119,67 @@ def test_windows():
     for bad in (dict(scope="tasks", day="2026-01-01"), dict(scope="week", first="2026-09-01"), dict(scope="month-grid", week_start="anchor"), dict(scope="day", day="1800-01-01")):
         with pytest.raises(ValueError):
             windows.window(current=aug, **bad)
+
+
+def test_working_days_of_any_year_equal_a_day_walk(spark):
+    from vesperline.functions.working_days import Workdays
+
+    work = Workdays.listed()
+    off = {x for x in work._days if work._sums[work._days.index(x) + 1] < work._sums[work._days.index(x)]}
+    days = lambda d: (d - dt.date(1970, 1, 1)).days
+    works = lambda d: (d.weekday() < 5) if days(d) not in work._days else days(d) not in off
+    rng = random.Random(8)
+    rows = []
+    for i, year in enumerate([1900, 1969, 1970, 2025, 2026, 2027, 2100, 9000] * 12):
+        base = dt.date(year, 1, 1) + dt.timedelta(rng.randrange(365))
+        rows.append((i, base, rng.randrange(1, 8), base + dt.timedelta(rng.randrange(0, 90))))
+    df = spark.createDataFrame(rows + [(1000, None, 2, D("2026-01-01"))], "i int, base date, n long, c date")
+    for rules in (work, Workdays(), Workdays([D("2026-01-05")], [D("2026-01-04"), D("2026-01-10")])):
+        if rules is not work:
+            changed = {D("2026-01-05"): False, D("2026-01-04"): True, D("2026-01-10"): True} if rules._days else {}
+            works = lambda d: changed.get(d, d.weekday() < 5)  # noqa: E731, B023
+        got = workdays.bracket(workdays.workdays_between(workdays.nth_workday(df, rules, "base", "n"), rules, "base", "c"), rules).collect()
+        assert len(got) == len(rows) + 1
+        for r in got:
+            if r.base is None:
+                assert (r.workdays, r.nth_day, r.n1, r.n2) == (None, None, None, None)
+                continue
+            found, d = [], r.base
+            while len(found) < 200:
+                d += dt.timedelta(1)
+                if works(d):
+                    found.append(d)
+            grid = [r.base, *found[r.n - 1 :: r.n]]
+            assert (r.workdays, r.nth_day) == (sum(d <= r.c for d in found), found[r.n - 1])
+            assert (r.n1, r.n2) == (max(d for d in grid if d <= r.c), min(d for d in grid if d > r.c)), r
+
+
+def test_a_series_of_very_many_exceptions(spark):
+    import time
+
+    from vesperline.operators import agenda as ag
+
+    base, n = D("1990-01-01"), 100_000
+    out = [base + dt.timedelta(k) for k in range(n)]
+    rows = [(1, base, 1, "d", None, out, []), (2, base, 1, "wd", None, out[: n // 2], out[n // 2 :]), (3, base, 1, "w", None, out[:-7], [])]
+    df = spark.createDataFrame(rows, "i int, base date, n long, unit string, timestamp_time string, excluded_dates array<date>, replaced_dates array<date>").persist()
+    df.count()
+    began = time.perf_counter()
+    from vesperline.functions.working_days import Workdays
+
+    got = {r.i: r.next_date for r in ag.next_occurrences(df, D("2020-01-01"), calendar=Workdays()).collect()}
+    owed = {r.i: r.owed_date for r in ag.arrears(df, D("2500-01-01"), Workdays()).collect()}
+    assert time.perf_counter() - began < 60
+    end = base + dt.timedelta(n)
+    assert got[1] == end and got[2] >= end and got[2].weekday() < 5 and got[3] == next(base + dt.timedelta(7 * k) for k in range(n) if base + dt.timedelta(7 * k) >= end - dt.timedelta(7))
+    assert owed[1] == D("2500-01-01") and owed[2] == D("2500-01-01")
+
+
+def test_listed_days_are_checked():
+    from vesperline.functions.working_days import Workdays
+
+    for bad in ('{"2025": {"holidays": ["2025-02-30"]}}', '{"2025": {"holidays": ["2026-01-01"]}}'):
+        with pytest.raises(ValueError):
+            Workdays.listed(bad)
+    both = Workdays.listed('{"_note": {}, "2025": {"holidays": ["2025-03-03", "2025-03-08"], "workdays": ["2025-03-03", "2025-03-01"]}}')
+    assert both.works_on(D("2025-03-03")) and both.works_on(D("2025-03-01")) and not both.works_on(D("2025-03-08"))

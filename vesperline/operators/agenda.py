@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vesperline.functions import recurrence as rec
-from vesperline.operators import workdays
+from vesperline.functions.working_days import Workdays
 from vesperline.operators.ranking import ranked
 from vesperline.sources.scratch import as_table
 
@@ -43,67 +43,42 @@ def cell_stamp(kind: Column, day: Column, time: Column, rep: Column) -> Column:
     return F.concat(kind, F.lit(": <"), day.cast("string"), F.lit(" "), F.date_format(day, "EEE"), clock, F.lit(" "), rep, F.lit(">"))
 
 
-def _missing() -> Column:
-    return F.size("excluded_dates") + F.size("replaced_dates") + 1
+_MISSING = "size(excluded_dates) + size(replaced_dates) + 1"
 
 
-def _plain_ends(series: DataFrame, current: date) -> DataFrame:
-    """``owed_date`` (arrears at the current date) and ``first_standing`` (from the base on) of series on plain grids.
+def _ends(series: DataFrame, current: date, work: Workdays) -> DataFrame:
+    """``owed_date`` (arrears at the current date) and ``first_standing`` (from the base on) of series.
 
     Both look at as many grid dates as may be missing, one more, and no others.
     """
-    today = f"date'{current.isoformat()}'"
-    missing = "size(excluded_dates) + size(replaced_dates) + 1"
-    back = rec.candidates("base", "n", "unit", today, missing, ahead=False)
-    ahead = rec.candidates("base", "n", "unit", "base", missing, ahead=True)
+    back = rec.candidates("base", "n", "unit", f"date'{current.isoformat()}'", _MISSING, ahead=False, work=work)
+    ahead = rec.candidates("base", "n", "unit", "base", _MISSING, ahead=True, work=work)
     return series.withColumns({
         "owed_date": rec.owed(back, F.col("excluded_dates"), F.col("replaced_dates")), "first_standing": rec.next_standing(ahead, F.col("excluded_dates"), F.col("replaced_dates")),
     })
 
 
-def _workday_ends(series: DataFrame, calendar: DataFrame, current: date, today_ord: int | None) -> DataFrame:
-    """The same of series on working days: the steps that may be needed, each joined to its day, gathered once by task.
-    ``today_ord`` is the current date's count of workdays; None where the calendar does not have it."""
-    listed = calendar.where("is_workday").select("d", "wd_ord")
-    key = ["root", "file", "line"]
-    steps = series.join(calendar.select(F.col("d").alias("base"), F.col("wd_ord").alias("_base")), "base")
-    k = F.greatest(F.lit(0), F.floor((F.lit(today_ord) - F.col("_base")) / F.col("n")).cast("bigint"))
-    none = F.array().cast("array<bigint>")
-    back = F.coalesce(F.when(F.lit(current.isoformat()).cast("date") >= F.col("base"), F.sequence(F.greatest(F.lit(0), k - _missing()), k)), none)
-    ahead = F.sequence(F.lit(0).cast("bigint"), _missing().cast("bigint"))
-    steps = steps.select(*key, "base", "_base", "n", F.explode(F.array_union(back, ahead)).alias("_step"), back.alias("_back"), ahead.alias("_ahead"))
-    steps = steps.withColumn("wd_ord", F.col("_base") + F.col("_step") * F.col("n")).join(listed, "wd_ord", "left")
-    day = F.when(F.col("_step") == 0, F.col("base")).otherwise(F.col("d"))
-    days = [F.collect_set(F.when(F.array_contains(side, F.col("_step")), day)).alias(side) for side in ("_back", "_ahead")]
-    grids = steps.groupBy(*key).agg(*days)
-    same = F.col("w.root").eqNullSafe(F.col("g.root")) & (F.col("w.file") == F.col("g.file")) & (F.col("w.line") == F.col("g.line"))
-    joined = series.alias("w").join(grids.alias("g"), same, "left").select("w.*", "g._back", "g._ahead")
-    empty = F.array().cast("array<date>")
-    return joined.withColumns({
-        "owed_date": rec.owed(F.coalesce("_back", empty), F.col("excluded_dates"), F.col("replaced_dates")),
-        "first_standing": rec.next_standing(F.coalesce("_ahead", empty), F.col("excluded_dates"), F.col("replaced_dates")),
-    }).drop("_back", "_ahead")
-
-
-def agenda(tasks: DataFrame, calendar: DataFrame, first: date, last: date, current: date) -> DataFrame:
+def agenda(tasks: DataFrame, calendar: Workdays | DataFrame, first: date, last: date, current: date) -> DataFrame:
     """``(day, bucket, rank, days_offset, ...)`` for the days from ``first`` to ``last``.
 
     ``tasks`` have ``excluded_dates`` and ``replaced_dates`` (see ``exceptions.with_replaced``). A task's entries are made
-    in one pass over it: occurrences inside the window; overdue and upcoming entries on the current date alone. They are
-    written once, for the ranges of their order are chosen by a look at them.
+    in one pass over it: occurrences inside the window; overdue and upcoming entries on the current date alone. An end
+    time is that of a stamp without a repeater, drawn on its own day. Entries are written once, for the ranges of their
+    order are chosen by a look at them.
     """
-    rows = series_of(tasks)
-    single, plain, work = rows.where("rep is null"), rows.where("unit <> 'wd'"), rows.where("unit = 'wd'")
+    rows, work = series_of(tasks), Workdays.of(calendar)
+    single, repeated = rows.where("rep is null"), rows.where("rep is not null")
     lo, hi, today = (F.lit(x.isoformat()).cast("date") for x in (first, last, current))
     in_view = first <= current <= last
     timed = F.when(F.col("timestamp_time").isNotNull(), "scheduled_timed").otherwise("scheduled_no_time")
     deadline = F.coalesce(F.col("timestamp_type") == "DEADLINE", F.lit(False))
     kept = ["root", "file", "line", "heading", "task_type", "priority", "priority_order", "timestamp_type"]
 
-    def entry(day: Column, bucket, shown: Column, stamp: Column, offset: Column | None = None) -> Column:
+    def entry(day: Column, bucket, shown: Column, stamp: Column, offset: Column | None = None, end: Column | None = None) -> Column:
         time = F.col("timestamp_time") if offset is None else F.lit(None).cast("string")
+        end = F.lit(None).cast("string") if end is None else end
         days = F.lit(None).cast("int") if offset is None else offset.cast("int")
-        return F.struct(day.alias("day"), (F.lit(bucket) if isinstance(bucket, str) else bucket).alias("bucket"), shown.cast("date").alias("date"), time.alias("time"), stamp.alias("stamp"), days.alias("days_offset"))
+        return F.struct(day.alias("day"), (F.lit(bucket) if isinstance(bucket, str) else bucket).alias("bucket"), shown.cast("date").alias("date"), time.alias("time"), end.alias("end_time"), stamp.alias("stamp"), days.alias("days_offset"))
 
     def entries(df: DataFrame, *found: Column) -> DataFrame:
         """One row for each entry that is not null."""
@@ -114,27 +89,20 @@ def agenda(tasks: DataFrame, calendar: DataFrame, first: date, last: date, curre
 
     ahead = F.datediff("base", today)
     warned = F.coalesce("warning_days", F.lit(WARNING_DAYS))
-    once = [F.when(F.col("base").between(lo, hi), entry(F.col("base"), timed, F.col("base"), F.col("timestamp")))]
-    stands = lambda d: ~F.array_contains("excluded_dates", d) & ~F.array_contains("replaced_dates", d)
-    drawn = F.transform(F.filter(rec.occurrences("base", "n", "unit", f"date'{first}'", f"date'{last}'"), stands), lambda d: entry(d, timed, d, cell(d)))
+    once = [F.when(F.col("base").between(lo, hi), entry(F.col("base"), timed, F.col("base"), F.col("timestamp"), end=F.col("timestamp_end_time")))]
+    days = rec.standing(rec.occurrences("base", "n", "unit", f"date'{first}'", f"date'{last}'", work), F.col("excluded_dates"), F.col("replaced_dates"))
+    drawn = F.transform(days, lambda d: entry(d, timed, d, cell(d)))
     if in_view:
         once.append(F.when((F.col("base") < today) & _lasting(), entry(today, "overdue", F.col("base"), F.col("timestamp"), ahead)))
         once.append(F.when(deadline & (ahead > 0) & (ahead <= warned), entry(today, "upcoming", F.col("base"), F.col("timestamp"), ahead)))
     left = F.datediff("first_standing", today)
     text = cell_stamp(F.col("timestamp_type"), F.col("owed_date"), F.lit(None).cast("string"), F.col("timestamp_repeater"))
     ends = [
-        F.when(_lasting() & (F.col("owed_date") < today), entry(today, "overdue", F.col("owed_date"), text, F.datediff("owed_date", today))),
+        F.when(_lasting() & (F.col("owed_date") < today) & ((F.col("unit") != "wd") | F.lit(work.works_on(current))), entry(today, "overdue", F.col("owed_date"), text, F.datediff("owed_date", today))),
         F.when(_lasting() & deadline & (today < F.col("base")) & (left > 0) & (left <= warned), entry(today, "upcoming", F.col("base"), F.col("timestamp"), left)),
     ]
-    out = entries(single, *once)
     both = F.concat(drawn, F.filter(F.array(*ends), lambda e: e.isNotNull())) if in_view else drawn
-    out = out.unionByName((_plain_ends(plain, current) if in_view else plain).select(*kept, F.inline(both)))
-    work_days = workdays.occurrences(work, calendar, first.isoformat(), last.isoformat()).where(stands(F.col("day")))
-    out = out.unionByName(work_days.select(*kept, F.inline(F.array(entry(F.col("day"), timed, F.col("day"), cell(F.col("day")))))))
-    if in_view:
-        here = calendar.where(F.col("d") == today).first()  # a scalar: the plan needs no join for it
-        behind = F.when(F.lit(bool(here and here.is_workday)), ends[0])
-        out = out.unionByName(entries(_workday_ends(work.where(_lasting()), calendar, current, here and here.wd_ord), behind, ends[1]))
+    out = entries(single, *once).unionByName((_ends(repeated, current, work) if in_view else repeated).select(*kept, F.inline(both)))
     by = F.when(F.col("bucket") == "scheduled_no_time", F.col("priority_order")).when(F.col("bucket") != "scheduled_timed", F.col("days_offset").cast("bigint"))
     order = [by.asc_nulls_first(), F.col("time").asc_nulls_first(), F.col("root"), F.col("file"), F.col("line")]
     return ranked(as_table(out), ["day", "bucket"], order).drop("priority_order")
@@ -145,8 +113,9 @@ def day_counts(found: DataFrame) -> DataFrame:
 
 
 def envelopes(found: DataFrame, first: date, last: date) -> DataFrame:
-    """One nested row a day, days without entries too; ``overdue`` is null where it is empty, so a JSON sink omits it."""
-    entry = F.struct("rank", "file", "line", "heading", "task_type", "priority", "timestamp_type", "date", "time", "stamp", "days_offset")
+    """One nested row a day, days without entries too; ``overdue`` is null where it is empty, so a JSON sink omits it. A row
+    holds its whole day; for days of any size see ``envelope_parts``."""
+    entry = F.struct(*_ENTRY)
     lists = found.groupBy("day").agg(*[F.array_sort(F.collect_list(F.when(F.col("bucket") == b, entry))).alias(b) for b in BUCKETS])
     days = found.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first.isoformat()).cast("date"), F.lit(last.isoformat()).cast("date"))).alias("day"))
     out = days.join(lists, "day", "left")
@@ -154,50 +123,60 @@ def envelopes(found: DataFrame, first: date, last: date) -> DataFrame:
     return out.select("day", F.when(F.size("overdue") > 0, F.col("overdue")).alias("overdue"), *[empty(b).alias(b) for b in BUCKETS[1:]])
 
 
-def next_occurrences(series: DataFrame, current: date, now: str = "00:00", calendar: DataFrame | None = None) -> DataFrame:
+_ENTRY = ["rank", "file", "line", "heading", "task_type", "priority", "timestamp_type", "date", "time", "end_time", "stamp", "days_offset"]
+
+
+def envelope_parts(found: DataFrame, first: date, last: date, size: int = 1000) -> DataFrame:
+    """``(day, place, part, text)``: the envelopes as pieces of JSON text, ``size`` entries each at most.
+
+    Pieces in the order of (day, place, part), one after another, are the days' objects; white space may stand between
+    them. A day of any number of entries is many rows, none of which holds more than its piece.
+    """
+    spark = found.sparkSession
+    place = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("bucket")).cast("int")
+    entry = F.struct(F.col("rank"), F.to_json(F.struct(*_ENTRY)).alias("json"))
+    parts = found.groupBy("day", place.alias("place"), ((F.col("rank") - 1) / size).cast("long").alias("part"))
+    parts = parts.agg(F.array_join(F.array_sort(F.collect_list(entry))["json"], ",").alias("text"), F.max("rank").alias("upto"))
+    sizes = found.groupBy("day", place.alias("place")).agg(F.count("*").alias("entries"))  # a row for each day and bucket
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first.isoformat()).cast("date"), F.lit(last.isoformat()).cast("date"))).alias("day"))
+    name = F.element_at(F.array(*map(F.lit, BUCKETS)), F.col("place"))
+    opened = F.when(F.col("part") == 0, F.concat(F.lit(',"'), name, F.lit('":['))).otherwise(",")
+    body = parts.join(sizes, ["day", "place"]).select("day", "place", "part", F.concat(opened, "text", F.when(F.col("upto") == F.col("entries"), "]").otherwise("")).alias("text"))
+    empty = days.select("day", F.explode(F.array(*[F.lit(k + 1) for k in range(1, len(BUCKETS))])).alias("place")).join(sizes, ["day", "place"], "left_anti")
+    empty = empty.select("day", "place", F.lit(0).cast("long").alias("part"), F.concat(F.lit(',"'), name, F.lit('":[]')).alias("text"))
+    edge = lambda k, text: days.select("day", F.lit(k).alias("place"), F.lit(0).cast("long").alias("part"), text.alias("text"))
+    return body.unionByName(empty).unionByName(edge(0, F.concat(F.lit('{"day":"'), F.col("day").cast("string"), F.lit('"')))).unionByName(edge(len(BUCKETS) + 1, F.lit("}")))
+
+
+def next_occurrences(series: DataFrame, current: date, now: str = "00:00", calendar: Workdays | DataFrame | None = None) -> DataFrame:
     """``series(base, n, unit, timestamp_time, excluded_dates, replaced_dates)`` with ``next_date`` from now (today counts
-    until its time has passed) and ``next_after`` the current day. Series on working days need the calendar."""
+    until its time has passed) and ``next_after`` the current day. Series on working days have neither without a calendar."""
+    work = None if calendar is None else Workdays.of(calendar)
     today = f"date'{current.isoformat()}'"
     slot = F.when(F.col("timestamp_time").rlike("^([01]?[0-9]|2[0-3]):[0-5][0-9]$"), F.lpad("timestamp_time", 5, "0"))
+    # one date more than may be missing: the one of today may have passed
+    ahead = rec.standing(rec.candidates("base", "n", "unit", today, f"{_MISSING} + 1", ahead=True, work=work), F.col("excluded_dates"), F.col("replaced_dates"))
+    out = series.withColumn("_ahead", ahead).withColumn("_here", F.array_min("_ahead"))
+    out = out.withColumn("next_after", F.when(F.col("_here") > F.expr(today), F.col("_here")).otherwise(F.array_min(F.filter("_ahead", lambda d: d > F.expr(today)))))
+    passed = F.coalesce((F.col("_here") == F.expr(today)) & (slot < now), F.lit(False))
+    return out.withColumn("next_date", F.when(passed, F.col("next_after")).otherwise(F.col("_here"))).drop("_ahead", "_here")
 
-    def chosen(df: DataFrame, here: Column, after: Column) -> DataFrame:
-        df = df.withColumns({"_here": here, "next_after": after})
-        passed = F.coalesce((F.col("_here") == F.expr(today)) & (slot < now), F.lit(False))
-        return df.withColumn("next_date", F.when(passed, F.col("next_after")).otherwise(F.col("_here"))).drop("_here")
-
-    grid = lambda c: rec.candidates("base", "n", "unit", c, "size(excluded_dates) + size(replaced_dates) + 1", ahead=True)
-    standing = lambda g: rec.next_standing(g, F.col("excluded_dates"), F.col("replaced_dates"))
-    plain = chosen(series.where("unit <> 'wd'"), standing(grid(today)), standing(grid(f"date_add({today}, 1)")))
-    if calendar is None:
-        return plain
-    work = workdays.with_grid(series.where("unit = 'wd'"), calendar, F.expr(today), _missing() + 1)
-    from_today = F.filter("_grid", lambda d: d >= F.expr(today))
-    after_today = F.filter("_grid", lambda d: d > F.expr(today))
-    return plain.unionByName(chosen(work, standing(from_today), standing(after_today)).drop("_grid"))
 
-
-def arrears(series: DataFrame, current: date, calendar: DataFrame) -> DataFrame:
+def arrears(series: DataFrame, current: date, calendar: Workdays | DataFrame) -> DataFrame:
     """``series(base, n, unit, excluded_dates, replaced_dates)`` with ``owed_date`` at the current date."""
-    plain = _plain_ends(series.where("unit <> 'wd'"), current).drop("first_standing")
-    work = workdays.with_grid(series.where("unit = 'wd'"), calendar, F.lit(current.isoformat()).cast("date"), _missing())
-    back = F.filter("_grid", lambda d: d <= F.lit(current.isoformat()).cast("date"))
-    return plain.unionByName(work.withColumn("owed_date", rec.owed(back, F.col("excluded_dates"), F.col("replaced_dates"))).drop("_grid"))
+    return _ends(series, current, Workdays.of(calendar)).drop("first_standing")
 
 
-def with_next(found: DataFrame, tasks: DataFrame, calendar: DataFrame, current: date, now: str = "00:00") -> DataFrame:
+def with_next(found: DataFrame, tasks: DataFrame, calendar: Workdays | DataFrame, current: date, now: str = "00:00") -> DataFrame:
     """The drawn cells of series in ``found`` (an agenda's rows) with ``timestamp_next``, the next occurrence from now, and
     ``timestamp_next_after``, the one after the cell's day. Overdue and upcoming entries and single stamps have neither
     and are left out."""
-    key = ["root", "file", "line"]
+    key, work = ["root", "file", "line"], Workdays.of(calendar)
     series = series_of(tasks).where("rep is not null").select(*key, "base", "n", "unit", "timestamp_time", "excluded_dates", "replaced_dates")
-    series = next_occurrences(series, current, now, calendar)
+    series = next_occurrences(series, current, now, work)
     cells = found.where(F.col("bucket").startswith("scheduled")).alias("f")
     same = F.col("f.root").eqNullSafe(F.col("s.root")) & (F.col("f.file") == F.col("s.file")) & (F.col("f.line") == F.col("s.line"))
     cells = cells.join(series.alias("s"), same).select("f.*", "s.base", "s.n", "s.unit", "s.excluded_dates", "s.replaced_dates", F.col("s.next_date").alias("timestamp_next"))
-    standing = lambda g: rec.next_standing(g, F.col("excluded_dates"), F.col("replaced_dates"))
-    plain = cells.where("unit <> 'wd'").withColumn(
-        "timestamp_next_after", standing(rec.candidates("base", "n", "unit", "date_add(day, 1)", "size(excluded_dates) + size(replaced_dates) + 1", ahead=True))
-    )
-    work = workdays.with_grid(cells.where("unit = 'wd'"), calendar, F.col("day"), _missing() + 1)
-    work = work.withColumn("timestamp_next_after", standing(F.filter("_grid", lambda d: d > F.col("day")))).drop("_grid")
-    return plain.unionByName(work).drop("base", "n", "unit", "excluded_dates", "replaced_dates")
+    after = rec.candidates("base", "n", "unit", "date_add(day, 1)", _MISSING, ahead=True, work=work)
+    cells = cells.withColumn("timestamp_next_after", rec.next_standing(after, F.col("excluded_dates"), F.col("replaced_dates")))
+    return cells.drop("base", "n", "unit", "excluded_dates", "replaced_dates")

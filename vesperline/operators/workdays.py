@@ -1,76 +1,40 @@
-"""Working-day recurrence: joins to the calendar by date and by ordinal."""
+"""Working-day arithmetic over rows: expressions only, so a row stays where it is whatever its dates.
+
+``calendar`` is a ``Workdays``, or a day-by-day table whose exceptions are read once; every other day is a working day from
+Monday to Friday.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vesperline.sources.scratch import as_table
-
-
-def _at(calendar: DataFrame, name: str) -> DataFrame:
-    return calendar.select(F.col("d").alias(name), F.col("wd_ord").alias(f"{name}_ord"), F.col("is_workday").alias(f"{name}_works"))
-
+from vesperline.functions import recurrence as rec
+from vesperline.functions.working_days import Workdays
 
-def _of(calendar: DataFrame, ordinal: str, name: str) -> DataFrame:
-    return calendar.where("is_workday").select(F.col("wd_ord").alias(ordinal), F.col("d").alias(name))
 
+def workdays_between(pairs: DataFrame, calendar: Workdays | DataFrame, start: str, end: str) -> DataFrame:
+    """``pairs`` with the number of workdays in (start, end]; 0 where end is not later, null where a date is."""
+    work = Workdays.of(calendar)
+    return pairs.withColumn("workdays", F.expr(f"case when {end} > {start} then {work.ordinal(end)} - {work.ordinal(start)} when {end} <= {start} then 0L end"))
 
-def workdays_between(pairs: DataFrame, calendar: DataFrame, start: str, end: str) -> DataFrame:
-    """``pairs`` with the number of workdays in (start, end]; 0 where end is not later."""
-    out = pairs.join(_at(calendar, start), start).join(_at(calendar, end), end)
-    n = F.when(F.col(end) > F.col(start), F.col(f"{end}_ord") - F.col(f"{start}_ord")).otherwise(F.lit(0))
-    return out.withColumn("workdays", n).drop(f"{start}_ord", f"{end}_ord", f"{start}_works", f"{end}_works")
 
+def nth_workday(rows: DataFrame, calendar: Workdays | DataFrame, start: str, n: str) -> DataFrame:
+    """``rows`` with the n-th workday after a date; 0 is the date itself; null past the last date there is."""
+    work = Workdays.of(calendar)
+    return rows.withColumn("nth_day", F.expr(f"case when {n} = 0 then {start} else {work.day(f'{work.ordinal(start)} + {n}')} end"))
 
-def nth_workday(rows: DataFrame, calendar: DataFrame, start: str, n: str) -> DataFrame:
-    """``rows`` with the n-th workday after a date; 0 is the date itself; null past the calendar."""
-    out = rows.join(_at(calendar, start), start).withColumn("_ord", F.col(f"{start}_ord") + F.col(n))
-    out = out.join(_of(calendar, "_ord", "_day"), "_ord", "left")
-    return out.withColumn("nth_day", F.when(F.col(n) == 0, F.col(start)).otherwise(F.col("_day"))).drop("_ord", "_day", f"{start}_ord", f"{start}_works")
 
-
-def bracket(series: DataFrame, calendar: DataFrame, day: str = "c") -> DataFrame:
+def bracket(series: DataFrame, calendar: Workdays | DataFrame, day: str = "c") -> DataFrame:
     """``series(base, n, ...)`` with ``n1`` (last occurrence at or before the day, for days from the base on) and
     ``n2`` (the first after it)."""
-    out = series.join(_at(calendar, "base"), "base").join(_at(calendar, day), day)
-    k = F.floor((F.col(f"{day}_ord") - F.col("base_ord")) / F.col("n")).cast("bigint")
-    out = out.withColumn("_k", k).withColumn("_o1", F.col("base_ord") + k * F.col("n"))
-    out = out.withColumn("_o1", F.when(F.col("_k") > 0, F.col("_o1"))).join(_of(calendar, "_o1", "_n1"), "_o1", "left")
-    # the step after n1 counts from n1; for the base itself that is the base's own ordinal
-    out = out.withColumn("_o2", F.when(F.col("_k") > 0, F.col("_o1")).otherwise(F.col("base_ord")) + F.col("n"))
-    out = out.join(_of(calendar, "_o2", "n2"), "_o2", "left")
-    n1 = F.when(F.col("_k") > 0, F.col("_n1")).otherwise(F.col("base"))
-    return out.withColumn("n1", n1).drop("_k", "_o1", "_o2", "_n1", "base_ord", "base_works", f"{day}_ord", f"{day}_works")
-
-
-def occurrences(series: DataFrame, calendar: DataFrame, first: str, last: str) -> DataFrame:
-    """One row (``day``) for each working-day occurrence in the window: ordinals are generated, then joined to days."""
-    edge = calendar.agg(
-        F.coalesce(F.max(F.when(F.col("d") < F.lit(first).cast("date"), F.col("wd_ord"))), F.lit(0)).alias("lo"),
-        F.max(F.when(F.col("d") <= F.lit(last).cast("date"), F.col("wd_ord"))).alias("hi"),
-    ).first()  # two scalars of the calendar, known before the series are read
-    rows = series.join(_at(calendar, "base"), "base")
-    lo = F.greatest(F.lit(1), F.ceil((F.lit(edge.lo + 1) - F.col("base_ord")) / F.col("n")).cast("bigint"))
-    hi = F.floor((F.lit(edge.hi) - F.col("base_ord")) / F.col("n")).cast("bigint")
-    ks = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-    later = rows.withColumn("_o", F.explode(F.transform(ks, lambda k: F.col("base_ord") + k * F.col("n"))))
-    later = later.join(_of(calendar, "_o", "day"), "_o").select(*series.columns, "day")
-    here = series.where(F.col("base").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).withColumn("day", F.col("base"))
-    return later.unionByName(here)
-
+    near = F.expr(rec._grid("base", "n", "'wd'", f"greatest({day}, base)", "0L", "0L", Workdays.of(calendar)))
+    out = series.withColumn("_near", near)
+    n1 = F.expr(f"array_max(filter(_near, d -> d <= greatest({day}, base)))")
+    return out.withColumns({"n1": n1, "n2": F.expr(f"array_min(filter(_near, d -> d > greatest({day}, base)))")}).drop("_near")
 
-def with_grid(series: DataFrame, calendar: DataFrame, around: Column, many: Column) -> DataFrame:
-    """``series`` with ``_grid``: the occurrences around a day of each row, ``many`` to either side and one more, in order.
 
-    Each step is a row only while it joins its day; the rows of a series are gathered by a number given to it for this.
-    A row whose base or day the calendar lacks has no grid."""
-    numbered = as_table(series.withColumn("_row", F.monotonically_increasing_id()).withColumn("_around", around))
-    base = numbered.join(_at(calendar, "base"), "base").join(_at(calendar, "_around"), "_around")
-    k = F.greatest(F.lit(0), F.floor((F.col("_around_ord") - F.col("base_ord")) / F.col("n")).cast("bigint"))
-    steps = base.select("_row", "base", "base_ord", "n", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), k - many), k + many + 1)).alias("_step"))
-    steps = steps.withColumn("_o", F.col("base_ord") + F.col("_step") * F.col("n")).join(_of(calendar, "_o", "_day"), "_o", "left")
-    day = F.when(F.col("_step") == 0, F.col("base")).otherwise(F.col("_day"))
-    grids = steps.groupBy("_row").agg(F.sort_array(F.collect_set(day)).alias("_grid"))
-    empty = F.array().cast("array<date>")
-    return numbered.join(grids, "_row", "left").withColumn("_grid", F.coalesce("_grid", empty)).drop("_row", "_around")
+def occurrences(series: DataFrame, calendar: Workdays | DataFrame, first: str, last: str) -> DataFrame:
+    """One row (``day``) for each working-day occurrence in the window."""
+    days = rec.occurrences("base", "n", "'wd'", f"date'{first}'", f"date'{last}'", Workdays.of(calendar))
+    return series.withColumn("day", F.explode(days))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vesperline.functions import recurrence as rec
 from vesperline.functions import stamps, text, windows
+from vesperline.functions.working_days import Workdays
 from vesperline.operators import agenda as ag
 from vesperline.operators import exceptions, extract, quality, spans, workdays
 from vesperline.plans import nested_notes as nn
@@ -50,8 +51,8 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("k", F.col("d").alias("base"), F.col("n").cast("long").alias("n"), "unit", F.col("start_time").alias("timestamp_time"))
 
 
-def _calendar(spark: SparkSession) -> DataFrame:
-    return as_table(holidays.calendar(spark, *CALENDAR))
+def _calendar(spark: SparkSession) -> Workdays:
+    return Workdays.listed()
 
 
 # --- scans -------------------------------------------------------------------------------------------------------
@@ -218,13 +219,7 @@ def _occurrences(units, first, last):
 
 
 def closest_past_future(spark, sf_dir):
-    s = _series(spark, sf_dir)
-    plain = rec.with_closest(s.where("unit <> 'wd'"), f"date'{TODAY}'").select("k", "past", "future")
-    work = workdays.bracket(s.where("unit = 'wd'").withColumn("c", F.lit(TODAY.isoformat()).cast("date")), _calendar(spark))
-    # off its days a series' past is the step before; before its base there is none
-    past = F.when(F.col("c") < F.col("base"), None).otherwise(F.col("n1"))
-    future = F.when(F.col("c") <= F.col("base"), F.col("base")).when(F.col("n1") == F.col("c"), F.col("c")).otherwise(F.col("n2"))
-    return plain.unionByName(work.select("k", past.alias("past"), future.alias("future")))
+    return rec.with_closest(_series(spark, sf_dir), f"date'{TODAY}'", _calendar(spark)).select("k", "past", "future")
 
 
 def _shifted(spark, sf_dir):
@@ -234,14 +229,12 @@ def _shifted(spark, sf_dir):
 
 
 def occurrences_workday(spark, sf_dir):
-    cal = holidays.calendar(spark, "2024-12-01", "2027-06-30")
-    return workdays.occurrences(_shifted(spark, sf_dir), cal, "2026-01-01", "2026-02-28").select("k", "day")
+    return workdays.occurrences(_shifted(spark, sf_dir), _calendar(spark), "2026-01-01", "2026-02-28").select("k", "day")
 
 
 def workday_bracket(spark, sf_dir):
-    cal = holidays.calendar(spark, "2024-12-01", "2027-12-31")
     s = _shifted(spark, sf_dir).withColumn("c", F.lit("2026-06-15").cast("date"))
-    return workdays.bracket(s.where("base <= c"), cal).select("k", "n1", "n2")
+    return workdays.bracket(s.where("base <= c"), _calendar(spark)).select("k", "n1", "n2")
 
 
 def workday_calendar(spark, sf_dir):
@@ -252,12 +245,12 @@ def workday_calendar(spark, sf_dir):
 
 def workdays_between(spark, sf_dir):
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr("date_add(date'2025-01-01', cast(o_orderkey % 400 as int))").alias("s"), F.expr("date_add(date'2025-01-01', cast(o_orderkey * 7 % 600 as int))").alias("e"))
-    return workdays.workdays_between(o, holidays.calendar(spark, "2024-12-01", "2027-06-30"), "s", "e").select("k", "workdays")
+    return workdays.workdays_between(o, _calendar(spark), "s", "e").select("k", "workdays")
 
 
 def nth_workday(spark, sf_dir):
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr("date_add(date'2025-01-01', cast(o_orderkey % 400 as int))").alias("s"), (F.col("o_orderkey") % 30).alias("n"))
-    return workdays.nth_workday(o, holidays.calendar(spark, "2024-12-01", "2027-06-30"), "s", "n").select("k", "nth_day")
+    return workdays.nth_workday(o, _calendar(spark), "s", "n").select("k", "nth_day")
 
 
 def holidays_of_year(spark, sf_dir):
@@ -334,6 +327,28 @@ def day_envelope(spark, sf_dir):
     return out.select("day", *[F.size(b).alias(b) for b in ag.BUCKETS[1:]], F.col("overdue").isNull().alias("no_overdue"))
 
 
+def day_envelope_parts(spark, sf_dir):
+    """The envelopes' content, as the pieces of JSON that a sink writes."""
+    first, last = windows.window("week", TODAY)
+    t = _planned(spark, sf_dir)
+    return ag.envelope_parts(ag.agenda(t, _calendar(spark), first, last, TODAY), first, last, 100)
+
+
+def agenda_times(spark, sf_dir):
+    """Start and end times of what an agenda draws: only stamps without a repeater keep an end."""
+    first, last = windows.window("month", TODAY)
+    t = _planned(spark, sf_dir)
+    return ag.agenda(t, _calendar(spark), first, last, TODAY).select("day", "bucket", "file", "line", "time", "end_time")
+
+
+def workdays_far(spark, sf_dir):
+    """Working days of two centuries, most of which no list covers."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr("date_add(date'1900-01-01', cast(o_orderkey * 37 % 73000 as int))").alias("base"), (1 + F.col("o_orderkey") % 9).alias("n"))
+    o = o.withColumn("c", F.expr("date_add(base, cast(k % 4000 as int))"))
+    out = workdays.bracket(workdays.nth_workday(workdays.workdays_between(o, _calendar(spark), "base", "c"), _calendar(spark), "base", "n"), _calendar(spark))
+    return out.select("k", "workdays", "nth_day", "n1", "n2")
+
+
 # --- corpus jobs -------------------------------------------------------------------------------------------------
 
 
@@ -628,6 +643,30 @@ def oracle_sql() -> dict[str, str]:
         "scan_files": "select coalesce(lang, 'none') as lang, concat(coalesce(source, 'none'), '-good') as note, concat('Document ', cast(doc_id as varchar)) as heading from documents where doc_id % 50 <> 0 and source is not null",
     }
     sql |= {"nested_markdown": nn.containers_sql(on.attributes_sql(False)), "inline_marks": nn.marks_sql(on.attributes_sql(False))}
+    piece = "concat('{\"rank\":', cast(rank as varchar), ',\"file\":\"', file, '\",\"line\":', cast(line as varchar), ',\"heading\":\"', heading, '\"'" + "".join(
+        f", coalesce(',\"{c}\":' || {v}, '')" for c, v in (("task_type", "'\"' || state || '\"'"), ("priority", "'\"' || priority || '\"'"), ("timestamp_type", "'\"' || kind || '\"'"), ("date", "'\"' || cast(date as varchar) || '\"'"), ("time", "'\"' || time || '\"'"), ("end_time", "'\"' || end_time || '\"'"), ("stamp", "'\"' || stamp || '\"'"), ("days_offset", "cast(days_offset as varchar)"))
+    ) + ", '}')"
+    places = "case bucket when 'overdue' then 1 when 'scheduled_timed' then 2 when 'scheduled_no_time' then 3 else 4 end"
+    rest = _agenda_sql("week")
+    ends = "case when bucket = 'scheduled_timed' and (unit is null or kind = 'CLOSED') then end_time end"
+    sql["day_envelope_parts"] = f"""{rest}, e as (select r.*, {heading} as heading, t.state, t.priority, t.kind, {ends} as end_time, {places} as place,
+          row_number() over (partition by day, bucket order by case when bucket = 'scheduled_no_time' then r.po when bucket <> 'scheduled_timed' then days_offset end nulls first, time nulls first, r.root, r.file, r.line) as rank
+          from rows r join t on t.file = r.file and t.line = r.line),
+        p as (select day, place, (rank - 1) // 100 as part, max(rank) as upto, string_agg({piece}, ',' order by rank) as text from e group by day, place, (rank - 1) // 100),
+        n as (select day, place, count(*) as c from e group by day, place),
+        days as (select cast(g as date) as day from generate_series(TIMESTAMP '1998-06-15', TIMESTAMP '1998-06-21', INTERVAL 1 DAY) t(g)),
+        names as (select * from (values (1, 'overdue'), (2, 'scheduled_timed'), (3, 'scheduled_no_time'), (4, 'upcoming')) v(place, name))
+      select p.day, cast(p.place as int) as place, cast(p.part as bigint) as part, concat(case when p.part = 0 then concat(',"', names.name, '":[') else ',' end, p.text, case when p.upto = n.c then ']' else '' end) as text
+      from p join n on n.day = p.day and n.place = p.place join names on names.place = p.place
+      union all select days.day, names.place, 0, concat(',"', names.name, '":[]') from days, names where names.place > 1 and not exists (select 1 from n where n.day = days.day and n.place = names.place)
+      union all select day, 0, 0, concat('{{"day":"', cast(day as varchar), '"') from days union all select day, 5, 0, '}}' from days"""
+    sql["agenda_times"] = f"{_agenda_sql('month')} select r.day, r.bucket, r.file, r.line, r.time, {ends} as end_time from rows r join t on t.file = r.file and t.line = r.line"
+    far = _calendar_sql("1899-12-01", "2115-12-31")
+    sql["workdays_far"] = f"""with {far}, o as (select o_orderkey as k, cast(DATE '1900-01-01' + cast(o_orderkey * 37 % 73000 as int) as date) as base, 1 + o_orderkey % 9 as n from orders),
+        p as (select *, cast(base + cast(k % 4000 as int) as date) as c from o), w as (select d, o from cal where is_workday),
+        b as (select p.*, x.o as bo, y.o as co, (y.o - x.o) // n as steps from p join cal x on x.d = base join cal y on y.d = c)
+      select k, cast(co - bo as bigint) as workdays, nth.d as nth_day, case when steps = 0 then base else a.d end as n1, z.d as n2
+      from b join w nth on nth.o = bo + n left join w a on a.o = bo + steps * n and steps > 0 join w z on z.o = bo + (steps + 1) * n"""
     sql["bad_files"] = """select gate, count(*) as files from (select case when doc_id % 20 in (3, 4, 5) then null when doc_id % 20 = 6 then 'failed' when doc_id % 500 = 7 then 'oversize'
         when doc_id % 20 in (1, 8) then 'no_marker' when doc_id % 20 = 0 then 'not_utf8' else 'parsed' end as gate from documents) where gate is not null group by gate"""
     sql["run_report"] = f"""with {_A}, f as (select distinct file, c, c % 19 = 0 as large, c % 19 <> 0 and c % 17 = 0 as odd from a), ok as (select file from f where not large and not odd),
@@ -648,7 +687,7 @@ def queries() -> dict:
         task_json, tasks_flat_list, tasks_with_done, tasks_with_cancelled, first_tasks, tasks_by_state_priority, clock_minutes_by_week, month_shift, closest_past_future,
         occurrences_workday, workday_bracket, workday_calendar, workdays_between, nth_workday, holidays_of_year, series_replacements, unknown_series, next_occurrence,
         next_after_day, series_arrears, window_edges, agenda_next, agenda_day_counts, day_envelope, heading_spans, stamp_spans, plain_text, hidden_characters,
-        markdown_escapes, local_days, glob_classes, scan_files, nested_markdown, inline_marks, bad_files, run_report,
+        markdown_escapes, local_days, glob_classes, scan_files, nested_markdown, inline_marks, bad_files, run_report, day_envelope_parts, agenda_times, workdays_far,
     ]
     found = {f.__name__: f for f in names}
     found |= {

@@ -21,3 +21,10 @@ def write_tasks(tasks: DataFrame, path: str) -> None:
 
 def write_days(envelopes: DataFrame, path: str) -> None:
     envelopes.write.json(path, ignoreNullFields=True)
+
+
+def write_day_parts(parts: DataFrame, path: str) -> None:
+    """Pieces of envelopes (``agenda.envelope_parts``) as text files: in the order of their names they are one run of JSON
+    objects, a day each. Days are dealt by ranges, so one that is large lies in several files, each written by its task."""
+    order = ["day", "place", "part"]
+    parts.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.text(path)
