@@ -77,3 +77,16 @@ def test_long_texts_of_open_marks_take_their_time_in_proportion(part):
 def test_deep_containers_end():
     text = "# A\n" + "> " * 2000 + "x\n" + "\n# B\n" + "- " * 500 + "y\n# C\n"
     assert [t for _, t, _ in read(text)] == ["A", "B", "C"]
+
+
+def test_the_short_way_for_code_alone_shows_the_same(monkeypatch):
+    import random
+    import re
+
+    from vesperline.functions import inline
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("a`` \n!b<[") for _ in range(rng.randrange(1, 14))) for _ in range(4000)]
+    fast = [shown(t) for t in texts]
+    monkeypatch.setattr(inline, "_CODE_ONLY", re.compile("(?!)"))
+    assert fast == [shown(t) for t in texts]

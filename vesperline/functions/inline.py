@@ -14,6 +14,9 @@ _ANY = re.compile(r"[`\[\]*_~\\&<\n]")
 _PLAIN = re.compile(r"[^`!\[\]*_~\\&<\n]+|!(?!\[)")
 _RUN = re.compile(r"`+|\*+|_+|~+")
 _TICKS = re.compile("`+")
+#: Text whose only marks are code spans of single backticks: most lines that carry stamps.
+_CODE_ONLY = re.compile(r"(?:[^`!\[\]*_~\\&<]+|!(?!\[)|(?<!`)`[^`]+`(?!`))*+")
+_SPAN = re.compile(r"`([^`]+)`")
 _ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 _ENTITY = re.compile(r"&(?:#[xX]([0-9a-fA-F]{1,6})|#([0-9]{1,7})|([A-Za-z][A-Za-z0-9]*));")
 _BREAK = re.compile(r"[ \t]*\n[ \t]*")
@@ -107,6 +110,12 @@ def shown(text: str, labels: frozenset[str] | set[str] = frozenset()) -> tuple[s
     """
     if not _ANY.search(text):
         return text, text, []
+    if _CODE_ONLY.fullmatch(text):
+        parts = _SPAN.split(text)
+        codes = parts[1::2] = [_code(c) for c in parts[1::2]]
+        if "\n" in text:
+            parts[::2] = [_BREAK.sub("", t) for t in parts[::2]]
+        return "".join(parts), "".join(parts[::2]), codes
     ticks: dict[int, list[int]] = {}
     for m in _TICKS.finditer(text):
         ticks.setdefault(len(m[0]), []).append(m.start())
@@ -138,9 +147,8 @@ def shown(text: str, labels: frozenset[str] | set[str] = frozenset()) -> tuple[s
                 while places and places[-1] < i:
                     places.pop()
                 if places:
-                    code = text[i : places[-1]].replace("\n", " ")
+                    nodes.append(("c", _code(text[i : places[-1]])))
                     i = places.pop() + len(m[0])
-                    nodes.append(("c", code[1:-1] if len(code) > 2 and code[0] == code[-1] == " " and code.strip(" ") else code))
                 else:
                     nodes.append(("t", m[0]))
             elif c == "~" and len(m[0]) != 2:
@@ -192,6 +200,12 @@ def shown(text: str, labels: frozenset[str] | set[str] = frozenset()) -> tuple[s
     return _joined(nodes, {r.node: r.char * r.left for r in every}, wraps, images)
 
 
+def _code(code: str) -> str:
+    """What a code span holds: line ends are spaces, and one space at either end goes."""
+    code = code.replace("\n", " ")
+    return code[1:-1] if len(code) > 2 and code[0] == code[-1] == " " and code.strip(" ") else code
+
+
 def _entity(m: re.Match) -> str | None:
     if m[3]:
         return html5.get(m[3] + ";")
