@@ -88,8 +88,13 @@ def property_map(block_texts: Column) -> Column:
     return _bound(F.filter(pairs, lambda p: p["key"] != ""), mapped)
 
 
-def parsed_sections(notes: DataFrame, cap: int = 0) -> DataFrame:
-    """Sections with the fields of their headings and blocks; not every one is a task."""
+#: What sections hold besides their heading and stamps; a query that needs less does not pay for it.
+PARTS = ("content", "clocks", "properties")
+
+
+def parsed_sections(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Sections with the fields of their headings and blocks; not every one is a task. ``parts`` names the groups of
+    columns to make: ``content``, ``clocks`` with their totals, ``properties`` with their blocks."""
     out = sections(notes, cap)
 
     def texts(b: Column) -> Column:
@@ -104,41 +109,43 @@ def parsed_sections(notes: DataFrame, cap: int = 0) -> DataFrame:
         return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
 
     is_properties = lambda b: F.coalesce(b["info"] == "org-properties", F.lit(False))
-    out = computed(
-        out, [*KEY, "line", "level", F.col("title").alias("shown")],
-        written=F.transform(F.filter("blocks", lambda b: ~is_properties(b)), texts),
-        paragraphs=F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: trimmed(b["body"])),
-        property_blocks=F.transform(F.filter("blocks", is_properties), lambda b: F.struct(b["at"].alias("at"), b["body"].alias("body"))),
-    )
+    read = {"written": F.transform(F.filter("blocks", lambda b: ~is_properties(b)), texts)}
+    if "content" in parts:
+        read["paragraphs"] = F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: trimmed(b["body"]))
+    if "properties" in parts:
+        read["property_blocks"] = F.transform(F.filter("blocks", is_properties), lambda b: F.struct(b["at"].alias("at"), b["body"].alias("body")))
+    out = computed(out, [*KEY, "line", "level", F.col("title").alias("shown")], **read)
     out = out.withColumn("texts", F.transform("written", lambda ts: F.transform(ts, stamps.english_weekdays)))
     state, priority, heading = heading_fields(F.col("shown"))
-    clocks = F.flatten(F.transform(F.filter(F.flatten("written"), lambda t: t.contains("CLOCK:")), clock_entries))
-    out = computed(
-        out, [*KEY, "line", "level", "property_blocks"],
-        heading=trimmed(heading), content=F.array_join(F.filter("paragraphs", lambda p: p != ""), "\n\n"), task_type=state, priority=priority,
-        created=last(F.transform("texts", lambda t: first(stamps.created_stamps(t)))), timestamp=last(F.transform("texts", lambda t: first(stamps.planning_stamps(t)))),
-        found_clocks=clocks, properties=property_map(F.transform("property_blocks", lambda b: b["body"])),
-    )
-    out = out.withColumn("clocks", F.when(F.size("found_clocks") > 0, F.col("found_clocks"))).drop("found_clocks")
+    made = {
+        "heading": trimmed(heading), "task_type": state, "priority": priority,
+        "created": last(F.transform("texts", lambda t: first(stamps.created_stamps(t)))), "timestamp": last(F.transform("texts", lambda t: first(stamps.planning_stamps(t)))),
+    }
+    if "content" in parts:
+        made["content"] = F.array_join(F.filter("paragraphs", lambda p: p != ""), "\n\n")
+    if "clocks" in parts:
+        made["found_clocks"] = F.flatten(F.transform(F.filter(F.flatten("written"), lambda t: t.contains("CLOCK:")), clock_entries))
+    if "properties" in parts:
+        made["properties"] = property_map(F.transform("property_blocks", lambda b: b["body"]))
+    out = computed(out, [*KEY, "line", "level", *["property_blocks"] * ("properties" in parts)], **made)
+    if "clocks" in parts:
+        out = out.withColumn("clocks", F.when(F.size("found_clocks") > 0, F.col("found_clocks"))).drop("found_clocks")
+        out = out.withColumn("clock_minutes", clock_total(F.col("clocks"))).withColumn("total_clock_time", duration_text(F.col("clock_minutes")))
     start, end = stamps.stamp_times(F.col("timestamp"))
     return out.select(
         "*", stamps.priority_order(F.col("priority")).alias("priority_order"), stamps.stamp_type(F.col("timestamp")).alias("timestamp_type"),
         stamps.is_active(F.col("timestamp")).alias("timestamp_active"), stamps.stamp_date(F.col("timestamp")).alias("timestamp_date"),
-        start.alias("timestamp_time"), end.alias("timestamp_end_time"), stamps.repeater(F.col("timestamp")).alias("rep"),
-        stamps.warning_days(F.col("timestamp")).alias("warning_days"), clock_total(F.col("clocks")).alias("clock_minutes"),
-    ).withColumns({
-        "base_date": stamps.real_date(F.col("timestamp_date")), "timestamp_repeater": stamps.repeater_text(F.col("rep")),
-        "total_clock_time": duration_text(F.col("clock_minutes")),
-    })
+        start.alias("timestamp_time"), end.alias("timestamp_end_time"), stamps.repeater(F.col("timestamp")).alias("rep"), stamps.warning_days(F.col("timestamp")).alias("warning_days"),
+    ).withColumns({"base_date": stamps.real_date(F.col("timestamp_date")), "timestamp_repeater": stamps.repeater_text(F.col("rep"))})
 
 
-def tasks(notes: DataFrame, cap: int = 0) -> DataFrame:
-    """Sections with a state, a creation stamp or a planning stamp, and their exception fields. With a cap no note is
-    read past its first ``cap`` sections that have a state."""
+def tasks(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Sections with a state, a creation stamp or a planning stamp, and their exception fields where properties are
+    read. With a cap no note is read past its first ``cap`` sections that have a state."""
     from vesperline.operators.exceptions import with_exceptions
 
-    kept = parsed_sections(notes, cap).where("task_type is not null or created is not null or timestamp is not null")
-    return with_exceptions(kept)
+    kept = parsed_sections(notes, cap, parts).where("task_type is not null or created is not null or timestamp is not null")
+    return with_exceptions(kept) if "properties" in parts else kept
 
 
 def capped(found: DataFrame, cap: int = MAX_TASKS) -> DataFrame:

@@ -20,7 +20,7 @@ from vesperline.operators import exceptions, extract, quality, spans, workdays
 from vesperline.plans import nested_notes as nn
 from vesperline.plans import order_notes as on
 from vesperline.sources import holidays, note_files, notes, sinks
-from vesperline.sources.scratch import as_table, scratch_dir
+from vesperline.sources.scratch import as_table, delete_on_exit, scratch_dir
 
 TODAY = date(1998, 6, 15)
 CALENDAR = ("1994-12-01", "2002-12-31")
@@ -31,18 +31,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.tasks(on.order_notes(spark, sf_dir))
+def _tasks(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    return extract.tasks(on.order_notes(spark, sf_dir), parts=parts or extract.PARTS)
 
 
-def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     """Tasks as a table, for queries that use them more than once."""
-    return as_table(_tasks(spark, sf_dir))
+    return as_table(_tasks(spark, sf_dir, *parts))
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks with the dates missing from their series."""
-    return exceptions.with_replaced(_written(spark, sf_dir))
+    return exceptions.with_replaced(as_table(_tasks(spark, sf_dir, "properties").drop("property_blocks")))
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def note_sections(spark, sf_dir):
 def nested_markdown(spark, sf_dir):
     """Tasks of notes whose lists, quotes and HTML hold headings, stamps and properties that are not theirs."""
     t = extract.tasks(nn.container_notes(spark, sf_dir))
-    return t.select("file", "line", "heading", "timestamp", F.try_element_at("properties", F.lit("ID")).alias("id"), "content")
+    return t.select("file", "line", "heading", "timestamp", F.try_element_at("properties", F.lit("ID")).alias("id"), "created", "content")
 
 
 def inline_marks(spark, sf_dir):
@@ -103,11 +103,11 @@ def inline_marks(spark, sf_dir):
 
 
 def heading_fields(spark, sf_dir):
-    return _tasks(spark, sf_dir).select("file", "line", "heading", "task_type", "priority", "priority_order")
+    return _tasks(spark, sf_dir, "stamps").select("file", "line", "heading", "task_type", "priority", "priority_order")
 
 
 def stamp_fields(spark, sf_dir):
-    return _tasks(spark, sf_dir).select("file", "line", "timestamp", "timestamp_type", "timestamp_active", "timestamp_date", "base_date", "timestamp_time", "timestamp_end_time")
+    return _tasks(spark, sf_dir, "stamps").select("file", "line", "timestamp", "timestamp_type", "timestamp_active", "timestamp_date", "base_date", "timestamp_time", "timestamp_end_time")
 
 
 def localized_weekdays(spark, sf_dir):
@@ -116,40 +116,40 @@ def localized_weekdays(spark, sf_dir):
 
 
 def repeater_fields(spark, sf_dir):
-    return _tasks(spark, sf_dir).select("file", "line", "timestamp_repeater", F.col("rep.n").alias("n"), F.col("rep.unit").alias("unit"))
+    return _tasks(spark, sf_dir, "stamps").select("file", "line", "timestamp_repeater", F.col("rep.n").alias("n"), F.col("rep.unit").alias("unit"))
 
 
 def warning_days(spark, sf_dir):
-    return _tasks(spark, sf_dir).select("file", "line", "warning_days")
+    return _tasks(spark, sf_dir, "stamps").select("file", "line", "warning_days")
 
 
 def created_stamps(spark, sf_dir):
-    return _tasks(spark, sf_dir).select("file", "line", "created")
+    return _tasks(spark, sf_dir, "stamps").select("file", "line", "created")
 
 
 def section_body(spark, sf_dir):
-    return _tasks(spark, sf_dir).select("file", "line", "content")
+    return _tasks(spark, sf_dir, "content").select("file", "line", "content")
 
 
 def clock_entries(spark, sf_dir):
-    t = _tasks(spark, sf_dir).select("file", "line", F.posexplode("clocks").alias("pos", "clock"))
+    t = _tasks(spark, sf_dir, "clocks").select("file", "line", F.posexplode("clocks").alias("pos", "clock"))
     return t.select("file", "line", (F.col("pos") + 1).alias("pos"), F.col("clock.start").alias("clock_start"), F.col("clock.end").alias("clock_end"), F.col("clock.duration").alias("duration"))
 
 
 def clock_totals(spark, sf_dir):
-    return _tasks(spark, sf_dir).select("file", "line", "clock_minutes", "total_clock_time")
+    return _tasks(spark, sf_dir, "clocks").select("file", "line", "clock_minutes", "total_clock_time")
 
 
 def section_properties(spark, sf_dir):
-    return _tasks(spark, sf_dir).select("file", "line", F.explode("properties").alias("key", "value"))
+    return _tasks(spark, sf_dir, "properties").select("file", "line", F.explode("properties").alias("key", "value"))
 
 
 def exdate_rows(spark, sf_dir):
-    return _tasks(spark, sf_dir).select("file", "line", F.posexplode("excluded_dates").alias("pos", "excluded_date"))
+    return _tasks(spark, sf_dir, "properties").select("file", "line", F.posexplode("excluded_dates").alias("pos", "excluded_date"))
 
 
 def recurrence_ids(spark, sf_dir):
-    return _tasks(spark, sf_dir).where("recurrence_id is not null or series_id is not null").select("file", "line", "series_id", "recurrence_id", "recurrence_date")
+    return _tasks(spark, sf_dir, "properties").where("recurrence_id is not null or series_id is not null").select("file", "line", "series_id", "recurrence_id", "recurrence_date")
 
 
 def capped_tasks(spark, sf_dir):
@@ -157,11 +157,11 @@ def capped_tasks(spark, sf_dir):
 
 
 def quality_findings(spark, sf_dir):
-    return quality.findings(_written(spark, sf_dir)).select("file", "line", "channel", "key", "value", "problem")
+    return quality.findings(_written(spark, sf_dir, "properties")).select("file", "line", "channel", "key", "value", "problem")
 
 
 def first_findings(spark, sf_dir):
-    return quality.first_findings(quality.findings(_written(spark, sf_dir))).select("channel", "position", "file", "line", "key", "value")
+    return quality.first_findings(quality.findings(_written(spark, sf_dir, "properties"))).select("channel", "position", "file", "line", "key", "value")
 
 
 def task_json(spark, sf_dir):
@@ -174,7 +174,7 @@ def task_json(spark, sf_dir):
 
 
 def _listed(spark, sf_dir, **which):
-    return ag.flat_list(_written(spark, sf_dir), **which).select("root", "file", "line", "heading", "task_type", "priority", "timestamp", "position")
+    return ag.flat_list(_written(spark, sf_dir, "stamps"), **which).select("root", "file", "line", "heading", "task_type", "priority", "timestamp", "position")
 
 
 def tasks_flat_list(spark, sf_dir):
@@ -190,15 +190,15 @@ def tasks_with_cancelled(spark, sf_dir):
 
 
 def first_tasks(spark, sf_dir):
-    return ag.flat_list(_tasks(spark, sf_dir), limit=100).select("root", "file", "line")
+    return ag.flat_list(_tasks(spark, sf_dir, "stamps"), limit=100).select("root", "file", "line")
 
 
 def tasks_by_state_priority(spark, sf_dir):
-    return _tasks(spark, sf_dir).rollup("task_type", "priority").agg(F.count("*").alias("tasks"), F.sum("clock_minutes").alias("minutes"))
+    return _tasks(spark, sf_dir, "clocks").rollup("task_type", "priority").agg(F.count("*").alias("tasks"), F.sum("clock_minutes").alias("minutes"))
 
 
 def clock_minutes_by_week(spark, sf_dir):
-    t = _tasks(spark, sf_dir).select(F.explode("clocks").alias("c"))
+    t = _tasks(spark, sf_dir, "clocks").select(F.explode("clocks").alias("c"))
     day = F.substring("c.start", 1, 10).try_cast("date")
     return t.groupBy(windows.week_of(day).alias("week")).agg(F.sum(extract.minutes(F.col("c.duration"))).alias("minutes"), F.count("*").alias("entries"))
 
@@ -267,7 +267,7 @@ def series_replacements(spark, sf_dir):
 
 
 def unknown_series(spark, sf_dir):
-    return exceptions.unknown_series(_written(spark, sf_dir))
+    return exceptions.unknown_series(_written(spark, sf_dir, "properties"))
 
 
 def _with_missing(spark, sf_dir):
@@ -397,6 +397,7 @@ def scan_files(spark, sf_dir):
     line = F.concat(F.lit("# TODO Document "), F.col("doc_id").cast("string"), F.when(bad, F.unhex(F.lit("FF")).cast("string")).otherwise(""))
     base = f"{scratch_dir(spark)}/notes-{uuid.uuid4().hex}"
     d.select(line.alias("value"), "lang", F.concat("source", F.when(bad, "-bad").otherwise("-good")).alias("note")).write.partitionBy("lang", "note").text(base)
+    delete_on_exit(spark, base)
     raw = notes.read_raw(spark, [f"{base}/lang={r.lang}{end}" for r in d.select("lang").distinct().collect() for end in ("", "/")])
     found = extract.tasks(notes.notes(raw))
     return found.select(F.regexp_extract("root", "([^/=]*)/*$", 1).alias("lang"), F.regexp_extract("file", "^note=([^/]*)/", 1).alias("note"), "heading")
@@ -406,7 +407,7 @@ def _file_of(k: int) -> tuple[str, bytes | None]:
     """(name, content) of a document's note file; no content: a link to another note."""
     kinds = {2: "_", 3: ".", 6: "gone-"}
     name = f"d{k % 7}/{kinds.get(k % 20, '')}{k}.{'txt' if k % 20 == 5 else 'md'}"
-    content = {0: b"# TODO \xff %d\n", 1: b"plain %d\n", 8: b"\xff plain %d\n"}.get(k % 20, b"# TODO Document %d\n") % k
+    content = {0: b"# TODO \xff %d\n", 1: b"plain %d\n", 8: b"\xff plain %d\n", 9: b"\xef\xbb\xbf# TODO marked %d\n"}.get(k % 20, b"# TODO Document %d\n") % k
     return name, None if k % 20 == 4 else content + b"x" * (11 << 20) * (k % 500 == 7)
 
 

@@ -20,6 +20,7 @@ CONTAINERS = [
     (["1. first", "   - deeper", "", "     # TODO deep {k}", "", "        code", "", " outside {k}", "2. no item", ""], "outside {k}2. no item"),
     (["* a", "* b", "***", "-", "", "  # TODO mine {k}", ""], None),
     (["[r{k}]: /u 'title'", "[r{k}] and", "<b>bold {k}</b>", "", "<x-tag y='1'>", "# TODO in tag {k}", "", ""], "r{k} andbold {k}"),
+    (["    `CREATED: [1990-01-01 Пн]`", "", "~~~~ text", "`CREATED: [1990-01-02 Tue]`", "~~~", "~~~~", ""], ""),
     (["+ one", "", "\ttwo", "", "  ~~~", "  # TODO tilde {k}", "end {k}", ""], "end {k}"),
 ]
 
@@ -71,9 +72,11 @@ def containers_sql(attributes: str) -> str:
     own = next(i for i, (_, body) in enumerate(CONTAINERS) if body is None)
     at = 4 + next(i for i, line in enumerate(CONTAINERS[own][0]) if "mine" in line)
     body = _by(["''" if b is None else _of(b, False) for _, b in CONTAINERS], n)
+    wrapped = next(i for i, (lines, _) in enumerate(CONTAINERS) if "CREATED" in lines[0])
+    created = f"case when k % {n} = {wrapped} then 'CREATED: [1990-01-01 Mon]' end"
     return f"""with a as ({attributes}), p as (select *, 1 + coalesce(sum({size}) over (partition by file order by k rows between unbounded preceding and 1 preceding), 0) as top from a)
-      select file, top as line, concat('Order ', cast(k as varchar)) as heading, stamp as timestamp, case when k % {n} <> {own} then concat('order-', cast(k as varchar)) end as id, {body} as content from p
-      union all select file, top + {at - 1}, concat('mine ', cast(k as varchar)), null, concat('order-', cast(k as varchar)), '' from p where k % {n} = {own}"""
+      select file, top as line, concat('Order ', cast(k as varchar)) as heading, stamp as timestamp, case when k % {n} <> {own} then concat('order-', cast(k as varchar)) end as id, {created} as created, {body} as content from p
+      union all select file, top + {at - 1}, concat('mine ', cast(k as varchar)), null, concat('order-', cast(k as varchar)), null, '' from p where k % {n} = {own}"""
 
 
 def mark_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

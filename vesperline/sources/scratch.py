@@ -20,12 +20,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Files under a path go when the application ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def as_table(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so that the branches of a query share its work. The files go when the
     application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
