@@ -90,3 +90,12 @@ def test_the_short_way_for_code_alone_shows_the_same(monkeypatch):
     fast = [shown(t) for t in texts]
     monkeypatch.setattr(inline, "_CODE_ONLY", re.compile("(?!)"))
     assert fast == [shown(t) for t in texts]
+
+
+@pytest.mark.parametrize("fragment,text", [
+    ("", ""), ("# *A* `b`", "A b"), ("> - # x\n>   y\n> z\n\nw", "xyzw"), ("    code", ""), ("- a\n\n  b\n- [r]\n\n> [R]: /u", "abr"), ("```\nx\n```\ny", "y"), ("a\n===\nb", "ab"), ("<p>\nx\n\ny", "y"),
+])
+def test_fragments_as_shown(fragment, text):
+    from vesperline.operators.blocks import displayed
+
+    assert displayed(fragment) == text

@@ -12,8 +12,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from vesperline.functions.inline import CLOSE_TAG, OPEN_TAG, definitions, shown
 
@@ -64,10 +66,11 @@ def _item(line: str, in_paragraph: bool) -> re.Match | None:
 
 class _Containers:
     """What is open of quotes, list items and HTML at the top of a note, one within the other; only how far it reaches
-    matters. ``labels`` gathers the link definitions inside."""
+    matters. ``labels`` gathers the link definitions inside, ``texts`` the headings and paragraphs where they are asked
+    for."""
 
-    def __init__(self, labels: set[str]):
-        self.labels = labels
+    def __init__(self, labels: set[str], texts: list[str] | None = None):
+        self.labels, self.texts = labels, texts
         self.stack: list[list] = []  # [width or None for a quote, whether nothing stands in it yet]
         self.paragraph: list[str] | None = None
         self.fence = self.html = None
@@ -118,8 +121,10 @@ class _Containers:
         self._close_paragraph()
 
     def _close_paragraph(self) -> None:
-        if self.paragraph is not None and self.paragraph[0].lstrip(" ").startswith("["):
-            self.labels.update(definitions("\n".join(self.paragraph))[0])
+        if self.paragraph is not None and (self.texts is not None or self.paragraph[0].lstrip(" ").startswith("[")):
+            text = _undefined(self.paragraph, self.labels)
+            if self.texts is not None:
+                self.texts.append(text)
         self.paragraph = None
 
     def _content(self, rest: str) -> None:
@@ -162,6 +167,8 @@ class _Containers:
                 self.fence = _closer(_OPENS.match(rest))
             elif kind in ("heading", "rule") or inside and _UNDERLINE.match(rest):
                 self._close_paragraph()
+                if kind == "heading" and self.texts is not None:
+                    self.texts.append(_HEADING.match(rest)[2] or "")
             elif inside:
                 self.paragraph.append(rest)
             elif kind != "indented":
@@ -330,3 +337,25 @@ def sections(notes: DataFrame, cap: int = 0) -> DataFrame:
             yield _batch(rows)
 
     return notes.select("root", "file", "text").mapInArrow(run, SECTIONS)
+
+
+def displayed(fragment: str) -> str:
+    """A fragment as it is shown: the text of its headings and paragraphs, also of those in lists and quotes, one behind
+    the other; code blocks and HTML show nothing."""
+    labels, texts = set(), []
+    nest = _Containers(labels, texts)
+    for line in _LINE_END.split(fragment):
+        if not nest.takes(line):
+            nest.begin(line)
+    nest.close()
+    return "".join(shown(t.strip(" \t\n"), labels)[0] for t in texts).strip()
+
+
+def display_text(fragment: Column) -> Column:
+    """``displayed`` of a column; null for null."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else displayed(t))
+
+    return of(fragment)

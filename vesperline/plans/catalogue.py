@@ -16,7 +16,7 @@ from vesperline.functions import recurrence as rec
 from vesperline.functions import stamps, text, windows
 from vesperline.functions.working_days import Workdays
 from vesperline.operators import agenda as ag
-from vesperline.operators import exceptions, extract, quality, spans, workdays
+from vesperline.operators import blocks, exceptions, extract, quality, spans, workdays
 from vesperline.plans import nested_notes as nn
 from vesperline.plans import order_notes as on
 from vesperline.sources import holidays, note_files, notes, sinks
@@ -102,6 +102,10 @@ def inline_marks(spark, sf_dir):
     return extract.tasks(nn.mark_notes(spark, sf_dir)).select("file", "heading", "content")
 
 
+def display_fragments(spark, sf_dir):
+    return nn.fragments(spark, sf_dir).select("k", blocks.display_text(F.col("fragment")).alias("displayed"))
+
+
 def heading_fields(spark, sf_dir):
     return _tasks(spark, sf_dir, "stamps").select("file", "line", "heading", "task_type", "priority", "priority_order")
 
@@ -643,7 +647,7 @@ def oracle_sql() -> dict[str, str]:
         "glob_classes": "select file from (select concat(source, '/', cast(doc_id as varchar), '.md') as file, cast(doc_id as varchar) as k, source from documents) where (source in ('src1', 'src2', 'src3', 'src15', 'src25', 'src35') and regexp_full_match(k, '.*[^0-4]')) or regexp_full_match(k, '(1|2[0-5]).*7')",
         "scan_files": "select coalesce(lang, 'none') as lang, concat(coalesce(source, 'none'), '-good') as note, concat('Document ', cast(doc_id as varchar)) as heading from documents where doc_id % 50 <> 0 and source is not null",
     }
-    sql |= {"nested_markdown": nn.containers_sql(on.attributes_sql(False)), "inline_marks": nn.marks_sql(on.attributes_sql(False))}
+    sql |= {"display_fragments": nn.fragments_sql(on.attributes_sql(False)), "nested_markdown": nn.containers_sql(on.attributes_sql(False)), "inline_marks": nn.marks_sql(on.attributes_sql(False))}
     piece = "concat('{\"rank\":', cast(rank as varchar), ',\"file\":\"', file, '\",\"line\":', cast(line as varchar), ',\"heading\":\"', heading, '\"'" + "".join(
         f", coalesce(',\"{c}\":' || {v}, '')" for c, v in (("task_type", "'\"' || state || '\"'"), ("priority", "'\"' || priority || '\"'"), ("timestamp_type", "'\"' || kind || '\"'"), ("date", "'\"' || cast(date as varchar) || '\"'"), ("time", "'\"' || time || '\"'"), ("end_time", "'\"' || end_time || '\"'"), ("stamp", "'\"' || stamp || '\"'"), ("days_offset", "cast(days_offset as varchar)"))
     ) + ", '}')"
@@ -688,7 +692,7 @@ def queries() -> dict:
         task_json, tasks_flat_list, tasks_with_done, tasks_with_cancelled, first_tasks, tasks_by_state_priority, clock_minutes_by_week, month_shift, closest_past_future,
         occurrences_workday, workday_bracket, workday_calendar, workdays_between, nth_workday, holidays_of_year, series_replacements, unknown_series, next_occurrence,
         next_after_day, series_arrears, window_edges, agenda_next, agenda_day_counts, day_envelope, heading_spans, stamp_spans, plain_text, hidden_characters,
-        markdown_escapes, local_days, glob_classes, scan_files, nested_markdown, inline_marks, bad_files, run_report, day_envelope_parts, agenda_times, workdays_far,
+        markdown_escapes, local_days, glob_classes, scan_files, nested_markdown, inline_marks, bad_files, run_report, day_envelope_parts, agenda_times, workdays_far, display_fragments,
     ]
     found = {f.__name__: f for f in names}
     found |= {

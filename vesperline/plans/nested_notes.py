@@ -38,6 +38,15 @@ MARKS = [
     ("[a [b {k}](c)](d) [unclosed", "[a b {k}](d) [unclosed", None),
 ]
 
+#: Fragments and what is shown of them.
+FRAGMENTS = [
+    ("> # Title *{k}*\n> - item `{s}`\n>   goes on\n\n    code\n\nlast", "Title {k}item {s}goes onlast"),
+    ("## TODO **Report** {k} ##", "TODO Report {k}"),
+    ("[a {k}]\n\n1. [A {k}]: /x\n2. <b>b</b>\n   ===\n~~~\nfence\n~~~\n", "a {k}b"),
+    ("<div>{k}</div>\n\ntext {k}\n---\n* * *\n", "text {k}"),
+    ("plain {k}  \nlines", "plain {k}lines"),
+]
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -92,3 +101,13 @@ def marks_sql(attributes: str) -> str:
     heading = _by([_of(h, False) for _, h, _ in MARKS], n)
     content = _by([_of(h if b is None else b, False) for _, h, b in MARKS], n)
     return f"with a as ({attributes}) select cast(k as varchar) as file, {heading} as heading, {content} as content from a"
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(k, fragment)``, one for each order."""
+    forms = [_of(text, True).replace("\n", "\\n") for text, _ in FRAGMENTS]
+    return on.attributes(spark, sf_dir).select("k", F.expr(_by(forms, len(FRAGMENTS))).alias("fragment"))
+
+
+def fragments_sql(attributes: str) -> str:
+    return f"with a as ({attributes}) select k, {_by([_of(x, False) for _, x in FRAGMENTS], len(FRAGMENTS))} as displayed from a"
