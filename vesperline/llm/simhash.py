@@ -350,11 +350,12 @@ def _bucket_candidates(blocks: list[list[int]], similarity: float, words: int, l
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, block_words: int = 4, seed: int = 42) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 16, block_words: int = 4, seed: int = 42) -> DataFrame:
     """``(id, component_id)`` for documents whose sets of ``shingle``-word runs have a Jaccard ``similarity`` or more, or
     that are joined by such documents.
 
-    Prints only find candidates; every link is verified on the whole sets (of 64-bit hashes). A distance that stands for
+    Prints only find candidates; every link is verified on the whole sets (of 64-bit hashes). The more bits a print has,
+    the fewer pairs that fall short of the limit pass for candidates; links pass alike. A distance that stands for
     a similarity of 0.8 is a sixth of all bits: disjoint pigeonhole blocks would be too narrow to part unrelated texts.
     Blocks overlap here, over the first ``block_words`` words, and are enough for about 999 in 1000 pairs at the limit and
     more of closer ones. Small sets meet by their least shingles instead, which misses none. Null, empty and wordless
