@@ -350,7 +350,7 @@ def _bucket_candidates(blocks: list[list[int]], similarity: float, words: int, l
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 16, block_words: int = 4, seed: int = 42) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 24, block_words: int = 4, seed: int = 42) -> DataFrame:
     """``(id, component_id)`` for documents whose sets of ``shingle``-word runs have a Jaccard ``similarity`` or more, or
     that are joined by such documents.
 
