@@ -1,7 +1,7 @@
 """The corpus pipeline: from raw documents to packed sequences.
 
 Every stage takes what its predecessor kept and returns a DataFrame; ``run`` writes each to the shared scratch folder
-and reads it again. All but the last return the columns of ``documents``, with ``n_chars`` following the text.
+and reads it again. All but the last return the five columns of ``documents`` and no others, with ``n_chars`` following the text.
 """
 
 from __future__ import annotations

@@ -274,7 +274,8 @@ def fit_calibration(x: np.ndarray, y: np.ndarray, decay: float = 1.0, steps: int
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, most_sentences: int = 20_000) -> Model:
     """A model from labelled rows that are not held out. About ``most_rows`` of them are used, chosen by a hash of the
-    id, and of their different sentences (as token features) about ``most_sentences``: this bounds what the driver gets. Null labels and ids are left out; without both labels the model scores 0."""
+    id, and of their different sentences (as token features) about ``most_sentences``: this bounds what the driver gets. Most
+    near copies among the rows are left out of the fit, and sentences of over 60 tokens are read in parts there. Null labels and ids are left out; without both labels the model scores 0."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     share = min(1.0, most_rows / max(1, rows.count()))

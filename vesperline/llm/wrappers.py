@@ -524,7 +524,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Pages are read and parsed twice, for the wrappers and for the text, so that no copy of them is written. Wrappers
     (a row for each layout of a host) go to all tasks while they have at most ``most_broadcast`` bytes, and are joined
-    by a shuffle beyond. A null, empty or furniture-only page has an empty text; pages without a host share one
+    by a shuffle beyond. Three bounds keep a layout's size from growing with a page: elements more than 512 deep count as
+    their ancestor's children, of a node's children beyond 256 those of one label are one node, and a node that fewer than
+    one in 64 of a host's layouts have is left out of the host's template. A null, empty or furniture-only page has an empty text; pages without a host share one
     wrapper; an empty table gives no rows; other columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
