@@ -99,3 +99,20 @@ def test_fragments_as_shown(fragment, text):
     from vesperline.operators.blocks import displayed
 
     assert displayed(fragment) == text
+
+
+def test_marks_side_by_side_read_as_by_the_stack_of_all_marks():
+    import random
+
+    from vesperline.functions import inline
+
+    rng, met = random.Random(11), 0
+    pieces = ["*", "**", "_", "__", "~~", "`", "``", "[tea](pot)", "[big cup](h:/s_u*g)", "[#B]", "[", "]", "](", ")", "(", "!", "![", "\n", " ", " ", "  ",
+              "milk", "s1", ".", ",", "*hot*", "**very hot**", "_mild_", "~~cold~~", "`brew`", "` leaf `", "й", "—", '"']
+    for _ in range(40_000):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 8))).strip(" \t\n")
+        for quick, labels in ((inline._UNNESTED, frozenset({"tea", "big cup", "#b"})), (inline._BRACKETED, frozenset())):
+            if quick.fullmatch(text):
+                met += 1
+                assert inline._unnested(text) == inline._folded(text, labels), text
+    assert met > 5_000

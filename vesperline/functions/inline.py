@@ -14,9 +14,16 @@ _ANY = re.compile(r"[`\[\]*_~\\&<\n]")
 _PLAIN = re.compile(r"[^`!\[\]*_~\\&<\n]+|!(?!\[)")
 _RUN = re.compile(r"`+|\*+|_+|~+")
 _TICKS = re.compile("`+")
-#: Text whose only marks are code spans of single backticks: most lines that carry stamps.
-_CODE_ONLY = re.compile(r"(?:[^`!\[\]*_~\\&<]+|!(?!\[)|(?<!`)`[^`]+`(?!`))*+")
+#: What text may hold besides plain text so that its marks need no stack: code spans of single backticks, links without a
+#: title, and runs of one or two that open behind a space, hold words alone and close before one.
+_CODE, _LINK = r"(?<!`)`[^`]+`(?!`)", r"""\[[^`!\[\]*_~\\&<\n]*\]\([^\s()\[\]<>\\`"']+\)"""
+_WORDS = r"[A-Za-z0-9](?:[^`!\[\]*_~\\&<\n]*[A-Za-z0-9])?"
+_EMPHASIS = "|".join(rf"(?<![^\s(]){m}{_WORDS}{m}(?=[\s.,;:?)]|$)" for m in (r"\*", r"\*\*", "_", "__", "~~"))
+_UNNESTED = rf"[^`!\[\]*_~\\&<]+|!(?!\[)|{_CODE}|{_LINK}|{_EMPHASIS}"
+#: The same without and with brackets that are text where a note defines no links.
+_UNNESTED, _BRACKETED = re.compile(rf"(?:{_UNNESTED})*+"), re.compile(rf"(?:{_UNNESTED}|\[[^`!\[\]*_~\\&<\n]*\](?![(\[]))*+")
 _SPAN = re.compile(r"`([^`]+)`")
+_UNNESTED_MARK = re.compile(r"\[([^\]]*)\]\([^)]*\)|[*_~]")
 _ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 _ENTITY = re.compile(r"&(?:#[xX]([0-9a-fA-F]{1,6})|#([0-9]{1,7})|([A-Za-z][A-Za-z0-9]*));")
 _BREAK = re.compile(r"[ \t]*\n[ \t]*")
@@ -110,12 +117,21 @@ def shown(text: str, labels: frozenset[str] | set[str] = frozenset()) -> tuple[s
     """
     if not _ANY.search(text):
         return text, text, []
-    if _CODE_ONLY.fullmatch(text):
-        parts = _SPAN.split(text)
-        codes = parts[1::2] = [_code(c) for c in parts[1::2]]
-        if "\n" in text:
-            parts[::2] = [_BREAK.sub("", t) for t in parts[::2]]
-        return "".join(parts), "".join(parts[::2]), codes
+    return _unnested(text) if (_UNNESTED if labels else _BRACKETED).fullmatch(text) else _folded(text, labels)
+
+
+def _unnested(text: str) -> tuple[str, str, list[str]]:
+    """``shown`` of text whose marks stand side by side: most headings, paragraphs and lines that carry stamps."""
+    parts = _SPAN.split(text)
+    codes = parts[1::2] = [_code(c) for c in parts[1::2]]
+    parts[::2] = [_UNNESTED_MARK.sub(r"\1", t) for t in parts[::2]]
+    if "\n" in text:
+        parts[::2] = [_BREAK.sub("", t) for t in parts[::2]]
+    return "".join(parts), "".join(parts[::2]), codes
+
+
+def _folded(text: str, labels: frozenset[str] | set[str]) -> tuple[str, str, list[str]]:
+    """``shown`` by the stack of all marks."""
     ticks: dict[int, list[int]] = {}
     for m in _TICKS.finditer(text):
         ticks.setdefault(len(m[0]), []).append(m.start())
