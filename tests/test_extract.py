@@ -8,7 +8,7 @@ from vesperline.sources import notes
 NOTE = """# Notes
 
 ### TODO Water the ferns
-`SCHEDULED: <2026-05-21 Thu>`
+`SCHEDULED: <2023-11-09 Thu>`
 `CLOCK: [2025-03-04 Tue 06:15]--[2025-03-04 Tue 08:00] => 1:45`
 
 First *para*
@@ -17,7 +17,7 @@ goes on `gone` here.
 Second para.
 
 ## Monthly
-    `DEADLINE: <2026-05-21 Thu +1m -3d>`
+    `DEADLINE: <2023-11-09 Thu +1m -3d>`
 
 ## Created only
 `CREATED: [2026-01-12 Пн]`
@@ -30,15 +30,15 @@ text
 `<2025-03-04 Tue 19:30>-<2025-03-05 Wed 21:15>`
 
 ## [#65] Above
-`CLOSED: [2024-12-05 Thu]`
+`CLOSED: [2027-04-15 Thu]`
 
 Setext TODO
 -----------
-`<2024-12-05 Чт>`
+`<2027-04-15 Чт>`
 
 ## Позже, с меткой [#A] в середине
-`SCHEDULED: [2024-12-05 Thu]`
-`<2024-13-45>`
+`SCHEDULED: [2027-04-15 Thu]`
+`<2027-14-40>`
 
 ## CANCELED Props
 ```org-properties
@@ -46,8 +46,8 @@ ID: a
 ID: b
 EMPTY:
 no colon
-EXDATE: 2026-8-20, 2026-08-20 15:00 16:00 thursday
-RECURRENCE_ID: 2026-08-20 15:00:00
+EXDATE: 2025-9-18, 2025-09-18 10:30 12:45 thursday
+RECURRENCE_ID: 2025-09-18 10:30:00
 SERIES_ID:  s1
 ```
 ```
@@ -70,27 +70,27 @@ def test_golden_sections(rows):
     by = rows[0]
     assert set(by) == {"Water the ferns", "Monthly", "Created only", "Two evenings", "[#65] Above", "Setext TODO", "Позже, с меткой [#A] в середине", "Props"}
     pin = by["Water the ferns"]
-    assert (pin.line, pin.task_type, pin.timestamp, pin.timestamp_type, pin.timestamp_active) == (3, "TODO", "SCHEDULED: <2026-05-21 Thu>", "SCHEDULED", True)
+    assert (pin.line, pin.task_type, pin.timestamp, pin.timestamp_type, pin.timestamp_active) == (3, "TODO", "SCHEDULED: <2023-11-09 Thu>", "SCHEDULED", True)
     assert pin.content == "First paragoes on  here.\n\nSecond para." and pin.total_clock_time == "1:45" and pin.clock_minutes == 105
-    assert by["Monthly"].timestamp == "DEADLINE: <2026-05-21 Thu +1m -3d>" and by["Monthly"].timestamp_repeater == "+1m" and by["Monthly"].warning_days == 3
+    assert by["Monthly"].timestamp == "DEADLINE: <2023-11-09 Thu +1m -3d>" and by["Monthly"].timestamp_repeater == "+1m" and by["Monthly"].warning_days == 3
     assert by["Created only"].created == "CREATED: [2026-01-12 Mon]" and by["Created only"].task_type is None
     mid = by["Two evenings"]
     assert (mid.priority, mid.priority_order, mid.timestamp) == ("15", 15, "<2025-03-04 Tue 19:30>--<2025-03-05 Wed 21:15>")
     assert (mid.timestamp_date, mid.timestamp_time, mid.timestamp_end_time) == ("2025-03-04", "19:30", "21:15")
     assert by["[#65] Above"].priority is None and by["[#65] Above"].timestamp_active is False
-    assert by["Setext TODO"].timestamp == "<2024-12-05 Thu>" and by["Setext TODO"].task_type is None
+    assert by["Setext TODO"].timestamp == "<2027-04-15 Thu>" and by["Setext TODO"].task_type is None
     odd = by["Позже, с меткой [#A] в середине"]
-    assert (odd.priority, odd.timestamp, odd.base_date) == ("A", "<2024-13-45>", None)
+    assert (odd.priority, odd.timestamp, odd.base_date) == ("A", "<2027-14-40>", None)
     props = by["Props"]
     assert props.task_type == "CANCELED" and props.properties["ID"] == "b" and props.properties["EMPTY"] == ""
-    assert props.excluded_dates == [dt.date(2026, 8, 20)] and props.recurrence_id == "2026-08-20 15:00" and props.series_id == "s1"
+    assert props.excluded_dates == [dt.date(2025, 9, 18)] and props.recurrence_id == "2025-09-18 10:30" and props.series_id == "s1"
     assert props.timestamp == "SCHEDULED: <2030-01-01>"  # the fence's own code span is unwrapped
 
 
 def test_findings(rows):
     found = {(r.channel, r.key, r.value) for r in quality.findings(rows[1]).collect()}
-    assert ("timestamp", "PLAIN", "<2024-13-45>") in found and ("property", None, "no colon") in found
-    assert ("property", "EXDATE", "16:00") in found and ("property", "EXDATE", "thursday") in found and ("property", "EXDATE", "15:00") not in found
+    assert ("timestamp", "PLAIN", "<2027-14-40>") in found and ("property", None, "no colon") in found
+    assert ("property", "EXDATE", "12:45") in found and ("property", "EXDATE", "thursday") in found and ("property", "EXDATE", "10:30") not in found
 
 
 @pytest.mark.parametrize("raw,dates,bad", [
@@ -116,7 +116,7 @@ def test_recurrence_ids_durations_and_repeaters(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(spent)], "i int, x string").orderBy("i").select(extract.minutes(F.col("x")).alias("m")).collect()
     assert [r.m for r in rows] == [125, None, None, None, None, 0]
     reps = {"+0d": None, "1d": None, "+": None, "+1q": None, "+abd": None, "..+1d": None, "+++1d": "++1d", "+1week": "+1w", ".+2m": ".+2m", "+5wd": "+5wd"}
-    rows = spark.createDataFrame([(f"<2024-12-05 Thu {k}>", v) for k, v in reps.items()], "s string, want string")
+    rows = spark.createDataFrame([(f"<2027-04-15 Thu {k}>", v) for k, v in reps.items()], "s string, want string")
     assert all(r.want == r.got for r in rows.select("want", stamps.repeater_text(stamps.repeater(F.col("s"))).alias("got")).collect())
     lead = {"-3d": 3, "-2w": 14, "-1m": 30, "-1y": 365, "-5h": 0}
     rows = spark.createDataFrame([(f"DEADLINE: <2025-12-10 Wed {k}>", v) for k, v in lead.items()], "s string, want long")
