@@ -258,3 +258,29 @@ def test_globs_reach_the_listing(spark, tmp_path):
     raw = notes.read_raw(spark, [str(tmp_path)], glob="*.md")
     assert sorted(r.file for r in raw.select("file").collect()) == ["a.md", "sub/c.md"] and len(raw.inputFiles()) == 2
     assert [r.file for r in notes.read_raw(spark, [str(tmp_path)], glob="sub/*").select("file").collect()] == ["sub/c.md"]
+
+
+def test_limit_of_each_note(spark):
+    from pyspark.sql import functions as F
+
+    text = F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.col("id").cast("int")), lambda k: F.concat(F.lit("# TODO t"), k.cast("string"))))
+    raw = spark.range(1, 4).select(F.lit(None).cast("string").alias("root"), F.concat(F.col("id").cast("string"), F.lit(".md")).alias("file"), text.alias("text"))
+    raw = raw.select("root", "file", F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
+    whole = notes.Run(raw, note_cap=4).report.first()  # more tasks than the limit in all, fewer in each note
+    assert (whole.tasks, whole.task_limit, whole.cap_reached) == (6, 4, False)
+    cut = notes.Run(raw, note_cap=2)
+    assert (cut.report.first().tasks, cut.report.first().cap_reached) == (5, True)
+    assert sorted((t.file, t.heading) for t in cut.tasks.collect()) == [("1.md", "t1"), ("2.md", "t1"), ("2.md", "t2"), ("3.md", "t1"), ("3.md", "t2")]
+    with pytest.raises(ValueError):
+        notes.Run(raw, 2, 2)
+
+
+def test_findings_in_one_pass(spark):
+    """Findings need no written table: the tasks are read once, whatever the kinds of findings."""
+    text = "# TODO a\n`DEADLINE: <2020-13-01>`\n```org-properties\nno pair\nEXDATE: later\nRECURRENCE_ID: noon\n```\n"
+    found = quality.findings(extract.tasks(spark.createDataFrame([("r", "n.md", text)], "root string, file string, text string")))
+    assert {(r.line, r.channel, r.key, r.value, r.problem) for r in found.collect()} == {
+        (1, "timestamp", "DEADLINE", "DEADLINE: <2020-13-01>", "not a calendar date"), (4, "property", None, "no pair", "not a key and a value"), (1, "property", "EXDATE", "later", "not a date"),
+        (1, "property", "RECURRENCE_ID", "noon", "not a date"), (1, "property", "SERIES_ID", "", "half a pair"),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

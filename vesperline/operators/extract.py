@@ -5,7 +5,7 @@ Sections come from ``operators.blocks`` where each note lies, so a corpus is nev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vesperline.functions import stamps
@@ -153,3 +153,9 @@ def capped(found: DataFrame, cap: int = MAX_TASKS) -> DataFrame:
     if not 1 <= cap <= 10_000_000:
         raise ValueError("the cap is between 1 and 10,000,000")
     return ranked(found, [], [F.col("root"), F.col("file"), F.col("line")], "_n").where(F.col("_n") <= cap).drop("_n")
+
+
+def capped_notes(found: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` tasks of each note, by line. A note has passed the gate of size, so its tasks fit one group."""
+    at = F.row_number().over(Window.partitionBy(*KEY).orderBy("line"))
+    return found.withColumn("_n", at).where(F.col("_n") <= cap).drop("_n")

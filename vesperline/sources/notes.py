@@ -147,26 +147,37 @@ def run_report(raw: DataFrame, tasks_found: int, findings: DataFrame, cap: int)
 class Run:
     """One run over note files: each is opened once, and what the run reports is counted on the way.
 
-    ``tasks`` is the run's table of tasks, cut off at the cap in the order of root, file and line. ``report`` is one row:
-    the files of each gate, the first unusable paths, tasks, findings of either kind, and whether the cap was reached.
+    ``tasks`` is the run's table of tasks, cut off at the cap in the order of root, file and line. With a ``note_cap``
+    the limit holds for each note instead and a run has as many tasks as its notes give. ``report`` is one row: the files
+    of each gate, the first unusable paths, tasks, findings of either kind, the limit, and whether it was reached.
     """
 
-    def __init__(self, raw: DataFrame, cap: int | None = None):
+    def __init__(self, raw: DataFrame, cap: int | None = None, note_cap: int | None = None):
         from vesperline.operators import extract, quality
 
-        spark, cap = raw.sparkSession, cap or extract.MAX_TASKS
+        if cap and note_cap:
+            raise ValueError("a run has one limit: of its tasks or of each note's")
+        spark, limit = raw.sparkSession, note_cap or cap or extract.MAX_TASKS
         files, found, faults = (Observation() for _ in range(3))
         odd = F.col("odd_path") if "odd_path" in raw.columns else F.lit(False)
         # the counters ride on the one pass that reads the files
         counted = gated(raw).observe(files, *_counters(odd)).select("root", "file", "gate", "text")
         self.files = as_table(counted)
-        self.tasks = as_table(extract.capped(extract.tasks(self.files.where("gate = 'parsed'"), cap), cap).observe(found, F.count("*").alias("tasks")))
+        read = extract.tasks(self.files.where("gate = 'parsed'"), limit)
+        if note_cap:
+            whole = as_table(read)
+            most = whole.groupBy(*extract.KEY).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+            self.tasks = as_table(extract.capped_notes(whole, limit)) if most > limit else whole
+            n, reached = self.tasks.count(), most >= limit
+        else:
+            self.tasks = as_table(extract.capped(read, limit).observe(found, F.count("*").alias("tasks")))
+            n, reached = found.get["tasks"], found.get["tasks"] >= limit
         kinds = [F.count_if(F.col("channel") == c).alias(f"{c}_findings") for c in quality.CHANNELS]
         self.findings = as_table(quality.findings(self.tasks).observe(faults, *kinds))
         shown = [r.file for r in failed_paths(self.files).collect()]  # 20 at most
-        counts = {**files.get, **found.get, **faults.get}
+        counts = {**files.get, "tasks": n, **faults.get}
         values = {**{k: counts[k] for k in ("files", "parsed", "failed", "oversize", "not_utf8", "no_marker", "odd_paths", "tasks", *(f"{c}_findings" for c in quality.CHANNELS))}}
-        values |= {"task_limit": cap, "cap_reached": values["tasks"] >= cap}
+        values |= {"task_limit": limit, "cap_reached": reached}
         values["has_warnings"] = bool(values["failed"] or values["oversize"] or values["not_utf8"] or values["odd_paths"] or values["cap_reached"])
         row = [F.lit(v).cast("boolean" if isinstance(v, bool) else "bigint").alias(k) for k, v in values.items()]
         self.report = spark.range(1).select(*row, F.array(*map(F.lit, shown)).cast("array<string>").alias("failed_paths"))
