@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from vesperline.operators import exceptions, extract, quality, spans
 from vesperline.sources import notes
@@ -261,8 +262,6 @@ def test_globs_reach_the_listing(spark, tmp_path):
 
 
 def test_limit_of_each_note(spark):
-    from pyspark.sql import functions as F
-
     text = F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.col("id").cast("int")), lambda k: F.concat(F.lit("# TODO t"), k.cast("string"))))
     raw = spark.range(1, 4).select(F.lit(None).cast("string").alias("root"), F.concat(F.col("id").cast("string"), F.lit(".md")).alias("file"), text.alias("text"))
     raw = raw.select("root", "file", F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
@@ -284,3 +283,24 @@ def test_findings_in_one_pass(spark):
         (1, "property", "RECURRENCE_ID", "noon", "not a date"), (1, "property", "SERIES_ID", "", "half a pair"),
     }
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_heading_lines_are_those_of_sections(spark):
+    from vesperline.operators import blocks
+
+    df = spark.createDataFrame([("r", "n.md", NOTE), ("r", "empty.md", None)], "root string, file string, text string")
+    whole = blocks.sections(df).where("written is not null").select("file", "line", "written").collect()
+    assert sorted(blocks.heading_lines(df).select("file", "line", "written").collect()) == sorted(whole) != []
+
+
+def test_fields_of_a_stamp_are_computed_in_steps(spark):
+    """No field searches the stamp for what another one has found: a pattern stands once in the plan for each use."""
+    df = spark.createDataFrame([("r", "n.md", NOTE)], "root string, file string, text string")
+    plan = extract.tasks(df, parts=("stamps",)).select("rep", "timestamp_repeater")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("([.+]+[0-9]+(?:wd|[dwmyh]))") == 1
+
+
+def test_clock_entries_by_part(spark):
+    text = "CLOCK: [a]--<b> => 1:05 x CLOCK:<c> CLOCK: [d> CLOCK: [e]--[f => 2:00 CLOCK: [[g] => 100000:00"
+    found = spark.range(1).select(extract.clock_entries(F.lit(text)).alias("c")).first().c
+    assert [tuple(c) for c in found] == [("a", "b", "1:05"), ("c", None, None), ("e", None, None), ("[g", None, None)]

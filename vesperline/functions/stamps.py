@@ -35,9 +35,14 @@ _PLANNING = rf"(?U)^\s*(?:(?:(?:SCHEDULED|DEADLINE):\s*)?{_ANGLE}(?:--?-?{_ANGLE
 _CREATED = rf"(?U)^\s*CREATED:\s*{_SQUARE}"
 
 
+def may_open_with_stamp(text: Column) -> Column:
+    """False only where a text begins with no stamp; clocks, the longest ones, do not."""
+    return (text.contains("<") | text.contains("[")) & ~text.startswith("CLOCK:")
+
+
 def planning_stamps(texts: Column) -> Column:
     """For each text the canonical stamp it begins with, or null: a keyword takes one stamp, without it a range has two."""
-    found = F.transform(F.transform(texts, lambda t: F.regexp_substr(t, F.lit(_PLANNING))), lambda m: F.regexp_replace(m, r"(?U)^\s+", ""))
+    found = F.transform(F.transform(texts, lambda t: F.when(~t.startswith("CREATED:"), F.regexp_substr(t, F.lit(_PLANNING)))), lambda m: F.regexp_replace(m, r"(?U)^\s+", ""))
 
     def canonical(m: Column) -> Column:
         single = lambda end: F.concat(F.substring_index(m, end, 1), F.lit(end))
@@ -76,10 +81,24 @@ def stamp_times(stamp: Column) -> tuple[Column, Column]:
     """(start, end): a stamp's own pair, else in a range the second stamp's start is the end."""
     ranged = stamp.rlike(_RANGE)
     first = F.when(ranged, F.regexp_extract(stamp, _RANGE, 1)).otherwise(stamp)
-    second = F.regexp_extract(stamp, _RANGE, 2)
-    start = F.coalesce(_group(first, _PAIR, 1), _group(first, _ONE, 1))
-    later = F.when(ranged, F.coalesce(_group(second, _PAIR, 1), _group(second, _ONE, 1)))
-    return start, F.coalesce(_group(first, _PAIR, 2), later)
+    return times_of(F.regexp_substr(first, F.lit(_PAIR)), first, F.when(ranged, F.regexp_extract(stamp, _RANGE, 2)))
+
+
+def time_parts(stamp: Column) -> dict[str, Column]:
+    """What ``times_of`` takes, but for the pair: the first stamp, and of a range the second one."""
+    ranged = (stamp.contains(">-") | stamp.contains("]-")) & stamp.rlike(_RANGE)
+    return {"_first": F.when(ranged, F.regexp_extract(stamp, _RANGE, 1)).otherwise(stamp), "_second": F.when(ranged, F.regexp_extract(stamp, _RANGE, 2))}
+
+
+def times_of(pair: Column, first: Column, second: Column) -> tuple[Column, Column]:
+    """(start, end) from a stamp's pair of times, itself, and the second stamp of a range."""
+    later = F.when(second.isNotNull(), F.coalesce(_group(second, _PAIR, 1), _group(second, _ONE, 1)))
+    start = F.when(pair.isNotNull(), F.substring_index(pair, "-", 1)).otherwise(_group(first, _ONE, 1))
+    return start, F.when(pair.isNotNull(), F.substring_index(pair, "-", -1)).otherwise(later)
+
+
+def time_pair(first: Column) -> Column:
+    return F.regexp_substr(first, F.lit(_PAIR))
 
 
 def real_date(text: Column) -> Column:
@@ -91,15 +110,30 @@ def _bracket_body(stamp: Column) -> Column:
     return F.regexp_extract(stamp, r"[<\[]([^>\]]*)[>\]]", 1)
 
 
+#: The forms of a repeater; a leading plus too many is read as the number's own sign.
+_REPEATER, _PARTS = r"([.+]+[0-9]+(?:wd|[dwmyh]))", r"^(\+\+|\.\+|\+)\+?([0-9]+)(wd|[dwmyh])$"
+
+
+def repeater_token(stamp: Column) -> Column:
+    """The text of a stamp's repeater; empty where it has none."""
+    return F.when(stamp.contains("+"), F.regexp_extract(_bracket_body(stamp), _REPEATER, 1)).when(stamp.isNotNull(), "")
+
+
+def repeater_number(token: Column) -> Column:
+    """A repeater's number; null where the text is none."""
+    return F.when(token != "", F.regexp_extract(token, _PARTS, 2).try_cast("bigint"))
+
+
+def repeater_of(token: Column, n: Column, base: Column) -> Column:
+    """``struct(kind, n, unit)`` of a repeater's text and number on a real date, else null."""
+    ok = n.between(1, 4294967295) & base.isNotNull()
+    return F.when(ok, F.struct(F.regexp_extract(token, _PARTS, 1).alias("kind"), n.alias("n"), F.regexp_extract(token, _PARTS, 3).alias("unit")))
+
+
 def repeater(stamp: Column) -> Column:
     """``struct(kind, n, unit)`` or null; a stamp whose date does not exist has none."""
-    # fixed values: the forms of a repeater and of a warning
-    token = F.regexp_extract(_bracket_body(stamp), r"([.+]+[0-9]+(?:wd|[dwmyh]))", 1)
-    # a leading plus too many is read as the number's own sign
-    parts = r"^(\+\+|\.\+|\+)\+?([0-9]+)(wd|[dwmyh])$"
-    n = F.regexp_extract(token, parts, 2).try_cast("bigint")
-    ok = token.rlike(parts) & n.between(1, 4294967295) & real_date(stamp_date(stamp)).isNotNull()
-    return F.when(ok, F.struct(F.regexp_extract(token, parts, 1).alias("kind"), n.alias("n"), F.regexp_extract(token, parts, 3).alias("unit")))
+    token = repeater_token(stamp)
+    return repeater_of(token, repeater_number(token), real_date(stamp_date(stamp)))
 
 
 def repeater_text(rep: Column) -> Column:

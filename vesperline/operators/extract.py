@@ -27,33 +27,30 @@ def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
-def heading_fields(shown: Column) -> tuple[Column, Column, Column]:
-    """(state, priority, display text) of a title without markup. The mark goes from the text only where it opens it."""
-    keyword = F.regexp_extract(shown, STATE, 1)
-    rest = F.when(keyword != "", F.regexp_replace(shown, STATE, "")).otherwise(shown)
-    marked = shown.contains("[#")
+def marked_title(rest: Column) -> tuple[Column, Column]:
+    """(priority, display text) of a title behind its state. The mark goes from the text only where it opens it."""
+    marked = rest.contains("[#")
     priority = F.when(marked, F.nullif(F.regexp_extract(rest, MARK, 1), F.lit("")))
-    return F.nullif(keyword, F.lit("")), priority, F.when(marked, F.regexp_replace(rest, "^" + MARK + " ?", "")).otherwise(rest)
+    return priority, F.when(marked, F.regexp_replace(rest, "^" + MARK + " ?", "")).otherwise(rest)
 
 
 def clock_entries(text: Column) -> Column:
     """``array<struct<start, end, duration>>`` of all entries, in order."""
     body = rf"[^\]<>]{{1,{CLOCK_BODY}}}"
-    entry = rf"CLOCK:\s*(?:\[{body}\]|<{body}>)(?:--(?:\[{body}\]|<{body}>))?(?:\s*=>\s*[0-9]{{1,5}}:[0-9]{{1,2}})?"
-    first = rf"^CLOCK:\s*[\[<]({body})[\]>]"
-    second = rf"^CLOCK:\s*[\[<]{body}[\]>]--[\[<]({body})[\]>]"
-    spent = r"=>\s*([0-9]{1,5}:[0-9]{1,2})$"
-
-    part = lambda e, p: F.regexp_extract(e, p, 1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(entry), F.lit(0)), lambda e: F.struct(part(e, first).alias("start"), part(e, second).alias("end"), part(e, spent).alias("duration")))
+    stamp = rf"(?:\[{body}\]|<{body}>)"
+    # the groups are a first stamp's body, a second one's and a duration; a pass over the text for each, none for an entry
+    inner = rf"[\[<]((?<=\[){body}(?=\])|(?<=<){body}(?=>))[\]>]"
+    entry = lambda first, second, spent: rf"CLOCK:\s*{first}(?:--{second})?(?:\s*=>\s*{spent})?"
+    hours = "[0-9]{1,5}:[0-9]{1,2}"
+    of = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    found = F.arrays_zip(of(entry(inner, stamp, hours)).alias("start"), of(entry(stamp, inner, hours)).alias("end"), of(entry(stamp, stamp, f"({hours})")).alias("duration"))
     return F.transform(found, lambda c: F.struct(*[F.nullif(c[n], F.lit("")).alias(n) for n in ("start", "end", "duration")]))
 
 
 def minutes(duration: Column) -> Column:
     """``H:MM`` in minutes; null where hours are over the bound or minutes are 60 and more."""
-    hours = F.regexp_extract(duration, r"^([0-9]{1,5}):([0-9]{1,2})$", 1).try_cast("bigint")
-    rest = F.regexp_extract(duration, r"^([0-9]{1,5}):([0-9]{1,2})$", 2).try_cast("bigint")
-    return F.when((hours <= MAX_HOURS) & (rest < 60), hours * 60 + rest)
+    hours, rest = (F.substring_index(duration, ":", k).try_cast("bigint") for k in (1, -1))
+    return F.when(duration.rlike(r"^([0-9]{1,5}):([0-9]{1,2})$") & (hours <= MAX_HOURS) & (rest < 60), hours * 60 + rest)
 
 
 def duration_text(total: Column) -> Column:
@@ -62,9 +59,9 @@ def duration_text(total: Column) -> Column:
 
 def clock_total(clocks: Column) -> Column:
     """The sum of readable durations; null where there is none or the sum leaves 32 bits."""
-    found = F.filter(F.transform(clocks, lambda c: minutes(c["duration"])), lambda m: m.isNotNull())
-    total = F.aggregate(found, F.lit(0).cast("bigint"), lambda a, m: a + m)
-    return F.when((F.size(found) > 0) & (total <= 4294967295), total)
+    spent = F.filter(F.transform(clocks, lambda c: minutes(c["duration"])), lambda m: m.isNotNull())
+    total = F.aggregate(spent, F.lit(None).cast("bigint"), lambda a, m: F.coalesce(a, F.lit(0).cast("bigint")) + m)
+    return _bound(total, lambda t: F.when(t <= 4294967295, t))
 
 
 def _bound(value: Column, use) -> Column:
@@ -115,8 +112,10 @@ def parsed_sections(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PAR
     if "properties" in parts:
         read["property_blocks"] = F.transform(F.filter("blocks", is_properties), lambda b: F.struct(b["at"].alias("at"), b["body"].alias("body")))
     out = computed(out, [*KEY, "line", "level", F.col("title").alias("shown")], **read)
-    out = out.withColumn("texts", F.transform("written", lambda ts: F.transform(ts, stamps.english_weekdays)))
-    state, priority, heading = heading_fields(F.col("shown"))
+    stamped = F.transform("written", lambda ts: F.filter(ts, stamps.may_open_with_stamp))
+    out = out.withColumn("texts", F.transform(stamped, lambda ts: F.transform(ts, stamps.english_weekdays)))
+    out = out.withColumn("_state", F.regexp_extract("shown", STATE, 1)).withColumn("_rest", F.when(F.col("_state") != "", F.regexp_replace("shown", STATE, "")).otherwise(F.col("shown")))
+    state, priority, heading = F.nullif(F.col("_state"), F.lit("")), *marked_title(F.col("_rest"))
     made = {
         "heading": trimmed(heading), "task_type": state, "priority": priority,
         "created": last(F.transform("texts", lambda t: first(stamps.created_stamps(t)))), "timestamp": last(F.transform("texts", lambda t: first(stamps.planning_stamps(t)))),
@@ -131,12 +130,16 @@ def parsed_sections(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PAR
     if "clocks" in parts:
         out = out.withColumn("clocks", F.when(F.size("found_clocks") > 0, F.col("found_clocks"))).drop("found_clocks")
         out = out.withColumn("clock_minutes", clock_total(F.col("clocks"))).withColumn("total_clock_time", duration_text(F.col("clock_minutes")))
-    start, end = stamps.stamp_times(F.col("timestamp"))
-    return out.select(
-        "*", stamps.priority_order(F.col("priority")).alias("priority_order"), stamps.stamp_type(F.col("timestamp")).alias("timestamp_type"),
-        stamps.is_active(F.col("timestamp")).alias("timestamp_active"), stamps.stamp_date(F.col("timestamp")).alias("timestamp_date"),
-        start.alias("timestamp_time"), end.alias("timestamp_end_time"), stamps.repeater(F.col("timestamp")).alias("rep"), stamps.warning_days(F.col("timestamp")).alias("warning_days"),
-    ).withColumns({"base_date": stamps.real_date(F.col("timestamp_date")), "timestamp_repeater": stamps.repeater_text(F.col("rep"))})
+    # what several fields are made of is computed once, step by step
+    stamp = F.col("timestamp")
+    out = out.withColumns({"timestamp_date": stamps.stamp_date(stamp), "_token": stamps.repeater_token(stamp), **stamps.time_parts(stamp)})
+    out = out.withColumns({"base_date": stamps.real_date(F.col("timestamp_date")), "_number": stamps.repeater_number(F.col("_token")), "_pair": stamps.time_pair(F.col("_first"))})
+    start, end = stamps.times_of(F.col("_pair"), F.col("_first"), F.col("_second"))
+    out = out.withColumns({
+        "priority_order": stamps.priority_order(F.col("priority")), "timestamp_type": stamps.stamp_type(stamp), "timestamp_active": stamps.is_active(stamp),
+        "timestamp_time": start, "timestamp_end_time": end, "rep": stamps.repeater_of(F.col("_token"), F.col("_number"), F.col("base_date")), "warning_days": stamps.warning_days(stamp),
+    })
+    return out.drop("_token", "_first", "_second", "_number", "_pair").withColumn("timestamp_repeater", stamps.repeater_text(F.col("rep")))
 
 
 def tasks(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PARTS) -> DataFrame:

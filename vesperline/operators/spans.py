@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vesperline.functions import stamps
-from vesperline.operators.blocks import sections
+from vesperline.operators.blocks import heading_lines
 from vesperline.operators.extract import MARK, STATE, computed
 
 _LINE = r"^ {0,3}(#{1,6})[ \t]+"
@@ -24,21 +24,26 @@ def _span(text: Column, begin: Column, token: Column) -> Column:
 
 def heading_spans(notes: DataFrame) -> DataFrame:
     """``(root, file, line, level, state, mark, title)`` of every heading line; the parts are spans with their text."""
-    rows = sections(notes).where(F.col("written").rlike(_LINE))
-    t = F.col("written")
-    lead = F.length(F.regexp_substr(t, F.lit(_LINE)))
-    rest = F.substring(t, lead + 1, F.length(t))
-    gap = F.coalesce(F.length(F.regexp_substr(rest, F.lit(STATE))), F.lit(0))
-    state = F.regexp_extract(rest, STATE, 1)
-    after = F.substring(rest, gap + 1, F.length(rest))
-    mark = F.coalesce(F.regexp_substr(after, F.lit(MARK)), F.lit(""))
+    rows = heading_lines(notes).where(F.col("written").rlike(_LINE))
+    kept, t = ["root", "file", "line"], F.col("written")
+    # what several parts need is computed once, step by step
+    rows = computed(rows, [*kept, "written"], lead=F.length(F.regexp_substr(t, F.lit(_LINE))))
+    rows = rows.withColumn("rest", F.substring(t, F.col("lead") + 1, F.length(t)))
+    rows = computed(rows, [*kept, "written", "lead", "rest"], opened=F.coalesce(F.regexp_substr("rest", F.lit(STATE)), F.lit("")))
+    gap = F.length("opened")
+    rows = computed(rows, [*kept, "written", "lead", "opened"], gap=gap, after=F.substring("rest", gap + 1, F.length("rest")))
+    marked = F.col("after").contains("[#")
+    mark = F.when(marked, F.coalesce(F.regexp_substr("after", F.lit(MARK)), F.lit(""))).otherwise("")
+    rows = computed(rows, [*kept, "written", "lead", "opened", "gap", "after"], mark=mark)
+    lead, gap, after, mark = (F.col(c) for c in ("lead", "gap", "after", "mark"))
     place = F.instr(after, mark) - 1
-    opens = (mark != "") & (place == 0)
-    skip = F.when(opens, F.length(F.regexp_substr(after, F.lit(MARK + " ?")))).otherwise(0)
-    title = F.regexp_replace(F.substring(after, skip + 1, F.length(after)), r"[ \t]+$", "")
+    spaced = F.substring(after, F.length(mark) + 1, F.lit(1)) == " "
+    skip = F.when((mark != "") & (place == 0), F.length(mark) + spaced.cast("int")).otherwise(0)
+    rows = computed(rows, [*kept, "written", "lead", "gap", "mark"], place=place, skip=skip, state=F.regexp_extract("opened", STATE, 1), title=F.regexp_replace(F.substring(after, skip + 1, F.length(after)), r"[ \t]+$", ""))
+    place, skip = F.col("place"), F.col("skip")
     return rows.select(
-        "root", "file", "line", F.length(F.regexp_extract(t, _LINE, 1)).alias("level"), _span(t, lead, state).alias("state"),
-        _span(t, lead + gap + place, mark).alias("mark"), _span(t, lead + gap + skip, title).alias("title"),
+        *kept, F.length(F.regexp_extract(t, _LINE, 1)).alias("level"), _span(t, lead, F.col("state")).alias("state"),
+        _span(t, lead + gap + place, mark).alias("mark"), _span(t, lead + gap + skip, F.col("title")).alias("title"),
     )
 
 

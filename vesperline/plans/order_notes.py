@@ -92,6 +92,8 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         coalesce(concat('`', clocks, '`'), 'No clock.'), '',
         '```org-properties', concat('ID: order-', a.k), coalesce(concat('EXDATE: ', exdate), 'NOTE: none'), coalesce(concat('SERIES_ID: ', series), 'NOTE:  last '),
         coalesce(concat('RECURRENCE_ID: ', recurrence), case when a.k % 13 = 0 then 'no pair here' else '' end), '```', '', 'Second paragraph.') as section
-      from a left join spent on a.k = spent.k)
-    select max(c_mktsegment) as root, file, concat('# Notes of customer\\n\\n', array_join(sort_array(collect_list(struct(k, section))).section, '\\n')) as text
-    from parts join customer on c = c_custkey group by file""")
+      from a left join spent on a.k = spent.k),
+    written as (
+      select c, max(file) as file, concat('# Notes of customer\\n\\n', array_join(sort_array(collect_list(struct(k, section))).section, '\\n')) as text
+      from parts group by c)
+    select c_mktsegment as root, file, text from written join customer on c = c_custkey""")
