@@ -5,6 +5,7 @@ import pytest
 from vesperline.operators import agenda as ag
 from vesperline.operators import exceptions, extract
 from vesperline.sources import holidays, sinks
+from vesperline.sources.scratch import as_table
 
 D = dt.date.fromisoformat
 
@@ -110,3 +111,43 @@ def test_envelopes_in_parts_are_the_envelopes(spark, tmp_path, size):
     want = [json.loads(r) for r in ag.envelopes(found, first, last).orderBy("day").toJSON().collect()]
     assert days == want and [d["day"] for d in days] == ["2025-12-02", "2025-12-03", "2025-12-04", "2025-12-05"]
     assert ("overdue" in days[0], "overdue" in days[2]) == (False, True)
+
+
+MIXED = note(
+    ("TODO due", "DEADLINE: <2025-12-10 Wed -9d>"), ("TODO late", "SCHEDULED: <2025-11-29 Sat 9:00>"), ("TODO b [#B]", "SCHEDULED: <2025-12-05 Fri>"), ("TODO [#A] a", "SCHEDULED: <2025-12-05 Fri>"),
+    ("TODO timed", "SCHEDULED: <2025-12-05 Fri 10:00-11:00>"), ("daily", "<2025-12-01 Mon 08:30 +2d>"), ("TODO weekly", "SCHEDULED: <2025-11-27 Thu +1w>"), ("TODO work", "DEADLINE: <2025-12-03 Wed +3wd>"),
+)
+
+
+def test_entries_move_no_row_and_agree_with_the_agenda(spark):
+    work = ag.Workdays.listed()
+    t, window = as_table(planned(spark, MIXED)), (D("2025-12-01"), D("2025-12-14"), D("2025-12-05"))
+    ranked, plain = ag.agenda(t, work, *window), ag.entries(t, work, *window)
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    names = plain.columns
+    assert sorted(map(str, ranked.select(names).collect())) == sorted(map(str, plain.collect()))
+    for (_, bucket), rows in _groups(ranked.collect()).items():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+        if bucket == "scheduled_timed":
+            assert [r.time for r in rows] == sorted(r.time for r in rows)
+    sizes = {r.day: r for r in ag.envelope_sizes(plain, *window[:2]).collect()}
+    for r in ag.envelopes(ranked, *window[:2]).collect():
+        assert [sizes[r.day][b] for b in ag.BUCKETS] == [len(r[b] or []) for b in ag.BUCKETS]
+
+
+def _groups(rows):
+    found = {}
+    for r in rows:
+        found.setdefault((r.day, r.bucket), []).append(r)
+    return found
+
+
+def test_cells_find_their_next_dates_without_a_join(spark):
+    work = ag.Workdays.listed()
+    t, window = planned(spark, MIXED), (D("2025-12-01"), D("2025-12-14"), D("2025-12-05"))
+    joined = ag.with_next(ag.agenda(t, work, *window), t, work, window[2], "12:00")
+    alone = ag.cells_with_next(t, work, *window, "12:00")
+    assert "Join" not in alone.select("day")._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    names = ["day", "bucket", "heading", "stamp", "timestamp_next", "timestamp_next_after"]
+    assert sorted(map(str, joined.select(names).collect())) == sorted(map(str, alone.select(names).collect())) != []

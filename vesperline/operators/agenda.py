@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vesperline.functions import recurrence as rec
 from vesperline.functions.working_days import Workdays
-from vesperline.operators.ranking import ranked
+from vesperline.operators.ranking import numbered, ranked
 from vesperline.sources.scratch import as_table
 
 #: Days of warning before a deadline, and what has no priority.
@@ -58,54 +58,89 @@ def _ends(series: DataFrame, current: date, work: Workdays) -> DataFrame:
     })
 
 
-def agenda(tasks: DataFrame, calendar: Workdays | DataFrame, first: date, last: date, current: date) -> DataFrame:
-    """``(day, bucket, rank, days_offset, ...)`` for the days from ``first`` to ``last``.
+_TASK = ["root", "file", "line", "heading", "task_type", "priority", "timestamp_type"]
+_SHOWN = ["day", "bucket", "date", "time", "end_time", "stamp", "days_offset"]
 
-    ``tasks`` have ``excluded_dates`` and ``replaced_dates`` (see ``exceptions.with_replaced``). A task's entries are made
-    in one pass over it: occurrences inside the window; overdue and upcoming entries on the current date alone. An end
-    time is that of a stamp without a repeater, drawn on its own day. Entries are written once, for the ranges of their
-    order are chosen by a look at them.
-    """
-    rows, work = series_of(tasks), Workdays.of(calendar)
-    single, repeated = rows.where("rep is null"), rows.where("rep is not null")
-    lo, hi, today = (F.lit(x.isoformat()).cast("date") for x in (first, last, current))
-    in_view = first <= current <= last
-    timed = F.when(F.col("timestamp_time").isNotNull(), "scheduled_timed").otherwise("scheduled_no_time")
+
+def _days(first: date, last: date, work: Workdays) -> Column:
+    """The days of a window on which a row of ``series_of`` is drawn."""
+    lo, hi = (F.lit(x.isoformat()).cast("date") for x in (first, last))
+    days = rec.standing(rec.occurrences("base", "n", "unit", f"date'{first}'", f"date'{last}'", work), F.col("excluded_dates"), F.col("replaced_dates"))
+    return F.when(F.col("rep").isNotNull(), days).when(F.col("base").between(lo, hi), F.array("base"))
+
+
+def _timed() -> Column:
+    return F.when(F.col("timestamp_time").isNotNull(), "scheduled_timed").otherwise("scheduled_no_time")
+
+
+def _cells(series: DataFrame, first: date, last: date, work: Workdays, *more: str) -> DataFrame:
+    """A row for each day on which a row of ``series_of`` is drawn."""
+    rows = series.select(*_TASK, "timestamp", "timestamp_time", "timestamp_end_time", "timestamp_repeater", "rep", *more, F.explode(_days(first, last, work)).alias("day"))
+    cell = F.when(F.col("timestamp_type").isNotNull(), cell_stamp(F.col("timestamp_type"), F.col("day"), F.col("timestamp_time"), F.col("timestamp_repeater")))
+    single = F.col("rep").isNull()
+    return rows.select(
+        *_TASK, "day", _timed().alias("bucket"), F.col("day").alias("date"), F.col("timestamp_time").alias("time"), F.when(single, F.col("timestamp_end_time")).alias("end_time"),
+        F.when(single, F.col("timestamp")).otherwise(cell).alias("stamp"), F.lit(None).cast("int").alias("days_offset"), *more,
+    )
+
+
+def _due(series: DataFrame, current: date, work: Workdays) -> DataFrame:
+    """The overdue and upcoming entries of the current date."""
+    today = F.lit(current.isoformat()).cast("date")
     deadline = F.coalesce(F.col("timestamp_type") == "DEADLINE", F.lit(False))
-    kept = ["root", "file", "line", "heading", "task_type", "priority", "priority_order", "timestamp_type"]
+    none = F.lit(None).cast("string")
 
-    def entry(day: Column, bucket, shown: Column, stamp: Column, offset: Column | None = None, end: Column | None = None) -> Column:
-        time = F.col("timestamp_time") if offset is None else F.lit(None).cast("string")
-        end = F.lit(None).cast("string") if end is None else end
-        days = F.lit(None).cast("int") if offset is None else offset.cast("int")
-        return F.struct(day.alias("day"), (F.lit(bucket) if isinstance(bucket, str) else bucket).alias("bucket"), shown.cast("date").alias("date"), time.alias("time"), end.alias("end_time"), stamp.alias("stamp"), days.alias("days_offset"))
+    def entry(bucket: str, shown: Column, stamp: Column, offset: Column) -> Column:
+        values = (today, F.lit(bucket), shown.cast("date"), none, none, stamp, offset.cast("int"))
+        return F.struct(*[v.alias(name) for v, name in zip(values, _SHOWN)])
 
-    def entries(df: DataFrame, *found: Column) -> DataFrame:
+    def entries_of(df: DataFrame, *found: Column) -> DataFrame:
         """One row for each entry that is not null."""
-        return df.select(*kept, F.inline(F.filter(F.array(*found), lambda e: e.isNotNull())))
-
-    def cell(day: Column) -> Column:
-        return F.when(F.col("timestamp_type").isNotNull(), cell_stamp(F.col("timestamp_type"), day, F.col("timestamp_time"), F.col("timestamp_repeater")))
+        return df.select(*_TASK, F.inline(F.filter(F.array(*found), lambda e: e.isNotNull())))
 
-    ahead = F.datediff("base", today)
+    ahead, left = F.datediff("base", today), F.datediff("first_standing", today)
     warned = F.coalesce("warning_days", F.lit(WARNING_DAYS))
-    once = [F.when(F.col("base").between(lo, hi), entry(F.col("base"), timed, F.col("base"), F.col("timestamp"), end=F.col("timestamp_end_time")))]
-    days = rec.standing(rec.occurrences("base", "n", "unit", f"date'{first}'", f"date'{last}'", work), F.col("excluded_dates"), F.col("replaced_dates"))
-    drawn = F.transform(days, lambda d: entry(d, timed, d, cell(d)))
-    if in_view:
-        once.append(F.when((F.col("base") < today) & _lasting(), entry(today, "overdue", F.col("base"), F.col("timestamp"), ahead)))
-        once.append(F.when(deadline & (ahead > 0) & (ahead <= warned), entry(today, "upcoming", F.col("base"), F.col("timestamp"), ahead)))
-    left = F.datediff("first_standing", today)
-    text = cell_stamp(F.col("timestamp_type"), F.col("owed_date"), F.lit(None).cast("string"), F.col("timestamp_repeater"))
-    ends = [
-        F.when(_lasting() & (F.col("owed_date") < today) & ((F.col("unit") != "wd") | F.lit(work.works_on(current))), entry(today, "overdue", F.col("owed_date"), text, F.datediff("owed_date", today))),
-        F.when(_lasting() & deadline & (today < F.col("base")) & (left > 0) & (left <= warned), entry(today, "upcoming", F.col("base"), F.col("timestamp"), left)),
-    ]
-    both = F.concat(drawn, F.filter(F.array(*ends), lambda e: e.isNotNull())) if in_view else drawn
-    out = entries(single, *once).unionByName((_ends(repeated, current, work) if in_view else repeated).select(*kept, F.inline(both)))
-    by = F.when(F.col("bucket") == "scheduled_no_time", F.col("priority_order")).when(F.col("bucket") != "scheduled_timed", F.col("days_offset").cast("bigint"))
-    order = [by.asc_nulls_first(), F.col("time").asc_nulls_first(), F.col("root"), F.col("file"), F.col("line")]
-    return ranked(as_table(out), ["day", "bucket"], order).drop("priority_order")
+    single = entries_of(
+        series.where("rep is null"),
+        F.when((F.col("base") < today) & _lasting(), entry("overdue", F.col("base"), F.col("timestamp"), ahead)),
+        F.when(deadline & (ahead > 0) & (ahead <= warned), entry("upcoming", F.col("base"), F.col("timestamp"), ahead)),
+    )
+    text = cell_stamp(F.col("timestamp_type"), F.col("owed_date"), none, F.col("timestamp_repeater"))
+    repeated = entries_of(
+        _ends(series.where(F.col("rep").isNotNull() & _lasting()), current, work),
+        F.when((F.col("owed_date") < today) & ((F.col("unit") != "wd") | F.lit(work.works_on(current))), entry("overdue", F.col("owed_date"), text, F.datediff("owed_date", today))),
+        F.when(deadline & (today < F.col("base")) & (left > 0) & (left <= warned), entry("upcoming", F.col("base"), F.col("timestamp"), left)),
+    )
+    return single.unionByName(repeated)
+
+
+def entries(tasks: DataFrame, calendar: Workdays | DataFrame, first: date, last: date, current: date) -> DataFrame:
+    """The rows of ``agenda`` without their rank: nothing is shuffled or written for them."""
+    series, work = series_of(tasks), Workdays.of(calendar)
+    cells = _cells(series, first, last, work)
+    return cells.unionByName(_due(series, current, work)) if first <= current <= last else cells
+
+
+def agenda(tasks: DataFrame, calendar: Workdays | DataFrame, first: date, last: date, current: date) -> DataFrame:
+    """``(day, bucket, rank, days_offset, ...)`` for the days from ``first`` to ``last``.
+
+    ``tasks`` have ``excluded_dates`` and ``replaced_dates`` (see ``exceptions.with_replaced``) and should be a written
+    table. Occurrences lie inside the window; overdue and upcoming entries on the current date alone. An end time is that
+    of a stamp without a repeater, drawn on its own day. The order of a day's scheduled entries is one of their tasks, so
+    tasks are dealt by its ranges and drawn where they lie then: a task moves once, however many days it is drawn on.
+    """
+    series, work = series_of(tasks), Workdays.of(calendar)
+    name = [F.col("root"), F.col("file"), F.col("line")]
+    by = F.when(F.col("timestamp_time").isNull(), F.col("priority_order")).asc_nulls_first()
+    needed = [*_TASK, "priority_order", "timestamp", "timestamp_time", "timestamp_end_time", "timestamp_repeater", "rep", "base", "n", "unit", "excluded_dates", "replaced_dates"]
+    dealt = series.select(*needed).repartitionByRange(_timed(), by, F.col("timestamp_time").asc_nulls_first(), *name)
+    cells = _cells(dealt, first, last, work, "priority_order")
+    shown = F.when(F.col("bucket") == "scheduled_no_time", F.col("priority_order")).asc_nulls_first()
+    cells = cells.sortWithinPartitions("day", "bucket", shown, F.col("time").asc_nulls_first(), *name)
+    out = numbered(cells.drop("priority_order"), ["day", "bucket"])
+    if not first <= current <= last:
+        return out
+    return out.unionByName(ranked(as_table(_due(series, current, work)), ["day", "bucket"], [F.col("days_offset"), *name]))
 
 
 def day_counts(found: DataFrame) -> DataFrame:
@@ -123,6 +158,13 @@ def envelopes(found: DataFrame, first: date, last: date) -> DataFrame:
     return out.select("day", F.when(F.size("overdue") > 0, F.col("overdue")).alias("overdue"), *[empty(b).alias(b) for b in BUCKETS[1:]])
 
 
+def envelope_sizes(found: DataFrame, first: date, last: date) -> DataFrame:
+    """``(day, overdue, scheduled_timed, ...)``: the number of entries in each list of the envelopes; no list is made."""
+    sizes = found.groupBy("day").agg(*[F.count_if(F.col("bucket") == b).cast("int").alias(b) for b in BUCKETS])
+    days = found.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first.isoformat()).cast("date"), F.lit(last.isoformat()).cast("date"))).alias("day"))
+    return days.join(sizes, "day", "left").select("day", *[F.coalesce(b, F.lit(0)).alias(b) for b in BUCKETS])
+
+
 _ENTRY = ["rank", "file", "line", "heading", "task_type", "priority", "timestamp_type", "date", "time", "end_time", "stamp", "days_offset"]
 
 
@@ -180,3 +222,15 @@ def with_next(found: DataFrame, tasks: DataFrame, calendar: Workdays | DataFrame
     after = rec.candidates("base", "n", "unit", "date_add(day, 1)", _MISSING, ahead=True, work=work)
     cells = cells.withColumn("timestamp_next_after", rec.next_standing(after, F.col("excluded_dates"), F.col("replaced_dates")))
     return cells.drop("base", "n", "unit", "excluded_dates", "replaced_dates")
+
+
+def cells_with_next(tasks: DataFrame, calendar: Workdays | DataFrame, first: date, last: date, current: date, now: str = "00:00") -> DataFrame:
+    """``with_next`` of an agenda's rows, from the tasks themselves: a series finds its next dates where it is drawn, so
+    nothing is joined."""
+    work = Workdays.of(calendar)
+    series = next_occurrences(series_of(tasks).where("rep is not null"), current, now, work)
+    more = ["base", "n", "unit", "excluded_dates", "replaced_dates"]
+    cells = _cells(series, first, last, work, *more, "next_date")
+    after = rec.candidates("base", "n", "unit", "date_add(day, 1)", _MISSING, ahead=True, work=work)
+    cells = cells.withColumn("timestamp_next_after", rec.next_standing(after, F.col("excluded_dates"), F.col("replaced_dates")))
+    return cells.withColumnRenamed("next_date", "timestamp_next").drop(*more)

@@ -19,8 +19,13 @@ def ranked(rows: DataFrame, groups: list[str], order: list[Column], name: str =
     which are as few as the partitions and groups.
     """
     by = [*groups, *order]
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
-    table = as_table(dealt)
+    return numbered(rows.repartitionByRange(*by).sortWithinPartitions(*by), groups, name)
+
+
+def numbered(rows: DataFrame, groups: list[str], name: str = "rank") -> DataFrame:
+    """``rows`` with their rank within each group, for rows that lie in its order: within a partition, and from one
+    partition to the next."""
+    table = as_table(rows.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33).alias("_part")
     runs = table.groupBy(part, *groups).agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
