@@ -90,3 +90,13 @@ def test_binary_trees_take_the_same_way(spark):
     df = spark.createDataFrame([(i, "s", "en", 1, str(i)) for i in range(11)], "doc_id long, source string, lang string, n_chars long, text string")
     out = merkle.manifest(df, arity=2).collect()
     assert all(r.verified for r in out) and {len(r.path) for r in out} == {4}
+
+
+def test_plan_does_not_grow_with_the_levels(spark):
+    """The driver holds the plan of one level and no level's rows."""
+    plans = []
+    for n in (10, 200):
+        rows = spark.range(n).selectExpr("id as doc_id", "'s' as source", "'en' as lang", "1L as n_chars", "cast(id as string) as text")
+        plans.append(merkle.manifest(rows)._jdf.queryExecution().executedPlan().toString())
+    assert plans[0].count("Join") == plans[1].count("Join") <= 2
+    assert "BroadcastHashJoin" not in plans[1]

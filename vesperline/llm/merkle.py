@@ -66,7 +66,7 @@ def grow(leaves: DataFrame, arity: int = 3) -> tuple[list[DataFrame], DataFrame]
         out = nodes.select("*", *[(F.col("idx") - slot + (slot + k) % arity).alias(f"_to{k}") for k in range(1, arity)])
         for k in range(1, arity):
             other = nodes.select(F.col("gid").alias("_gid"), F.col("idx").alias("_idx"), F.col("hash").alias(f"_h{k}"))
-            out = out.join(other, (F.col("gid") == F.col("_gid")) & (F.col(f"_to{k}") == F.col("_idx")), "left").drop("_gid", "_idx")
+            out = out.join(other.hint("merge"), (F.col("gid") == F.col("_gid")) & (F.col(f"_to{k}") == F.col("_idx")), "left").drop("_gid", "_idx")
         # the sibling k slots on stands right of a node, or left of it where that wraps round
         h = lambda k: F.coalesce(F.col(f"_h{k}"), F.lit(""))
         right = F.concat(*[F.when(slot + k < arity, h(k)).otherwise("") for k in range(1, arity)])
@@ -83,16 +83,17 @@ def paths(levels: list[DataFrame], roots: DataFrame, arity: int = 3) -> DataFram
     """``(gid, idx, path, ...)`` of every leaf: its siblings level by level, behind them the path of its group's root.
 
     ``roots(gid, n, path, ...)`` are single nodes; what else they hold goes down with the path. From the top each node
-    takes its parent's path, so the work is that of the levels and not of all leaves at every level.
+    takes its parent's path, so the work is that of the levels and not of all leaves at every level. Each level's paths
+    but the leaves' are written, and levels are merged, not broadcast: the driver holds neither rows nor a plan of all levels.
     """
     carried = [c for c in roots.columns if c not in ("gid", "n", "path")]
     ends = roots.withColumn("_levels", _levels_of(F.col("n"), arity))
     above = None
     for level in reversed(range(len(levels))):
         single = ends.where(F.col("_levels") == level + 1).select("gid", F.lit(0).cast("long").alias("_up"), "path", *carried)
-        above = single if above is None else above.withColumnRenamed("idx", "_up").unionByName(single)
+        above = single if above is None else as_table(above).withColumnRenamed("idx", "_up").unionByName(single)
         own = levels[level].select("gid", "idx", F.expr(f"idx div {arity}").alias("_up"), F.array(F.struct("left", "right")).alias("_own"))
-        above = own.join(above, ["gid", "_up"]).select("gid", "idx", F.concat("_own", "path").alias("path"), *carried)
+        above = own.join(above.hint("merge"), ["gid", "_up"]).select("gid", "idx", F.concat("_own", "path").alias("path"), *carried)
     alone = ends.where("n = 1").select("gid", F.lit(0).cast("long").alias("idx"), "path", *carried)
     return alone if above is None else above.unionByName(alone)
 
@@ -126,15 +127,15 @@ def manifest(rows: DataFrame, claimed: Column | None = None, fields: list[str] |
     leaves = as_table(leaves)
     levels, subroots = grow(leaves.select("gid", "n", "idx", F.col("_leaf").alias("hash")), arity)
     sizes = groups.select("gid", F.col("n"))
-    subroots = as_table(subroots.join(sizes, "gid").select("gid", "n", "hash"))
+    subroots = as_table(subroots.join(sizes.hint("merge"), "gid").select("gid", "n", "hash"))
     n_groups = groups.count()
     top = subroots.select(F.lit(0).cast("long").alias("gid"), F.lit(n_groups).cast("long").alias("n"), F.col("gid").alias("idx"), "hash")
     top_levels, root = grow(top, arity)
     found = root.first()  # one digest
     base = root.select("gid", F.lit(n_groups).cast("long").alias("n"), F.array().cast(f"array<{_STEP}>").alias("path"))
     above = paths(top_levels, base, arity).select(F.col("idx").alias("gid"), "path")
-    down = paths(levels, above.join(subroots, "gid").select("gid", "n", "path", F.col("hash").alias("subroot")), arity)
-    out = leaves.join(down, ["gid", "idx"]).withColumn("root", F.lit(found.hash if found else None).cast("string"))
+    ends = as_table(above.join(subroots.hint("merge"), "gid").select("gid", "n", "path", F.col("hash").alias("subroot")))
+    out = leaves.join(paths(levels, ends, arity).hint("merge"), ["gid", "idx"]).withColumn("root", F.lit(found.hash if found else None).cast("string"))
     out = out.withColumn("folded_root", folded(F.col("_claim"), F.col("path")))
     return out.select(F.col("_id").alias(id_col), F.col("_leaf").alias("leaf"), "subroot", "root", "path", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
