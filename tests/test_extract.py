@@ -304,3 +304,19 @@ def test_clock_entries_by_part(spark):
     text = "CLOCK: [a]--<b> => 1:05 x CLOCK:<c> CLOCK: [d> CLOCK: [e]--[f => 2:00 CLOCK: [[g] => 100000:00"
     found = spark.range(1).select(extract.clock_entries(F.lit(text)).alias("c")).first().c
     assert [tuple(c) for c in found] == [("a", "b", "1:05"), ("c", None, None), ("e", None, None), ("[g", None, None)]
+
+
+def test_files_over_the_cap_are_not_read(tmp_path):
+    from vesperline.sources import note_files
+
+    for k in range(20):
+        with open(tmp_path / f"{k}.md", "wb") as f:
+            f.truncate((11 << 20) if k else 5)
+    reader = note_files._Reader({"roots": str(tmp_path), "cap": str(10 << 20)})
+    [part] = reader.partitions()  # what is not read takes no part of a task
+    rows = [r for b in reader.read(part) for r in b.to_pylist()]
+    assert sorted((r["length"], r["content"], r["error"]) for r in rows if r["length"] > 5) == [(11 << 20, None, None)] * 19
+    assert [r["content"] for r in rows if r["length"] == 5] == [bytes(5)]
+    (tmp_path / "1.md").write_bytes(b"shrunk")
+    rows = [r for b in reader.read(part) for r in b.to_pylist()]
+    assert [(r["length"], r["content"]) for r in rows if r["file"] == "1.md"] == [(6, b"shrunk")]

@@ -107,7 +107,7 @@ class _Reader(DataSourceReader):
                 if error is None and not self._meets(path):
                     continue
                 files.append((path, length, error))
-                size += min(length, self.cap)
+                size += length if length <= self.cap else 0
                 if len(files) == _FILES or size >= _BYTES:
                     out.append(_Files(root, files))
                     files, size = [], 0
@@ -120,12 +120,9 @@ class _Reader(DataSourceReader):
         for path, length, error in partition.files:
             content = None
             if error is None:
-                content, error = _content(partition.root, path, self.cap)
-            # a file may have grown since it was listed: what was read counts
-            length = len(content) if content is not None and len(content) <= self.cap else max(length, len(content or b""))
+                content, error, length = _content(partition.root, path, self.cap, length)
             shown = (f"{partition.root}/{path}" if self.absolute else path).encode("utf-8", "surrogateescape").decode("utf-8", "replace")
             odd = path != path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-            content = None if length > self.cap else content
             rows.append((partition.root if self.labelled else None, shown, length, content, error, odd))
             size += len(content or b"")
             if size >= _BATCH:
@@ -135,19 +132,27 @@ class _Reader(DataSourceReader):
             yield _batch(rows)
 
 
-def _content(root: str, path: str, cap: int) -> tuple[bytes | None, str | None]:
-    """The first bytes of a file, one more than the cap at most; or why it cannot be read."""
+def _content(root: str, path: str, cap: int, listed: int) -> tuple[bytes | None, str | None, int]:
+    """(content, why it cannot be read, length) of a file. It may have grown since it was listed: what is read counts. A
+    file over the cap has no content, and none of one that says so when it is opened is read."""
     try:
         if "://" in root:
             import pyarrow.fs as afs
 
             fs, base = afs.FileSystem.from_uri(root)
             with fs.open_input_stream(f"{base}/{path}") as f:
-                return f.read(cap + 1), None
-        with open(os.path.join(root, path), "rb") as f:
-            return f.read(cap + 1), None
+                content = f.read(cap + 1)
+        else:
+            with open(os.path.join(root, path), "rb") as f:
+                size = os.fstat(f.fileno()).st_size
+                if size > cap:
+                    return None, None, max(listed, cap + 1)
+                content = f.read(size + 1)
+                if len(content) > size:
+                    content += f.read(cap + 1 - len(content))
     except OSError as e:
-        return None, f"{type(e).__name__}: {e.strerror or e}"
+        return None, f"{type(e).__name__}: {e.strerror or e}", listed
+    return (content, None, len(content)) if len(content) <= cap else (None, None, max(listed, len(content)))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
