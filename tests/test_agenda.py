@@ -151,3 +151,21 @@ def test_cells_find_their_next_dates_without_a_join(spark):
     assert "Join" not in alone.select("day")._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
     names = ["day", "bucket", "heading", "stamp", "timestamp_next", "timestamp_next_after"]
     assert sorted(map(str, joined.select(names).collect())) == sorted(map(str, alone.select(names).collect())) != []
+
+
+def test_agendas_write_what_they_draw(spark, tmp_path):
+    """Tasks that are neither drawn nor replace an occurrence are not written, nor are columns that no agenda reads."""
+    import datetime
+
+    from vesperline.plans import catalogue
+
+    day = datetime.date(1998, 6, 1)
+    orders = [(k, 1, day, "O", "1-URGENT") for k in range(1, 41)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 1, day, 3.0)], "l_orderkey long, l_linenumber int, l_shipdate date, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "S")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    whole, drawn = (f(spark, str(tmp_path)) for f in (catalogue._planned, catalogue._drawn))
+    assert {"properties", "created"}.isdisjoint(drawn.columns)
+    wanted = whole.where("(timestamp_active and base_date is not null) or (series_id is not null and recurrence_date is not null)")
+    assert 0 < wanted.count() < whole.count()
+    assert sorted(map(str, drawn.collect())) == sorted(map(str, wanted.select(drawn.columns).collect()))

@@ -5,7 +5,7 @@ import time
 import pytest
 
 from vesperline.functions.inline import definitions, shown
-from vesperline.operators.blocks import _resolved, sections_of
+from vesperline.operators.blocks import _marked, _resolved, sections_of
 
 
 def read(text, cap=0):
@@ -117,3 +117,17 @@ def test_marks_side_by_side_read_as_by_the_stack_of_all_marks():
                 met += 1
                 assert inline._unnested(text) == inline._folded(text, labels), text
     assert met > 5_000
+
+
+def test_stamps_and_properties_leave_alone():
+    """Without content only what may hold a stamp or properties leaves, with the code spans that all marks give."""
+    text = "## TODO *a* `b`\n`DEADLINE: <2024-01-02 Tue>`\n`x`\n\nplain [c](d`[2024-01-01]`) `e`\n\n    [2024-03-04]\n\n```\ncode\n```\n```org-properties\nID: 1\n```\n`CLOCK: [2024-01-01 09:00]`\n"
+    labels = set()
+    found = sections_of(text, labels)
+    [(_, title, all_blocks)], [(_, bare_title, some)] = _resolved(found, labels), _marked(found, labels, True, False)
+    assert title == bare_title == "TODO a b"
+    codes = {b[0]: b[4] for b in all_blocks if b[1] == "text"}
+    assert [(b[0], b[1]) for b in some] == [(2, "text"), (5, "text"), (7, "indented"), (12, "fence"), (15, "text")]
+    assert all(b[2] == "" and b[4] == codes[b[0]] for b in some if b[1] == "text")
+    assert [b for b in some if b[1] != "text"] == [b for b in all_blocks if b[0] in (7, 12)]
+    assert [b[1] for b in _marked(found, labels, False, False)[0][2]] == ["text", "text", "indented", "text"]

@@ -59,6 +59,8 @@ def _ends(series: DataFrame, current: date, work: Workdays) -> DataFrame:
 
 
 _TASK = ["root", "file", "line", "heading", "task_type", "priority", "timestamp_type"]
+#: The columns of tasks that an agenda reads besides the dates missing from their series.
+NEEDED = [*_TASK, "priority_order", "timestamp", "timestamp_time", "timestamp_end_time", "timestamp_repeater", "rep", "warning_days"]
 _SHOWN = ["day", "bucket", "date", "time", "end_time", "stamp", "days_offset"]
 
 

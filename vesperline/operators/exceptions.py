@@ -65,12 +65,13 @@ _BROADCAST = 8 << 20
 
 
 def with_replaced(tasks: DataFrame) -> DataFrame:
-    """Tasks with ``series_key`` (their own ID) and ``replaced_dates``; every row with an ID gets its series' set.
+    """Tasks with ``series_key`` (their own ID, of their properties where they have no such column) and
+    ``replaced_dates``; every row with an ID gets its series' set.
 
     ``tasks`` is read twice and should be a written table. The sets are written, and sent to all tasks only where they
     are a few megabytes; beyond, rows with an ID are shuffled to them, and rows without one stay where they are.
     """
-    keyed = tasks.withColumn("series_key", F.try_element_at("properties", F.lit("ID")))
+    keyed = tasks if "series_key" in tasks.columns else tasks.withColumn("series_key", F.try_element_at("properties", F.lit("ID")))
     found = as_table(replacements(tasks).withColumnRenamed("series_id", "series_key"))
     size = found.agg(F.sum(64 + F.length("series_key") + 4 * F.size("replaced_dates"))).first()[0] or 0
     if size <= _BROADCAST:

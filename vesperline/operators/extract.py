@@ -92,7 +92,7 @@ PARTS = ("content", "clocks", "properties")
 def parsed_sections(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """Sections with the fields of their headings and blocks; not every one is a task. ``parts`` names the groups of
     columns to make: ``content``, ``clocks`` with their totals, ``properties`` with their blocks."""
-    out = sections(notes, cap)
+    out = sections(notes, cap, parts)
 
     def texts(b: Column) -> Column:
         bare = F.when(b["kind"] == "indented", F.regexp_replace(b["body"], r"(?m)^(?: {4}| {0,3}\t)", "")).otherwise(b["body"])

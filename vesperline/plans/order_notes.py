@@ -12,8 +12,8 @@ LINES, HEAD = 22, 2
 RU = {"Mon": "Пн", "Tue": "Вт", "Wed": "Ср", "Thu": "Чт", "Fri": "Пт", "Sat": "Сб", "Sun": "Вс"}
 
 
-def attributes_sql(spark: bool) -> str:
-    """One row an order, in Spark SQL or in DuckDB's."""
+def attributes_sql(spark: bool, orders: str = "orders", more: str = "") -> str:
+    """One row an order, in Spark SQL or in DuckDB's; ``orders`` may be a table with ``more`` columns."""
     day = (lambda d: f"date_format({d}, 'EEE')") if spark else (lambda d: f"strftime({d}, '%a')")
     s = (lambda x: f"cast({x} as string)") if spark else (lambda x: f"cast({x} as varchar)")
     plus = (lambda d, n: f"date_add({d}, {n})") if spark else (lambda d, n: f"cast({d} + {n} as date)")
@@ -47,8 +47,8 @@ def attributes_sql(spark: bool) -> str:
       from (
         select o_orderkey as k, o_custkey as c, cast(o_orderdate as date) as d, o_orderstatus, o_orderpriority, concat('c', {s('o_custkey')}, '.md') as file,
           row_number() over (partition by o_custkey order by o_orderkey) as pos, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as before,
-          lag(cast(o_orderdate as date)) over (partition by o_custkey order by o_orderkey) as before_d
-        from orders
+          lag(cast(o_orderdate as date)) over (partition by o_custkey order by o_orderkey) as before_d{more}
+        from {orders}
       ) o
     ) a"""
 
@@ -76,13 +76,19 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(root, file, text)``: a note for each customer who has orders, under the customer's market segment."""
+    """``(root, file, text)``: a note for each customer who has orders, under the customer's market segment.
+
+    Clocks meet their orders first; then an order moves once more, to its customer, where its text is made: in as many
+    tasks as shuffles have, since reading the notes takes longer than their size suggests.
+    """
     views(spark, sf_dir)
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
     return spark.sql(f"""
-    with a as ({attributes_sql(True)}),
-    spent as (
+    with spent as (
       select k, array_join(sort_array(collect_list(struct(pos, concat('CLOCK: [', clock_start, ']', coalesce(concat('--[', clock_end, '] => ', duration), '')) as t))).t, ' ') as clocks
       from ({clocks_sql(True)}) group by k),
+    clocked as (select /*+ REPARTITION({tasks}, o_custkey) */ o.*, clocks from orders o left join spent on o_orderkey = k),
+    a as ({attributes_sql(True, "clocked", ", clocks")}),
     parts as (
       select a.file, a.c, a.k, concat_ws('\\n',
         concat('### ', coalesce(concat(state, ' '), ''), coalesce(concat('[#', priority, '] '), ''), 'Order ', a.k, ' *of* `', o_orderstatus, '`'), '',
@@ -92,7 +98,7 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         coalesce(concat('`', clocks, '`'), 'No clock.'), '',
         '```org-properties', concat('ID: order-', a.k), coalesce(concat('EXDATE: ', exdate), 'NOTE: none'), coalesce(concat('SERIES_ID: ', series), 'NOTE:  last '),
         coalesce(concat('RECURRENCE_ID: ', recurrence), case when a.k % 13 = 0 then 'no pair here' else '' end), '```', '', 'Second paragraph.') as section
-      from a left join spent on a.k = spent.k),
+      from a),
     written as (
       select c, max(file) as file, concat('# Notes of customer\\n\\n', array_join(sort_array(collect_list(struct(k, section))).section, '\\n')) as text
       from parts group by c)
