@@ -31,8 +31,8 @@ def english_weekdays(text: Column) -> Column:
 
 
 #: One pattern for all forms: a keyword with a single stamp, a range, a single stamp.
-_PLANNING = rf"(?U)^\s*(?:(?:(?:SCHEDULED|DEADLINE):\s*)?{_ANGLE}(?:--?-?{_ANGLE})?|(?:CLOSED:\s*)?{_SQUARE}(?:--?-?{_SQUARE})?)"
-_CREATED = rf"(?U)^\s*CREATED:\s*{_SQUARE}"
+PLANNING = rf"(?U)^\s*(?:(?:(?:SCHEDULED|DEADLINE):\s*)?{_ANGLE}(?:--?-?{_ANGLE})?|(?:CLOSED:\s*)?{_SQUARE}(?:--?-?{_SQUARE})?)"
+CREATED = rf"(?U)^\s*CREATED:\s*{_SQUARE}"
 
 
 def may_open_with_stamp(text: Column) -> Column:
@@ -42,7 +42,7 @@ def may_open_with_stamp(text: Column) -> Column:
 
 def planning_stamps(texts: Column) -> Column:
     """For each text the canonical stamp it begins with, or null: a keyword takes one stamp, without it a range has two."""
-    found = F.transform(F.transform(texts, lambda t: F.when(~t.startswith("CREATED:"), F.regexp_substr(t, F.lit(_PLANNING)))), lambda m: F.regexp_replace(m, r"(?U)^\s+", ""))
+    found = F.transform(F.transform(texts, lambda t: F.when(~t.startswith("CREATED:"), F.regexp_substr(t, F.lit(PLANNING)))), lambda m: F.regexp_replace(m, r"(?U)^\s+", ""))
 
     def canonical(m: Column) -> Column:
         single = lambda end: F.concat(F.substring_index(m, end, 1), F.lit(end))
@@ -54,7 +54,7 @@ def planning_stamps(texts: Column) -> Column:
 
 def created_stamps(texts: Column) -> Column:
     """For each text the creation stamp it begins with, or null."""
-    found = F.transform(texts, lambda t: F.when(t.contains("CREATED:"), F.regexp_extract(t, _CREATED, 1)))
+    found = F.transform(texts, lambda t: F.when(t.contains("CREATED:"), F.regexp_extract(t, CREATED, 1)))
     return F.transform(found, lambda m: F.when(m != "", F.concat(F.lit("CREATED: ["), m, F.lit("]"))))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vesperline.functions import stamps
 from vesperline.functions.text import trimmed
-from vesperline.operators.blocks import sections
+from vesperline.operators.blocks import fields, sections
 from vesperline.operators.ranking import ranked
 
 #: Clock bodies, hours of a clock, tasks of a run.
@@ -89,44 +89,48 @@ def property_map(block_texts: Column) -> Column:
 PARTS = ("content", "clocks", "properties")
 
 
-def parsed_sections(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PARTS) -> DataFrame:
-    """Sections with the fields of their headings and blocks; not every one is a task. ``parts`` names the groups of
-    columns to make: ``content``, ``clocks`` with their totals, ``properties`` with their blocks."""
-    out = sections(notes, cap, parts)
+def _from_blocks(found: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """The texts of sections that may hold stamps or clocks, by block, and their paragraphs and property blocks."""
 
     def texts(b: Column) -> Column:
         bare = F.when(b["kind"] == "indented", F.regexp_replace(b["body"], r"(?m)^(?: {4}| {0,3}\t)", "")).otherwise(b["body"])
         literal = F.transform(F.transform(F.array(bare), trimmed), lambda t: F.when(t.startswith("`"), F.regexp_replace(t, r"(?s)^(`+)(.+?)\1$", "$2")).otherwise(t))
         return F.when(b["kind"] == "text", b["codes"]).otherwise(literal)
 
-    def first(values: Column) -> Column:
-        return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
-
-    def last(values: Column) -> Column:
-        return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
-
     is_properties = lambda b: F.coalesce(b["info"] == "org-properties", F.lit(False))
-    read = {"written": F.transform(F.filter("blocks", lambda b: ~is_properties(b)), texts)}
-    if "content" in parts:
-        read["paragraphs"] = F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: trimmed(b["body"]))
+    read = {
+        "written": F.transform(F.filter("blocks", lambda b: ~is_properties(b)), texts),
+        "paragraphs": F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: trimmed(b["body"])),
+    }
     if "properties" in parts:
         read["property_blocks"] = F.transform(F.filter("blocks", is_properties), lambda b: F.struct(b["at"].alias("at"), b["body"].alias("body")))
-    out = computed(out, [*KEY, "line", "level", F.col("title").alias("shown")], **read)
+    out = computed(found, [*KEY, "line", "level", "title"], **read)
     stamped = F.transform("written", lambda ts: F.filter(ts, stamps.may_open_with_stamp))
-    out = out.withColumn("texts", F.transform(stamped, lambda ts: F.transform(ts, stamps.english_weekdays)))
+    return out.withColumn("texts", F.transform(stamped, lambda ts: F.transform(ts, stamps.english_weekdays)))
+
+
+def parsed_sections(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Sections with the fields of their headings and blocks; not every one is a task. ``parts`` names the groups of
+    columns to make: ``content``, ``clocks`` with their totals, ``properties`` with their blocks, ``pairs`` for properties
+    alone. Without content the pass that reads a note finds stamps and properties too, and no block leaves it."""
+    whole = "content" in parts
+    out = (_from_blocks(sections(notes, cap, parts), parts) if whole else fields(notes, cap, parts)).withColumnRenamed("title", "shown")
     out = out.withColumn("_state", F.regexp_extract("shown", STATE, 1)).withColumn("_rest", F.when(F.col("_state") != "", F.regexp_replace("shown", STATE, "")).otherwise(F.col("shown")))
     state, priority, heading = F.nullif(F.col("_state"), F.lit("")), *marked_title(F.col("_rest"))
-    made = {
-        "heading": trimmed(heading), "task_type": state, "priority": priority,
-        "created": last(F.transform("texts", lambda t: first(stamps.created_stamps(t)))), "timestamp": last(F.transform("texts", lambda t: first(stamps.planning_stamps(t)))),
-    }
-    if "content" in parts:
-        made["content"] = F.array_join(F.filter("paragraphs", lambda p: p != ""), "\n\n")
+    made = {"heading": trimmed(heading), "task_type": state, "priority": priority}
+    kept = [*KEY, "line", "level", *["property_blocks"] * ("properties" in parts)]
+    if whole:
+        texts = lambda read: F.transform("texts", lambda t: F.get(F.filter(read(t), lambda v: v.isNotNull()), F.lit(0)))
+        last = lambda values: F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+        made |= {"created": last(texts(stamps.created_stamps)), "timestamp": last(texts(stamps.planning_stamps)), "content": F.array_join(F.filter("paragraphs", lambda p: p != ""), "\n\n")}
+        if "properties" in parts:
+            made["properties"] = property_map(F.transform("property_blocks", lambda b: b["body"]))
+    else:
+        kept += ["created", "timestamp", *["properties"] * ("properties" in parts or "pairs" in parts)]
     if "clocks" in parts:
-        made["found_clocks"] = F.flatten(F.transform(F.filter(F.flatten("written"), lambda t: t.contains("CLOCK:")), clock_entries))
-    if "properties" in parts:
-        made["properties"] = property_map(F.transform("property_blocks", lambda b: b["body"]))
-    out = computed(out, [*KEY, "line", "level", *["property_blocks"] * ("properties" in parts)], **made)
+        clocked = F.filter(F.flatten("written"), lambda t: t.contains("CLOCK:")) if whole else F.col("clock_texts")
+        made["found_clocks"] = F.flatten(F.transform(clocked, clock_entries))
+    out = computed(out, kept, **made)
     if "clocks" in parts:
         out = out.withColumn("clocks", F.when(F.size("found_clocks") > 0, F.col("found_clocks"))).drop("found_clocks")
         out = out.withColumn("clock_minutes", clock_total(F.col("clocks"))).withColumn("total_clock_time", duration_text(F.col("clock_minutes")))
@@ -148,7 +152,7 @@ def tasks(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PARTS) -> Dat
     from vesperline.operators.exceptions import with_exceptions
 
     kept = parsed_sections(notes, cap, parts).where("task_type is not null or created is not null or timestamp is not null")
-    return with_exceptions(kept) if "properties" in parts else kept
+    return with_exceptions(kept) if "properties" in parts or "pairs" in parts else kept
 
 
 def capped(found: DataFrame, cap: int = MAX_TASKS) -> DataFrame:
