@@ -147,3 +147,32 @@ def test_links_are_exact_at_the_limit_both_ways(spark):
     want = {i: i - i % 2 if jaccard(rows[i - i % 2], rows[i - i % 2 + 1]) >= 0.8 else i for i in rows}
     assert 100 < sum(i != c for i, c in want.items()) < 400
     assert parts == want
+
+
+def test_groups_cut_into_chunks_keep_every_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_CHUNK_SETS", 16)
+    rows = families(random.Random(9), 60, 27)
+    rows |= {1000 + k: " ".join(rows[0].split()[k:]) for k in range(0, 150, 3)}  # a chain, its ends far apart
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    parts = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    want = {i: i for i in rows}
+    words = {i: t.split() for i, t in rows.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    linked = [(a, b) for a in rows for b in rows if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in range(60):
+        for a, b in linked:
+            want[a] = want[b] = min(want[a], want[b])
+    assert len(set(want.values())) < 100 and parts == want
+
+
+def test_a_bucket_sends_no_pairs():
+    """Sets that are alike, but short of the limit, leave a bucket as rows of one group and not as their pairs."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, 32, np.uint8)
+    prints = [(base ^ np.packbits(rng.random(256) < 0.1)).tobytes() + np.int64(200).tobytes() for _ in range(500)]
+    for size in (500, 20):
+        kind = [pa.array(np.arange(500) // size), pa.array(np.zeros(500, np.int64))]
+        batch = pa.RecordBatch.from_arrays([*kind, pa.array(prints, pa.binary()), pa.array(np.arange(500) + 7)], ["kind", "key", "fingerprint", "node"])
+        found = [r for b in simhash._bucket_groups(0.8, 4)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert len(found) == 500 - 500 // size and {dst for _, dst in found} | {src for src, _ in found} == set(range(7, 507))
+        assert all(src == (dst - 7) // size * size + 7 for src, dst in found)

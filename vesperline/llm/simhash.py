@@ -8,6 +8,7 @@ from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -259,123 +260,149 @@ def _set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, simil
     return source.mapInArrow(run, "_id long, digest binary, n long, fingerprint binary, least binary")
 
 
-def _bucket_candidates(blocks: list[list[int]], similarity: float, words: int, later: bool, small: int = 24):
-    """Candidate pairs of each bucket; prints come as ``words`` words, the set's size and a component.
+def _bucket_groups(similarity: float, words: int, small: int = 24):
+    """``(src, dst)`` for each bucket: every print with the least node that it reaches by prints near enough to link.
 
-    At first: all pairs of a small bucket; of a crowded one a forest, some pairs more, and a loop for each member.
-    ``later``: all pairs of a crowded bucket whose components differ. Except in forests, a pair is sent by the first
-    block on which it agrees only.
+    Prints come as ``words`` words and the set's size. No pair leaves, so rows are no more than the bucket's own.
     """
     bits = BITS * words
     most = limit_for(similarity, bits, _SPARE)
     most_few = round(0.19 * bits + _SPARE * sqrt(0.19 * 0.81 * bits))  # from four shingles on, 3 in 16 bits differ at most
-    masks = np.array([np.packbits(np.isin(np.arange(bits), b), bitorder="little").view(np.uint64) for b in blocks]).reshape(-1, words)
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low, high = np.minimum(a[:, words], b[:, words]), np.maximum(a[:, words], b[:, words])
         return (low >= similarity * high - 1e-6) & (apart(a[:, :words], b[:, :words]) <= np.where(low <= _FEW, most_few, most))
 
-    def first(rows: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether the pair's bucket is its first; buckets by least shingles take all of theirs."""
-        mine = rows[p, words + 2].view(np.int64)
-        out = np.ones(len(p), bool)
-        for lo in range(0, len(p), 1 << 14):
-            cut = slice(lo, lo + (1 << 14))
-            differ = rows[p[cut], :words] ^ rows[q[cut], :words]
-            owner = np.full(len(differ), -1)
-            for k in range(len(masks) - 1, -1, -1):
-                owner[~((differ & masks[k]).any(axis=1))] = k
-            out[cut] = (mine[cut] < 0) | (owner == mine[cut])
-        return out
-
-    def links(group: np.ndarray, rows: np.ndarray, nodes: np.ndarray):
+    def links(group: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         size = np.diff(np.concatenate((cut, [len(group)])))
+        order = np.lexsort((nodes, group))  # the first row that reaches others has their least node
+        rows, nodes = rows[order], nodes[order]
+        keep = np.flatnonzero((np.repeat(size, size) > 1) & (np.repeat(size, size) <= small))
+        g, p, q = group[keep], [], []
+        for lag in range(1, small):
+            same = np.flatnonzero(g[lag:] == g[:-lag]) if len(g) > lag else np.empty(0, int)
+            if not len(same):
+                break
+            same = same[near(rows[keep[same]], rows[keep[same + lag]])]
+            p.append(same)
+            q.append(same + lag)
         src, dst = [], []
-
-        def send(p, q):
-            ok = near(rows[p], rows[q])
-            p, q = p[ok], q[ok]
-            ok = first(rows, p, q)
-            src.append(nodes[p[ok]])
-            dst.append(nodes[q[ok]])
-
-        if not later:
-            keep = np.flatnonzero((np.repeat(size, size) > 1) & (np.repeat(size, size) <= small))
-            g = group[keep]
-            for lag in range(1, small):
-                same = np.flatnonzero(g[lag:] == g[:-lag]) if len(g) > lag else np.empty(0, int)
-                if not len(same):
-                    break
-                send(keep[same], keep[same + lag])
+        if p:
+            root = least_reached(len(keep), np.concatenate(p), np.concatenate(q))
+            src.append(nodes[keep[root]])
+            dst.append(nodes[keep])
         for i in np.flatnonzero(size > small):
-            at = np.arange(cut[i], cut[i] + size[i])
-            at = at[np.argsort(nodes[at], kind="stable")]  # buckets with the same members have the same forest
-            if later:
-                for k in range(len(at) - 1):
-                    others = at[k + 1 :]
-                    others = others[rows[others, words + 1] != rows[at[k], words + 1]]
-                    send(np.full(len(others), at[k]), others)
-                    if sum(map(len, src)) > 1 << 20:
-                        yield batch_of(src, dst)
-                        src, dst = [], []
-                continue
-            src.append(nodes[at])
-            dst.append(nodes[at])
-            for lag in range(1, 5):
-                send(at[:-lag], at[lag:])
-            left = at
+            left = np.arange(cut[i], cut[i] + size[i])
             while len(left) > 1:
-                queue, left = [left[0]], left[1:]
+                root, queue, left = left[0], [left[0]], left[1:]
                 while queue and len(left):
-                    one = queue.pop(0)
-                    ok = near(rows[left], rows[one][None])
-                    src.append(np.full(ok.sum(), nodes[one]))
+                    ok = near(rows[left], rows[queue.pop(0)][None])
+                    src.append(np.full(ok.sum(), nodes[root]))
                     dst.append(nodes[left[ok]])
                     queue += left[ok].tolist()
                     left = left[~ok]
-        yield batch_of(src, dst)
-
-    def batch_of(src, dst) -> pa.RecordBatch:
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (src, dst))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
+        other = a != b
+        return pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other])], ["src", "dst"])
 
     def read(column) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words + 3)
-
-    def run(batches):
-        for found in _by_bucket(read, links)(batches):
-            yield from found
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words + 1)
+
+    return _by_bucket(read, links)
+
+
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of ``n`` reaches over the pairs."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
+#: What a chunk of a group holds about: sets, and shingles in all.
+_CHUNK_SETS, _CHUNK_SHINGLES = 512, 1 << 20
+
+
+def _set_links(similarity: float):
+    """A spanning forest of the links within a chunk of sets, or between two: each set is held by its exact Jaccard
+    against those that it does not reach yet."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, role = table["node"].to_numpy(), table["role"].to_numpy()
+        size = pc.list_value_length(table["set"]).to_numpy().astype(np.int64)
+        _, code = np.unique(pc.list_flatten(table["set"]).to_numpy(), return_inverse=True)
+        begin = np.cumsum(size) - size
+        marked = np.zeros(len(code) + 1, bool)
+        root = np.arange(len(node))
+        lone = not role.any()
+        second = np.flatnonzero(role == 1)
+        src, dst = [], []
+        for p in np.flatnonzero(role == 0).tolist():
+            others = np.arange(p + 1, len(node)) if lone else second
+            low, high = np.minimum(size[others], size[p]), np.maximum(size[others], size[p])
+            others = others[(root[others] != root[p]) & (low >= similarity * high - 1e-6)]
+            if not len(others):
+                continue
+            own, many = code[begin[p] : begin[p] + size[p]], size[others]
+            starts = np.cumsum(many) - many
+            marked[own] = True
+            shared = np.add.reduceat(marked[code[np.repeat(begin[others] - starts, many) + np.arange(many.sum())]], starts, dtype=np.int64)
+            marked[own] = False
+            linked = others[shared >= (many + size[p] - shared) * similarity]
+            if len(linked):
+                roots, at = np.unique(root[linked], return_index=True)
+                src.append(np.full(len(at), node[p]))
+                dst.append(node[linked[at]])
+                root[np.isin(root, roots)] = root[p]
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (src, dst))
+        return pa.table({"src": a, "dst": b})
 
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, block_words: int = 4, seed: int = 42) -> DataFrame:
+def _in_chunks(groups: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(group, i, j, role, node, set)``: groups of sets cut into chunks by a hash; each pair of chunks, and each chunk
+    with itself, is a task's work of its own, so a group of any size is spread and none is held whole."""
+    sizes = groups.join(nodes.select("node", "n"), "node").groupBy("group").agg(F.greatest(F.count("*") / _CHUNK_SETS, F.sum("n") / _CHUNK_SHINGLES).alias("many"))
+    large = as_table(sizes.where("many > 1").select("group", F.ceil("many").alias("chunks")))  # few: each fills a chunk at least
+    rows = groups.join(F.broadcast(large), "group", "left").join(sets.select(F.col("_id").alias("node"), "set"), "node")
+    chunks = F.coalesce("chunks", F.lit(1))
+    rows = rows.select("group", "node", "set", F.pmod(F.xxhash64("node"), chunks).alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    return rows.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("role"), "node", "set")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, seed: int = 42) -> DataFrame:
     """``(id, component_id)`` for documents whose sets of ``shingle``-word runs have a Jaccard ``similarity`` or more, or
     that are joined by such documents.
 
-    Prints only find candidates; every link is verified on the whole sets (of 64-bit hashes). The more bits a print has,
-    the fewer pairs that fall short of the limit pass for candidates; links pass alike. A distance that stands for
-    a similarity of 0.8 is a sixth of all bits: disjoint pigeonhole blocks would be too narrow to part unrelated texts.
-    Blocks overlap here, over the first ``block_words`` words, and are enough for about 999 in 1000 pairs at the limit and
+    Prints only find groups: what buckets tell may link, one through the other. Within a group every two sets that are
+    not joined yet are compared whole (64-bit hashes), chunk by chunk; pairs are never made rows, but the links that
+    join are. A distance that stands for a similarity of 0.8 is a sixth of all bits: disjoint pigeonhole blocks would be
+    too narrow to part unrelated texts. Blocks overlap here and are enough for about 999 in 1000 pairs at the limit and
     more of closer ones. Small sets meet by their least shingles instead, which misses none. Null, empty and wordless
     texts are equal; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     marked = as_table(_set_prints(docs, id_col, text_col, shingle, similarity, seed, words))
     nodes = as_table(marked.groupBy("digest", "n", "fingerprint", "least").agg(F.min("_id").alias("node")).where("node is not null"))
-    blocks = overlapping_blocks(nodes.count(), BITS * block_words, limit_for(similarity, BITS * block_words, 2.0), 0.995)
+    blocks = overlapping_blocks(nodes.count(), BITS * words, limit_for(similarity, BITS * words, 2.0), 0.995)
 
     def keys(batches):
         for batch in batches:
-            whole = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)[:, : 8 * block_words]
-            node, n, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 4))
+            whole = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
+            node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             least = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+            packed = np.concatenate((whole, np.ascontiguousarray(n.astype(np.int64)).view(np.uint8).reshape(len(n), 8)), axis=1)
 
             def rows(kind: int, key: np.ndarray, at: np.ndarray):
-                tail = np.column_stack((n[at], part[at], np.full(len(at), kind, np.int64))).astype(np.int64)
-                packed = np.concatenate((whole[at], np.ascontiguousarray(tail).view(np.uint8).reshape(len(at), 24)), axis=1)
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int64)), pa.array(key), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(node[at])], ["kind", "key", "fingerprint", "node"])
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int64)), pa.array(key), pa.array([p.tobytes() for p in packed[at]], pa.binary()), pa.array(node[at])], ["kind", "key", "fingerprint", "node"])
 
             at = np.flatnonzero(n > _FEW)
             on = np.unpackbits(whole[at], axis=1, bitorder="little")
@@ -384,39 +411,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if any(map(len, least)):
                 yield rows(-1, np.concatenate(least), np.repeat(np.arange(len(least)), [len(x) for x in least]))
 
-    def candidates(some: DataFrame, later: bool) -> DataFrame:
-        keyed = some.select("node", "fingerprint", "n", "least", "part").mapInArrow(keys, "kind long, key long, fingerprint binary, node long")
-        dealt = keyed.repartition(shuffle_partitions(spark), "kind", "key").sortWithinPartitions("kind", "key")
-        return as_table(dealt.mapInArrow(_bucket_candidates(blocks, similarity, block_words, later), "src long, dst long").distinct())
-
-    def sieved(batches):
-        bits = BITS * words
-        most, most_few = limit_for(similarity, bits, _SPARE), round(0.19 * bits + _SPARE * sqrt(0.19 * 0.81 * bits))
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, words) for i in (2, 3))
-            few = batch.column(4).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["src", "dst"]).filter(pa.array(apart(a, b) <= np.where(few, most_few, most)))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        whole = pairs.where("src <> dst").join(nodes.select(F.col("node").alias("src"), F.col("fingerprint").alias("a"), F.col("n").alias("m")), "src")
-        whole = whole.join(nodes.select(F.col("node").alias("dst"), F.col("fingerprint").alias("b"), "n"), "dst")
-        pairs = as_table(whole.select("src", "dst", "a", "b", (F.least("m", "n") <= _FEW).alias("few")).mapInArrow(sieved, "src long, dst long").distinct())
-        ids = as_table(pairs.select(F.col("src").alias(id_col)).union(pairs.select("dst")).distinct())
-        sets = _shingle_sets(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), id_col, text_col, shingle, seed)
-        sets = as_table(sets.dropDuplicates())
-        both = pairs.join(sets.select(F.col("_id").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("_id").alias("dst"), F.col("set").alias("b")), "dst")
-        shared = F.size(F.array_intersect("a", "b"))
-        return as_table(both.where(shared >= (F.size("a") + F.size("b") - shared) * F.lit(similarity)).select("src", "dst"))
-
-    found = candidates(nodes.withColumn("part", F.col("node")), False)
-    links = verified(found)
-    crowded = found.where("src = dst").select(F.col("src").alias("node"))
-    parts = as_table(connected_components(links))
-    if not crowded.isEmpty():
-        named = nodes.join(crowded, "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-        more = verified(candidates(named, True))
-        if not more.isEmpty():
-            parts = connected_components(links.unionByName(more))
+    keyed = nodes.select("node", "fingerprint", "n", "least").mapInArrow(keys, "kind long, key long, fingerprint binary, node long")
+    dealt = keyed.repartition(shuffle_partitions(spark), "kind", "key").sortWithinPartitions("kind", "key")
+    near = as_table(dealt.mapInArrow(_bucket_groups(similarity, words), "src long, dst long").distinct())
+    groups = as_table(connected_components(near).select("node", F.col("component").alias("group")))
+    some = docs.select(id_col, text_col).join(groups.select(F.col("node").alias(id_col)), id_col, "left_semi")
+    sets = _shingle_sets(some, id_col, text_col, shingle, seed).dropDuplicates()
+    chunks = _in_chunks(groups, nodes, sets).groupBy("group", "i", "j")
+    parts = connected_components(chunks.applyInArrow(_set_links(similarity), "src long, dst long"))
     named = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return marked.select("_id", "digest").join(named, "digest", "left").select(F.col("_id").alias(id_col), F.coalesce("component_id", "_id").alias("component_id"))
 
