@@ -176,3 +176,32 @@ def test_a_bucket_sends_no_pairs():
         found = [r for b in simhash._bucket_groups(0.8, 4)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
         assert len(found) == 500 - 500 // size and {dst for _, dst in found} | {src for src, _ in found} == set(range(7, 507))
         assert all(src == (dst - 7) // size * size + 7 for src, dst in found)
+
+
+def test_a_node_in_many_buckets_sends_few_links(spark, monkeypatch):
+    """A group of near copies meets in dozens of buckets; its components are not made of a link for each."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(90000)}" for _ in range(300)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(4):
+            words[rng.randrange(300)] = f"x{rng.randrange(90000)}"
+        rows.append((i, " ".join(words)))
+    counts, plain = [], simhash.connected_components
+
+    def counted(edges):
+        counts.append(edges.distinct().count())
+        return plain(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", counted)
+    out = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component_id for r in out.collect()} == {0} and 399 <= counts[0] <= 3 * 400
+
+
+def test_few_links_have_the_components_of_the_stars(spark):
+    rng = random.Random(6)
+    stars = {(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(250)) if a < b}
+    df = spark.createDataFrame([*stars, *list(stars)[:50]], "src long, dst long")
+    parts = [{r.node: r.component for r in simhash.connected_components(e).collect()} for e in (df, simhash._few_links(df))]
+    assert parts[0] == parts[1] and len(parts[0]) > 100

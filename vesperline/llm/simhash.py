@@ -326,6 +326,15 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = after
 
 
+def _few_links(stars: DataFrame) -> DataFrame:
+    """``(src, dst)`` with the components of the buckets' stars: every node with the least of its roots, and that one with
+    the node's other roots, which many nodes share. A node is once in a bucket of a kind, so its roots are no more than
+    the kinds, and no join makes a row for each of them."""
+    nodes = stars.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("src")).alias("roots"))
+    meet = F.concat(F.array("node"), F.slice("roots", F.lit(2), F.size("roots")))
+    return nodes.select(F.element_at("roots", 1).alias("src"), F.explode(meet).alias("dst"))
+
+
 #: What a chunk of a group holds about: sets, and shingles in all.
 _CHUNK_SETS, _CHUNK_SHINGLES = 512, 1 << 20
 
@@ -413,7 +422,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     keyed = nodes.select("node", "fingerprint", "n", "least").mapInArrow(keys, "kind long, key long, fingerprint binary, node long")
     dealt = keyed.repartition(shuffle_partitions(spark), "kind", "key").sortWithinPartitions("kind", "key")
-    near = as_table(dealt.mapInArrow(_bucket_groups(similarity, words), "src long, dst long").distinct())
+    near = _few_links(dealt.mapInArrow(_bucket_groups(similarity, words), "src long, dst long"))
     groups = as_table(connected_components(near).select("node", F.col("component").alias("group")))
     some = docs.select(id_col, text_col).join(groups.select(F.col("node").alias(id_col)), id_col, "left_semi")
     sets = _shingle_sets(some, id_col, text_col, shingle, seed).dropDuplicates()
