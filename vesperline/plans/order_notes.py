@@ -75,18 +75,23 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(attributes_sql(True))
 
 
+#: The text of an order's clocks, as ``clocks_sql`` has them.
+_CLOCKS = """array_join(transform(clocks, x -> concat('CLOCK: [', cast(x.d as string), ' 09:00]',
+          coalesce(case when x.pos < 7 then concat('--[', cast(x.d as string), ' 10:00] => 0:', lpad(cast(x.q as string), 2, '0')) end, ''))), ' ')"""
+
+
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(root, file, text)``: a note for each customer who has orders, under the customer's market segment.
 
-    Clocks meet their orders first; then an order moves once more, to its customer, where its text is made: in as many
-    tasks as shuffles have, since reading the notes takes longer than their size suggests.
+    Clocks meet their orders first, as numbers; then an order moves once more, to its customer, where all its text is made:
+    in as many tasks as shuffles have, since reading the notes takes longer than their size suggests.
     """
     views(spark, sf_dir)
     tasks = spark.conf.get("spark.sql.shuffle.partitions")
     return spark.sql(f"""
     with spent as (
-      select k, array_join(sort_array(collect_list(struct(pos, concat('CLOCK: [', clock_start, ']', coalesce(concat('--[', clock_end, '] => ', duration), '')) as t))).t, ' ') as clocks
-      from ({clocks_sql(True)}) group by k),
+      select l_orderkey as k, sort_array(collect_list(struct(l_linenumber as pos, cast(l_shipdate as date) as d, cast(l_quantity as int) as q))) as clocks
+      from lineitem group by l_orderkey),
     clocked as (select /*+ REPARTITION({tasks}, o_custkey) */ o.*, clocks from orders o left join spent on o_orderkey = k),
     a as ({attributes_sql(True, "clocked", ", clocks")}),
     parts as (
@@ -95,7 +100,7 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         concat('`', written, '`'), concat('`', created, '`'), '',
         concat('Ship **order** ', a.k, ' to `someone` customer ', a.c), 'with [care](http://example.org/).', '',
         '```', concat('# TODO decoy ', a.k), '```', '',
-        coalesce(concat('`', clocks, '`'), 'No clock.'), '',
+        coalesce(concat('`', {_CLOCKS}, '`'), 'No clock.'), '',
         '```org-properties', concat('ID: order-', a.k), coalesce(concat('EXDATE: ', exdate), 'NOTE: none'), coalesce(concat('SERIES_ID: ', series), 'NOTE:  last '),
         coalesce(concat('RECURRENCE_ID: ', recurrence), case when a.k % 13 = 0 then 'no pair here' else '' end), '```', '', 'Second paragraph.') as section
       from a),
