@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from vesperline.llm import _repeats, phrase_dedup, suffix_dedup
@@ -99,6 +102,53 @@ def test_long_texts_in_pieces_and_small_flushes(monkeypatch):
             assert sorted(covered.get(d, [])) == list(range(max(0, len((text or "").encode()) - 99)))
 
 
+def bucket_of(texts, gram_of):
+    """The one bucket of some documents whose every text is asked for as a word of one trigger or another."""
+    config = _repeats.Config(100, 24, suffix_dedup.byte_units)
+    kind = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.int64())]))
+    asked = [[{"kind": _repeats.BY_TRIGGER, "start": at, "end": min(at + 176, len(t)), "gram": gram_of(i, at)} for at in range(0, len(t) - 99, 77)] for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(asked, kind)], ["a", "b", "c"])
+    return config, pa.Table.from_batches(list(_repeats._map_words(config, 1)([batch])))
+
+
+def test_a_bucket_needs_no_more_memory_than_its_parts(monkeypatch):
+    monkeypatch.setattr(_repeats, "_TEXTS_AT_ONCE", 1 << 17, raising=False)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=8000)) for _ in range(100)] * 2
+    config, bucket = bucket_of(texts, lambda i, at: i % 100 << 20 | at)
+    tracemalloc.start()
+    found = _repeats._reduce(config, suffix_dedup.suffix_classes)(bucket).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(map(len, texts))
+    assert bucket.nbytes > 2 * size and peak < 25 * size  # all words at once took over 100 bytes for each of a text
+    assert sum(e - s for s, e in zip(found["start"], found["end"])) >= size / 2 and min(found["_id"]) == 100
+
+
+def test_parts_of_a_bucket_give_what_the_whole_gives(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abc ", k=rng.randrange(100, 900))) for _ in range(40)]
+    texts += [t[: len(t) // 2] + "X" + t[len(t) // 2 + 1 :] for t in texts]
+    found = []
+    for at_once in (1, 2000, 1 << 20):
+        monkeypatch.setattr(_repeats, "_TEXTS_AT_ONCE", at_once)
+        config, bucket = bucket_of(texts, lambda i, at: i % 40 << 10 | at)
+        rows = _repeats._reduce(config, suffix_dedup.suffix_classes)(bucket).to_pylist()
+        found.append({(r["_id"], b) for r in rows for b in range(r["start"], r["end"])})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 5000
+
+    n = 5000
+    code = np.array([rng.randrange(n) for _ in range(n)], np.uint64)
+    p = _repeats.Phrases((code % 700).astype(np.uint32), code, np.array([rng.randrange(900) for _ in range(n)]), np.arange(n).astype(np.uint32), np.ones(n, np.uint32))
+    spans = []
+    for at_once in (1, 64, 1 << 18):
+        monkeypatch.setattr(_repeats, "_PHRASES_AT_ONCE", at_once)
+        rows = pa.Table.from_batches(_repeats._phrase_spans(p, config._replace(crowd=5))).to_pylist()
+        covered = {(r["_id"], b) for r in rows if r["kind"] == _repeats.REPEATED for b in range(r["start"], r["end"])}
+        spans.append((covered, sorted(tuple(r.values()) for r in rows if r["kind"] != _repeats.REPEATED)))
+    assert spans[0] == spans[1] == spans[2] and {r[1] for r in spans[0][1]} == {_repeats.BY_TRIGGER, _repeats.BY_WINDOW}
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = "every word of this line is repeated in another row of the table " * 4
     rows = [(1, text), (1, text), (None, text), (None, None)]

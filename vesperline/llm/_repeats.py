@@ -30,8 +30,10 @@ from vesperline.llm._spark import as_table
 
 _LOW = np.uint64(0xFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15  # odd
-_UNITS_AT_ONCE = 1 << 20
-_PHRASES_AT_ONCE = 1 << 21
+#: What a task holds at once in forms that take many times its size; a task or a bucket of any size goes in such parts.
+_UNITS_AT_ONCE = 1 << 18
+_PHRASES_AT_ONCE = 1 << 18
+_TEXTS_AT_ONCE = 1 << 20
 
 REPEATED, BY_TRIGGER, BY_WINDOW = 0, 1, 2
 SPANS = pa.schema([("_id", pa.int64()), ("kind", pa.int8()), ("start", pa.int64()), ("end", pa.int64()), ("gram", pa.int64())])
@@ -278,18 +280,36 @@ class Words(NamedTuple):
     units: list[Units]
 
 
-def _packed_text(doc: int, start: int, data: bytes) -> bytes:
-    return b"".join((doc.to_bytes(8, "little", signed=True), start.to_bytes(8, "little"), len(data).to_bytes(4, "little"), data))
-
-
-def _unpacked_texts(data: bytes, config: Config, into: Words) -> None:
-    at = 1
-    while at < len(data):
-        size = int.from_bytes(data[at + 16 : at + 20], "little")
-        into.doc.append(int.from_bytes(data[at : at + 8], "little", signed=True))
-        into.start.append(int.from_bytes(data[at + 8 : at + 16], "little"))
-        into.units.append(config.units(data[at + 20 : at + 20 + size]))
-        at += 20 + size
+def together(key: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+    """Indices in lists whose sizes add up to about ``most``; what shares a key is in one list."""
+    if not len(key):
+        return []
+    order = np.argsort(key, kind="stable")
+    key, size = key[order], size[order].astype(np.int64)
+    turn = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    before = (np.cumsum(size) - size)[turn]
+    return np.split(order, turn[np.unique(before // most, return_index=True)[1]][1:])
+
+
+def _packed_texts(texts: list[tuple[int, int, int, bytes]]) -> bytes:
+    """(gram, document, start, text) of words, the numbers as columns before the texts."""
+    gram, doc, start, data = zip(*texts)
+    heads = np.array(gram, np.uint32), np.array(doc, np.int64), np.array(start, np.int64), np.array([len(x) for x in data], np.uint32)
+    return b"".join((len(data).to_bytes(4, "little"), *(x.tobytes() for x in heads), *data))
+
+
+def _words_of(blobs: list[bytes], config: Config) -> Iterator[Words]:
+    """The words of a bucket's blobs by lists of about _TEXTS_AT_ONCE bytes. Equal windows have equal triggers, so the
+    words that may share one are in one list."""
+    heads = []
+    for k, blob in enumerate(blobs):
+        n = int.from_bytes(blob[1:5], "little")
+        (gram, size), (doc, start) = ([np.frombuffer(blob, kind, n, 5 + at * n) for at in places] for kind, places in ((np.uint32, (0, 20)), (np.int64, (4, 12))))
+        heads.append((gram, doc, start, np.full(n, k), 5 + 24 * n + np.cumsum(size, dtype=np.int64) - size, size))
+    gram, doc, start, blob, at, size = (np.concatenate(x) for x in zip(*heads))
+    for some in together(gram, size, _TEXTS_AT_ONCE):
+        places = zip(blob[some].tolist(), at[some].tolist(), size[some].tolist())
+        yield Words(doc[some].tolist(), start[some].tolist(), [config.units(blobs[b][i : i + n]) for b, i, n in places])
 
 
 class Windows(NamedTuple):
@@ -333,40 +353,55 @@ def first_windows(code: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple
     return order[new], order[~new & ~((d == d[head]) & (s == s[head]))]
 
 
+def _phrase_spans(p: Phrases, config: Config) -> Iterator[pa.RecordBatch]:
+    """Spans of the phrases that repeat, then of those that share their trigger with other words of the dictionary."""
+    reach = np.uint32(config.length - 1)
+    kept = []
+    for some in together(p.code, np.ones(len(p.code)), _PHRASES_AT_ONCE):
+        part = p.take(some)
+        keep, again = firsts(part)
+        x = part.take(again)
+        doc, start, end = merged(x.doc, x.start, x.start + x.size + reach)
+        yield _spans(doc, REPEATED, start, end)
+        kept.append(some[keep])
+    order = np.concatenate(kept)
+    order = order[np.argsort(p.gram[order], kind="stable")]
+    gram = p.gram[order]
+    cut = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    size = np.diff(np.concatenate((cut, [len(gram)])))
+    n = np.repeat(size, size)
+    order, n = order[n > 1], n[n > 1]
+    for at in range(0, len(order), _PHRASES_AT_ONCE):
+        x = p.take(order[at : at + _PHRASES_AT_ONCE])
+        kind = np.where(n[at : at + _PHRASES_AT_ONCE] > config.crowd, BY_WINDOW, BY_TRIGGER)
+        yield _spans(x.doc, kind, x.start, x.start + x.size + reach, x.gram)
+
+
 def _reduce(config: Config, classes):
     """The rows of a bucket: spans that repeat, and the words of the dictionary that share a trigger."""
-    reach = config.length - 1
 
     def run(table: pa.Table) -> pa.Table:
-        out, parts, words = [], [], Words([], [], [])
+        out, parts, texts = [], [], []
         for blob in table["data"]:
             data = blob.as_py()
             if data[:1] == _FINISHED:
                 doc, start, end = np.frombuffer(data, np.int64, offset=1).reshape(3, -1)
                 out.append(_spans(doc, REPEATED, start, end))
             elif data[:1] == _TEXTS:
-                _unpacked_texts(data, config, words)
+                texts.append(data)
             else:
                 parts.append(Phrases.unpack(data[1:]))
-        if words.doc:
-            code, doc, start = classes(words, config)
-            again = first_windows(code, doc, start)[1]
-            doc, start, end = merged(doc[again], start[again], start[again] + config.length)
-            out.append(_spans(doc, REPEATED, start, end))
+        if texts:
+            for words in _words_of(texts, config):
+                code, doc, start = classes(words, config)
+                again = first_windows(code, doc, start)[1]
+                doc, start, end = merged(doc[again], start[again], start[again] + config.length)
+                out.append(_spans(doc, REPEATED, start, end))
+            texts.clear()
         if parts:
             p = Phrases.concat(parts)
-            keep, again = firsts(p)
-            x = p.take(again)
-            doc, start, end = merged(x.doc, x.start, x.start + x.size + np.uint32(reach))
-            out.append(_spans(doc, REPEATED, start, end))
-            order = keep[np.argsort(p.gram[keep], kind="stable")]
-            gram = p.gram[order]
-            cut = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-            size = np.diff(np.concatenate((cut, [len(gram)])))
-            n = np.repeat(size, size)
-            x, n = p.take(order[n > 1]), n[n > 1]
-            kind = np.where(n > config.crowd, BY_WINDOW, BY_TRIGGER)
-            out.append(_spans(x.doc, kind, x.start, x.start + x.size + np.uint32(reach), x.gram))
+            parts.clear()
+            out += _phrase_spans(p, config)
         return pa.Table.from_batches(out, schema=SPANS)
 
     return run
@@ -397,8 +432,8 @@ def _map_words(config: Config, buckets: int):
         local = merged(doc[again], start[again], start[again] + config.length)
         return _dealt(p.take(keep), buckets, mixed(low[keep]), local)
 
-    def flush(texts: dict[int, list[bytes]], words: Words) -> pa.RecordBatch:
-        blobs = [(b, _TEXTS + b"".join(t)) for b, t in texts.items()]
+    def flush(texts: dict[int, list[tuple]], words: Words) -> pa.RecordBatch:
+        blobs = [(b, _TEXTS + _packed_texts(t)) for b, t in texts.items()]
         return _blob_batch(blobs + (windows(words) if words.doc else []))
 
     def run(batches):
@@ -408,16 +443,16 @@ def _map_words(config: Config, buckets: int):
                 units, doc = config.units(text.as_py()), doc.as_py()
                 columns = [asked.values.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
                 bucket = mixed(columns[3].astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)
-                for kind, start, end, b in zip(*(c.tolist() for c in (*columns[:3], bucket))):
+                for kind, start, end, gram, b in zip(*(c.tolist() for c in (*columns, bucket))):
                     data = units.cut(start, end)
                     if kind == BY_TRIGGER:
-                        texts.setdefault(b, []).append(_packed_text(doc, start, data))
+                        texts.setdefault(b, []).append((gram, doc, start, data))
                     else:
                         words.doc.append(doc)
                         words.start.append(start)
                         words.units.append(config.units(data))
                     total += end - start
-                    if total >= _UNITS_AT_ONCE:
+                    if total >= _TEXTS_AT_ONCE:
                         yield flush(texts, words)
                         texts, words, total = {}, Words([], [], []), 0
         if total:
