@@ -211,6 +211,24 @@ def test_run_report(spark, tmp_path):
     assert (r.files, r.parsed, r.not_utf8, r.failed_paths, r.warnings, r.cap_reached) == (2, 1, 1, ["b.md"], 0, True)
 
 
+def test_a_cap_reads_its_tasks_once(spark, tmp_path):
+    def noted(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                with open(tmp_path / f"{row['root']}{row['file']}{row['line']}", "a") as out:
+                    out.write("x")
+            yield batch
+
+    rows = [(root, f"{k % 7}.md", line) for k in range(7) for root in ("b", "a", None) for line in (3, 1, 2)]
+    found = spark.createDataFrame(rows, "root string, file string, line int").repartition(5)
+    kept = extract.capped(found.mapInArrow(noted, found.schema), 20).collect()
+    in_order = sorted(rows, key=lambda r: (r[0] is not None, *map(str, r)))
+    assert sorted(map(tuple, kept), key=str) == sorted(in_order[:20], key=str)
+    assert sorted(p.read_text() for p in tmp_path.iterdir()) == ["x"] * len(rows)
+    for cap in (1, 13, 62, 63, 100):
+        assert {tuple(r) for r in extract.capped(found, cap).collect()} == set(in_order[:cap])
+
+
 def test_a_run_counts_on_its_one_pass(spark, tmp_path):
     """Every kind of file, and roots that are one folder by other names."""
     import os

@@ -12,6 +12,7 @@ from vesperline.functions import stamps
 from vesperline.functions.text import trimmed
 from vesperline.operators.blocks import fields, sections
 from vesperline.operators.ranking import ranked
+from vesperline.sources.scratch import as_table
 
 #: Clock bodies, hours of a clock, tasks of a run.
 CLOCK_BODY, MAX_HOURS, MAX_TASKS = 128, 10_000, 10_000
@@ -156,10 +157,15 @@ def tasks(notes: DataFrame, cap: int = 0, parts: tuple[str, ...] = PARTS) -> Dat
 
 
 def capped(found: DataFrame, cap: int = MAX_TASKS) -> DataFrame:
-    """The first ``cap`` tasks of a run, by root, file and line: counted in ranges, so no task gathers them."""
+    """The first ``cap`` tasks of a run, by root, file and line: counted in ranges, so no task gathers them.
+
+    A task that ``cap`` others of its partition precede is not among the first of all. So each partition is sorted where
+    it lies and writes its first ``cap`` alone: the notes are read once, and not again to find the ranges."""
     if not 1 <= cap <= 10_000_000:
         raise ValueError("the cap is between 1 and 10,000,000")
-    return ranked(found, [], [F.col("root"), F.col("file"), F.col("line")], "_n").where(F.col("_n") <= cap).drop("_n")
+    order = [F.col(c) for c in (*KEY, "line")]
+    numbered = found.sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return ranked(as_table(numbered.where(F.col("_n") < cap).drop("_n")), [], order, "_n").where(F.col("_n") <= cap).drop("_n")
 
 
 def capped_notes(found: DataFrame, cap: int) -> DataFrame:
